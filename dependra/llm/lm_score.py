@@ -5,7 +5,7 @@ zero (uniform) are mixed with weights that depend on how often the context
 occurred, and the weights are learned by expectation-maximisation on held-out
 counts (a fold of the training texts whose own counts are taken out).
 
-Texts are first packed into batches of about a million tokens: a local
+Texts are first packed into batches of about 400,000 tokens: a local
 vocabulary of word hashes and the tokens as places in it.  Each batch asks for
 the corpus counts of its distinct words and bigrams; the requests are dealt out
 by hash, summed, and answered in the order asked.  So a word as common as "the"
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, fold, staged, text_or_empty
 
 #: Tokens of a batch, and keys that one part of the count exchange gets, about.
-BATCH_TOKENS, PART_KEYS = 1_000_000, 1_500_000
+BATCH_TOKENS, PART_KEYS = 400_000, 1_500_000
 _BLANK = str.maketrans("\t\n\x0b\x0c\r", "     ")
 #: Key of the end token, which is also the context of a text's first word.
 END = 2
@@ -87,7 +87,7 @@ def batches_of(docs: DataFrame, train_col: str = "train", fold_col: str = "fold"
 
         open_: dict[bool, dict] = {}
         id_type = None
-        for rb in batches:
+        for rb in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             id_type = rb.column("doc_id").type
             for i, t, train, is_fold in zip(rb.column("doc_id").to_pylist(), rb.column("text").to_pylist(), rb.column(train_col).to_pylist(), rb.column(fold_col).to_pylist()):
                 b = open_.setdefault(is_fold, fresh())
