@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.staging import staged
+
+__all__ = ["BLANKS", "GAP", "LOWER", "UPPER", "WORD", "content_key", "fold", "n_words", "spaced", "staged", "table", "text_or_empty"]
+
 #: White space of all text contracts: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 #: A run of those characters, as a Java pattern.
@@ -18,36 +17,13 @@ GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is ``spark.checkpoint.dir``; only where that is unset (local tests) a
-    temporary folder is used.
-    """
-    name = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if name:
-        return name
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="dependra-"))
-        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
-    return _own_dir[0]
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again.
 
-    This cuts the lineage and computes ``df`` once; the files survive lost
-    executors and go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def spaced(text: str) -> str:
+    """The text with every white-space character of the contracts as a space (fast for any alphabet)."""
+    for c in BLANKS[1:]:
+        if c in text:
+            text = text.replace(c, " ")
+    return text
 
 
 def text_or_empty(col: Column | str = "text") -> Column:

@@ -26,11 +26,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, fold, staged, text_or_empty
+from .common import LOWER, UPPER, fold, spaced, staged, text_or_empty
 
 #: Tokens of a batch, and keys that one part of the count exchange gets, about.
 BATCH_TOKENS, PART_KEYS = 400_000, 1_500_000
-_BLANK = str.maketrans("\t\n\x0b\x0c\r", "     ")
 #: Key of the end token, which is also the context of a text's first word.
 END = 2
 #: Classes of contexts: the bit length of their count.
@@ -92,7 +91,7 @@ def batches_of(docs: DataFrame, train_col: str = "train", fold_col: str = "fold"
             for i, t, train, is_fold in zip(rb.column("doc_id").to_pylist(), rb.column("text").to_pylist(), rb.column(train_col).to_pylist(), rb.column(fold_col).to_pylist()):
                 b = open_.setdefault(is_fold, fresh())
                 v = b["vocab"]
-                words = [w for w in t.translate(_BLANK).split(" ") if w]
+                words = [w for w in spaced(t).split(" ") if w]
                 words.append("")
                 b["tokens"].append(np.fromiter((v.setdefault(w, len(v)) for w in words), np.uint32, len(words)))
                 b["ids"].append(i)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_or_empty
+from .common import spaced, staged, text_or_empty
 from .pairgraph import block_pairs, connected_components, edges_of, groups, star
 
 #: Bands of ROWS values each: a pair at similarity 0.8 shares no band with probability 3e-5.
@@ -29,7 +29,6 @@ BANDS, ROWS = 20, 4
 VALUES = BANDS * ROWS
 #: Values compared between two looks at the posterior.
 STEP = 16
-_BLANK = str.maketrans("\t\n\x0b\x0c\r", "     ")
 _rng = np.random.default_rng(20)
 _FACTOR = _rng.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64)
@@ -52,7 +51,7 @@ def shingles(text: str, n: int, known: dict[str, int]) -> np.ndarray:
     A text of fewer words is one shingle of all of them; without words the set
     is empty.
     """
-    words = [w for w in text.translate(_BLANK).split(" ") if w]
+    words = [w for w in spaced(text).split(" ") if w]
     if not words:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import spaced, text_or_empty
 
 #: Hashed features; ids fit 16 bits.
 BUCKETS = 1 << 15
@@ -44,7 +44,7 @@ def shape(words: list[str]) -> int:
 
 def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a whole text and their shares of its average; the pseudo-word has a quarter."""
-    words = [w for w in text.translate(_BLANK).split(" ") if w]
+    words = [w for w in spaced(text).split(" ") if w]
     total = np.zeros(BUCKETS)
     if words:
         seen: dict[str, int] = {}
@@ -58,7 +58,6 @@ def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     return ids.astype(np.uint16), total[ids].astype(np.float32)
 
 
-_BLANK = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +123,7 @@ def score(docs: DataFrame, weight: np.ndarray, bias: float, doc_id: str = "doc_i
         for b in batches:
             out = []
             for t in b.column("text").to_pylist():
-                words = [w for w in t.translate(_BLANK).split(" ") if w]
+                words = [w for w in spaced(t).split(" ") if w]
                 z = bias + 0.25 * float(weight[shape(words)])
                 if words:
                     z += 0.75 * sum(map(memo.__getitem__, words)) / (2 * sum(map(len, words)))

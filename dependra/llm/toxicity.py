@@ -14,7 +14,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,41 +30,38 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 COST = {"leet": 1.0, "same": 6.0, "repeat": 2.5, "edge": 1.5}
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 EDGE, OTHER = "_", "~"
-MEMO = 300_000
+MEMO = 600_000
 BUCKETS = 1 << 20
 
-_BLANK = str.maketrans("\t\n\x0b\x0c\r", "     ")
 _SIGN = "".join(map(re.escape, LEET))
-_DRAWN = re.compile(r"(.)\1\1|([aiuyhjkqvwx])\2")
+_DRAWN = re.compile(r"(.)\1\1")
 _HIDDEN = re.compile(rf"[{_SIGN}][^\W\d_]|[^\W\d_][{_SIGN}]+[^\W\d_]|[^\W\d_][0-9@€£]")
-_APART = re.compile(rf"(?<![^\W_])(?:[^\W_]|[@$!|*+])([ .\-_*])(?:(?:[^\W_]|[@$!|*+])\1){{2,}}[^\W_](?![^\W_])")
-_TRIM = re.compile(r"^[\"'(\[{<«“„‘\-]+|(?:[.,;:?!)\]}>»”’\"'\-…]|(?<=\w)([*#%&$])\1{2,})+$")
+_SET_APART = re.compile(r"[^\W_@$!|*+](?:([.\-_*])[\w@$!|+])(?:\1[\w@$!|+]){2,}")
+_TRIM = re.compile(r"^[\"'(\[{<«“„‘\-]+|(?:[.,;:?!)\]}>»”’\"'\-…]|([*#%&$])\1{2,})+$")
 
 
-def _letters(s: str) -> str:
-    """The symbols of the character model: a-z, one for all other letters and signs, one for word edges."""
-    return "".join(c if c in LETTERS else OTHER for c in s)
+def _symbols() -> np.ndarray:
+    """Symbol of each code point below 128: a-z, edges for white space and marks, else OTHER."""
+    out = np.ones(128, np.int64)
+    out[list(b" \t\n\r\x0b\x0c.,;:!?\"'()")] = 0
+    out[[ord(c) for c in LETTERS]] = np.arange(2, 2 + len(LETTERS))
+    return out
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    grams: Counter[str] = Counter()
-
-    def add(words: Counter[str]) -> None:
-        for w, n in words.items():
-            s = f"{EDGE}{EDGE}{_letters(w)}{EDGE}"
-            for i in range(len(s) - 2):
-                grams[s[i : i + 3]] += n
-        words.clear()
-
-    words: Counter[str] = Counter()
+    table, size = _symbols(), len(LETTERS) + 2
+    total = np.zeros(size**3, np.int64)
     for b in batches:
-        for t in b.column("text").to_pylist():
-            words.update(re.sub(r"[.,;:!?\"'()]", "", t.lower().translate(_BLANK)).split(" "))
-            if len(words) > MEMO:
-                add(words)
-    words.pop("", None)
-    add(words)
-    yield pa.RecordBatch.from_arrays([pa.array(list(grams.keys()), pa.string()), pa.array(list(grams.values()), pa.int64())], ["gram", "n"])
+        for at in range(0, b.num_rows, 200):
+            text = " ".join(["", *b.column("text").slice(at, 200).to_pylist(), ""]).lower()
+            s = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+            s = np.where(s < 128, table[np.minimum(s, 127)], 1)
+            c, b1, a = s[2:], s[1:-1], s[:-2]
+            some = (c > 0) | (b1 > 0)
+            c, b1, a = c[some], b1[some], a[some]
+            total += np.bincount((np.where(b1 == 0, 0, a) * size + b1) * size + c, minlength=size**3)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])
 
 
 def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -74,15 +71,15 @@ def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     most 28 ** 3 rows, whatever the corpus.  Trigrams, bigrams, unigrams and a
     uniform share are mixed with fixed weights, so nothing has probability 0.
     """
-    rows = docs.select(text_or_empty(text).alias("text")).mapInArrow(_grams, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    symbols = EDGE + OTHER + LETTERS
-    at = {c: i for i, c in enumerate(symbols)}
-    n = np.zeros((len(symbols),) * 3)
+    rows = docs.select(text_or_empty(text).alias("text")).mapInArrow(_grams, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    size = len(LETTERS) + 2
+    n = np.zeros(size**3)
     for g, k in rows:
-        n[at[g[0]], at[g[1]], at[g[2]]] += k
+        n[g] = k
+    n = n.reshape(size, size, size)
     two, one = n.sum(0), n.sum((0, 1))
     part = lambda x: x / np.maximum(x.sum(-1, keepdims=True), 1)
-    return np.log(0.75 * part(n) + 0.17 * part(two)[None] + 0.07 * part(one)[None, None] + 0.01 / len(symbols))
+    return np.log(0.75 * part(n) + 0.17 * part(two)[None] + 0.07 * part(one)[None, None] + 0.01 / size)
 
 
 class Decoder:
@@ -130,38 +127,59 @@ class Decoder:
 
 
 class Restorer:
-    """The distinct restored words of a text, with what was decoded kept while a task runs."""
+    """The distinct words of a text, restored, or what ``use`` makes of each; kept while a task runs."""
 
-    def __init__(self, model: np.ndarray) -> None:
-        self.decoder, self.known = Decoder(model), {}
+    def __init__(self, model: np.ndarray, use: Callable[[str], tuple] = lambda word: (word,)) -> None:
+        self.decoder, self.use, self.known = Decoder(model), use, {}
 
     def word(self, token: str) -> str:
+        if token.isalpha() and not _DRAWN.search(token):
+            return token
         bare = _TRIM.sub("", token)
+        if _SET_APART.fullmatch(bare):
+            bare = bare[::2]
+            return self.decoder.decode(bare)
         return self.decoder.decode(bare) if _HIDDEN.search(bare) or _DRAWN.search(bare) else bare
 
-    def words(self, text: str) -> tuple[set[str], int]:
-        """Distinct restored words, and how many distinct tokens and runs changed."""
-        low = text.lower().translate(_BLANK)
-        out, changed, known = set(), 0, self.known
-        for token in set(low.split(" ")):
+    def words(self, text: str) -> tuple[set, int]:
+        """What ``use`` gives for the distinct restored words together, and the number of spaced-out runs that were joined."""
+        tokens = text.lower().split()
+        out, runs, known = set(), 0, self.known
+        distinct = set(tokens)
+        for token in distinct:
             w = known.get(token)
             if w is None:
                 if len(known) >= MEMO:
                     known.clear()
-                w = known[token] = self.word(token)
-            out.add(w)
-        for m in _APART.finditer(low):
-            run = m[0].replace(m[1], "")
-            out.update(self.decoder.decode(run, True).split(" "))
-            out.add(self.decoder.decode(run))
-            changed += 1
-        out.discard("")
-        return out, changed
+                w = known[token] = self.use(self.word(token))
+            if w:
+                out.update(w)
+        if sum(map(1 .__eq__, map(len, distinct))) > 1:
+            single = [i for i, t in enumerate(tokens) if len(t) == 1]
+            start = 0
+            for k in range(1, len(single) + 1):
+                if k < len(single) and single[k] == single[k - 1] + 1:
+                    continue
+                run = "".join(tokens[i] for i in single[start:k])
+                start = k
+                if len(run) > 3 and len(set(run)) > 1:
+                    runs += 1
+                    for w in {*self.decoder.decode(run, True).split(" "), self.decoder.decode(run)}:
+                        out.update(self.use(w))
+        return out, runs
 
 
 def features(word: str) -> list[int]:
-    """Buckets of the word and of its beginnings of three to seven letters."""
-    return [zlib.crc32(f"\x02{word}\x03".encode()) & (BUCKETS - 1), *(zlib.crc32(f"\x02{word[:n]}".encode()) & (BUCKETS - 1) for n in range(3, min(8, len(word) + 1)))]
+    """Buckets of the word and of its beginnings of three to seven bytes."""
+    b = word.encode("utf-8", "replace")
+    c = zlib.crc32(b[:3], 7)
+    out = [zlib.crc32(b, 11) & (BUCKETS - 1)]
+    if len(b) >= 3:
+        out.append(c & (BUCKETS - 1))
+        for n in range(3, min(7, len(b))):
+            c = zlib.crc32(b[n : n + 1], c)
+            out.append(c & (BUCKETS - 1))
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, use: Column, model: np.ndarray, doc_id: str = "doc_id", text: str = "text", max_docs: int = 8000, errors: float = 2.0, least: float = 0.3, decay: float = 1e-5, steps: int = 800, seed: int = 5) -> tuple[dict[int, float], float]:
@@ -180,9 +198,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str, use: Column, model: np
     rows = docs.select(F.col(doc_id).alias("_id"), text_or_empty(text).alias("text")).join(F.broadcast(ids), "_id").select("label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = Restorer(model)
+        r = Restorer(model, lambda w: tuple(features(w)))
         for b in batches:
-            ids = [np.array(sorted({f for w in r.words(t)[0] for f in features(w)}), np.uint32).tobytes() for t in b.column("text").to_pylist()]
+            ids = [np.array(sorted(r.words(t)[0]), np.uint32).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(ids, pa.binary())], ["label", "ids"])
 
     got = sorted((bytes(r["ids"]), r["label"]) for r in rows.mapInArrow(run, "label int, ids binary").collect())
@@ -225,20 +243,11 @@ def score(docs: DataFrame, model: np.ndarray, weights: dict[int, float], bias: f
     carried = [c for c in columns if c not in ("score", "n_runs")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, telling = Restorer(model), {}
+        r = Restorer(model, lambda w: tuple(f for f in features(w) if f in weights))
         for b in batches:
             out, runs = [], []
             for t in b.column("_text").to_pylist():
-                words, n = r.words(t)
-                found: set[int] = set()
-                for w in words:
-                    f = telling.get(w)
-                    if f is None:
-                        if len(telling) >= MEMO:
-                            telling.clear()
-                        f = telling[w] = tuple(x for x in features(w) if x in weights)
-                    if f:
-                        found.update(f)
+                found, n = r.words(t)
                 z = bias + math.fsum(weights[f] for f in found)
                 out.append(1 / (1 + math.exp(-max(-50.0, min(50.0, z)))))
                 runs.append(n)
