@@ -146,11 +146,11 @@ _TWO = {
 }
 
 
-def _functions(model: Bicop, df: DataFrame, a: str, b: str) -> DataFrame:
+def _functions(model: Bicop, df: DataFrame, a: str, b: str, digits: int = 6) -> DataFrame:
     out = df
     for f in (model.pdf, model.cdf, model.hfunc1, model.hfunc2):
         out = f(out, a, b)
-    return out.select("l_orderkey", _r("pdf"), _r("cdf"), _r("hfunc1"), _r("hfunc2"))
+    return out.select("l_orderkey", *(_r(c, digits) for c in ("pdf", "cdf", "hfunc1", "hfunc2")))
 
 
 def _family(family: str, parameters: tuple[float, ...], rotation: int = 0) -> Query:
@@ -209,7 +209,7 @@ _add("bicop_gumbel_inverse", _inverse("gumbel", 2.0))
 def _discrete(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = pobs.pseudo_obs(pobs.discrete_margins(basket(spark, sf_dir), "n_lines"), ["sum_price"])
     m = Bicop("clayton", 0, (2.0,), ["d", "c"])
-    return _functions(m, u, "u_n_lines", "u_sum_price")
+    return _functions(m, u, "u_n_lines", "u_sum_price", 4)
 
 
 _DC = "pow(pow({a}, -2.0) + pow(b, -2.0) - 1, -0.5)"
@@ -218,7 +218,7 @@ _add(
     "bicop_discrete",
     _discrete,
     f"WITH {BASKET}, u AS (SELECT l_orderkey, (rank() OVER (ORDER BY n_lines) + count(*) OVER (PARTITION BY n_lines) - 1) / (count(*) OVER () + 1) AS a, greatest((rank() OVER (ORDER BY n_lines) - 1) / (count(*) OVER () + 1), 1e-10) AS l, {_rank('sum_price')} AS b FROM basket) "
-    + _OUT.format(f"({_DH.format(a='a')} - {_DH.format(a='l')}) / (a - l)", _DC.format(a="a"), f"({_DC.format(a='a')} - {_DC.format(a='l')}) / (a - l)", _DH.format(a="a")),
+    + _OUT.replace(", 6)", ", 4)").format(f"({_DH.format(a='a')} - {_DH.format(a='l')}) / (a - l)", _DC.format(a="a"), f"({_DC.format(a='a')} - {_DC.format(a='l')}) / (a - l)", _DH.format(a="a")),
 )
 
 # fitting ---------------------------------------------------------------------------------
