@@ -221,10 +221,23 @@ def tawn_h2(m, a, b, p):  # noqa: ANN001, ANN201
 FORMULAS = {"indep": _indep, "gaussian": _gaussian, "clayton": _clayton, "gumbel": _gumbel, "frank": _frank, "joe": _joe, "tawn": _tawn} | {f: _archimedean(f) for f in _GENERATORS}
 
 
+_scores: dict[tuple[float, int], np.ndarray] = {}
+
+
+def _t_score(p: np.ndarray, nu: float) -> np.ndarray:
+    """Student quantiles; the last few are kept, as fits ask for the same ones with many correlations."""
+    key = nu, hash(p.tobytes())
+    if key not in _scores:
+        if len(_scores) >= 8:
+            _scores.pop(next(iter(_scores)))
+        _scores[key] = t_ppf(p, nu)
+    return _scores[key]
+
+
 def student(a: np.ndarray, b: np.ndarray, p: tuple[float, ...], what: str) -> np.ndarray:
     """Student copula by numpy: ``cdf``, ``h1`` or ``pdf``."""
     rho, nu = p
-    s, t = t_ppf(a, nu), t_ppf(b, nu)
+    s, t = _t_score(a, nu), _t_score(b, nu)
     if what == "h1":
         return t_cdf((t - rho * s) * np.sqrt((nu + 1) / ((nu + s * s) * (1 - rho * rho))), nu + 1)
     if what == "pdf":

@@ -11,8 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .algebra import COLUMNS
-from .special import norm_ppf
+from .special import normal_score
 
 
 def _seed(seeds: list[int] | tuple[int, ...] | None) -> int:
@@ -158,4 +157,4 @@ def simulate_uniform(spark: SparkSession, n: int, d: int, qrng: bool = False, se
 def simulate_normal(spark: SparkSession, n: int, d: int, qrng: bool = False, seeds: list[int] | None = None) -> DataFrame:
     """Standard normal columns z1 .. zd."""
     u = simulate_uniform(spark, n, d, qrng, seeds)
-    return u.select("sample_id", *(norm_ppf(COLUMNS, F.col(f"u{j + 1}")).alias(f"z{j + 1}") for j in range(d)))
+    return u.select("sample_id", *(normal_score(F.col(f"u{j + 1}")).alias(f"z{j + 1}") for j in range(d)))

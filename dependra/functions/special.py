@@ -10,6 +10,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .algebra import ARRAYS
 
 # fixed values: Hart's rational approximation of the normal tail
 _NUM = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
@@ -58,6 +63,24 @@ def norm_ppf(m, p):  # noqa: ANN001, ANN201
     return m.where(m.abs(q) <= 0.425, mid, m.where(q < 0, tail * -1.0, tail))
 
 
+def normal_score(c: Column) -> Column:
+    """Normal quantile of a column, as an Arrow function.
+
+    As an expression it repeats its argument so often that generated code gets
+    larger than a JVM method may be.
+    """
+
+    @F.pandas_udf("double")
+    def run(p: pd.Series) -> pd.Series:
+        x = p.to_numpy(float)
+        ok = ~np.isnan(x)
+        out = np.full(len(x), np.nan)
+        out[ok] = norm_ppf(ARRAYS, x[ok])
+        return pd.Series(out).where(ok, None)
+
+    return run(c)
+
+
 def bvn_cdf(m, h, k, rho: float):  # noqa: ANN001, ANN201
     """Bivariate normal distribution function by Gauss-Legendre in the angle of the correlation."""
     nodes, weights = np.polynomial.legendre.leggauss(20 if abs(rho) < 0.9 else 40)
@@ -128,10 +151,10 @@ def t_ppf(p: np.ndarray, nu: float) -> np.ndarray:
     """Student quantile function: a table of the distribution function, then Newton steps."""
     p = np.clip(np.asarray(p, float), 1e-12, 1 - 1e-12)
     small = np.minimum(p, 1 - p)
-    grid = -np.concatenate([np.linspace(0, 8, 600), np.geomspace(8.05, 1e3 if nu > 4 else 1e8, 1200)])[::-1]
+    grid = -np.concatenate([np.linspace(0, 8, 2000), np.geomspace(8.01, 1e3 if nu > 4 else 1e8, 2000)])[::-1]
     lp = np.log(np.maximum(t_cdf(grid, nu), 1e-320))
     x = np.interp(np.log(small), lp, grid)
-    for _ in range(3):
+    for _ in range(2):
         f = t_cdf(x, nu)
         x = x - np.clip((f - small) / np.maximum(t_pdf(x, nu), 1e-300), -0.3 * (1 + np.abs(x)), 0.3 * (1 + np.abs(x)))
     return np.where(p < 0.5, x, -x)

@@ -11,8 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.algebra import ARRAYS, COLUMNS, TRIM
-from ..functions.special import norm_cdf, norm_pdf, norm_ppf
+from ..functions.algebra import ARRAYS, TRIM
+from ..functions.special import norm_cdf, norm_pdf, normal_score
 from .pobs import present
 
 #: Cells per axis of the count, points per axis of the density, range of normal scores.
@@ -21,10 +21,11 @@ CELLS, POINTS, REACH = 120, 41, 3.25
 
 def score_counts(df: DataFrame, a: str, b: str, weights: str | None = None) -> np.ndarray:
     """Counts of normal scores in CELLS x CELLS cells; at most that many rows come back."""
-    z = lambda c: norm_ppf(COLUMNS, F.least(F.greatest(F.col(c), F.lit(TRIM)), F.lit(1 - TRIM)))
-    cut = lambda c: F.least(F.greatest(F.floor((z(c) + REACH) * (CELLS / (2 * REACH))), F.lit(0)), F.lit(CELLS - 1)).cast("int")
+    z = lambda c: normal_score(F.least(F.greatest(F.col(c), F.lit(TRIM)), F.lit(1 - TRIM)))
+    cut = lambda c: F.least(F.greatest(F.floor((F.col(c) + REACH) * (CELLS / (2 * REACH))), F.lit(0)), F.lit(CELLS - 1)).cast("int")
     w = F.col(weights).cast("double") if weights else F.lit(1.0)
-    rows = df.where(present(F.col(a)) & present(F.col(b))).groupBy(cut(a).alias("i"), cut(b).alias("j")).agg(F.sum(w).alias("w")).toPandas()
+    scores = df.where(present(F.col(a)) & present(F.col(b))).select(z(a).alias("_a"), z(b).alias("_b"), w.alias("w"))
+    rows = scores.groupBy(cut("_a").alias("i"), cut("_b").alias("j")).agg(F.sum("w").alias("w")).toPandas()
     out = np.zeros((CELLS, CELLS))
     out[rows["i"], rows["j"]] = rows["w"]
     return out
