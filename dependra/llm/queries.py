@@ -112,6 +112,39 @@ WITH RECURSIVE v AS (
 counted AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(n_links, 0) AS n_links, component_id, e.vec_id = component_id AS kept
 FROM embeddings e JOIN part p ON p.id = e.vec_id LEFT JOIN counted c ON c.a = e.vec_id""",
+    "op5_quality_rules": r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), lines AS (
+  SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w
+), worded AS (
+  SELECT doc_id, line, length(line) AS n, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS lw FROM lines
+), judged AS (
+  SELECT doc_id, line, len(lw) AS k,
+    (NOT regexp_matches(line, '[.!?…:;]["''”»)]*(\s|$)') AND len(lw) >= 4)
+    OR n - length(translate(line, '#*$%&<>{}~^=', '')) > 0.05 * n
+    OR (n - length(translate(line, '|»›•·', '')) >= 2 AND (n - length(translate(line, '|»›•·', ''))) * 3 >= len(lw))
+    OR (length(regexp_replace(line, '[^\p{L}]', '', 'g')) >= 20
+        AND length(translate(lower(line), ' ', '')) - length(regexp_replace(line, '[\p{Lu} ]', '', 'g')) > 0.6 * length(regexp_replace(line, '[^\p{L}]', '', 'g')))
+    OR regexp_matches(lower(line), 'all rights reserved|privacy policy|terms of (use|service)|cookie|javascript|lorem ipsum|subscribe|newsletter|click here|read more|sign (up|in) |log ?in |copyright|licensed under|skip to content|powered by')
+    OR (len(lw) >= 10 AND len(list_distinct(lw)) < 0.3 * len(lw)) AS fails
+  FROM worded WHERE len(lw) > 0
+), by_line AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, sum(CASE WHEN fails THEN 0 ELSE k END) AS n_kept_words FROM judged GROUP BY doc_id
+), windows AS (
+  SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS key FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)
+), again AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, key) > 1
+), marked AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM again, (SELECT unnest(range(3)) AS k) GROUP BY doc_id
+), joined AS (
+  SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(coalesce(n_kept_words, 0) AS BIGINT) AS n_kept_words
+  FROM w LEFT JOIN by_line USING (doc_id) LEFT JOIN marked USING (doc_id)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_kept_words <= 0.5 * n_words AS kept
+FROM joined""",
     "op6_line_dedup": f"""
 WITH split AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
