@@ -218,15 +218,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str, use: Column, model: np
     keep = np.flatnonzero((low > least) & (n[1] >= 8))
     place = np.full(BUCKETS, -1, np.int32)
     place[keep] = np.arange(len(keep))
-    x = np.zeros((len(got), len(keep)), np.float32)
-    for r, f in enumerate(rows_):
-        at = place[f]
-        x[r, at[at >= 0]] = 1
+    # the examples as a sparse matrix of ones: column of each entry, and its row
+    places = [p[p >= 0] for p in (place[f] for f in rows_)]
+    at, row = np.concatenate(places), np.repeat(np.arange(len(places)), [len(p) for p in places])
     w, b, g2 = np.zeros(len(keep)), float(np.log(size[1] / size[0])), np.full(len(keep) + 1, 1e-6)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[at], len(y)) + b, -30, 30)))
         e = (p - y) / len(y)
-        g = np.append(x.T @ e + decay * w, e.sum())
+        g = np.append(np.bincount(at, e[row], len(keep)) + decay * w, e.sum())
         g2 += g * g
         d = 0.5 * g / np.sqrt(g2)
         w, b = w - d[:-1], b - d[-1]
