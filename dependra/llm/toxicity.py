@@ -33,10 +33,11 @@ EDGE, OTHER = "_", "~"
 MEMO = 600_000
 BUCKETS = 1 << 20
 
+_SIGNS = "".join(c for c in LEET if not c.isdigit())
 _SIGN = "".join(map(re.escape, LEET))
 _DRAWN = re.compile(r"(.)\1\1")
 _HIDDEN = re.compile(rf"[{_SIGN}][^\W\d_]|[^\W\d_][{_SIGN}]+[^\W\d_]|[^\W\d_][0-9@€£]")
-_SET_APART = re.compile(r"[^\W_@$!|*+](?:([.\-_*])[\w@$!|+])(?:\1[\w@$!|+]){2,}")
+_SET_APART = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+])([.\-_*])(?:(?:[^\W_]|[@$!|+])\1)+(?:[^\W_]|[@$!|+])(?![^\W_])")
 _TRIM = re.compile(r"^[\"'(\[{<«“„‘\-]+|(?:[.,;:?!)\]}>»”’\"'\-…]|([*#%&$])\1{2,})+$")
 
 
@@ -130,45 +131,82 @@ class Restorer:
     """The distinct words of a text, restored, or what ``use`` makes of each; kept while a task runs."""
 
     def __init__(self, model: np.ndarray, use: Callable[[str], tuple] = lambda word: (word,)) -> None:
-        self.decoder, self.use, self.known = Decoder(model), use, {}
+        self.decoder, self.use, self.known, self.lone = Decoder(model), use, {}, {}
 
     def word(self, token: str) -> str:
         if token.isalpha() and not _DRAWN.search(token):
             return token
         bare = _TRIM.sub("", token)
         if _SET_APART.fullmatch(bare):
-            bare = bare[::2]
-            return self.decoder.decode(bare)
+            return self.decoder.decode(bare[::2])
         return self.decoder.decode(bare) if _HIDDEN.search(bare) or _DRAWN.search(bare) else bare
 
+    def forms(self, token: str) -> set[str]:
+        """The restored token, and what stands in it with its letters set apart by signs."""
+        out = {self.word(token)}
+        if not token.isalpha():
+            for m in _SET_APART.finditer(token):
+                out |= self.joined(m[0][::2])
+        return out
+
+    def joined(self, run: str) -> set[str]:
+        """Words behind a run of letters that stood apart, as several words and as one."""
+        out: set[str] = set()
+        for r in {run, run.strip(_SIGNS) or run}:  # a sign at an end may be a letter or a mark
+            out |= {*self.decoder.decode(r, True).split(" "), self.decoder.decode(r)}
+        return out
+
     def words(self, text: str) -> tuple[set, int]:
         """What ``use`` gives for the distinct restored words together, and the number of spaced-out runs that were joined."""
         tokens = text.lower().split()
-        out, runs, known = set(), 0, self.known
+        out, runs, known, lone = set(), 0, self.known, self.lone
+        if len(known) >= MEMO:
+            known.clear()
+            lone.clear()
         distinct = set(tokens)
         for token in distinct:
             w = known.get(token)
             if w is None:
-                if len(known) >= MEMO:
-                    known.clear()
-                w = known[token] = self.use(self.word(token))
+                w = known[token] = tuple({x for form in self.forms(token) for x in self.use(form)})
+                c = _lone(token)
+                if c:
+                    lone[token] = c
             if w:
                 out.update(w)
-        if sum(map(1 .__eq__, map(len, distinct))) > 1:
-            single = [i for i, t in enumerate(tokens) if len(t) == 1]
+        if len(distinct & lone.keys()) > 1:
+            single = [i for i, t in enumerate(tokens) if t in lone]
             start = 0
             for k in range(1, len(single) + 1):
                 if k < len(single) and single[k] == single[k - 1] + 1:
                     continue
-                run = "".join(tokens[i] for i in single[start:k])
+                run = [tokens[i] for i in single[start:k]]
                 start = k
-                if len(run) > 3 and len(set(run)) > 1:
-                    runs += 1
-                    for w in {*self.decoder.decode(run, True).split(" "), self.decoder.decode(run)}:
+                for part in _parts(run, lone):
+                    for w in self.joined(part):
                         out.update(self.use(w))
+                whole = "".join(lone[t] for t in run)
+                runs += len(whole) > 2 and len(set(whole)) > 1
         return out, runs
 
 
+def _lone(token: str) -> str:
+    """The one letter, digit or sign for a letter that ``token`` consists of beside punctuation, else ""."""
+    c = token if len(token) == 1 else _TRIM.sub("", token)
+    return c if len(c) == 1 and (c.isalnum() or c in LEET) else ""
+
+
+def _parts(run: list[str], lone: dict[str, str]) -> set[str]:
+    """The letters of a run of lone tokens, whole and cut where punctuation stands, from three letters on."""
+    parts = ["".join(lone[t] for t in run), ""]
+    for t in run:
+        if len(t) > 1 and not t.startswith(lone[t]):
+            parts.append("")
+        parts[-1] += lone[t]
+        if len(t) > 1 and not t.endswith(lone[t]):
+            parts.append("")
+    return {p for p in parts if len(p) > 2 and len(set(p)) > 1}
+
+
 def features(word: str) -> list[int]:
     """Buckets of the word and of its beginnings of three to seven bytes."""
     b = word.encode("utf-8", "replace")

@@ -166,6 +166,16 @@ def test_toxicity_decoding(spark, docs):
     assert d.words("")[0] == set() and d.words("a " * 5000)[0]
 
 
+def test_toxicity_letters_set_apart_beside_punctuation(spark):
+    d = toxicity.Restorer(toxicity.character_model(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    for text, word in (("you i d i o t.", "idiot"), ('"i d i o t"', "idiot"), ("(t r a s h)", "trash"), ("you d u m b.", "dumb"), ("you i d i o t !", "idiot"), ("s t u p i d. i d i o t", "idiot"), ("i, d, i, o, t", "idiot")):
+        found, runs = d.words(text)
+        assert word in found and runs == 1, text
+    for text, word in (("you,s.t.u.p.i.d", "stupid"), ('"t-r-a-s-h",', "trash"), ("(i_d_i_o_t)", "idiot")):
+        assert word in d.words(text)[0], text
+    assert d.words("a b c")[1] == 1 and d.words("a - b")[1] == 0 and d.words("a. a. a.")[1] == 0
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.character_model(docs)
