@@ -1,10 +1,11 @@
 """Toxicity with noisy-channel deobfuscation.
 
-A token that looks disguised (digits or signs for letters, drawn-out letters,
-letters set apart) becomes a lattice of possible characters.  Viterbi decoding
+A token that may be disguised (digits or signs beside letters, doubled or
+drawn-out letters, letters set apart) becomes a lattice of possible characters.  Viterbi decoding
 under a character trigram model of the whole corpus restores the likeliest
 text, and a logistic model scores the words and word beginnings of the restored
-text.  A token without such marks has a single path through its lattice and is
+text and of the plain one.  An opening bracket before a word is taken as a
+bracket.  A token without such marks has a single path through its lattice and is
 taken as it is.
 """
 
@@ -35,10 +36,12 @@ BUCKETS = 1 << 20
 
 _SIGNS = "".join(c for c in LEET if not c.isdigit())
 _SIGN = "".join(map(re.escape, LEET))
-_DRAWN = re.compile(r"(.)\1\1")
-_HIDDEN = re.compile(rf"[{_SIGN}][^\W\d_]|[^\W\d_][{_SIGN}]+[^\W\d_]|[^\W\d_][0-9@€£]")
+_DRAWN = re.compile(r"(.)\1\1|([^\W\d_])\2")
+_TWICE = re.compile(r"(.)\1")
+_HIDDEN = re.compile(rf"[{_SIGN}][^\W\d_]|[^\W\d_][{_SIGN}]")
 _SET_APART = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+])([.\-_*])(?:(?:[^\W_]|[@$!|+])\1)+(?:[^\W_]|[@$!|+])(?![^\W_])")
 _TRIM = re.compile(r"^[\"'(\[{<«“„‘\-]+|(?:[.,;:?!)\]}>»”’\"'\-…]|([*#%&$])\1{2,})+$")
+_MARKS = re.compile(r"^[\"'(\[{<«“„‘\-]+|[.,;:?)\]}>»”’\"'\-…]+$")
 
 
 def _symbols() -> np.ndarray:
@@ -91,13 +94,14 @@ class Decoder:
         self.at = {c: i for i, c in enumerate(symbols)}
         self.cost = (-model).tolist()
 
-    def decode(self, token: str, apart: bool = False) -> str:
+    def decode(self, token: str, apart: bool = False, drawn: bool = True) -> str:
         """The likeliest text behind ``token`` (lower case).
 
         A character may stand for itself or for a letter it resembles, or
         repeat the letter before it.  ``apart``: the token's characters stood
-        apart, so a new word may begin at each.  A state is the last two
-        symbols; the work grows linearly with the token.
+        apart, so a new word may begin at each.  ``drawn``: a letter may be a
+        repeated one.  A state is the last two symbols; the work grows linearly
+        with the token.
         """
         cost, at, edge = self.cost, self.at, self.at[EDGE]
         states: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(edge, edge, ""): (0.0, None)}
@@ -116,7 +120,7 @@ class Decoder:
                     put((b, s, x), v + price + cost[a][b][s], (x, path))
                     if apart and b != edge:
                         put((edge, s, x), v + price + cost[a][b][edge] + cost[edge][edge][s] + COST["edge"], (x, (" ", path)))
-                    if x == last:
+                    if drawn and x == last:
                         put((a, b, last), v + price + COST["repeat"], path)
             states = new
         path = min(((v + cost[a][b][edge], i, p) for i, ((a, b, _), (v, p)) in enumerate(states.items())))[2]
@@ -142,11 +146,21 @@ class Restorer:
         return self.decoder.decode(bare) if _HIDDEN.search(bare) or _DRAWN.search(bare) else bare
 
     def forms(self, token: str) -> set[str]:
-        """The restored token, and what stands in it with its letters set apart by signs."""
-        out = {self.word(token)}
-        if not token.isalpha():
-            for m in _SET_APART.finditer(token):
-                out |= self.joined(m[0][::2])
+        """The restored token, the token as it is, and what stands in it with its letters set apart by signs.
+
+        Doubled letters and signs at an end mostly are clean, so the plain word
+        stays beside the restored one.
+        """
+        if token.isalpha():
+            return {token, self.word(token)}
+        bare, loose = _TRIM.sub("", token), _MARKS.sub("", token)
+        out = {bare, self.word(token)}
+        if loose != bare and _HIDDEN.search(loose):  # marks at the end that may be letters
+            out.add(self.decoder.decode(loose))
+        if _HIDDEN.search(bare) and _TWICE.search(bare):  # the hidden word may have the double letter
+            out.add(self.decoder.decode(bare, drawn=False))
+        for m in _SET_APART.finditer(token):
+            out |= self.joined(m[0][::2])
         return out
 
     def joined(self, run: str) -> set[str]:

@@ -176,6 +176,13 @@ def test_toxicity_letters_set_apart_beside_punctuation(spark):
     assert d.words("a b c")[1] == 1 and d.words("a - b")[1] == 0 and d.words("a. a. a.")[1] == 0
 
 
+def test_toxicity_doubled_letters_and_signs_at_the_end(spark):
+    d = toxicity.Restorer(toxicity.character_model(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    for seen, plain in (("stuupid", "stupid"), ("iidiiot", "idiot"), ("idio+", "idiot"), ("idio+,", "idiot"), ("shi+", "shit"), ("kil|", "kill"), ("a$$", "ass"), ("tra$h!", "trash"), ("naz!", "nazi")):
+        assert plain in d.words(seen)[0], (seen, d.words(seen)[0])
+    assert {"book", "street", "hello"} <= d.words("book street, hello!")[0]
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.character_model(docs)
