@@ -29,6 +29,8 @@ from .pobs import present
 ROTATIONS = (0, 90, 180, 270)
 #: Rows up to which a pair is fitted as one group of one task.
 LOCAL_ROWS = 200_000
+#: A search ends when the steps of an item and its last relative gain are below these, at any size; ROUNDS is a safety.
+STEP, GAIN, ROUNDS = 1e-6, 1e-9, 100
 
 
 @dataclass
@@ -435,14 +437,16 @@ def _moved(family: str, p: tuple[float, ...], k: int, by: float) -> tuple[float,
     return (*p[:k], float(min(max(y, lo), hi)), *p[k + 1 :])
 
 
-def _search(items: list[dict], evaluate: Callable[[list[Candidate]], list[float]], kinds: dict[int, list[str]], rounds: int) -> None:
+def _search(items: list[dict], evaluate: Callable[[list[Candidate]], list[float]], kinds: dict[int, list[str]]) -> None:
     """Pattern search of all items together; ``evaluate`` gives log-likelihoods of (pair, model).
 
     Every round tries moves around each current parameter, steps to the best
-    one, and narrows the steps.
+    one, and narrows the steps.  An item leaves when its steps and its last gain
+    are below STEP and GAIN.
     """
     live = [s for s in items if not s["fixed"]]
-    for _ in range(rounds):
+    for _ in range(ROUNDS):
+        live = [s for s in live if max(s["step"]) > STEP or s.get("gain", math.inf) > GAIN]
         tries = []
         for s in live:
             grid = (-2, -1, -0.5, 0.5, 1, 2) if len(s["p"]) == 1 else (-1.5, -0.5, 0.5, 1.5)
@@ -460,18 +464,21 @@ def _search(items: list[dict], evaluate: Callable[[list[Candidate]], list[float]
                 best[id(s)] = (v, p, move)
         for s in live:
             if id(s) in best:
-                _, p, move = best[id(s)]
+                v, p, move = best[id(s)]
+                s["gain"], s["value"] = (v - s.get("value", -math.inf)) / (1 + abs(v)), v
                 s["last"], s["p"] = (s["p"] if move else None), p
                 k = move[0] if move else None
                 if k is None or k >= 0:
                     s["step"] = [x * (0.8 if k == j and move[1] >= 1 else 0.5 if len(s["p"]) == 1 else 0.65) for j, x in enumerate(s["step"])]
+            else:  # no likelihood anywhere near
+                s["step"], s["gain"] = [0.0] * len(s["step"]), 0.0
 
 
 def _model(item: dict, kinds: dict[int, list[str]], p: tuple[float, ...] | None = None) -> Bicop:
     return Bicop(item["family"], item["rotation"], item["p"] if p is None else p, list(kinds[item["pair"]]), grid=item["grid"], npars_=item["npars"])
 
 
-def _fit_items(items: list[dict], evaluate: Callable[[list[Candidate]], list[float]], kinds: dict[int, list[str]], itau: bool, rounds: int) -> list[float]:
+def _fit_items(items: list[dict], evaluate: Callable[[list[Candidate]], list[float]], kinds: dict[int, list[str]], itau: bool) -> list[float]:
     """Fits the items in place; their log-likelihoods."""
     if itau:
         tries = [(s, (s["p"][0], nu)) for s in items if not s["fixed"] for nu in [2.5 + 0.5 * i for i in range(12)] + [10, 12, 15, 20, 30, 50]]
@@ -479,7 +486,7 @@ def _fit_items(items: list[dict], evaluate: Callable[[list[Candidate]], list[flo
             if v > s.get("best", -math.inf):
                 s["best"], s["p"] = v, p
     else:
-        _search(items, evaluate, kinds, rounds)
+        _search(items, evaluate, kinds)
     return list(evaluate([(s["pair"], _model(s, kinds)) for s in items]))
 
 
@@ -489,7 +496,7 @@ def fit_many(df: DataFrame, models: list[list[tuple[str, int]]], pairs: list[tup
     Up to LOCAL_ROWS rows each pair is a group of one job.  Beyond, all pairs,
     families and rotations advance together in passes over the data, a row per
     candidate and partition coming back; the number of passes doesn't grow with
-    the number of models.  ``itau`` needs no search, except for Student's second
+    the number of models.  Both stop by the same rule.  ``itau`` needs no search, except for Student's second
     parameter (its likelihood on a grid).
     """
     if taus is None:
@@ -515,7 +522,7 @@ def fit_many(df: DataFrame, models: list[list[tuple[str, int]]], pairs: list[tup
     if n["all"] <= LOCAL_ROWS:
         values = _fit_groups(df, items, pairs, controls, kinds, itau)
     else:
-        values = _fit_items(items, lambda c: logliks(df, pairs, c, controls.weights), kinds, itau, 9)
+        values = _fit_items(items, lambda c: logliks(df, pairs, c, controls.weights), kinds, itau)
     out: list[list[Bicop]] = [[] for _ in pairs]
     for s, v in zip(items, values):
         m = _model(s, kinds)
@@ -539,7 +546,7 @@ def _fit_groups(df: DataFrame, items: list[dict], pairs: list[tuple[str, str]],
         mine = [dict(s) for s in items if s["pair"] == k]
         columns = {c: pdf[c].to_numpy(float) for c in ("a", "b", "a_lo", "b_lo")}
         weight = pdf["w"].to_numpy(float)
-        values = _fit_items(mine, lambda c: _values([(0, m) for _, m in c], columns, [("a", "b")], weight), kinds, itau, 24)
+        values = _fit_items(mine, lambda c: _values([(0, m) for _, m in c], columns, [("a", "b")], weight), kinds, itau)
         return pd.DataFrame({"pair": k, "place": np.arange(len(mine)), "p": [list(s["p"]) for s in mine], "l": values})
 
     got = {(r["pair"], r["place"]): r for r in rows.groupBy("pair").applyInPandas(run, "pair int, place int, p array<double>, l double").collect()}

@@ -88,6 +88,17 @@ def test_distributed_fit_equals_group_fit(spark, monkeypatch):
     assert abs(a.parameters[0] - b.parameters[0]) < 0.05 and abs(a.loglik() - b.loglik()) < 0.05
 
 
+@pytest.mark.parametrize("f,p", [("bb1", (1.0, 1.5)), ("student", (0.5, 4.0))])
+def test_distributed_fit_is_as_fine(spark, monkeypatch, f, p):
+    from dependra.operators import bicop
+
+    s = Bicop(f, 0, p).simulate(ship(spark), 500, seeds=[2]).coalesce(2).cache()
+    a = Bicop(f).fit(s)
+    monkeypatch.setattr(bicop, "LOCAL_ROWS", 0)
+    b = Bicop(f).fit(s)
+    assert b.parameters == pytest.approx(a.parameters, rel=1e-5) and abs(a.loglik() - b.loglik()) < 1e-6
+
+
 def test_missing_rows_and_weights(spark):
     rows = [(0.1, 0.2, 1.0), (0.5, None, 5.0), (float("nan"), 0.3, 2.0), (0.7, 0.8, 2.0)]
     df = spark.createDataFrame(rows, "u1 double, u2 double, w double")
