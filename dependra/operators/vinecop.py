@@ -284,8 +284,13 @@ class Vinecop:
         @F.pandas_udf("double")
         def run(*cols: pd.Series) -> pd.Series:
             x = np.column_stack([c.to_numpy(float) for c in cols])
-            s = draws.value
-            out = np.array([(s <= r).all(1).mean() if not np.isnan(r).any() else np.nan for r in x])
+            s, out = draws.value, np.empty(len(x))
+            for at in range(0, len(x), 64):  # 64 rows against all draws at once
+                r = x[at : at + 64]
+                below = s[:, 0] <= r[:, :1]
+                for k in range(1, s.shape[1]):
+                    below &= s[:, k] <= r[:, k : k + 1]
+                out[at : at + 64] = np.where(np.isnan(r).any(1), np.nan, below.mean(1))
             return pd.Series(out)
 
         return df.withColumn(name, run(*(F.col(c) for c in columns)))

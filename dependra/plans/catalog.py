@@ -308,7 +308,7 @@ for _a in ("mst_prim", "mst_kruskal", "random_weighted", "random_unweighted"):
     _add(f"vine_select_{_a}", lambda s, d, a=_a: _selected(s, d, tree_algorithm=a, seeds=[1]).table(s))
 _add("vine_select_truncated", lambda s, d: _selected(s, d, select_trunc_lvl=True).table(s))
 _add("vine_inverse_rosenblatt", lambda s, d: _three(DVineStructure([1, 2, 3])).inverse_rosenblatt(basket_u(s, d, ("n_lines", "sum_qty", "sum_price")), _COLS, "x_").select("l_orderkey", *(_r(f"x_{c}") for c in _COLS)))
-_add("vine_cdf", lambda s, d: _three(DVineStructure([1, 2, 3])).cdf(basket_u(s, d, ("n_lines", "sum_qty", "sum_price")), _COLS, 500, [1]).select("l_orderkey", "cdf"))
+_add("vine_cdf", lambda s, d: _three(DVineStructure([1, 2, 3])).cdf(basket_u(s, d, ("n_lines", "sum_qty", "sum_price")), _COLS, seeds=[1]).select("l_orderkey", "cdf"))
 _add("vine_simulate", lambda s, d: _three(CVineStructure([1, 2, 3])).simulate(s, 5000, True, [1]))
 _add("vine_tree_edges", lambda s, d: tree_nodes_edges(_three(DVineStructure([1, 2, 3])), s, 1)[1])
 

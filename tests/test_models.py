@@ -147,6 +147,21 @@ def test_rosenblatt_round_trip(spark, normal):
         assert np.allclose(out[[f"x_r_{c}" for c in U]], out[U], atol=1e-4)
 
 
+def test_vine_cdf_query_has_the_default_draws(spark):
+    from dependra.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    got = {r["l_orderkey"]: r["cdf"] for r in catalog.QUERIES["vine_cdf"](spark, sf).collect()}
+    n = np.array(list(got.values())) * 10_000
+    assert np.allclose(n, n.round(), atol=1e-6) and (n.round() % 20 > 0).any()
+    m = catalog._three(DVineStructure([1, 2, 3]))
+    u = catalog.basket_u(spark, sf, ("n_lines", "sum_qty", "sum_price")).toPandas()
+    draws = m.simulate(spark, 10_000, True, [1]).drop("sample_id").toPandas().to_numpy()
+    assert len(got) == len(u)
+    for k, r in zip(u.l_orderkey[:200], u[catalog._COLS].to_numpy()[:200]):
+        assert got[k] == pytest.approx((draws <= r).all(1).mean(), abs=1e-12)
+
+
 def test_discrete_vine(spark):
     from dependra.operators.pobs import discrete_margins
 
