@@ -4,7 +4,8 @@ Normalised vectors are projected on random Gaussian directions; the quantised
 projections of several directions are a bucket, and several tables of buckets
 make a miss at the threshold unlikely.  Within buckets a compact 8-bit copy of
 the vectors discards what is clearly too far; the rest is connected to
-candidate components, in which exact cosines are computed in double precision.
+candidate components (the copies' rounding is bounded vector by vector, so no pair at the
+threshold is lost there), in which exact cosines are computed in double precision.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 from .common import content_key, staged
 from .pairgraph import block_pairs, connected_components, edges_of, groups, star
 
+#: Projections computed at once, in a task.
+PRODUCT = 2_000_000
+
 
 def collision(distance: float, width: float) -> float:
     """Chance that two points at ``distance`` share a quantised projection of the given width."""
@@ -40,6 +44,18 @@ def plan(rows: int, threshold: float, width: float, miss: float) -> tuple[int, i
     return k, math.ceil(math.log(miss) / math.log(1 - near**k))
 
 
+def sketch(v: np.ndarray) -> bytes:
+    """An 8-bit copy of the vector, after a bound on how far its direction is from the vector's.
+
+    For unit vectors u, v and their copies, u.v is at most the copies' product
+    plus both bounds, so sifting by that loses no pair.
+    """
+    x = np.asarray(v, float) / np.abs(v).max()
+    q = np.rint(x * 127)
+    off = np.sqrt(((x / np.sqrt((x * x).sum()) - q / np.sqrt((q * q).sum())) ** 2).sum())
+    return np.float32(off * 1.0001 + 1e-6).tobytes() + q.astype(np.int8).tobytes()
+
+
 def _directions(dim: int, n: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, n))
 
@@ -60,10 +76,12 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     doubles = F.transform(e, lambda x: x.cast("double"))
     square = F.aggregate(doubles, F.lit(0.0), lambda a, x: a + x * x)
     good = F.col(label).isNotNull() & e.isNotNull() & F.coalesce((square > 0) & (square < float("inf")) & ~F.isnan(square), F.lit(False))
-    k1, _ = content_key(F.coalesce(F.col(label).cast("string"), F.lit("")), F.col("_v"))
-    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.when(good, doubles).alias("_v"), F.col(label).alias(label)).select("vec_id", "_v", F.xxhash64(F.lit(9), F.col(label).cast("string"), F.size("_v")).alias("group"), F.when(F.col("_v").isNotNull(), k1).alias("node"))
-    rows = staged(rows, "vectors")
-    classes = staged(rows.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("group").alias("group"), F.first("_v").alias("v")), "classes")
+    k1, k2 = content_key(F.col("label"), F.col("v"))
+    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.when(good, doubles).alias("v"), F.col(label).cast("string").alias("label"))
+    rows = staged(rows.select("vec_id", "v", F.xxhash64(F.lit(9), "label", F.size("v")).alias("group"), F.when(F.col("v").isNotNull(), k1).alias("k1"), F.when(F.col("v").isNotNull(), k2).alias("k2")), "vectors")
+    # a class has a 128-bit key and, once written, a number of its own: its node
+    classes = rows.where("v is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("group").alias("group"), F.first("v").alias("v"))
+    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     largest = classes.groupBy("group").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
     k, tables = plan(largest, threshold, width, miss)
 
@@ -74,8 +92,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
             ids, group = np.array(b.column("node").to_pylist(), np.int64), np.array(b.column("group").to_pylist(), np.int64)
             lists = b.column("v").to_pylist()
             dims = np.array([len(v) for v in lists], int)
-            for d in np.unique(dims):
-                some = np.flatnonzero(dims == d)
+            step = max(1, PRODUCT // (k * tables))
+            for d, some in ((d, x[i : i + step]) for d in np.unique(dims) for x in (np.flatnonzero(dims == d),) for i in range(0, len(x), step)):
                 v = np.array([lists[i] for i in some])
                 v /= np.sqrt((v * v).sum(1, keepdims=True))
                 if d not in at:
@@ -88,10 +106,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
 
     def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data = []
-            for v in b.column("v").to_pylist():
-                x = np.array(v) / max(map(abs, v))
-                data.append(np.rint(x * 127).astype(np.int8).tobytes())
+            data = [sketch(np.array(v)) for v in b.column("v").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([1] * len(data), pa.int64()), pa.array(data, pa.binary())], ["id", "size", "data"])
 
     buckets = staged(classes.select("node", "group", "v").mapInArrow(hashed, "bucket bigint, id bigint"), "buckets")
@@ -100,14 +115,13 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, _, data, left, right in groups(batches):
-            far = [len(d) for d in data]
-            width_ = max(far)
-            x = np.zeros((len(data), width_), np.float32)
+            x = np.zeros((len(data), max(map(len, data)) - 4), np.float32)
+            off = np.array([np.frombuffer(d, np.float32, 1)[0] for d in data])
             for i, d in enumerate(data):
-                x[i, : len(d)] = np.frombuffer(d, np.int8)
+                x[i, : len(d) - 4] = np.frombuffer(d, np.int8, offset=4)
             x /= np.sqrt((x * x).sum(1, keepdims=True))
-            # rounding to 8 bits moves a unit vector by at most sqrt(dim) / 254 times its largest part's share of 1
-            close = np.concatenate([(x[left[i : i + 20_000]] * x[right[i : i + 20_000]]).sum(1) for i in range(0, len(left), 20_000)] or [np.empty(0)]) >= threshold - 0.02
+            least = threshold - off[left] - off[right] - 1e-5
+            close = np.concatenate([(x[left[i : i + 20_000]] * x[right[i : i + 20_000]]).sum(1) for i in range(0, len(left), 20_000)] or [np.empty(0)]) >= least
             yield edges_of(ids, left[close], right[close])
 
     near = staged(connected_components(block_pairs(met, "bucket", block).mapInArrow(sift, "a bigint, b bigint")), "near")
@@ -138,8 +152,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     checked = staged(block_pairs(members, "component", block).mapInArrow(verify, "id bigint, other bigint, links bigint"), "links")
     links = checked.groupBy("id").agg(F.sum("links").alias("links"))
     parts = connected_components(checked.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    of_class = classes.select(F.col("node").alias("id"), "rep", "copies").join(links, "id", "left").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    of_class = classes.select(F.col("node").alias("id"), "k1", "k2", "rep", "copies").join(links, "id", "left").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_class = of_class.join(first, "component").select(F.col("id").alias("node"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    out = rows.select("vec_id", "node").join(of_class, "node", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    of_class = of_class.join(first, "component").select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    out = rows.select("vec_id", "k1", "k2").join(of_class, ["k1", "k2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -20,7 +20,7 @@ from .common import staged
 MEMBER = ("side", "id", "size", "data")
 
 
-def block_pairs(members: DataFrame, key: str, max_rows: int, max_size: int | None = None) -> DataFrame:
+def block_pairs(members: DataFrame, key: str, max_rows: int, max_size: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """One row per pair of blocks of each ``key`` with two or more members.
 
     ``members``: key, id (long), size (long), data (binary).  A key of n
@@ -28,8 +28,10 @@ def block_pairs(members: DataFrame, key: str, max_rows: int, max_size: int | Non
     ``max_size`` summed sizes; a member goes to the blocks by the hash of its
     id and meets every block once.  Column ``members`` lists (side, id, size,
     data); in a pair of two blocks only members of different sides meet.
+    ``sizes`` (key, n, w): members and summed sizes of each key, if known.
     """
-    sizes = members.groupBy(key).agg(F.count("*").alias("n"), F.sum("size").alias("w")).where("n > 1")
+    sizes = sizes if sizes is not None else members.groupBy(key).agg(F.count("*").alias("n"), F.sum("size").alias("w"))
+    sizes = sizes.where("n > 1")
     blocks = F.ceil(F.col("n") / max_rows)
     if max_size:
         blocks = F.least(F.greatest(blocks, F.ceil(F.col("w") / max_size)), F.col("n"))
@@ -109,7 +111,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps; each step is a distributed
     aggregate and join over edges, written to the shared folder, and no edge
-    reaches the driver.  Ids without an edge to another id have no row.
+    reaches the driver.  Ids without an edge to another id have no row.  The
+    least neighbours are dealt anew before they are joined, so both sides of a
+    join come straight from shuffles and adaptive execution splits the hub of a
+    large star.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, mark = staged(now, "edges"), None
@@ -119,9 +124,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select("b", "b")).distinct()
         mark = new
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).hint("rebalance")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = large.groupBy("a").agg(F.min("b").alias("m")).hint("rebalance")
         met = large.join(least, "a")
         small = met.select("a", F.col("m").alias("b")).union(met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         now = staged(small, "edges")
