@@ -18,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spaced, staged, text_or_empty
+from .common import content_key, spaced, staged, text_or_empty
 from .pairgraph import block_pairs, connected_components, edges_of, groups, star
 
 #: Bands of ROWS values each: a pair at similarity 0.8 shares no band with probability 3e-5.
@@ -100,6 +100,12 @@ def prune(values: np.ndarray, left: np.ndarray, right: np.ndarray, looks: list[t
     return left, right
 
 
+def _class_key(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit halves of a hash of a shingle set."""
+    d = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (d & (1 << 64) - 1) - (1 << 63), (d >> 64) - (1 << 63)
+
+
 def _signed(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, node, check, size, values): class hashes, set size and MinHash values of every row."""
 
@@ -109,8 +115,7 @@ def _signed(docs: DataFrame, n: int) -> DataFrame:
             rows = []
             for t in b.column("text").to_pylist():
                 s = shingles(t, n, known)
-                d = xxhash.xxh3_128_intdigest(s.tobytes())
-                rows.append(((d & (1 << 64) - 1) - (1 << 63), (d >> 64) - (1 << 63), len(s), minhash(s).tobytes()))
+                rows.append((*_class_key(s), len(s), minhash(s).tobytes()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else ([],) * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary())))], ["doc_id", "text_key", "node", "check", "size", "values"])
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key bigint, node bigint, check bigint, size bigint, values binary")
@@ -125,17 +130,17 @@ def _banded(classes: DataFrame) -> DataFrame:
             key = (values * _PLACE[:ROWS]).sum(2) + np.arange(BANDS, dtype=np.uint64) * _PLACE[9]
             key ^= key >> np.uint64(32)
             key *= _PLACE[10]
-            ids = np.repeat(np.array(b.column("node").to_pylist(), np.int64), BANDS)
+            ids = np.repeat(np.array(b.column("id").to_pylist(), np.int64), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(ids)], ["band", "id"])
 
-    return classes.select("node", "values").mapInArrow(run, "band bigint, id bigint")
+    return classes.select("id", "values").mapInArrow(run, "band bigint, id bigint")
 
 
 def _candidates(classes: DataFrame, looks: list[tuple[int, int]], block: int) -> DataFrame:
     """Edges that connect every pair of classes that shares a band and survives pruning."""
     bands = staged(_banded(classes.where("size > 0")), "bands")
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    rows = bands.join(shared, "band", "left_semi").join(classes.select(F.col("node").alias("id"), F.lit(1).cast("bigint").alias("size"), F.col("values").alias("data")), "id")
+    rows = bands.join(shared, "band", "left_semi").join(classes.select("id", F.lit(1).cast("bigint").alias("size"), F.col("values").alias("data")), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, _, data, left, right in groups(batches):
@@ -187,21 +192,23 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     looks = least_matches(threshold, tolerance)
     src = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
     signed = staged(_signed(src.withColumn("text_key", F.xxhash64("text")), n), "signed")
-    classes = staged(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("values").alias("values")), "classes")
+    # a class has a 128-bit key (node, check) and, once written, a number of its own
+    classes = signed.groupBy("node", "check").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "text_key")).alias("one"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("values").alias("values"))
+    classes = staged(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     near = staged(connected_components(_candidates(classes, looks, block)), "near")
 
     # the shingle sets of the classes in candidate components, from one text of each
-    wanted = near.join(classes.select(F.col("node").alias("id"), "rep", "copies"), "id")
-    w, s = wanted.alias("w"), src.alias("s")
-    texts = s.join(w, F.col("s.doc_id").eqNullSafe(F.col("w.rep"))).select("w.id", "w.component", "w.copies", "s.text")
+    wanted = near.join(classes.select("id", "node", "check", "copies", "size", *_row_key(F.col("one.doc_id"), F.col("one.text_key"))), "id")
+    sizes = wanted.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("w"))
+    texts = src.select("text", *_row_key(F.col("doc_id"), F.xxhash64("text"))).join(wanted, ["k1", "k2"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
         for b in batches:
             rows = []
-            for i, c, k, t in zip(*(b.column(x).to_pylist() for x in ("id", "component", "copies", "text"))):
+            for i, node, check, c, k, t in zip(*(b.column(x).to_pylist() for x in ("id", "node", "check", "component", "copies", "text"))):
                 x = shingles(t, n, known)
-                if (xxhash.xxh3_128_intdigest(x.tobytes()) & (1 << 64) - 1) - (1 << 63) == i:  # not another row with the same id
+                if _class_key(x) == (node, check):  # not another row with the same id
                     rows.append((c, i, len(x), np.int64(k).tobytes() + x.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([],) * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["component", "id", "size", "data"])
 
@@ -225,22 +232,31 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
                 np.add.at(rows, a, copies[b])
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, ids[star(left, right, len(ids))], links, rows)], ["id", "other", "links", "rows"])
 
-    checked = staged(block_pairs(members, "component", block, max_shingles).mapInArrow(verify, "id bigint, other bigint, links bigint, rows bigint"), "links")
+    checked = staged(block_pairs(members, "component", block, max_shingles, sizes).mapInArrow(verify, "id bigint, other bigint, links bigint, rows bigint"), "links")
     links = checked.groupBy("id").agg(F.sum("links").alias("links"), F.sum("rows").alias("rows")).where("links > 0")
     parts = connected_components(checked.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    of_class = classes.select(F.col("node").alias("id"), "rep", "copies").join(links, "id", "left").join(parts, "id", "left")
+    of_class = classes.select("id", "node", "check", "rep", "copies").join(links, "id", "left").join(parts, "id", "left")
     of_class = staged(of_class.withColumn("component", F.coalesce("component", "id")), "linked")
     first = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = of_class.join(first, "component")
-    out = signed.select("doc_id", "text_key", F.col("node").alias("id"), F.monotonically_increasing_id().alias("_row")).join(of_class, "id")
+    out = signed.select("doc_id", "text_key", "node", "check", F.monotonically_increasing_id().alias("_row")).join(of_class, ["node", "check"])
     # of repeated rows with the component's first id, one is kept
     keep = out.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("_row").alias("_row")).select("_row", F.lit(True).alias("_kept"))
     return out.join(keep, "_row", "left").select("doc_id", F.col("rep").alias("class_id"), F.col("copies").alias("n_copies"), F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("rows", F.lit(0)).alias("n_linked_docs"), "component_id", F.coalesce("_kept", F.lit(False)).alias("kept"), "text_key")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: object) -> DataFrame:
-    """The rows of ``docs`` that are kept: one of each component of linked texts, and of equal rows one."""
-    kept = join(docs, doc_id, text, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    own = docs.withColumn("_text_key", F.xxhash64(text_or_empty(text)))
-    met = own.join(kept, own[doc_id].eqNullSafe(kept["_id"]) & (F.col("_text_key") == F.col("_key")), "left_semi")
-    return met.dropDuplicates([doc_id, "_text_key"]).drop("_text_key")
+    """The rows of ``docs`` that are kept: one of each component of linked texts, and of equal rows one.
+
+    All columns of ``docs`` come back, whatever their names.  Whole rows are
+    shuffled once: rows and kept keys meet by two hashes of id and text, and
+    repeats of a kept row go where they met.
+    """
+    kept = join(docs, doc_id, text, **options).where("kept").select(*_row_key(F.col("doc_id"), F.col("text_key")))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_row_key(F.col(f"`{doc_id}`"), F.xxhash64(text_or_empty(text))))
+    met = own.join(kept, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    return met.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
+def _row_key(doc_id: Column, text_key: Column) -> list[Column]:
+    return [c.alias(f"k{i}") for i, c in enumerate(content_key(doc_id, text_key), 1)]
