@@ -21,7 +21,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    return secret_scan.scan(docs, repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
+    # the table has no repositories: a source is an owner, and each of its documents a repository
+    return secret_scan.scan(docs, repo=F.concat_ws("/", "source", "doc_id"), owner=F.col("source"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,21 +82,23 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def ownership(found: DataFrame, repo: str = "repo", owner: str = "owner") -> DataFrame:
-    """One row per candidate value: distinct repositories and owners that hold it.
+    """One row per candidate value: distinct owners, and distinct repositories of all owners, that hold it.
 
     Values are first made distinct with their owner and repository, so a value
-    copied a million times is a handful of rows before the count.
+    copied a million times within a repository is one row before the count;
+    the counts are summed on the map side.
     """
     each = found.select(F.explode(F.concat("base", "bare")).alias("s"), F.coalesce(F.col(repo), F.lit("")).alias("r"), F.coalesce(F.col(owner), F.lit("")).alias("o"))
     each = each.select("s.h1", "s.h2", "r", "o").distinct()
-    return each.groupBy("h1", "h2").agg(F.countDistinct("o").alias("n_owners"), F.countDistinct("r").alias("n_repos"))
+    return each.groupBy("h1", "h2", "o").agg(F.count("*").alias("r")).groupBy("h1", "h2").agg(F.count("*").alias("n_owners"), F.sum("r").alias("n_repos"))
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: Column | None = None, owner: Column | None = None, max_owners: int = 2) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: Column | None = None, owner: Column | None = None, max_owners: int = 2, max_repos: int = 20) -> DataFrame:
     """One row per row of ``docs`` with its secrets and their ownership.
 
-    ``max_owners``: a value held by at most so many owners looks live; one held
-    by more is a copied example.  Bare candidates become spans of kind
+    A value held by at most ``max_owners`` owners in at most ``max_repos``
+    repositories looks live; one held by more of either is a copied example.
+    n_owners and n_repos are the largest counts of the row's values.  Bare candidates become spans of kind
     ``owned`` only if they look live; base spans stay in any case.  A null
     owner or repository counts as one of its own.  Repeated rows each get the
     same result; an empty table gives no rows; other columns are ignored.
@@ -106,7 +108,15 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: Colu
     narrow = staged(candidates(src).select("doc_id", t1.alias("t1"), t2.alias("t2"), "repo", "owner", "n_assign", "n_access", "n_hex", "base", "bare"), "secrets")
     hits = narrow.where((F.size("base") > 0) | (F.size("bare") > 0))
     each = hits.select("doc_id", "t1", "t2", F.explode(F.concat("base", "bare")).alias("s")).select("*", F.col("s.h1").alias("h1"), F.col("s.h2").alias("h2"))
-    judged = each.join(ownership(hits), ["h1", "h2"]).groupBy("doc_id", "t1", "t2").agg(F.collect_set(F.when((F.col("s.kind") == 3) & (F.col("n_owners") <= max_owners), F.col("s"))).alias("owned"), F.collect_set(F.when(F.col("n_owners") <= max_owners, F.col("s"))).alias("live"), F.collect_set(F.when((F.col("n_owners") > max_owners) & (F.col("s.kind") < 3), F.col("s"))).alias("copied"))
+    s, live = F.col("s"), (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
+    # dealt anew, so that adaptive execution can split the rows of a value that a third of all documents hold
+    judged = each.join(ownership(hits).hint("rebalance"), ["h1", "h2"]).groupBy("doc_id", "t1", "t2").agg(
+        F.collect_set(F.when((s["kind"] == 3) & live, s)).alias("owned"),
+        F.collect_set(F.when(live, s)).alias("live"),
+        F.collect_set(F.when(~live & (s["kind"] < 3), s)).alias("copied"),
+        F.max("n_owners").alias("n_owners"),
+        F.max("n_repos").alias("n_repos"),
+    )
     a, b = narrow.alias("a"), judged.alias("b")
     out = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.t1") == F.col("b.t1")) & (F.col("a.t2") == F.col("b.t2")), "left")
     none = F.array().cast(SPAN)
@@ -117,4 +127,6 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: Colu
         F.size(F.coalesce(F.col("owned"), none)).cast("long").alias("n_owned"),
         F.size(F.coalesce(F.col("live"), none)).cast("long").alias("n_live"),
         F.size(F.coalesce(F.col("copied"), none)).cast("long").alias("n_copied"),
+        F.coalesce("n_owners", F.lit(0)).cast("long").alias("n_owners"),
+        F.coalesce("n_repos", F.lit(0)).cast("long").alias("n_repos"),
     )
