@@ -2,9 +2,8 @@
 
 Equal-token blocks are given to sources by highest quotients, then within each
 source to shards of bounded size by the same rule; each shard lays its
-documents in seeded order and fills its integer quota with whole passes and
-the first blocks of that order.  Work per source is arithmetic; no block is
-ever listed.
+documents in seeded order, cuts them into blocks, and fills its integer quota
+with whole passes and blocks chosen by a seeded hash.
 """
 
 from __future__ import annotations
@@ -70,53 +69,78 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """What the mix takes of every row.
 
     Returns doc_id, text_key, source, size, source_size, target, passes (whole
-    repeats) and part (words of one more, partial repeat); the row adds
-    ``passes * size + part`` words, at most ``max_repeat * size``.  ``block`` is
-    the number of words of a block, so a source ends within about a block of
-    its target.  A shard has about ``shard_docs`` documents: a source with a
+    repeats), part (words of one more, partial repeat) and ranges (where those
+    words are: first word from 0, number); the row adds ``passes * size + part``
+    words, at most ``max_repeat * size``.  ``block`` is the number of words of a
+    block.  Sources whose target is below 64 blocks are apportioned among
+    themselves, word by word, so that none is rounded away; the last block of a
+    shard's quota is cut to fit.  A shard has about ``shard_docs`` documents: a source with a
     third of all rows is many shards, each ordered on its own.  Null ids,
     sources and texts are values like others; a document without words takes
-    none; repeated rows are taken one by one.  Reruns agree.
+    none; repeated rows are taken one by one; an empty table gives no rows;
+    other columns are ignored.  Ties between quotients go by source and shard,
+    and reruns agree.
     """
     t = text_or_empty(text)
     sizes = staged(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.lit(seed), t).alias("text_key"), F.col(source).cast("string").alias("source"), n_words(t).alias("size")), "sizes")
     targets = staged(source_targets(sizes, weights, max_repeat), "targets")
-    total = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("t")).first()["t"]
-    seats = F.lit(round(total / block))
-    quotas = sainte_lague(targets.withColumn("_all", F.lit(0)), "target", seats, ["_all"], ["source"]).select("source", "source_size", "n_docs", "target", (F.col("quota") * block).alias("words"))
+    targets = targets.withColumn("unit", F.when(F.col("target") < 64 * block, F.lit(1)).otherwise(F.lit(block)))
+    seats = F.round(F.sum("target").over(Window.partitionBy("unit")) / F.col("unit"))
+    quotas = sainte_lague(targets, "target", seats, ["unit"], ["source"]).select("source", "source_size", "n_docs", "target", "unit", (F.col("quota") * F.col("unit")).alias("words"))
     quotas = staged(quotas.withColumn("words", F.least("words", F.col("source_size") * max_repeat)), "quotas")
     a, q = sizes.alias("a"), quotas.alias("q")
     placed = a.join(q, F.col("a.source").eqNullSafe(F.col("q.source")))
-    placed = placed.select("a.*", "q.source_size", "q.target", "q.words", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text_key"), F.ceil(F.col("n_docs") / shard_docs)).alias("shard"))
-    shards = placed.groupBy("source", "shard", "words").agg(F.sum("size").alias("shard_size"))
-    shards = sainte_lague(shards.withColumn("_w", F.col("shard_size").cast("double")), "_w", F.ceil(F.col("words") / block), ["source"], ["shard"])
-    shards = shards.select("source", "shard", "shard_size", F.least(F.col("quota") * block, F.col("shard_size") * max_repeat).alias("shard_words"))
+    placed = placed.select("a.*", "q.source_size", "q.target", "q.words", "q.unit", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text_key"), F.ceil(F.col("n_docs") / shard_docs)).alias("shard"))
+    shards = placed.groupBy("source", "shard", "words", "unit").agg(F.sum("size").alias("shard_size"))
+    shards = sainte_lague(shards.withColumn("_w", F.col("shard_size").cast("double")), "_w", F.ceil(F.col("words") / F.col("unit")), ["source"], ["shard"])
+    shards = shards.select("source", "shard", "shard_size", F.least(F.col("quota") * F.col("unit"), F.col("shard_size") * max_repeat).alias("shard_words"))
     p, s = placed.alias("p"), shards.alias("s")
     met = p.join(s, F.col("p.source").eqNullSafe(F.col("s.source")) & (F.col("p.shard") == F.col("s.shard"))).select("p.*", "s.shard_size", "s.shard_words")
-    seeded = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id", "text_key"), "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, 0)
-    met = met.withColumn("_end", F.sum("size").over(seeded)).withColumn("passes", F.when(F.col("shard_size") > 0, F.floor(F.col("shard_words") / F.col("shard_size"))).otherwise(F.lit(0)).cast("long"))
-    rest = F.col("shard_words") - F.col("passes") * F.col("shard_size")
-    part = F.greatest(F.least(F.col("_end"), rest) - (F.col("_end") - F.col("size")), F.lit(0)).cast("long")
-    return met.select("doc_id", "text_key", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "passes", part.alias("part"))
+    passes = F.when(F.col("shard_size") > 0, F.floor(F.col("shard_words") / F.col("shard_size"))).otherwise(F.lit(0)).cast("long")
+    shard = Window.partitionBy("source", "shard")
+    seeded = shard.orderBy(F.xxhash64(F.lit(seed + 2), "doc_id", "text_key"), "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, 0)
+    laid = met.withColumns({"passes": passes, "end": F.sum("size").over(seeded), "number": F.row_number().over(seeded)}).withColumn("rest", F.col("shard_words") - F.col("passes") * F.col("shard_size"))
+    return _chosen(laid, block, seed).select("doc_id", "text_key", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "passes", "part", "ranges")
+
+
+def _chosen(laid: DataFrame, block: int, seed: int) -> DataFrame:
+    """Adds ``part`` and ``ranges``: the words of blocks that are chosen by a seeded hash until ``rest`` is full.
+
+    A document has a row for each block that it touches; all rows of a shard
+    are in one task already.
+    """
+    first = F.col("end") - F.col("size")
+    touched = F.when((F.col("rest") > 0) & (F.col("size") > 0), F.sequence(F.floor(first / block), F.floor((F.col("end") - 1) / block)))
+    rows = laid.withColumn("block", F.explode_outer(touched))
+    at = F.greatest(first, F.col("block") * block)
+    rows = rows.withColumns({"at": at - first, "n": F.coalesce(F.least("end", (F.col("block") + 1) * block) - at, F.lit(0))})
+    drawn = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 3), "shard", "block"), "block", "number").rowsBetween(Window.unboundedPreceding, 0)
+    take = F.greatest(F.least(F.col("n"), F.col("rest") - F.sum("n").over(drawn) + F.col("n")), F.lit(0)).cast("long")
+    rows = rows.withColumn("take", take)
+    kept = F.when(F.col("take") > 0, F.struct(F.col("at").cast("int").alias("at"), F.col("take").cast("int").alias("n")))
+    return rows.groupBy("source", "shard", "number", *(c for c in laid.columns if c not in ("source", "shard", "number"))).agg(F.sum("take").alias("part"), F.sort_array(F.collect_list(kept)).alias("ranges"))
 
 
 def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, **options: object) -> DataFrame:
     """The mixed corpus itself: rows of ``docs``, repeated as the mix takes them.
 
-    A partial repeat carries the first ``part`` words of its text with the
-    white space before them; ``text`` is the only column that changes.
+    A partial repeat carries the words of its ranges with the white space
+    before each; ``text`` is the only column that changes, and all columns of
+    ``docs`` come back, whatever their names.  Equal rows share their takes.
     """
     taken = mix(docs, doc_id, text, source, seed=seed, **options).where((F.col("passes") > 0) | (F.col("part") > 0))
-    taken = taken.groupBy("doc_id", "text_key", F.coalesce("source", F.lit("")).alias("source")).agg(F.sum("passes").alias("passes"), F.collect_list("part").alias("parts"), F.count("*").alias("same"))
-    d, t = docs.alias("d"), taken.alias("t")
-    key = F.col(f"d.`{doc_id}`").eqNullSafe(F.col("t.doc_id")) & (F.xxhash64(F.lit(seed), text_or_empty(f"d.`{text}`")) == F.col("t.text_key")) & (F.coalesce(F.col(f"d.`{source}`").cast("string"), F.lit("")) == F.col("t.source"))
-    # equal rows share their takes: each of the ``same`` copies would repeat all, so a numbered copy takes its own share
-    met = d.join(t, key).select("d.*", F.col("t.passes").alias("_p"), F.col("t.parts").alias("_parts"), F.col("t.same").alias("_same"))
-    one = met.where("_same = 1")
-    number = F.row_number().over(Window.partitionBy(doc_id, F.xxhash64(text), source).orderBy(F.lit(0)))
-    many = met.where("_same > 1").withColumn("_n", number).where("_n = 1").drop("_n")
-    takes = F.concat(F.when(F.col("_p") > 0, F.array_repeat(F.lit(-1).cast("long"), F.col("_p").cast("int"))).otherwise(F.array().cast("array<bigint>")), F.filter("_parts", lambda x: x > 0))
-    rows = one.unionByName(many).withColumn("_take", F.explode(takes))
-    pieces = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    cut = F.when(F.col("_take") < 0, F.col(text)).otherwise(F.array_join(F.slice(pieces, 1, F.greatest(F.col("_take"), F.lit(1)).cast("int")), ""))
-    return rows.withColumn(text, cut).drop("_p", "_parts", "_same", "_take")
+    taken = taken.groupBy("doc_id", "text_key", "source").agg(F.sum("passes").alias("passes"), F.collect_list("ranges").alias("ranges"), F.count("*").alias("same")).alias("t")
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(doc_id).alias("i"), F.xxhash64(F.lit(seed), text_or_empty(text)).alias("k"), F.col(source).cast("string").alias("s")).alias("d")
+    key = F.col("d.i").eqNullSafe(F.col("t.doc_id")) & (F.col("d.k") == F.col("t.text_key")) & F.col("d.s").eqNullSafe(F.col("t.source"))
+    met = d.join(taken, key).select("d.*", "t.passes", "t.ranges", "t.same")
+    # of equal rows the first stands for all, with their takes together
+    number = F.row_number().over(Window.partitionBy("i", "k", "s").orderBy(F.lit(0)))
+    met = met.where("same = 1").unionByName(met.where("same > 1").withColumn("number", number).where("number = 1").drop("number"))
+    none = F.array().cast("array<struct<at:int,n:int>>")
+    takes = F.concat(F.array_repeat(none, F.col("passes").cast("int")), F.filter("ranges", lambda x: F.size(x) > 0))
+    rows = met.select("row", F.explode(takes).alias("take"))
+    whole = F.col("row").getField(text)
+    pieces = F.regexp_extract_all(whole, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    # bound as one element of an array, so that the words are found once
+    cut = F.transform(F.array(pieces), lambda p: F.array_join(F.flatten(F.transform("take", lambda r: F.slice(p, r["at"] + 1, r["n"]))), ""))[0]
+    return rows.select(*((F.when(F.size("take") == 0, whole).otherwise(cut) if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns))
