@@ -31,14 +31,15 @@ def block_pairs(members: DataFrame, key: str, max_rows: int, max_size: int | Non
     ``sizes`` (key, n, w): members and summed sizes of each key, if known.
     """
     sizes = sizes if sizes is not None else members.groupBy(key).agg(F.count("*").alias("n"), F.sum("size").alias("w"))
-    sizes = sizes.where("n > 1")
+    sizes = sizes.where("n > 1").hint("rebalance")
     blocks = F.ceil(F.col("n") / max_rows)
     if max_size:
         blocks = F.least(F.greatest(blocks, F.ceil(F.col("w") / max_size)), F.col("n"))
     met = members.join(sizes, key).withColumn("_n", blocks.cast("int")).withColumn("_b", F.pmod(F.xxhash64(F.lit(3), "id"), "_n").cast("int"))
     each = met.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     each = each.select(key, F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), F.struct((F.col("_b") > F.col("_o")).cast("int").alias("side"), "id", "size", "data").alias("m"))
-    return each.groupBy(key, "i", "j").agg(F.collect_list("m").alias("members"))
+    # dealt by pairs of blocks: a join on the key alone would leave all pairs of a large key in one task
+    return each.repartition(key, "i", "j").groupBy(key, "i", "j").agg(F.collect_list("m").alias("members"))
 
 
 def star(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
