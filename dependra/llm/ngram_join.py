@@ -215,7 +215,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     members = texts.mapInArrow(sets, "component bigint, id bigint, size bigint, data binary")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, size, data, left, right in groups(batches):
+        for ids, size, data, left, right in groups(batches, alone=True):  # sets of other components share no shingles
             every = [np.frombuffer(d, np.uint64) for d in data]
             copies = np.array([int(e[0]) for e in every])
             own = [e[1:] for e in every]

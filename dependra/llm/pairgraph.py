@@ -71,11 +71,12 @@ def _pairs(side: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
     return _TRIU[n]
 
 
-def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]]:
+def groups(batches: Iterator[pa.RecordBatch], alone: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]]:
     """(ids, sizes, data, left, right) of some groups at once; left and right are places of pairs to compare.
 
     A pair of blocks is one group; members that come twice with the same id
-    (repeated rows) count once.  Small groups are handed out together.
+    (repeated rows) count once.  Small groups are handed out together;
+    ``alone``: but one with more than four pairs a member by itself.
     """
     for b in batches:
         lists = b.column("members")
@@ -85,6 +86,9 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
             rows = {(m["id"], m["side"]): m for m in lists[k].as_py()}
             side = np.array([s for _, s in rows])
             l, r = _pairs(side, bool(cross[k]))
+            if alone and len(l) > 4 * len(rows):
+                yield np.array([i for i, _ in rows], np.int64), np.array([m["size"] for m in rows.values()], np.int64), [m["data"] for m in rows.values()], l, r
+                continue
             ids += (i for i, _ in rows)
             sizes += (m["size"] for m in rows.values())
             data += (m["data"] for m in rows.values())
