@@ -60,7 +60,7 @@ def _directions(dim: int, n: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, n))
 
 
-def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = 0.93, width: float = 1.5, miss: float = 1e-3, block: int = 256, seed: int = 4) -> DataFrame:
+def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = 0.93, width: float = 1.5, miss: float = 1e-3, block: int = 1024, seed: int = 4) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
     Rows link if their labels are equal and not null, their vectors have equal

@@ -136,8 +136,12 @@ def _banded(classes: DataFrame) -> DataFrame:
     return classes.select("id", "values").mapInArrow(run, "band bigint, id bigint")
 
 
-def _candidates(classes: DataFrame, looks: list[tuple[int, int]], block: int) -> DataFrame:
-    """Edges that connect every pair of classes that shares a band and survives pruning."""
+def _candidates(classes: DataFrame, looks: list[tuple[int, int]], block: int = 1024) -> DataFrame:
+    """Edges that connect every pair of classes that shares a band and survives pruning.
+
+    A member has an edge for each pair of blocks that it is in, so blocks are as
+    large as memory allows: a member is 320 bytes.
+    """
     bands = staged(_banded(classes.where("size > 0")), "bands")
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     rows = bands.join(shared, "band", "left_semi").join(classes.select("id", F.lit(1).cast("bigint").alias("size"), F.col("values").alias("data")), "id")
@@ -145,7 +149,8 @@ def _candidates(classes: DataFrame, looks: list[tuple[int, int]], block: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, _, data, left, right in groups(batches):
             values = np.frombuffer(b"".join(data), np.uint32).reshape(-1, VALUES)
-            yield edges_of(ids, *prune(values, left, right, looks))
+            kept = [prune(values, left[i : i + 200_000], right[i : i + 200_000], looks) for i in range(0, len(left), 200_000)]
+            yield edges_of(ids, *(np.concatenate(x) for x in zip(*kept)))
 
     return block_pairs(rows, "band", block).mapInArrow(run, "a bigint, b bigint")
 
@@ -195,7 +200,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     # a class has a 128-bit key (node, check) and, once written, a number of its own
     classes = signed.groupBy("node", "check").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "text_key")).alias("one"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("values").alias("values"))
     classes = staged(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    near = staged(connected_components(_candidates(classes, looks, block)), "near")
+    near = staged(connected_components(_candidates(classes, looks)), "near")
 
     # the shingle sets of the classes in candidate components, from one text of each
     wanted = near.join(classes.select("id", "node", "check", "copies", "size", *_row_key(F.col("one.doc_id"), F.col("one.text_key"))), "id")
