@@ -149,7 +149,7 @@ def _candidates(classes: DataFrame, looks: list[tuple[int, int]], block: int = 1
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, _, data, left, right in groups(batches):
             values = np.frombuffer(b"".join(data), np.uint32).reshape(-1, VALUES)
-            kept = [prune(values, left[i : i + 200_000], right[i : i + 200_000], looks) for i in range(0, len(left), 200_000)]
+            kept = [prune(values, left[i : i + 200_000], right[i : i + 200_000], looks) for i in range(0, max(1, len(left)), 200_000)]
             yield edges_of(ids, *(np.concatenate(x) for x in zip(*kept)))
 
     return block_pairs(rows, "band", block).mapInArrow(run, "a bigint, b bigint")
