@@ -23,7 +23,6 @@ _WHERE = {
     "sobol": "functions.qrng",
     "ghalton": "functions.qrng",
     "pseudo_obs": "operators.pobs",
-    "pseudo_obs_large": "operators.pobs",
     "density_grid": "operators.grids",
     "dependence_matrix": "operators.dependence",
     "benchmark": "plans.benchmark",

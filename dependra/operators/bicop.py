@@ -12,6 +12,7 @@ import json
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -21,16 +22,19 @@ from pyspark.sql import functions as F
 from ..functions import families as fam
 from ..functions.algebra import ARRAYS, COLUMNS, TRIM
 from ..functions.qrng import simulate_uniform
+from ..plans.staging import staged
 from . import tll
 from .controls import FitControlsBicop
 from .dependence import cell_counts, tau_of_cells
 from .pobs import present
 
 ROTATIONS = (0, 90, 180, 270)
-#: Rows up to which a pair is fitted as one group of one task.
-LOCAL_ROWS = 200_000
-#: A search ends when the steps of an item and its last relative gain are below these, at any size; ROUNDS is a safety.
-STEP, GAIN, ROUNDS = 1e-6, 1e-9, 100
+#: Rows up to which a pair is fitted as one group of one task; the search is the same beyond.
+LOCAL_ROWS = 20_000
+#: A search ends when a step promises a smaller gain of log-likelihood than GAIN, at any size; PASSES is a safety.
+GAIN, PASSES = 1e-6, 60
+#: Half width of the differences, largest place and lengths tried of a step, on the unbounded scale of parameters.
+WIDTH, EDGE, LENGTHS = 2e-3, 16.0, (0.05, 0.25, 0.5, 2.0, 4.0)
 
 
 @dataclass
@@ -418,60 +422,120 @@ def _start(family: str, tau: float) -> tuple[float, ...]:
     return {"bb1": (2 * t / (1 - t) / 2, 1 / (1 - t / 2)), "bb6": (1 / (1 - t / 2), 1 / (1 - t / 2)), "bb7": (1 / (1 - t), 2 * t / (1 - t) / 1.5), "bb8": (1 + 4 * t, 0.9), "tawn": (0.9, 0.9, 1 / (1 - t))}[family]
 
 
-def _steps(family: str, p: tuple[float, ...]) -> list[float]:
-    """First step of each parameter, on the scale of ``_moved``."""
-    return [0.25 if family in ("gaussian",) or (family == "student" and k == 0) else 0.5 for k in range(len(p))]
+def _free(family: str, p: tuple[float, ...]) -> np.ndarray:
+    """Parameters on an unbounded scale: the logit of their place between the bounds."""
+    spec = fam.SPECS[family]
+    lo, hi = np.array(spec.lower), np.array(spec.upper)
+    s = np.clip((np.array(p) - lo) / (hi - lo), 1e-9, 1 - 1e-9)
+    return np.clip(np.log(s / (1 - s)), -EDGE, EDGE)
 
 
-def _moved(family: str, p: tuple[float, ...], k: int, by: float) -> tuple[float, ...]:
-    """Parameter k moved on an unbounded scale: artanh for correlations, logit within bounds for shares, else logarithm of the distance to the lower bound."""
-    spec, x = fam.SPECS[family], p[k]
-    lo, hi = spec.lower[k], spec.upper[k]
-    if family == "frank":
-        y = x + by * max(1.0, abs(x)) * 2
-    elif (family in ("gaussian", "student") and k == 0) or (family == "bb8" and k == 1) or (family == "tawn" and k < 2):
-        s = np.clip((x - lo) / (hi - lo), 1e-6, 1 - 1e-6)
-        y = lo + (hi - lo) / (1 + math.exp(-(math.log(s / (1 - s)) + 2 * by)))
-    else:
-        y = lo + max(x - lo, 1e-3) * math.exp(2 * by)
-    return (*p[:k], float(min(max(y, lo), hi)), *p[k + 1 :])
+def _bound(family: str, y: np.ndarray) -> tuple[float, ...]:
+    spec = fam.SPECS[family]
+    return tuple(float(lo + (hi - lo) / (1 + math.exp(-x))) for x, lo, hi in zip(y, spec.lower, spec.upper))
+
+
+def _stencil(y: np.ndarray) -> list[np.ndarray]:
+    """The point, its neighbours along each axis, and along each diagonal of two axes."""
+    k, e = len(y), np.eye(len(y)) * WIDTH
+    out = [y]
+    for i in range(k):
+        out += [y + e[i], y - e[i]]
+    for i in range(k):
+        for j in range(i):
+            out += [y + e[i] + e[j], y - e[i] - e[j]]
+    return out
+
+
+def _slopes(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and second derivatives from the values on a stencil."""
+    up, down = v[1 : 2 * k + 1 : 2], v[2 : 2 * k + 2 : 2]
+    h = np.diag((up + down - 2 * v[0]) / WIDTH**2)
+    at = 2 * k + 1
+    for i in range(k):
+        for j in range(i):
+            h[i, j] = h[j, i] = (v[at] + v[at + 1] - up[i] - down[i] - up[j] - down[j] + 2 * v[0]) / (2 * WIDTH**2)
+            at += 2
+    return (up - down) / (2 * WIDTH), h
+
+
+def _ascent(y: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, float]:
+    """Newton's step towards the maximum, and the gain it promises; parameters at an edge that they press on stay."""
+    free = ~((np.abs(y) >= EDGE - 1e-6) & (g * y > 0))
+    step = np.zeros(len(y))
+    if not free.any():
+        return step, 0.0
+    w, u = np.linalg.eigh(h[np.ix_(free, free)])
+    along = u.T @ g[free]
+    part = along / np.maximum(np.abs(w), 1e-8 * np.abs(w).max() + 1e-12)
+    step[free] = u @ part
+    return step * min(1.0, 3.0 / max(np.abs(step).max(), 1e-300)), float((along * part).sum() / 2)
 
 
 def _search(items: list[dict], evaluate: Callable[[list[Candidate]], list[float]], kinds: dict[int, list[str]]) -> None:
-    """Pattern search of all items together; ``evaluate`` gives log-likelihoods of (pair, model).
+    """Maximum likelihood of all items together; ``evaluate`` gives log-likelihoods of (pair, model).
 
-    Every round tries moves around each current parameter, steps to the best
-    one, and narrows the steps.  An item leaves when its steps and its last gain
-    are below STEP and GAIN.
+    The first pass looks for a start on a coarse grid.  Each further pass tries
+    several lengths of Newton's step, and the full step with the neighbours that
+    give the next derivatives, so a pass is an iteration where Newton's step is
+    good.  An item ends when the gain that a step promises is below GAIN, or no
+    length of the step gains anything.
     """
     live = [s for s in items if not s["fixed"]]
-    for _ in range(ROUNDS):
-        live = [s for s in live if max(s["step"]) > STEP or s.get("gain", math.inf) > GAIN]
+    places = {1: np.linspace(-5, 3, 9), 2: np.array([-4.0, -2.0, -0.5, 1.0, 3.0]), 3: np.array([-3.0, -1.0, 1.5])}
+    tries = [(s, y) for s in live for y in [_free(s["family"], s["p"]), *(np.array(x) for x in product(places[len(s["p"])], repeat=len(s["p"])))]]
+
+    def values(tries: list[tuple[dict, np.ndarray]]) -> np.ndarray:
+        out = np.array(evaluate([(s["pair"], _model(s, kinds, _bound(s["family"], y))) for s, y in tries]), float)
+        return np.where(np.isfinite(out), out, -np.inf)
+
+    if not tries:
+        return
+    for (s, y), v in zip(tries, values(tries)):
+        if v > s.get("value", -np.inf):
+            s["value"], s["y"] = v, y
+    live = [s for s in live if "y" in s]
+    for s in live:
+        s["step"], s["shrink"] = np.zeros(len(s["y"])), 1.0
+    for _ in range(PASSES):
         tries = []
         for s in live:
-            grid = (-2, -1, -0.5, 0.5, 1, 2) if len(s["p"]) == 1 else (-1.5, -0.5, 0.5, 1.5)
-            tries.append((s, s["p"], None))
-            for k in range(len(s["p"])):
-                tries += [(s, _moved(s["family"], s["p"], k, g * s["step"][k]), (k, abs(g))) for g in grid]
-            if len(s["p"]) > 1 and s.get("last"):  # the last move once more
-                spec = fam.SPECS[s["family"]]
-                tries.append((s, tuple(min(max(2 * x - y, lo), hi) for x, y, lo, hi in zip(s["p"], s["last"], spec.lower, spec.upper)), (-1, 1)))
-        if not tries:
-            return
-        best: dict[int, tuple] = {}
-        for (s, p, move), v in zip(tries, evaluate([(s["pair"], _model(s, kinds, p)) for s, p, _ in tries])):
-            if not math.isnan(v) and (id(s) not in best or v > best[id(s)][0]):
-                best[id(s)] = (v, p, move)
+            full = np.clip(s["y"] + s["shrink"] * s["step"], -EDGE, EDGE)
+            others = [np.clip(s["y"] + s["shrink"] * t * s["step"], -EDGE, EDGE) for t in LENGTHS] if s["step"].any() else []
+            tries += [(s, y) for y in [*_stencil(full), *others]]
+        v, at, left = values(tries), 0, []
         for s in live:
-            if id(s) in best:
-                v, p, move = best[id(s)]
-                s["gain"], s["value"] = (v - s.get("value", -math.inf)) / (1 + abs(v)), v
-                s["last"], s["p"] = (s["p"] if move else None), p
-                k = move[0] if move else None
-                if k is None or k >= 0:
-                    s["step"] = [x * (0.8 if k == j and move[1] >= 1 else 0.5 if len(s["p"]) == 1 else 0.65) for j, x in enumerate(s["step"])]
-            else:  # no likelihood anywhere near
-                s["step"], s["gain"] = [0.0] * len(s["step"]), 0.0
+            k = len(s["y"])
+            n = 1 + 2 * k + k * (k - 1)
+            m = n + (len(LENGTHS) if s["step"].any() else 0)
+            mine, points = v[at : at + m], [y for _, y in tries[at : at + m]]
+            at += m
+            best = int(np.argmax(mine[[0, *range(n, m)]]))
+            best = 0 if best == 0 else n + best - 1
+            first = not s["step"].any()
+            gained = mine[best] > s["value"]
+            if gained:
+                s["value"], s["y"] = mine[best], points[best]
+            if first or (gained and best == 0):  # the derivatives are those of the new place
+                if not np.isfinite(mine[:n]).all():
+                    continue
+                s["step"], promise = _ascent(s["y"], *_slopes(mine[:n], k))
+                s["shrink"] = 1.0
+                if promise < GAIN or not s["step"].any():
+                    continue
+            elif gained:
+                s["step"], s["shrink"] = np.zeros(k), 1.0  # ask for derivatives there
+            else:
+                s["shrink"] *= 0.02
+                if s["shrink"] < 1e-5:
+                    continue
+            left.append(s)
+        live = left
+        if not live:
+            break
+    for s in items:
+        if "y" in s:
+            s["p"] = _bound(s["family"], s["y"])
 
 
 def _model(item: dict, kinds: dict[int, list[str]], p: tuple[float, ...] | None = None) -> Bicop:
@@ -494,9 +558,10 @@ def fit_many(df: DataFrame, models: list[list[tuple[str, int]]], pairs: list[tup
     """Fitted models of each pair: ``models[k]`` lists (family, rotation) of pair k.
 
     Up to LOCAL_ROWS rows each pair is a group of one job.  Beyond, all pairs,
-    families and rotations advance together in passes over the data, a row per
-    candidate and partition coming back; the number of passes doesn't grow with
-    the number of models.  Both stop by the same rule.  ``itau`` needs no search, except for Student's second
+    families and rotations advance together in passes over the data (written
+    once), a row per candidate and partition coming back; the number of passes
+    doesn't grow with the number of models.  Both search alike and end at the
+    same maximum.  ``itau`` needs no search, except for Student's second
     parameter (its likelihood on a grid).
     """
     if taus is None:
@@ -516,13 +581,14 @@ def fit_many(df: DataFrame, models: list[list[tuple[str, int]]], pairs: list[tup
                 item |= {"p": fam.tau_to_parameters(family, t), "fixed": family != "student"}
             elif family != "indep":
                 item |= {"p": _start(family, t), "fixed": False}
-            item["step"] = _steps(family, item["p"])
             items.append(item)
     kinds = dict(enumerate(var_types))
     if n["all"] <= LOCAL_ROWS:
         values = _fit_groups(df, items, pairs, controls, kinds, itau)
     else:
-        values = _fit_items(items, lambda c: logliks(df, pairs, c, controls.weights), kinds, itau)
+        columns = _needed([(s["pair"], _model(s, kinds)) for s in items], pairs)
+        rows = staged(df.select(*columns, *([controls.weights] if controls.weights else [])), "fit")
+        values = _fit_items(items, lambda c: logliks(rows, pairs, c, controls.weights), kinds, itau)
     out: list[list[Bicop]] = [[] for _ in pairs]
     for s, v in zip(items, values):
         m = _model(s, kinds)

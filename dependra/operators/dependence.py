@@ -1,6 +1,7 @@
 """Pairwise dependence: Kendall, Spearman, Hoeffding, maximal correlation.
 
-All measures of many pairs come from one distributed count of cells: each pair
+Kendall's tau and Spearman's rho of a pair are exact at any length.  All
+measures of many pairs together come from one distributed count of cells: each pair
 of columns is cut into cells, cells are counted by one aggregation keyed by
 (pair, cell), and what remains is bounded by the number of cells.  With few
 distinct values the cells are the values themselves and the result is exact.
@@ -8,6 +9,7 @@ distinct values the cells are the values themselves and the result is exact.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -15,28 +17,87 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import staged
 from .pobs import present
 
 CRITERIA = ("tau", "rho", "hoeffd", "mcor")
 
 
-def kendall_tau_cells(df: DataFrame, x: str, y: str, weights: str | None = None) -> DataFrame:
-    """One row, exact: n_pairs, concordant, discordant, tau (tie-corrected tau-b).
+def _inversions(y: np.ndarray, w: np.ndarray) -> float:
+    """Sum of w[i] * w[j] over i < j with y[i] > y[j], by bottom-up merges."""
+    n, total, width = len(y), 0.0, 1
+    now = np.unique(y, return_inverse=True)[1].astype(np.int64)
+    top = int(now.max()) + 1 if n else 1
+    while width < n:
+        place = np.arange(n)
+        block, right = place // (2 * width), place // width % 2 == 1
+        k = block * top + now
+        left, upto = k[~right], np.concatenate([[0.0], np.cumsum(w[~right])])
+        above = upto[np.searchsorted(left, (block[right] + 1) * top)] - upto[np.searchsorted(left, k[right], "right")]
+        total += float((above * w[right]).sum())
+        order = np.argsort(k, kind="stable")
+        now, w = now[order], w[order]
+        width *= 2
+    return total
+
+
+def _concordance(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
+    """Concordant and discordant weights of pairs; ties in either count for neither."""
+    up, down = np.lexsort((y, x)), np.lexsort((-y, x))
+    return _inversions(-y[down], w[down]), _inversions(y[up], w[up])
+
+
+def _strips(v: pd.Series, cuts: np.ndarray) -> np.ndarray:
+    """Strip of each value: odd for a cut itself, even for what lies between two cuts."""
+    return np.searchsorted(cuts, v, "left") + np.searchsorted(cuts, v, "right")
 
-    Equal (x, y) rows are counted first; distinct cells then meet each other.
-    It is meant for columns with few distinct values: the work is the square of
-    the number of cells, not of rows.
+
+def kendall_tau(df: DataFrame, x: str, y: str, weights: str | None = None, strip_rows: int = 200_000) -> DataFrame:
+    """One row, exact: n (rows), n_pairs, concordant, discordant, tau (tie-corrected tau-b; 0 without pairs).
+
+    Equal (x, y) rows are counted first.  Both columns are cut into strips at
+    approximate quantiles; a cut is a strip of its own, so a value that a third
+    of all rows have makes no strip long.  Pairs of different strips in both
+    columns follow from the table of strip counts (at most (2 strips + 1) ** 2
+    cells).  Pairs within an x strip are counted in a task of that strip, and
+    pairs of different x strips within a y strip in a task of that one: a task
+    has about ``strip_rows`` cells, so the number of strips grows with the
+    table, and the table of counts is a few GB at 2e9 distinct cells.
     """
     w = F.col(weights).cast("double") if weights else F.lit(1.0)
-    cells = df.where(present(F.col(x)) & present(F.col(y))).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.sum(w).alias("w"), F.sum(w * w).alias("w2"))
-    a, b = cells.alias("a"), cells.alias("b")
-    sign = F.signum((F.col("a.x") - F.col("b.x")) * (F.col("a.y") - F.col("b.y")))
-    both = a.join(b, F.col("a.x") < F.col("b.x")).agg(F.coalesce(F.sum(F.when(sign > 0, F.col("a.w") * F.col("b.w"))), F.lit(0.0)).alias("concordant"), F.coalesce(F.sum(F.when(sign < 0, F.col("a.w") * F.col("b.w"))), F.lit(0.0)).alias("discordant"))
-    total = cells.agg(F.sum("w").alias("n"), F.sum("w2").alias("s"))
-    tied = lambda c: cells.groupBy(c).agg(F.sum("w").alias("t"), F.sum("w2").alias("s")).agg(F.sum(F.col("t") * F.col("t") - F.col("s")).alias(f"t{c}"))
-    out = both.crossJoin(total).crossJoin(tied("x")).crossJoin(tied("y"))
-    pairs = (F.col("n") * F.col("n") - F.col("s")) / 2
-    return out.select(pairs.alias("n_pairs"), "concordant", "discordant", ((F.col("concordant") - F.col("discordant")) / F.sqrt((pairs - F.col("tx") / 2) * (pairs - F.col("ty") / 2))).alias("tau"))
+    rows = df.where(present(F.col(x)) & present(F.col(y))).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), w.alias("w"))
+    cells = staged(rows.groupBy("x", "y").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("w2"), F.count("*").alias("n")), "cells")
+    strips = 16 + cells.count() // strip_rows
+    levels = [i / strips for i in range(1, strips)]
+    one = cells.agg(*(F.percentile_approx(c, levels, 50 * strips).alias(c) for c in "xy"), F.sum("w").alias("w"), F.sum("w2").alias("w2"), F.sum("n").alias("n")).first()
+    spark = df.sparkSession
+    schema = "n long, n_pairs double, concordant double, discordant double, tau double"
+    if not one["n"]:
+        return spark.createDataFrame([(0, 0.0, 0.0, 0.0, 0.0)], schema)
+    cuts = {c: np.unique(one[c]) for c in "xy"}
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[["x", "y", "w"]].assign(i=_strips(b.x, cuts["x"]), j=_strips(b.y, cuts["y"]))
+
+    placed = cells.select("x", "y", "w").mapInPandas(cut, "x double, y double, w double, i int, j int")
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        con, dis = _concordance(pdf.a.to_numpy(), pdf.b.to_numpy(), pdf.w.to_numpy())
+        return pd.DataFrame({"con": [con], "dis": [dis]})
+
+    within_x = placed.where("i % 2 = 0").select(F.lit(0).alias("side"), F.col("i").alias("strip"), F.col("x").alias("a"), F.col("y").alias("b"), "w")
+    within_y = placed.where("j % 2 = 0").groupBy("i", "j", "y").agg(F.sum("w").alias("w")).select(F.lit(1).alias("side"), F.col("j").alias("strip"), F.col("i").cast("double").alias("a"), F.col("y").alias("b"), "w")
+    part = within_x.unionByName(within_y).groupBy("side", "strip").applyInPandas(count, "con double, dis double").agg(F.coalesce(F.sum("con"), F.lit(0.0)).alias("con"), F.coalesce(F.sum("dis"), F.lit(0.0)).alias("dis")).first()
+    grid = placed.groupBy("i", "j").agg(F.sum("w").alias("w")).toPandas()
+    table = np.zeros((2 * len(cuts["x"]) + 1, 2 * len(cuts["y"]) + 1))
+    table[grid.i, grid.j] = grid.w
+    con = part["con"] + float((table * _below(table)).sum())
+    dis = part["dis"] + float((table * _below(table[:, ::-1])[:, ::-1]).sum())
+    tied = {c: cells.groupBy(c).agg(F.sum("w").alias("t"), F.sum("w2").alias("s")).agg(F.sum(F.col("t") * F.col("t") - F.col("s")).alias("t")).first()["t"] / 2 for c in "xy"}
+    pairs = (one["w"] ** 2 - one["w2"]) / 2
+    base = float(np.sqrt(max(0.0, (pairs - tied["x"]) * (pairs - tied["y"]))))
+    return spark.createDataFrame([(one["n"], float(pairs), con, dis, (con - dis) / base if base > 0 else 0.0)], schema)
 
 
 def spearman_rho(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -136,59 +197,25 @@ def mcor_of_cells(n: np.ndarray, groups: int = 24) -> float:
     return min(1.0, new)
 
 
-def dependence(df: DataFrame, pairs: list[tuple[str, str]], criterion: str = "tau", weights: str | None = None, bins: int = 256) -> list[float]:
+def dependence(df: DataFrame, pairs: list[tuple[str, str]], criterion: str = "tau", weights: str | None = None, bins: int | None = 256) -> list[float]:
     """The criterion of each pair of copula-scale columns, all from one job.
 
     Columns are cut into ``bins`` cells, so values closer than 1 / bins count as
     ties; the tie correction keeps the error of tau well below 1 / bins.
+    Without ``bins``, tau and rho are exact: a few jobs for each pair.
     """
     if criterion not in CRITERIA:
         raise ValueError(f"criterion must be one of {CRITERIA}")
+    if bins is None:
+        if criterion not in ("tau", "rho") or (weights and criterion == "rho"):
+            raise ValueError("only tau, and rho without weights, are exact without bins")
+        return [(kendall_tau(df, a, b, weights).first()["tau"] if criterion == "tau" else spearman_rho(df, a, b).first()["rho"]) or 0.0 for a, b in pairs]
     of = {"tau": tau_of_cells, "rho": rho_of_cells, "hoeffd": hoeffding_of_cells, "mcor": mcor_of_cells}[criterion]
     return [of(n) if n.sum() >= 2 else 0.0 for n in cell_counts(df, pairs, bins, weights)]
 
 
-def kendall_tau_small(df: DataFrame, pairs: list[tuple[str, str]], key: str | None = None) -> DataFrame:
-    """(x, y, n, tau): exact tau-b of each pair by sorting, one pair per task.
-
-    Meant for inputs where one pair fits a task (a few million rows); longer
-    ones go by ``dependence`` or ``kendall_tau_cells``.
-    """
-    each = F.array(*(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")) for a, b in pairs))
-    rows = df.select(F.explode(each).alias("s")).select("s.*").where(present(F.col("a")) & present(F.col("b")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"x": [pdf.x.iloc[0]], "y": [pdf.y.iloc[0]], "n": [len(pdf)], "tau": [_tau_b(pdf.a.to_numpy(), pdf.b.to_numpy())]})
-
-    return rows.groupBy("x", "y").applyInPandas(run, "x string, y string, n long, tau double")
-
-
-def _tau_b(a: np.ndarray, b: np.ndarray) -> float:
-    """tau-b in n log n: discordant pairs are the inversions of b after sorting by (a, b)."""
-    n = len(a)
-    if n < 2:
-        return 0.0
-    order = np.lexsort((b, a))
-    a, b = a[order], np.unique(b[order], return_inverse=True)[1]
-    inversions, width, now = 0, 1, b.copy()
-    while width < n:  # bottom-up merges: for each element of a right half, the larger ones in its left half
-        block = np.arange(n) // (2 * width)
-        right = (np.arange(n) // width) % 2 == 1
-        k = block * (int(b.max()) + 1) + now
-        left_sorted = k[~right]
-        inversions += int((np.searchsorted(left_sorted, (block[right] + 1) * (int(b.max()) + 1)) - np.searchsorted(left_sorted, k[right], "right")).sum())
-        now = now[np.argsort(k, kind="stable")]
-        width *= 2
-    ties = lambda c: int((c * (c - 1) // 2).sum())
-    nx, ny = ties(np.unique(a, return_counts=True)[1]), ties(np.unique(b, return_counts=True)[1])
-    nxy = ties(np.unique(np.column_stack([np.unique(a, return_inverse=True)[1], b]), axis=0, return_counts=True)[1])
-    total = n * (n - 1) // 2
-    base = np.sqrt(float(total - nx) * float(total - ny))
-    return float((total - nx - ny + nxy - 2 * inversions) / base) if base else 0.0
-
-
-def dependence_matrix(df: DataFrame, columns: list[str], criterion: str = "tau", bins: int = 256) -> DataFrame:
-    """(x, y, value) of all pairs of copula-scale columns."""
+def dependence_matrix(df: DataFrame, columns: list[str], criterion: str = "tau", bins: int | None = 256) -> DataFrame:
+    """(x, y, value) of all pairs of copula-scale columns; exact without ``bins``, see ``dependence``."""
     pairs = list(combinations(columns, 2))
     values = dependence(df, pairs, criterion, bins=bins)
     return df.sparkSession.createDataFrame([(a, b, v) for (a, b), v in zip(pairs, values)], "x string, y string, value double")

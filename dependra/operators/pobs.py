@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import staged
+
 TIES = ("average", "min", "max", "first", "last", "random")
 
 
@@ -13,97 +17,92 @@ def present(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c.cast("double"))
 
 
-def pseudo_obs(df: DataFrame, columns: list[str], ties_method: str = "average", weights: str | None = None, key: str | None = None, seeds: list[int] | None = None, by: list[str] | None = None, prefix: str = "u_") -> DataFrame:
-    """``df`` with ``u_<column>``, the rank of each value divided by n + 1.
+def _order(ties_method: str, key: str, seeds: list[int] | None) -> Column:
+    k = F.col(key)
+    return F.xxhash64(F.lit(sum(seeds or [0])), k) if ties_method == "random" else k
 
-    Ties as in R's ``rank``: average, min, max, or by the order of ``key``
-    (first, last) or of a seeded hash of it (random).  NULL and NaN are missing:
-    they get NULL and don't count.  ``weights``: ranks become the summed weights
-    of smaller values (plus those of the ties, by the method) times n over all
-    weights, so equal weights give the unweighted result.  ``by`` ranks within
-    groups.
 
-    One window per column over the whole group; for columns without groups that
-    are too long for one task see ``pseudo_obs_large``.
+def _placed(df: DataFrame, columns: list[str], weights: str | None, by: list[str], order: Column | None, last: bool) -> DataFrame:
+    """(c, g*, v, o, below, own, n, scale): every distinct value of column c within its group.
+
+    ``below`` and ``own``: summed weights of smaller values and of the value;
+    ``n``: rows of the group; ``scale``: rows over weights.  Values are counted,
+    dealt into ranges, summed up within each range and shifted by the totals of
+    the ranges before it, so no window is longer than a range, or than the
+    number of ranges.
     """
-    if ties_method not in TIES:
-        raise ValueError(f"ties_method must be one of {TIES}")
-    if ties_method in ("first", "last", "random") and key is None:
-        raise ValueError(f"ties_method {ties_method} needs a key column")
-    groups = [F.col(c) for c in by or []]
+    w = F.coalesce(F.col(weights).cast("double"), F.lit(0.0)) if weights else F.lit(1.0)
+    o = order if order is not None else F.lit(0)
+    groups = [F.col(c).alias(f"g{i}") for i, c in enumerate(by)]
+    names = [f"g{i}" for i in range(len(by))]
+    each = F.explode(F.array(*(F.when(present(F.col(c)), F.struct(F.lit(j).alias("c"), F.col(c).cast("double").alias("v"))) for j, c in enumerate(columns)))).alias("s")
+    rows = df.select(*groups, o.alias("o"), w.alias("w"), each).where("s is not null").select("s.c", *names, "s.v", "o", "w")
+    counts = rows.groupBy("c", *names, "v", "o").agg(F.sum("w").alias("own"), F.count("*").alias("k"))
+    along = [F.col("v"), F.col("o").desc() if last else F.col("o")]
+    ranged = staged(counts.repartitionByRange("c", *names, *along).withColumn("r", F.spark_partition_id()), "ranks")
+    group = Window.partitionBy("c", *names)
+    before = group.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("c", *names, "r").agg(F.sum("own").alias("t"), F.sum("k").alias("k"))
+    n = F.sum("k").over(group)
+    totals = totals.select("c", *names, "r", F.coalesce(F.sum("t").over(before), F.lit(0.0)).alias("before"), n.alias("n"), (n / F.sum("t").over(group)).alias("scale"))
+    a, t = ranged.alias("a"), totals.alias("t")
+    same = F.lit(True)
+    for c in ("c", "r", *names):
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"t.{c}"))
+    met = a.join(t, same).select("a.*", "t.before", "t.n", "t.scale")
+    within = Window.partitionBy("c", *names, "r").orderBy(*along).rowsBetween(Window.unboundedPreceding, -1)
+    return met.select("c", *names, "v", "o", (F.col("before") + F.coalesce(F.sum("own").over(within), F.lit(0.0))).alias("below"), "own", "n", "scale")
+
+
+def _ranked(df: DataFrame, columns: list[str], makes: Callable[[str], dict[str, Column]], weights: str | None = None, by: list[str] | None = None, order: Column | None = None, last: bool = False) -> DataFrame:
+    """``df`` with the columns that ``makes`` builds from below, own, n and scale of each column's value.
+
+    Rows meet their value in a join, in which adaptive execution splits hot
+    values.  Missing values get NULL.
+    """
+    places = staged(_placed(df, columns, weights, by or [], order, last), "places")
     out = df
-    for c in columns:
-        x = F.col(c).cast("double")
-        ok = present(F.col(c))
-        part = [*groups, ok]
-        every = Window.partitionBy(*part)
-        up = every.orderBy(x)
-        same = Window.partitionBy(*part, x)
-        n = F.count(F.lit(1)).over(every)
-        if weights:
-            w = F.col(weights).cast("double")
-            scale = n / F.sum(w).over(every)
-            upto = F.sum(w).over(up.rangeBetween(Window.unboundedPreceding, Window.currentRow)) * scale
-            tied = F.sum(w).over(same) * scale
-            if ties_method == "average":
-                rank = upto - tied / 2 + 0.5  # half of the tie's weight below, and the half step of a single rank
-            elif ties_method == "max":
-                rank = upto
-            elif ties_method == "min":
-                rank = upto - tied + 1
-            else:
-                rank = F.sum(w).over(every.orderBy(x, _order(ties_method, key, seeds)).rowsBetween(Window.unboundedPreceding, Window.currentRow)) * scale
-        elif ties_method in ("average", "min", "max"):
-            first, ties = F.rank().over(up), F.count(F.lit(1)).over(same)
-            rank = {"average": first + (ties - 1) / 2.0, "min": first, "max": first + ties - 1}[ties_method]
-        else:
-            rank = F.row_number().over(every.orderBy(x, _order(ties_method, key, seeds)))
-        out = out.withColumn(f"{prefix}{c}", F.when(ok, rank / (n + 1)))
+    for j, c in enumerate(columns):
+        made = makes(c)
+        d = out.select(F.struct(*(F.col(f"`{x}`") for x in out.columns)).alias("row"), F.when(present(F.col(c)), F.col(c).cast("double")).alias("v"), (order if order is not None else F.lit(0)).alias("o"), *(F.col(g).alias(f"g{i}") for i, g in enumerate(by or []))).alias("d")
+        p = places.where(F.col("c") == j).alias("p")
+        on = F.col("d.v") == F.col("p.v")
+        for name in (*(["o"] if order is not None else []), *(f"g{i}" for i in range(len(by or [])))):
+            on = on & F.col(f"d.{name}").eqNullSafe(F.col(f"p.{name}"))
+        met = d.join(p, on, "left")
+        out = met.select(*(F.col("row").getField(x).alias(x) for x in out.columns if x not in made), *(v.alias(name) for name, v in made.items()))
     return out
 
 
-def _order(ties_method: str, key: str, seeds: list[int] | None) -> Column:
-    k = F.col(key)
-    if ties_method == "random":
-        return F.xxhash64(F.lit(sum(seeds or [0])), k)
-    return k if ties_method == "first" else k.desc()
-
+def pseudo_obs(df: DataFrame, columns: list[str], ties_method: str = "average", weights: str | None = None, key: str | None = None, seeds: list[int] | None = None, by: list[str] | None = None, prefix: str = "u_") -> DataFrame:
+    """``df`` with ``u_<column>``, the rank of each value divided by n + 1.
 
-def pseudo_obs_large(df: DataFrame, columns: list[str], ties_method: str = "average", splits: int = 1000, prefix: str = "u_") -> DataFrame:
-    """``pseudo_obs`` (average, min or max) of columns of any length, without a window over all rows.
+    Ties as in R's ``rank``: average, min, max, or by the order of ``key``
+    (first, last) or of a seeded hash of it (random); rows of equal value and
+    key share a rank.  NULL and NaN are missing: they get NULL and don't count.
+    ``weights``: ranks become the summed weights of smaller values (plus those
+    of the ties, by the method) times n over all weights, so equal weights give
+    the unweighted result; a NULL weight counts as 0.  ``by`` ranks within
+    groups.
 
-    Values are counted, cut at approximate quantiles into ``splits`` ranges,
-    summed up within each range and shifted by the (at most ``splits``) range
-    totals, which are a broadcast of that bounded size.  Rows meet their
-    value's rank in a join on the value, in which adaptive execution splits hot
-    values.
+    Columns and groups may have any length: values are ranked by ranges.
     """
-    out = df
-    for c in columns:
-        x = F.col(c).cast("double")
-        rows = out.where(present(F.col(c)))
-        cuts = rows.agg(F.percentile_approx(x, [i / splits for i in range(1, splits)], 10 * splits).alias("q"), F.count("*").alias("n")).first()
-        n, bounds = cuts["n"], sorted(set(cuts["q"] or []))
-        counts = rows.groupBy(x.alias("_v")).agg(F.count("*").alias("_k"))
-        at = F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b <= F.col("_v"))) if bounds else F.lit(0)
-        counts = counts.withColumn("_r", at)
-        totals = counts.groupBy("_r").agg(F.sum("_k").alias("_t"))
-        offsets = totals.select("_r", (F.sum("_t").over(Window.orderBy("_r")) - F.col("_t")).alias("_o"))
-        below = F.sum("_k").over(Window.partitionBy("_r").orderBy("_v")) - F.col("_k")
-        ranked = counts.join(F.broadcast(offsets), "_r").select("_v", (below + F.col("_o")).alias("_b"), "_k")
-        rank = {"average": F.col("_b") + (F.col("_k") + 1) / 2.0, "min": F.col("_b") + 1, "max": F.col("_b") + F.col("_k")}[ties_method]
-        met = out.withColumn("_v", F.when(present(F.col(c)), x)).join(ranked, "_v", "left")
-        out = met.withColumn(f"{prefix}{c}", F.when(present(F.col(c)), rank / (n + 1))).drop("_v", "_b", "_k")
-    return out
+    if ties_method not in TIES:
+        raise ValueError(f"ties_method must be one of {TIES}")
+    keyed = ties_method in ("first", "last", "random")
+    if keyed and key is None:
+        raise ValueError(f"ties_method {ties_method} needs a key column")
+    b, w, scale = F.col("below"), F.col("own"), F.col("scale")
+    # half of the tie's weight below, and the half step of a single rank
+    rank = {"average": (b + w / 2) * scale + 0.5, "min": b * scale + 1}.get(ties_method, (b + w) * scale)
+    order = _order(ties_method, key, seeds) if keyed else None
+    return _ranked(df, columns, lambda c: {f"{prefix}{c}": rank / (F.col("n") + 1)}, weights, by, order, ties_method == "last")
 
 
 def discrete_margins(df: DataFrame, column: str, prefix: str = "u_") -> DataFrame:
     """For a discrete column: ``u_<column>`` = F(x) and ``u_<column>_lo`` = F(x-), scaled by n + 1."""
-    ok = present(F.col(column))
-    every = Window.partitionBy(ok)
-    n = F.count(F.lit(1)).over(every)
-    first, ties = F.rank().over(every.orderBy(F.col(column))), F.count(F.lit(1)).over(Window.partitionBy(ok, F.col(column)))
-    return df.withColumn(f"{prefix}{column}", F.when(ok, (first + ties - 1) / (n + 1))).withColumn(f"{prefix}{column}_lo", F.when(ok, (first - 1) / (n + 1)))
+    b, n = F.col("below"), F.col("n") + 1
+    return _ranked(df, [column], lambda c: {f"{prefix}{c}": (b + F.col("own")) / n, f"{prefix}{c}_lo": b / n})
 
 
 def empirical_quantile(sample: DataFrame, data: DataFrame, columns: dict[str, str], accuracy: int = 100_000, points: int = 1000) -> DataFrame:

@@ -79,7 +79,7 @@ def _ties(method: str) -> Query:
 for _m, _sql in _PIECES.items():
     _add(f"pseudo_obs_{_m}", _ties(_m), _PART.format(_sql))
 _add("pseudo_obs_random", _ties("random"))
-_add("pseudo_obs_large", lambda s, d: pobs.pseudo_obs_large(_read(s, d, "part").select("p_partkey", "p_size"), ["p_size"], splits=20).select("p_partkey", F.round("u_p_size", 9).alias("u")), _PART.format(_PIECES["average"]))
+_add("pseudo_obs_large", lambda s, d: pobs.pseudo_obs(_read(s, d, "part").select("p_partkey", "p_size"), ["p_size"]).select("p_partkey", F.round("u_p_size", 9).alias("u")), _PART.format(_PIECES["average"]))
 _add(
     "pseudo_obs_weighted",
     lambda s, d: pobs.pseudo_obs(_read(s, d, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_size"], weights="p_retailprice").select("p_partkey", F.round("u_p_size", 6).alias("u")),
@@ -110,8 +110,8 @@ ty AS (SELECT sum(w * w - w2) / 2 AS t FROM (SELECT sum(w) AS w, sum(w2) AS w2 F
 SELECT round((con - dis) / sqrt((pairs - tx.t) * (pairs - ty.t)), 9) AS tau FROM p, n, tx, ty"""
 
 
-_add("kendall_tau_contingency", lambda s, d: dep.kendall_tau_cells(_read(s, d, "lineitem"), "l_quantity", "l_discount").select(_r("tau", 9)), _tau_sql("1.0"))
-_add("kendall_tau_weighted", lambda s, d: dep.kendall_tau_cells(_read(s, d, "lineitem"), "l_quantity", "l_discount", "l_linenumber").select(_r("tau", 9)), _tau_sql("CAST(l_linenumber AS DOUBLE)"))
+_add("kendall_tau_contingency", lambda s, d: dep.kendall_tau(_read(s, d, "lineitem"), "l_quantity", "l_discount").select(_r("tau", 9)), _tau_sql("1.0"))
+_add("kendall_tau_weighted", lambda s, d: dep.kendall_tau(_read(s, d, "lineitem"), "l_quantity", "l_discount", "l_linenumber").select(_r("tau", 9)), _tau_sql("CAST(l_linenumber AS DOUBLE)"))
 
 _TAU = f"""WITH {BASKET}, c AS (SELECT sum_qty AS x, sum_price AS y FROM basket),
 p AS (SELECT sum(CASE WHEN b.y > a.y THEN 1 WHEN b.y < a.y THEN -1 ELSE 0 END)::DOUBLE AS s FROM c a JOIN c b ON a.x < b.x),
@@ -122,7 +122,7 @@ tau AS (SELECT s / sqrt((pairs - tx.t) * (pairs - ty.t)) AS tau FROM p, n, tx, t
 
 
 def _basket_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dep.kendall_tau_small(basket(spark, sf_dir), [("sum_qty", "sum_price")])
+    return dep.kendall_tau(basket(spark, sf_dir), "sum_qty", "sum_price")
 
 
 _add("kendall_tau_pairs", lambda s, d: _basket_tau(s, d).select(_r("tau", 9)), f"{_TAU} SELECT round(tau, 9) AS tau FROM tau")

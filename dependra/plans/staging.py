@@ -13,10 +13,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a temporary folder where that is unset (local tests)."""
+    """``spark.checkpoint.dir``; where that is unset and Spark runs in this process (tests), a temporary folder."""
     name = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if name:
         return name
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="dependra-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)

@@ -4,12 +4,13 @@ import pickle
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dependra.functions import qrng
 from dependra.operators.bicop import Bicop
 from dependra.operators.controls import FitControlsBicop, FitControlsVinecop
-from dependra.operators.dependence import dependence, kendall_tau_small
-from dependra.operators.pobs import pseudo_obs, pseudo_obs_large
+from dependra.operators.dependence import dependence, kendall_tau, spearman_rho
+from dependra.operators.pobs import discrete_margins, pseudo_obs
 from dependra.operators.structure import CVineStructure, DVineStructure
 from dependra.operators.vinecop import Vinecop, tree_nodes_edges
 from dependra.plans.cluster import ship
@@ -88,15 +89,23 @@ def test_distributed_fit_equals_group_fit(spark, monkeypatch):
     assert abs(a.parameters[0] - b.parameters[0]) < 0.05 and abs(a.loglik() - b.loglik()) < 0.05
 
 
-@pytest.mark.parametrize("f,p", [("bb1", (1.0, 1.5)), ("student", (0.5, 4.0))])
-def test_distributed_fit_is_as_fine(spark, monkeypatch, f, p):
+@pytest.mark.parametrize("f,p", [("gaussian", (0.6,)), ("student", (0.5, 4.0)), ("clayton", (2.0,)), ("gumbel", (2.0,)), ("frank", (5.0,)), ("joe", (2.0,)), ("bb1", (1.0, 1.5)), ("bb6", (1.5, 2.0)), ("bb7", (2.0, 1.5)), ("bb8", (3.0, 0.8)), ("tawn", (0.6, 0.9, 2.0))])
+def test_fit_is_the_maximum_at_any_size(spark, monkeypatch, f, p):
     from dependra.operators import bicop
 
-    s = Bicop(f, 0, p).simulate(ship(spark), 500, seeds=[2]).coalesce(2).cache()
+    m = Bicop(f, 0, p)
+    s = m.simulate(ship(spark), 1500, seeds=[2]).coalesce(2).cache()
     a = Bicop(f).fit(s)
-    monkeypatch.setattr(bicop, "LOCAL_ROWS", 0)
-    b = Bicop(f).fit(s)
-    assert b.parameters == pytest.approx(a.parameters, rel=1e-5) and abs(a.loglik() - b.loglik()) < 1e-6
+    # not below the truth, nor below any place near the fit
+    spec = bicop.fam.SPECS[f]
+    around = [(k, a.parameters[k] + d * (hi - lo)) for k, (lo, hi) in enumerate(zip(spec.lower, spec.upper)) for d in (-0.02, -0.001, -1e-4, 1e-4, 0.001, 0.02)]
+    near = [Bicop(f, 0, tuple(v if j == k else x for j, x in enumerate(a.parameters))) for k, v in around if spec.lower[k] <= v <= spec.upper[k]]
+    others = bicop.logliks(s, [("u1", "u2")], [(0, x) for x in [m, *near]])
+    assert a.loglik() >= max(others) - 1e-4
+    if f in ("bb8", "clayton", "student"):
+        monkeypatch.setattr(bicop, "LOCAL_ROWS", 0)
+        b = Bicop(f).fit(s)
+        assert b.parameters == pytest.approx(a.parameters, rel=1e-4) and abs(a.loglik() - b.loglik()) < 1e-6
 
 
 def test_missing_rows_and_weights(spark):
@@ -115,10 +124,51 @@ def test_pseudo_obs_nulls_and_equal_weights(spark):
     plain = {r["k"]: r["u_x"] for r in pseudo_obs(df, ["x"]).collect()}
     assert plain == {1: 2.5 / 4, 2: None, 3: 1 / 4, 4: None, 5: 2.5 / 4}
     assert {r["k"]: r["u_x"] for r in pseudo_obs(df, ["x"], weights="w").collect()} == pytest.approx(plain)
-    assert {r["k"]: r["u_x"] for r in pseudo_obs_large(df, ["x"], splits=3).collect()} == pytest.approx(plain)
     assert pseudo_obs(df.limit(0), ["x"]).count() == 0
 
 
+def test_pseudo_obs_against_plain_ranks(spark):
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random(400) < 0.4, 7.0, rng.integers(0, 60, 400).astype(float))  # a value with a third of the rows
+    g, w = rng.integers(0, 3, 400), rng.integers(1, 5, 400).astype(float)
+    df = spark.createDataFrame([(k, int(g[k]) or None, float(x[k]), float(w[k]), 1.0) for k in range(400)], "k long, g int, x double, w double, below double").repartition(5)
+    n = 401
+    less = np.array([(x < v).sum() for v in x])
+    same = np.array([(x == v).sum() for v in x])
+    want = {"average": less + (same + 1) / 2, "min": less + 1, "max": less + same, "first": np.array([((x < v) | ((x == v) & (np.arange(400) <= k))).sum() for k, v in enumerate(x)]), "last": np.array([((x < v) | ((x == v) & (np.arange(400) >= k))).sum() for k, v in enumerate(x)])}
+    for ties, rank in want.items():
+        got = {r["k"]: r["u_x"] for r in pseudo_obs(df, ["x"], ties, key="k").collect()}
+        assert [got[k] for k in range(400)] == pytest.approx(list(rank / n)), ties
+    out = pseudo_obs(df, ["x"], "average", weights="w", by=["g"])
+    assert out.columns == [*df.columns, "u_x"] and sorted({r["u_x"] for r in pseudo_obs(df.select("k", F.lit(1.0).alias("x")), ["x"], "random", key="k", seeds=[1]).collect()}) == pytest.approx([(k + 1) / n for k in range(400)])
+    got = {r["k"]: r["u_x"] for r in out.collect()}
+    for k in range(0, 400, 7):
+        own = g == g[k]
+        total = w[own].sum()
+        rank = (w[own & (x < x[k])].sum() + w[own & (x == x[k])].sum() / 2) * own.sum() / total + 0.5
+        assert got[k] == pytest.approx(rank / (own.sum() + 1))
+    m = {r["k"]: (r["u_x_lo"], r["u_x"]) for r in discrete_margins(df, "x").collect()}
+    assert [m[k] for k in range(400)] == [pytest.approx((a / n, (a + b) / n)) for a, b in zip(less, same)]
+    assert "Window" not in pseudo_obs(df, ["x"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_kendall_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random(300) < 0.35, 5.0, rng.random(300) * 10)
+    y, w = np.where(rng.random(300) < 0.35, 1.0, x + rng.standard_normal(300) * 4), rng.integers(1, 4, 300).astype(float)
+    df = ship(spark).createDataFrame([*zip(map(float, x), map(float, y), map(float, w)), (None, 1.0, 1.0), (float("nan"), 2.0, 1.0)], "x double, y double, w double")
+    for weights, v in ((None, np.ones(300)), ("w", w)):
+        sign, both = np.sign((x[:, None] - x) * (y[:, None] - y)), v[:, None] * v
+        con, dis = (both * (sign > 0)).sum() / 2, (both * (sign < 0)).sum() / 2
+        pairs = (v.sum() ** 2 - (v * v).sum()) / 2
+        tie = lambda z: (both * (z[:, None] == z)).sum() / 2 - (v * v).sum() / 2  # noqa: B023, E731
+        for rows in (20, 200_000):
+            r = kendall_tau(df, "x", "y", weights, strip_rows=rows).first()
+            assert (r["n"], r["n_pairs"], r["concordant"], r["discordant"]) == pytest.approx((300, pairs, con, dis))
+            assert r["tau"] == pytest.approx((con - dis) / np.sqrt((pairs - tie(x)) * (pairs - tie(y))))
+    assert kendall_tau(df.limit(0), "x", "y").first()["tau"] == 0 and kendall_tau(df.where("x = 5"), "x", "y").first()["tau"] == 0
+
+
 def test_gaussian_vine(spark, normal, tmp_path):
     v = Vinecop.from_data(normal, U, controls=FitControlsVinecop(family_set=["gaussian"]))
     assert all(f == "gaussian" for row in v.families for f in row)
@@ -189,7 +239,8 @@ def test_tll(spark):
 
 def test_dependence_measures(spark):
     s = Bicop("gaussian", 0, (0.6,)).simulate(ship(spark), 3000, seeds=[1]).cache()
-    assert abs(dependence(s, [("u1", "u2")], "tau")[0] - kendall_tau_small(s, [("u1", "u2")]).first()["tau"]) < 2e-3
+    assert abs(dependence(s, [("u1", "u2")], "tau")[0] - kendall_tau(s, "u1", "u2").first()["tau"]) < 2e-3
+    assert dependence(s, [("u1", "u2")], "rho", bins=None)[0] == pytest.approx(spearman_rho(s, "u1", "u2").first()["rho"])
     assert abs(dependence(s, [("u1", "u2")], "rho")[0] - 0.58) < 0.05
     assert 0.5 < dependence(s, [("u1", "u2")], "mcor")[0] < 0.75
     assert dependence(s, [("u1", "u2")], "hoeffd")[0] > 0.05
