@@ -228,7 +228,7 @@ def _t_score(p: np.ndarray, nu: float) -> np.ndarray:
     """Student quantiles; the last few are kept, as fits ask for the same ones with many correlations."""
     key = nu, hash(p.tobytes())
     if key not in _scores:
-        if len(_scores) >= 8:
+        if len(_scores) >= 32:
             _scores.pop(next(iter(_scores)))
         _scores[key] = t_ppf(p, nu)
     return _scores[key]

@@ -587,7 +587,9 @@ def fit_many(df: DataFrame, models: list[list[tuple[str, int]]], pairs: list[tup
         values = _fit_groups(df, items, pairs, controls, kinds, itau)
     else:
         columns = _needed([(s["pair"], _model(s, kinds)) for s in items], pairs)
-        rows = staged(df.select(*columns, *([controls.weights] if controls.weights else [])), "fit")
+        # numbers are narrow: as many parts as there are cores, or as keep a part near two million rows
+        parts = max(1, min(df.sparkSession.sparkContext.defaultParallelism, n["all"] // 10_000), n["all"] // 2_000_000)
+        rows = staged(df.select(*columns, *([controls.weights] if controls.weights else [])).repartition(parts), "fit")
         values = _fit_items(items, lambda c: logliks(rows, pairs, c, controls.weights), kinds, itau)
     out: list[list[Bicop]] = [[] for _ in pairs]
     for s, v in zip(items, values):
