@@ -18,6 +18,7 @@ from ..operators.bicop import Bicop
 from ..operators.controls import FitControlsBicop, FitControlsVinecop
 from ..operators.grids import density_grid
 from ..operators.vinecop import CVineStructure, DVineStructure, RVineStructure, Vinecop, tree_nodes_edges
+from . import fit_sql
 from .cluster import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,8 +127,27 @@ def _basket_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("kendall_tau_pairs", lambda s, d: _basket_tau(s, d).select(_r("tau", 9)), f"{_TAU} SELECT round(tau, 9) AS tau FROM tau")
+_MATRIX = ("n_lines", "sum_qty", "sum_price")
+_THREE = f"{BASKET_U}, p(x, y, a, b) AS (SELECT 'u_n_lines', 'u_sum_qty', d, a FROM u UNION ALL SELECT 'u_n_lines', 'u_sum_price', d, b FROM u UNION ALL SELECT 'u_sum_qty', 'u_sum_price', a, b FROM u)"
+#: Cells of 256 x 256 of each pair, with counts below and beside each, as for Hoeffding's D.
+_CELLS = f"""{_THREE}, c AS (SELECT x, y, CAST(floor(a * 256) AS INTEGER) AS i, CAST(floor(b * 256) AS INTEGER) AS j, count(*)::DOUBLE AS n FROM p GROUP BY ALL),
+r AS (SELECT x, y, i, sum(n) AS p, sum(sum(n)) OVER (PARTITION BY x, y ORDER BY i) AS s FROM c GROUP BY x, y, i),
+q AS (SELECT x, y, j, sum(n) AS p, sum(sum(n)) OVER (PARTITION BY x, y ORDER BY j) AS s FROM c GROUP BY x, y, j),
+b AS (SELECT c.x, c.y, c.i, c.j, c.n, sum(CASE WHEN o.i < c.i AND o.j < c.j THEN o.n WHEN o.i = c.i AND o.j < c.j OR o.j = c.j AND o.i < c.i THEN o.n / 2 ELSE 0 END) AS low FROM c JOIN c o ON o.x = c.x AND o.y = c.y AND o.i <= c.i AND o.j <= c.j GROUP BY ALL),
+m AS (SELECT b.x, b.y, b.n, low + (b.n - 1) / 4 + 1 AS bo, r.s - r.p / 2 + 0.5 AS r, q.s - q.p / 2 + 0.5 AS s FROM b JOIN r ON r.x = b.x AND r.y = b.y AND r.i = b.i JOIN q ON q.x = b.x AND q.y = b.y AND q.j = b.j),
+d AS (SELECT x, y, sum(n) AS t, sum(n * (bo - 1) * (bo - 2)) AS d1, sum(n * (r - 1) * (r - 2) * (s - 1) * (s - 2)) AS d2, sum(n * (r - 2) * (s - 2) * (bo - 1)) AS d3 FROM m GROUP BY x, y)"""
+_PAIR = "sum(CASE WHEN b2.b > a2.b THEN 1 WHEN b2.b < a2.b THEN -1 ELSE 0 END)::DOUBLE"
+_MATRIX_SQL = {
+    "tau": f"""WITH {_THREE}, k AS (SELECT a2.x, a2.y, {_PAIR} AS s FROM p a2 JOIN p b2 ON a2.x = b2.x AND a2.y = b2.y AND a2.a < b2.a GROUP BY ALL),
+n AS (SELECT x, y, count(*)::DOUBLE * (count(*) - 1) / 2 AS pairs FROM p GROUP BY x, y),
+t AS (SELECT x, y, sum(k * (k - 1) / 2) AS t FROM (SELECT x, y, count(*)::DOUBLE AS k FROM p GROUP BY x, y, a) GROUP BY x, y),
+o AS (SELECT x, y, sum(k * (k - 1) / 2) AS t FROM (SELECT x, y, count(*)::DOUBLE AS k FROM p GROUP BY x, y, b) GROUP BY x, y)
+SELECT k.x, k.y, round(s / sqrt((pairs - t.t) * (pairs - o.t)), 6) AS value FROM k JOIN n USING (x, y) JOIN t USING (x, y) JOIN o USING (x, y)""",
+    "rho": f"WITH {_THREE} SELECT x, y, round(corr(a, b), 6) AS value FROM p GROUP BY x, y",
+    "hoeffd": f"WITH {_CELLS} SELECT x, y, round(30 * ((t - 2) * (t - 3) * d1 + d2 - 2 * (t - 2) * d3) / (t * (t - 1) * (t - 2) * (t - 3) * (t - 4)), 6) AS value FROM d",
+}
 for _c in dep.CRITERIA:
-    _add(f"dependence_matrix_{_c}", lambda s, d, c=_c: dep.dependence_matrix(basket_u(s, d, ("n_lines", "sum_qty", "sum_price")), ["u_n_lines", "u_sum_qty", "u_sum_price"], c).select("x", "y", _r("value")))
+    _add(f"dependence_matrix_{_c}", lambda s, d, c=_c: dep.dependence_matrix(basket_u(s, d, _MATRIX), [f"u_{x}" for x in _MATRIX], c, None if c in ("tau", "rho") else 256).select("x", "y", _r("value")), _MATRIX_SQL.get(_c))
 
 # pair copulas: density, distribution function, conditional distributions --------------
 
@@ -191,6 +211,34 @@ _add("bicop_gaussian", _family("gaussian", (0.6,)))
 _add("bicop_student", _family("student", (0.5, 4.0)))
 
 
+def _no_cdf(family: str, parameters: tuple[float, ...]) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        m, u = Bicop(family, 0, parameters), basket_u(s, d)
+        out = m.hfunc2(m.hfunc1(m.pdf(u, "u_sum_qty", "u_sum_price"), "u_sum_qty", "u_sum_price"), "u_sum_qty", "u_sum_price")
+        return out.select("l_orderkey", _r("pdf", 5), _r("hfunc1", 5), _r("hfunc2", 5))
+
+    return run
+
+
+_ROUND = "SELECT l_orderkey, round({}, 5) AS pdf, round({}, 5) AS hfunc1, round({}, 5) AS hfunc2 FROM x"
+_add(
+    "bicop_gaussian_density",
+    _no_cdf("gaussian", (0.6,)),
+    f"WITH {BASKET_U}, q AS (SELECT l_orderkey, {fit_sql.normal_quantile('a')} AS x, {fit_sql.normal_quantile('b')} AS y FROM u), x AS (SELECT *, (y - 0.6 * x) / 0.8 AS z, (x - 0.6 * y) / 0.8 AS w FROM q) "
+    + _ROUND.format("exp(-(0.36 * (x * x + y * y) - 1.2 * x * y) / 1.28) / 0.8", fit_sql.normal_cdf("z"), fit_sql.normal_cdf("w")),
+)
+# Student with four degrees of freedom has a closed quantile, and with five a closed distribution function
+_T4 = "sign({p} - 0.5) * 2 * sqrt(cos(acos(sqrt(4 * {p} * (1 - {p}))) / 3) / sqrt(4 * {p} * (1 - {p})) - 1)"
+_T5 = "(0.5 + (({z} / sqrt(5)) / (1 + {z} * {z} / 5) * (1 + (2.0 / 3) / (1 + {z} * {z} / 5)) + atan({z} / sqrt(5))) / pi())"
+_add(
+    "bicop_student_density",
+    _no_cdf("student", (0.5, 4.0)),
+    f"WITH {BASKET_U}, q AS (SELECT l_orderkey, {_T4.format(p='a')} AS x, {_T4.format(p='b')} AS y FROM u), x AS (SELECT *, (y - 0.5 * x) * sqrt(5 / ((4 + x * x) * 0.75)) AS z, (x - 0.5 * y) * sqrt(5 / ((4 + y * y) * 0.75)) AS w FROM q) "
+    # gamma(3) gamma(2) / gamma(5/2)^2 = 2 / (9 pi / 16)
+    + _ROUND.format("32 / (9 * pi()) / sqrt(0.75) * pow(1 + (x * x + y * y - x * y) / 3, -3) * pow((1 + x * x / 4) * (1 + y * y / 4), 2.5)", _T5.format(z="z"), _T5.format(z="w")),
+)
+
+
 def _inverse(family: str, theta: float) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
         m = Bicop(family, 0, (theta,))
@@ -206,6 +254,15 @@ for _f, _sql in _INV.items():
 _add("bicop_gumbel_inverse", _inverse("gumbel", 2.0))
 
 
+def _back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, u = Bicop("gumbel", 0, (2.0,)), basket_u(spark, sf_dir)
+    x = m.hinv1(u, "u_sum_qty", "u_sum_price", "x")
+    return m.hfunc1(x, "u_sum_qty", "x", "back").select("l_orderkey", _r("back"))
+
+
+_add("bicop_gumbel_inverse_back", _back, f"WITH {BASKET_U} SELECT l_orderkey, round(b, 6) AS back FROM u")
+
+
 def _discrete(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = pobs.pseudo_obs(pobs.discrete_margins(basket(spark, sf_dir), "n_lines"), ["sum_price"])
     m = Bicop("clayton", 0, (2.0,), ["d", "c"])
@@ -225,8 +282,9 @@ _add(
 
 
 def _itau(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("tau")
-    return _basket_tau(spark, sf_dir).select(F.round(t, 6).alias("tau"), F.round(F.sin(t * (3.141592653589793 / 2)), 6).alias("gaussian"), F.round(2 * t / (1 - t), 6).alias("clayton"), F.round(1 / (1 - t), 6).alias("gumbel"))
+    tau = _basket_tau(spark, sf_dir).first()["tau"]
+    fits = [float(Bicop(f).tau_to_parameters(tau)[0, 0]) for f in ("gaussian", "clayton", "gumbel")]
+    return spark.createDataFrame([tuple(round(x, 6) for x in (tau, *fits))], "tau double, gaussian double, clayton double, gumbel double")
 
 
 _add("itau_fit", _itau, f"{_TAU} SELECT round(tau, 6) AS tau, round(sin(tau * pi() / 2), 6) AS gaussian, round(2 * tau / (1 - tau), 6) AS clayton, round(1 / (1 - tau), 6) AS gumbel FROM tau")
@@ -245,8 +303,20 @@ def _fitted(model: Bicop, spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(model.family, model.rotation, [round(p, 3) for p in model.parameters], float(model.npars), float(model.loglik_), model.nobs)], "family string, rotation int, parameters array<double>, npars double, loglik double, nobs long")
 
 
+def _fit(family: str) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        m = Bicop(family).fit(basket_u(s, d), "u_sum_qty", "u_sum_price")
+        if family in fit_sql.ONE:
+            return s.createDataFrame([(family, 0, round(m.parameters[0], 3), round(m.loglik_, 3), m.nobs)], "family string, rotation int, theta1 double, loglik double, nobs long")
+        return _fitted(m, s)
+
+    return run
+
+
 for _f in ("gaussian", "clayton", "gumbel", "frank", "joe", "student", "bb1", "bb6", "bb7", "bb8", "tawn", "tll"):
-    _add(f"fit_{_f}", lambda s, d, f=_f: _fitted(Bicop(f).fit(basket_u(s, d), "u_sum_qty", "u_sum_price"), s))
+    _add(f"fit_{_f}", _fit(_f), fit_sql.one_parameter(_f, BASKET_U) if _f in fit_sql.ONE else None)
+for _f in fit_sql.TWO:
+    _add(f"fit_{_f}_loglik", lambda s, d, f=_f: _fit(f)(s, d).select("family", "rotation", F.round("loglik", 2).alias("loglik"), "nobs"), fit_sql.two_parameters(_f, BASKET_U))
 _add("select_bicop", lambda s, d: _fitted(Bicop.from_data(basket_u(s, d), "u_sum_qty", "u_sum_price", FitControlsBicop(family_set=["indep", "gaussian", "student", "clayton", "gumbel", "frank", "joe", "bb1", "bb7"])), s))
 _add("select_bicop_itau", lambda s, d: _fitted(Bicop.from_data(basket_u(s, d), "u_sum_qty", "u_sum_price", FitControlsBicop(family_set=["indep", "gaussian", "student", "clayton", "gumbel", "frank", "joe"], parametric_method="itau")), s))
 
@@ -268,7 +338,7 @@ def _vine(structure: RVineStructure) -> Query:
     return run
 
 
-def _vine_sql(x: str, y: str, z: str, d_vine: bool) -> str:
+def _vine_sql(x: str, y: str, z: str, d_vine: bool, digits: int = 5) -> str:
     """Edges (x, z') and (y, z) with Clayton 2, then Frank 5; in a D-vine x - y - z, in a C-vine z is the root."""
     h = "pow({g}, -3.0) * pow(pow({g}, -2.0) + pow({v}, -2.0) - 1, -1.5)"
     c = "3.0 * pow({g} * {v}, -3.0) * pow(pow({g}, -2.0) + pow({v}, -2.0) - 1, -2.5)"
@@ -285,13 +355,19 @@ def _vine_sql(x: str, y: str, z: str, d_vine: bool) -> str:
     names = {"d": "r_u_n_lines", "a": "r_u_sum_qty", "b": "r_u_sum_price"}
     return (
         f"WITH {BASKET_U}, t AS (SELECT *, {clip.format(p)} AS p, {clip.format(q)} AS q, ln({c.format(g=first[0], v=first[1])}) + ln({c.format(g=second[0], v=second[1])}) AS l FROM u) "
-        f"SELECT l_orderkey, round(l + ln({frank_c}), 5) AS log_pdf, " + ", ".join(f"round({clip.format(e)}, 6) AS {names[k]}" for k, e in r.items()) + " FROM t"
+        f"SELECT l_orderkey, round(l + ln({frank_c}), {digits}) AS log_pdf, " + ", ".join(f"round({clip.format(e)}, 6) AS {names[k]}" for k, e in r.items()) + " FROM t"
     )
 
 
 _add("vine_dvine3", _vine(DVineStructure([1, 2, 3])), _vine_sql("d", "a", "b", True))
 _add("vine_cvine3", _vine(CVineStructure([1, 2, 3])), _vine_sql("d", "a", "b", False))
-_add("vine_criteria", lambda s, d: _three(DVineStructure([1, 2, 3])).loglik_frame(basket_u(s, d, ("n_lines", "sum_qty", "sum_price")), _COLS).select("nobs", *(F.round(c, 3).alias(c) for c in ("loglik", "aic", "bic", "mbicv"))))
+_VL = _vine_sql("d", "a", "b", True, digits=15)
+_PRIOR = "-2 * (2 * ln(0.9) + ln(0.81))"  # two dependent pairs in the first tree, one in the second
+_add(
+    "vine_criteria",
+    lambda s, d: _three(DVineStructure([1, 2, 3])).loglik_frame(basket_u(s, d, ("n_lines", "sum_qty", "sum_price")), _COLS).select("nobs", *(F.round(c, 3).alias(c) for c in ("loglik", "aic", "bic", "mbicv"))),
+    f"SELECT count(*) AS nobs, round(sum(log_pdf), 3) AS loglik, round(-2 * sum(log_pdf) + 6, 3) AS aic, round(-2 * sum(log_pdf) + 3 * ln(count(*)), 3) AS bic, round(-2 * sum(log_pdf) + 3 * ln(count(*)) + {_PRIOR}, 3) AS mbicv FROM ({_VL})",
+)
 _add(
     "vine_edges",
     lambda s, d: DVineStructure([1, 2, 3, 4]).edges(s).select("tree", "edge", "cond1", "cond2", F.array_join("given", ",").alias("given"), "min_label", "needed_hfunc1", "needed_hfunc2"),
@@ -307,10 +383,22 @@ def _selected(spark: SparkSession, sf_dir: str, **controls: object) -> Vinecop:
 for _a in ("mst_prim", "mst_kruskal", "random_weighted", "random_unweighted"):
     _add(f"vine_select_{_a}", lambda s, d, a=_a: _selected(s, d, tree_algorithm=a, seeds=[1]).table(s))
 _add("vine_select_truncated", lambda s, d: _selected(s, d, select_trunc_lvl=True).table(s))
-_add("vine_inverse_rosenblatt", lambda s, d: _three(DVineStructure([1, 2, 3])).inverse_rosenblatt(basket_u(s, d, ("n_lines", "sum_qty", "sum_price")), _COLS, "x_").select("l_orderkey", *(_r(f"x_{c}") for c in _COLS)))
+# y from z, then x from y and the rank of z given y
+_H = "pow({g}, -3.0) * pow(pow({g}, -2.0) + pow({v}, -2.0) - 1, -1.5)"
+_INVERSE = (
+    f"WITH {BASKET_U}, y AS (SELECT *, {_INV['clayton'].format(g='b', w='a')} AS y FROM u), q AS (SELECT *, {_H.format(g='y', v='b')} AS q FROM y), "
+    f"p AS (SELECT *, {_INV['frank'].format(g='q', w='d')} AS p FROM q) "
+    f"SELECT l_orderkey, round({_INV['clayton'].format(g='y', w='p')}, 6) AS x_u_n_lines, round(y, 6) AS x_u_sum_qty, round(b, 6) AS x_u_sum_price FROM p"
+)
+_add("vine_inverse_rosenblatt", lambda s, d: _three(DVineStructure([1, 2, 3])).inverse_rosenblatt(basket_u(s, d, ("n_lines", "sum_qty", "sum_price")), _COLS, "x_").select("l_orderkey", *(_r(f"x_{c}") for c in _COLS)), _INVERSE)
 _add("vine_cdf", lambda s, d: _three(DVineStructure([1, 2, 3])).cdf(basket_u(s, d, ("n_lines", "sum_qty", "sum_price")), _COLS, seeds=[1]).select("l_orderkey", "cdf"))
 _add("vine_simulate", lambda s, d: _three(CVineStructure([1, 2, 3])).simulate(s, 5000, True, [1]))
-_add("vine_tree_edges", lambda s, d: tree_nodes_edges(_three(DVineStructure([1, 2, 3])), s, 1)[1])
+_add(
+    "vine_tree_edges",
+    lambda s, d: tree_nodes_edges(_three(DVineStructure([1, 2, 3])), s, 1)[1].select("source", "target", "label", "copula", _r("tau")),
+    # Frank's tau is 1 - 4 / t * (1 - D(t)), with the Debye function D by Simpson's rule
+    "SELECT CAST(0 AS INTEGER) AS source, CAST(1 AS INTEGER) AS target, '1,3;2' AS label, 'Bicop frank, parameters = [5.0]' AS copula, round(1 - 4 / 5.0 * (1 - (SELECT sum((CASE WHEN k = 0 OR k = 1000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * CASE WHEN k = 0 THEN 1.0 ELSE (k / 200.0) / (exp(k / 200.0) - 1) END) / 600.0 / 5.0 FROM range(1001) r(k))), 6) AS tau",
+)
 
 # points and grids -------------------------------------------------------------------------------
 
@@ -327,13 +415,11 @@ _add("simulate_normal", lambda s, d: qrng.simulate_normal(s, 5000, 3, seeds=[1,
 _add("simulate_bicop", lambda s, d: Bicop("bb1", 0, (1.0, 1.5)).simulate(s, 5000, True, [1]))
 _add("empirical_quantile", lambda s, d: pobs.empirical_quantile(qrng.simulate_uniform(s, 2000, 1, seeds=[1]), _read(s, d, "customer"), {"u1": "c_acctbal"}))
 for _g in ("unif", "norm", "exp"):
-    _u = {"unif": "x", "norm": "x", "exp": "1 - exp(-x)"}[_g]
-    _v = _u.replace("x)", "y)") if _g == "exp" else "y"
+    _u = {"unif": "x", "norm": fit_sql.normal_cdf("x", 60), "exp": "1 - exp(-x)"}[_g]
+    _v = {"unif": "y", "norm": fit_sql.normal_cdf("y", 60), "exp": "1 - exp(-y)"}[_g]
     _lim = {"unif": (0.01, 0.99), "exp": (0.05, 6.0), "norm": (-3.0, 3.0)}[_g]
-    _sql = None
-    if _g != "norm":
-        _w = "1.0" if _g == "unif" else "exp(-x - y)"
-        _sql = f"WITH g AS (SELECT CAST(range // 40 AS INTEGER) AS i, CAST(range % 40 AS INTEGER) AS j FROM range(1600)), p AS (SELECT i, j, {_lim[0]} + i * ({_lim[1]} - {_lim[0]}) / 39 AS x, {_lim[0]} + j * ({_lim[1]} - {_lim[0]}) / 39 AS y FROM g), u AS (SELECT *, {_u} AS a, {_v} AS b FROM p) SELECT i, j, round(x, 6) AS x, round(y, 6) AS y, round({_one_sql('clayton', 'a', 'b')[0]} * {_w}, 6) AS density FROM u"
+    _w = {"unif": "1.0", "norm": "exp(-(x * x + y * y) / 2) / (2 * pi())", "exp": "exp(-x - y)"}[_g]
+    _sql = f"WITH g AS (SELECT CAST(range // 40 AS INTEGER) AS i, CAST(range % 40 AS INTEGER) AS j FROM range(1600)), p AS (SELECT i, j, {_lim[0]} + i * ({_lim[1]} - {_lim[0]}) / 39 AS x, {_lim[0]} + j * ({_lim[1]} - {_lim[0]}) / 39 AS y FROM g), u AS (SELECT *, {_u} AS a, {_v} AS b FROM p) SELECT i, j, round(x, 6) AS x, round(y, 6) AS y, round({_one_sql('clayton', 'a', 'b')[0]} * {_w}, 6) AS density FROM u"
     _add(f"density_grid_{_g}", lambda s, d, g=_g, lim=_lim: density_grid(s, Bicop("clayton", 0, (2.0,)), "surface", g, lim).select("i", "j", _r("x"), _r("y"), _r("density")), _sql)
 
 
