@@ -70,11 +70,77 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("part")).alias("taken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_ngram_jaccard_join, op3_toxicity, op4_embedding_near_dedup, op5_quality_rules, op6_line_dedup, op7_quality_classifier, op8_sentencepiece, op9_lm_deleted_interpolation, op10_source_mixing)}
+# what SQL can say of operators 1, 9 and 10
+
+
+def secret_scan_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_lm_deleted_interpolation(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    taken = mixing.mix(docs).groupBy("source").agg(F.max("source_size").alias("source_size"), F.round(F.max("target"), 3).alias("target"), F.sum(F.col("passes") * F.col("size") + F.col("part")).alias("taken"))
+    return taken.select("source", "source_size", "target", (F.abs(F.col("taken") - F.col("target")) <= F.greatest(F.lit(64.0), 0.01 * F.col("target"))).alias("near_target"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_ngram_jaccard_join, op3_toxicity, op4_embedding_near_dedup, op5_quality_rules, op6_line_dedup, op7_quality_classifier, op8_sentencepiece, op9_lm_deleted_interpolation, op10_source_mixing, secret_scan_base, lm_base, mixing_targets)}
 
 _BLANK = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_SECRETS = (
+    ("assign", r"""(?i:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?(?:[A-Za-z0-9+/_.=-]+)""", r"""regexp_extract(m, '(?i:(?:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1)""", 6),
+    ("access", "AKIA[A-Z0-9]+", "m", 20),
+    ("hex", "[0-9a-f]+", "m", 24),
+)
+
+
+def _secret_sql() -> str:
+    """Spans from the lengths of the matches and of the gaps between them."""
+    parts = []
+    for k, (kind, pattern, value, least) in enumerate(_SECRETS):
+        p = "'" + pattern.replace("'", "''") + "'"
+        parts.append(
+            f"SELECT doc_id, {k} AS kind, '{kind}' AS name, start, start + length(m) AS stop, length({value}) >= {least} AS ok FROM ("
+            f"SELECT doc_id, m, sum(length(g)) OVER w + sum(length(m)) OVER w - length(m) AS start FROM ("
+            f"SELECT doc_id, unnest(regexp_extract_all(t, {p})) AS m, unnest(list_slice(regexp_split_to_array(t, {p}), 1, len(regexp_extract_all(t, {p})))) AS g, unnest(range(len(regexp_extract_all(t, {p})))) AS i FROM d WHERE regexp_matches(t, {p})"
+            f") WINDOW w AS (PARTITION BY doc_id ORDER BY i))"
+        )
+    return (
+        "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS (" + " UNION ALL ".join(parts) + "), "
+        "f AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(name || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, kind) AS spans FROM s WHERE ok GROUP BY doc_id) "
+        "SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN f USING (doc_id)"
+    )
+
+
+#: crc32 of the id as text: eight shifts for each of its bytes.
+_CRC = "xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda acc, b: list_reduce(list_concat([xor(acc, b)], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)))"
+_LM_SQL = rf"""
+WITH t AS (
+  SELECT doc_id, {_CRC} % 7 = 2 AS held_out, list_append(list_filter(regexp_split_to_array({_LOW.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda w: w <> ''), '') AS words FROM documents
+), e AS (
+  SELECT doc_id, held_out, unnest(words) AS w FROM t
+), c AS (SELECT w, count(*) AS c FROM e WHERE NOT held_out GROUP BY w),
+n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1))), 4) AS base_score
+FROM e LEFT JOIN c USING (w), n GROUP BY doc_id, held_out"""
+#: Water filling: the level at which so many sources have stopped, for each number of them.
+_MIX_SQL = r"""
+WITH s AS (
+  SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS size FROM documents GROUP BY source
+), w AS (
+  SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s
+), r AS (
+  SELECT *, 3 * size / weight AS stop, row_number() OVER (ORDER BY 3 * size / weight, source NULLS LAST) - 1 AS k FROM w
+), l AS (
+  SELECT a.k, a.stop, ((SELECT sum(size) FROM r) - coalesce(sum(3 * b.size), 0)) / ((SELECT sum(weight) FROM r) - coalesce(sum(b.weight), 0)) AS level FROM r a LEFT JOIN r b ON b.k < a.k GROUP BY a.k, a.stop
+), c AS (SELECT arg_min(level, k) FILTER (stop >= level) AS level FROM l)
+SELECT source, CAST(size AS BIGINT) AS source_size, round(least(weight * coalesce(level, 1e300), 3.0 * size), 3) AS target, true AS near_target FROM r, c"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": r"""
 WITH RECURSIVE words AS (
@@ -160,4 +226,7 @@ WITH split AS (
 )
 SELECT s.doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - coalesce(k.n, 0) AS BIGINT) AS n_dropped, sha256(coalesce(k.text, '')) AS kept_sha256
 FROM split s LEFT JOIN kept k USING (doc_id)""",
+    "secret_scan_base": _secret_sql(),
+    "lm_base": _LM_SQL,
+    "mixing_targets": _MIX_SQL,
 }
