@@ -1,12 +1,15 @@
 """Toxicity with noisy-channel deobfuscation.
 
-A token that may be disguised (digits or signs beside letters, doubled or
-drawn-out letters, letters set apart) becomes a lattice of possible characters.  Viterbi decoding
-under a character trigram model of the whole corpus restores the likeliest
-text, and a logistic model scores the words and word beginnings of the restored
-text and of the plain one.  An opening bracket before a word is taken as a
-bracket.  A token without such marks has a single path through its lattice and is
-taken as it is.
+Every distinct token is a lattice of possible characters: a digit or sign may
+stand for a letter, a letter may repeat the one before it, a separator may have
+been put between letters.  Runs of tokens of one or two letters, and letters
+set apart by signs, are lattices of their own, in which a word may begin at
+each letter.  Viterbi decoding under a character trigram model of the whole
+corpus restores the likeliest text, and a logistic model scores the words and
+word beginnings of the restored text and of the plain one.  An opening bracket
+before a word is taken as a bracket.  A token without signs, digits, separators
+and doubled letters has a single path through its lattice, so it is what
+decoding it would give.
 """
 
 from __future__ import annotations
@@ -28,17 +31,18 @@ from .common import text_or_empty
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou", "#": "aeiou", "€": "e", "£": "l", "(": "c"}
 #: Cost of each event of the channel, in natural logarithms.
-COST = {"leet": 1.0, "same": 6.0, "repeat": 2.5, "edge": 1.5}
+COST = {"leet": 1.0, "same": 6.0, "repeat": 2.5, "edge": 1.5, "apart": 2.0}
+#: Signs that may have been put between letters.
+SEPARATORS = "._-*~"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 EDGE, OTHER = "_", "~"
 MEMO = 600_000
 BUCKETS = 1 << 20
 
 _SIGNS = "".join(c for c in LEET if not c.isdigit())
-_SIGN = "".join(map(re.escape, LEET))
-_DRAWN = re.compile(r"(.)\1\1|([^\W\d_])\2")
 _TWICE = re.compile(r"(.)\1")
-_HIDDEN = re.compile(rf"[{_SIGN}][^\W\d_]|[^\W\d_][{_SIGN}]")
+#: What gives a lattice more than one path.
+_MANY = re.compile(rf"[{''.join(map(re.escape, LEET))}]|(.)\1|[^\W_][{re.escape(SEPARATORS)}][^\W_]")
 _SET_APART = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+])([.\-_*])(?:(?:[^\W_]|[@$!|+])\1)+(?:[^\W_]|[@$!|+])(?![^\W_])")
 _TRIM = re.compile(r"^[\"'(\[{<«“„‘\-]+|(?:[.,;:?!)\]}>»”’\"'\-…]|([*#%&$])\1{2,})+$")
 _MARKS = re.compile(r"^[\"'(\[{<«“„‘\-]+|[.,;:?)\]}>»”’\"'\-…]+$")
@@ -97,8 +101,8 @@ class Decoder:
     def decode(self, token: str, apart: bool = False, drawn: bool = True) -> str:
         """The likeliest text behind ``token`` (lower case).
 
-        A character may stand for itself or for a letter it resembles, or
-        repeat the letter before it.  ``apart``: the token's characters stood
+        A character may stand for itself or for a letter it resembles, repeat
+        the letter before it, or be a separator put between letters.  ``apart``: the token's characters stood
         apart, so a new word may begin at each.  ``drawn``: a letter may be a
         repeated one.  A state is the last two symbols; the work grows linearly
         with the token.
@@ -114,7 +118,10 @@ class Decoder:
                 if state not in new or v < new[state][0]:
                     new[state] = (v, path)
 
+            between = c in SEPARATORS
             for (a, b, last), (v, path) in states.items():
+                if between and b > 1:
+                    put((a, b, ""), v + COST["apart"], path)
                 for x, price in options:
                     s = at.get(x, 1)
                     put((b, s, x), v + price + cost[a][b][s], (x, path))
@@ -135,15 +142,16 @@ class Restorer:
     """The distinct words of a text, restored, or what ``use`` makes of each; kept while a task runs."""
 
     def __init__(self, model: np.ndarray, use: Callable[[str], tuple] = lambda word: (word,)) -> None:
-        self.decoder, self.use, self.known, self.lone = Decoder(model), use, {}, {}
+        self.decoder, self.use, self.known, self.lone, self.runs = Decoder(model), use, {}, {}, {}
 
     def word(self, token: str) -> str:
-        if token.isalpha() and not _DRAWN.search(token):
+        """The restored token."""
+        if token.isalpha() and not _TWICE.search(token):
             return token
         bare = _TRIM.sub("", token)
         if _SET_APART.fullmatch(bare):
             return self.decoder.decode(bare[::2])
-        return self.decoder.decode(bare) if _HIDDEN.search(bare) or _DRAWN.search(bare) else bare
+        return self.decoder.decode(bare) if _MANY.search(bare) else bare
 
     def forms(self, token: str) -> set[str]:
         """The restored token, the token as it is, and what stands in it with its letters set apart by signs.
@@ -155,9 +163,9 @@ class Restorer:
             return {token, self.word(token)}
         bare, loose = _TRIM.sub("", token), _MARKS.sub("", token)
         out = {bare, self.word(token)}
-        if loose != bare and _HIDDEN.search(loose):  # marks at the end that may be letters
+        if loose != bare and _MANY.search(loose):  # marks at the end that may be letters
             out.add(self.decoder.decode(loose))
-        if _HIDDEN.search(bare) and _TWICE.search(bare):  # the hidden word may have the double letter
+        if _TWICE.search(bare) and not bare.isalpha():  # the hidden word may have the double letter
             out.add(self.decoder.decode(bare, drawn=False))
         for m in _SET_APART.finditer(token):
             out |= self.joined(m[0][::2])
@@ -168,6 +176,8 @@ class Restorer:
         out: set[str] = set()
         for r in {run, run.strip(_SIGNS) or run}:  # a sign at an end may be a letter or a mark
             out |= {*self.decoder.decode(r, True).split(" "), self.decoder.decode(r)}
+            if _TWICE.search(r):  # the hidden word may have the double letter
+                out.add(self.decoder.decode(r, drawn=False))
         return out
 
     def words(self, text: str) -> tuple[set, int]:
@@ -177,6 +187,8 @@ class Restorer:
         if len(known) >= MEMO:
             known.clear()
             lone.clear()
+        if len(self.runs) >= MEMO:
+            self.runs.clear()
         distinct = set(tokens)
         for token in distinct:
             w = known.get(token)
@@ -196,29 +208,38 @@ class Restorer:
                 run = [tokens[i] for i in single[start:k]]
                 start = k
                 for part in _parts(run, lone):
-                    for w in self.joined(part):
-                        out.update(self.use(w))
-                whole = "".join(lone[t] for t in run)
-                runs += len(whole) > 2 and len(set(whole)) > 1
+                    found = self.runs.get(part)
+                    if found is None:
+                        found = self.runs[part] = tuple({x for w in self.joined(part) for x in self.use(w)})
+                    out.update(found)
+                single_ = [lone[t] for t in run if len(lone[t]) == 1]
+                runs += len(single_) > 2 and len(set(single_)) > 1
         return out, runs
 
 
 def _lone(token: str) -> str:
-    """The one letter, digit or sign for a letter that ``token`` consists of beside punctuation, else ""."""
+    """The one or two letters, digits or signs for letters that ``token`` consists of beside punctuation, else ""."""
     c = token if len(token) == 1 else _TRIM.sub("", token)
-    return c if len(c) == 1 and (c.isalnum() or c in LEET) else ""
+    return c if 0 < len(c) < 3 and all(x.isalnum() or x in LEET for x in c) else ""
 
 
 def _parts(run: list[str], lone: dict[str, str]) -> set[str]:
-    """The letters of a run of lone tokens, whole and cut where punctuation stands, from three letters on."""
-    parts = ["".join(lone[t] for t in run), ""]
+    """The letters of a run of lone tokens: whole, cut where punctuation stands, and cut beside tokens of two; from three letters on."""
+    whole, parts, single = "".join(lone[t] for t in run), [""], [""]
     for t in run:
-        if len(t) > 1 and not t.startswith(lone[t]):
+        c = lone[t]
+        if not t.startswith(c):
             parts.append("")
-        parts[-1] += lone[t]
-        if len(t) > 1 and not t.endswith(lone[t]):
+            single.append("")
+        parts[-1] += c
+        if len(c) == 1:
+            single[-1] += c
+        else:
+            single.append("")
+        if not t.endswith(c):
             parts.append("")
-    return {p for p in parts if len(p) > 2 and len(set(p)) > 1}
+            single.append("")
+    return {p for p in (whole, *parts, *single) if len(p) > 2 and len(set(p)) > 1}
 
 
 def features(word: str) -> list[int]:

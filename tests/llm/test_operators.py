@@ -76,6 +76,12 @@ def test_secret_ownership(spark):
     got = by_id(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), repo=F.col("source"), owner=F.col("source")))
     assert got[0]["n_copied"] == 1 and got[0]["n_live"] == 0 and got[0]["n_owned"] == 0
     assert got[7]["n_live"] == 1 and got[8]["spans"] == "owned:5:29" and got[8]["n_owned"] == 1
+    # one owner, many repositories: a copied example as well
+    rows = [(i, "token=SHARED1234567", "s0", f"r{i}") for i in range(9)] + [(9, "token=alone9876543", "s0", "r0"), (10, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    got = by_id(secret_scan.scan(frame, repo=F.col("repo"), owner=F.col("source"), max_repos=8))
+    assert (got[0]["n_owners"], got[0]["n_repos"], got[0]["n_copied"], got[0]["n_live"]) == (1, 9, 1, 0)
+    assert (got[9]["n_repos"], got[9]["n_live"], got[10]["n_repos"], got[10]["spans"]) == (1, 1, 0, "")
 
 
 def _sets(texts, n=5):
@@ -183,6 +189,44 @@ def test_toxicity_doubled_letters_and_signs_at_the_end(spark):
     assert {"book", "street", "hello"} <= d.words("book street, hello!")[0]
 
 
+def test_toxicity_separators_digits_and_short_pieces(spark):
+    d = toxicity.Restorer(toxicity.character_model(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    for seen, plain in (("stupiid", "stupid"), ("loserr", "loser"), ("tr.ash", "trash"), ("st up id", "stupid"), ("a s s", "ass"), ("p-a-t-h-e-t-i-c", "pathetic")):
+        assert plain in d.words(seen)[0], (seen, d.words(seen)[0])
+    assert {"is", "it", "of", "the"} <= d.words("is it of the")[0] and d.words("is it of the")[1] == 0
+
+
+def _paths(token):
+    """Every reading of a token and its cost in the channel, without the language model."""
+    out = [((), 0.0, "")]
+    for c in token:
+        new = []
+        for path, price, last in out:
+            if c in toxicity.SEPARATORS and path and path[-1].isalpha():
+                new.append((path, price + toxicity.COST["apart"], ""))
+            for x, p in [*((x, toxicity.COST["leet"]) for x in toxicity.LEET.get(c, "")), (c, toxicity.COST["same"] if c in toxicity.LEET else 0.0)]:
+                new.append(((*path, x), price + p, x))
+                if x == last:
+                    new.append((path, price + p + toxicity.COST["repeat"], last))
+        out = new
+    return out
+
+
+def test_toxicity_decoder_is_the_best_of_all_paths(spark):
+    model = toxicity.character_model(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    d = toxicity.Decoder(model)
+
+    def cost(path):
+        s = [0, 0, *(d.at.get(x, 1) for x in path), 0]
+        return sum(-model[a, b, c] for a, b, c in zip(s, s[1:], s[2:]))
+
+    rng = random.Random(8)
+    for token in ["1d10t", "st00pid", "tr.a$h", "1337", "aabb", *("".join(rng.choice("aelst10$.") for _ in range(rng.randrange(1, 7))) for _ in range(60))]:
+        every = sorted((price + cost(path), "".join(path)) for path, price, _ in _paths(token))
+        near = {text for v, text in every if v < every[0][0] + 1e-9}
+        assert d.decode(token) in near, token
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.character_model(docs)
@@ -206,6 +250,81 @@ def test_classifier_edges(spark, docs, empty):
     assert toxicity.score(empty, toxicity.character_model(empty), tw, tb).count() == 0
 
 
+def test_quality_step_and_score_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    vectors, layer, bias = rng.normal(size=(2 * quality_classifier.BUCKETS, 2)), rng.normal(size=(2, 2)), rng.normal(size=2)
+    ids, shares = quality_classifier.counted("one two two three", {})
+    words = ["one", "two", "two", "three", ""]
+    every = [f for w in words for f in quality_classifier.features(w)]
+    own = [quality_classifier.features(w)[0] for w in words]
+    every += list(quality_classifier.bigrams(np.array(own)))
+    assert shares.sum() == pytest.approx(1) and dict(zip(ids.tolist(), shares.tolist())) == pytest.approx({f: n / len(every) for f, n in collections.Counter(map(int, every)).items()})
+    assert quality_classifier.bigrams(np.array(own))[1] == quality_classifier.AGAIN
+
+    def loss(v, a, b):
+        z = shares.astype(float) @ v[ids] @ a + b
+        return float(np.log(np.exp(z - z[1]).sum()))
+
+    before = vectors.copy(), layer.copy(), bias.copy()
+    quality_classifier.sgd_step(vectors, layer, bias, ids, shares, 1, 1e-4)
+    eps = 1e-5
+    for k in (0, 1):
+        for j in (0, 1):
+            v = before[0].copy()
+            v[ids[k], j] += eps
+            slope = (loss(v, *before[1:]) - loss(*before)) / eps
+            assert (before[0] - vectors)[ids[k], j] / 1e-4 == pytest.approx(slope, abs=1e-3)
+            a = before[1].copy()
+            a[k, j] += eps
+            assert (before[1] - layer)[k, j] / 1e-5 == pytest.approx((loss(before[0], a, before[2]) - loss(*before)) / eps, abs=1e-3)
+    weight = rng.normal(size=2 * quality_classifier.BUCKETS).astype(np.float32)
+    texts = ["one two two three", "", None, "a", "\U0001f600 b b b", "x " * 9000]
+    got = by_id(quality_classifier.score(spark.createDataFrame([*enumerate(texts), (None, "a")], "doc_id long, text string"), weight, 0.25))
+    for i, t in enumerate(texts):
+        ids, shares = quality_classifier.counted(t or "", {})
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-(0.25 + float(shares.astype(float) @ weight[ids])))), rel=1e-4)
+
+
+def test_columns_with_clashing_names_stay(spark):
+    rows = [(k, f"Shared line\nown line number {k} with several more words in it", "a" if k % 2 else None, k, k, k, k, k, k, k) for k in range(14)]
+    rows.append((3, rows[3][1], "a", 3, 3, 3, 3, 3, 3, 3))
+    names = ["doc_id", "text", "source", "_hits", "_kept", "_take", "_text_key", "row", "d", "k1"]
+    df = spark.createDataFrame(rows, names)
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == [*names, *line_dedup.ADDED] and {r["n_dropped"] for r in out.collect()} == {1}
+    assert all(r["kept_text"] == r["text"].split("\n")[1] and r["row"] == r["doc_id"] for r in out.collect())
+    kept = ngram_join.dedup(df)
+    assert kept.columns == names and sorted(r["doc_id"] for r in kept.collect()) == list(range(14))
+    mixed = mixing.mixed_rows(df)
+    r = mixing.mix(df).toPandas()
+    assert mixed.columns == names and {r["k1"] == r["doc_id"] for r in mixed.collect()} == {True}
+    words = mixed.select(F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).first()["n"]
+    assert words == int((r.passes * r["size"] + r.part).sum())
+
+
+def test_mixing_small_sources_and_equal_rows_of_null_source(spark):
+    df = spark.createDataFrame([(1, "a b c d", None), (1, "a b c d", ""), (2, "e f g h", "x"), (1, "a b c d", "x")], "doc_id long, text string, source string")
+    r = mixing.mix(df).toPandas()
+    r["taken"] = r["passes"] * r["size"] + r["part"]
+    g = r.groupby("source", dropna=False).agg(target=("target", "max"), taken=("taken", "sum"))
+    assert (abs(g.target - g.taken) <= 1).all() and (r.taken <= 3 * r["size"]).all()
+    words = mixing.mixed_rows(df).select(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"]
+    text = mixing.mixed_rows(df).select(F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).first()["n"]
+    assert text == r.taken.sum() and words >= text
+    one = mixing.mix(spark.createDataFrame([(1, "a b c d e f g h i j k l", "s")], "doc_id long, text string, source string")).first()
+    assert one["passes"] * 12 + one["part"] == 12
+
+
+def test_mixing_blocks_are_chosen_by_hash(spark):
+    df = spark.createDataFrame([(k, " ".join(f"w{k}_{j}" for j in range(100)), "a" if k % 4 else "b") for k in range(200)], "doc_id long, text string, source string")
+    r = [x for x in mixing.mix(df, weights=(1, 1)).collect() if x["passes"] == 0 and x["part"]]
+    assert {x["ranges"][0]["at"] for x in r} != {0} and all(x["part"] == sum(y["n"] for y in x["ranges"]) for x in r)
+    got = mixing.mixed_rows(df, weights=(1, 1)).where("source = 'a'").collect()
+    for x in got:
+        w = x["text"].split()
+        assert all(v.startswith(f"w{x['doc_id']}_") for v in w) and w == sorted(w, key=lambda v: int(v.split("_")[1]))
+
+
 def test_quality_classifier_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     w, b = quality_classifier.train(docs, labels, "quality", fold("doc_id", 5) != 0, max_docs=1500)
@@ -238,6 +357,39 @@ def test_embeddings(spark):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_sift_bounds_hold():
+    rng = np.random.default_rng(6)
+    for dim, spike in ((3, 1), (64, 1), (1536, 1), (4096, 4000)):
+        x = rng.standard_normal((40, dim))
+        x[:, 0] *= spike
+        for v in x:
+            data = embed_dedup.sketch(v)
+            off, q = np.frombuffer(data, np.float32, 1)[0], np.frombuffer(data, np.int8, offset=4).astype(float)
+            assert np.linalg.norm(v / np.linalg.norm(v) - q / np.linalg.norm(q)) <= off
+
+
+def test_embeddings_with_one_large_component(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for g in range(30):
+        c = rng.standard_normal(512) * 0.3
+        c[0] = 12.0
+        for k in range(4):
+            v = c + rng.standard_normal(512) * (0.05 if k < 2 else 0.22)
+            rows.append((len(rows), [float(x) for x in v], g % 2))
+    got = by_vec(embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")))
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lab = np.array([r[2] for r in rows])
+    link = (x @ x.T >= 0.93) & (lab[:, None] == lab)
+    want = link.sum() - len(rows)
+    assert want > 100 and sum(r["n_links"] for r in got.values()) >= 0.999 * want
+
+
+def by_vec(df):
+    return {r["vec_id"]: r for r in df.collect()}
+
+
 def test_quality_rules(docs, empty, texts):
     got = by_id(quality_rules.judge(docs))
     for i, t in enumerate(texts):
