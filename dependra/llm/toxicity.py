@@ -41,6 +41,7 @@ BUCKETS = 1 << 20
 
 _SIGNS = "".join(c for c in LEET if not c.isdigit())
 _TWICE = re.compile(r"(.)\1")
+_SIGN = re.compile(f"[{''.join(map(re.escape, LEET))}]")
 #: What gives a lattice more than one path.
 _MANY = re.compile(rf"[{''.join(map(re.escape, LEET))}]|(.)\1|[^\W_][{re.escape(SEPARATORS)}][^\W_]")
 _SET_APART = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+])([.\-_*])(?:(?:[^\W_]|[@$!|+])\1)+(?:[^\W_]|[@$!|+])(?![^\W_])")
@@ -108,27 +109,44 @@ class Decoder:
         with the token.
         """
         cost, at, edge = self.cost, self.at, self.at[EDGE]
+        if not apart and token.isalpha():
+            pairs = [i for i in range(1, len(token)) if token[i] == token[i - 1]] if drawn else []
+            if not pairs:  # one path
+                return token
+            if len(pairs) == 1:  # two paths, which differ around the pair
+                i = pairs[0]
+                p, x, n = (at.get(token[i - 2], 1) if i > 1 else edge), at.get(token[i], 1), (at.get(token[i + 1], 1) if i + 1 < len(token) else edge)
+                return token if cost[p][x][x] + cost[x][x][n] <= COST["repeat"] + cost[p][x][n] else token[:i] + token[i + 1 :]
         states: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(edge, edge, ""): (0.0, None)}
         for c in token:
-            options = [(x, COST["leet"]) for x in LEET.get(c, "")]
-            options.append((c, COST["same"] if c in LEET else 0.0))
+            options = [(x, COST["leet"], at[x]) for x in LEET.get(c, "")]
+            options.append((c, COST["same"] if c in LEET else 0.0, at.get(c, 1)))
             new: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
-
-            def put(state: tuple[int, int, str], v: float, path: tuple | None, new: dict = new) -> None:
-                if state not in new or v < new[state][0]:
-                    new[state] = (v, path)
-
             between = c in SEPARATORS
-            for (a, b, last), (v, path) in states.items():
+            get = new.get
+            for (a, b, last), known in states.items():
+                v, path = known
+                ahead = cost[a][b]
                 if between and b > 1:
-                    put((a, b, ""), v + COST["apart"], path)
-                for x, price in options:
-                    s = at.get(x, 1)
-                    put((b, s, x), v + price + cost[a][b][s], (x, path))
+                    state, w = (a, b, ""), v + COST["apart"]
+                    old = get(state)
+                    if old is None or w < old[0]:
+                        new[state] = w, path
+                for x, price, s in options:
+                    state, w = (b, s, x), v + price + ahead[s]
+                    old = get(state)
+                    if old is None or w < old[0]:
+                        new[state] = w, (x, path)
                     if apart and b != edge:
-                        put((edge, s, x), v + price + cost[a][b][edge] + cost[edge][edge][s] + COST["edge"], (x, (" ", path)))
+                        state, w = (edge, s, x), v + price + ahead[edge] + cost[edge][edge][s] + COST["edge"]
+                        old = get(state)
+                        if old is None or w < old[0]:
+                            new[state] = w, (x, (" ", path))
                     if drawn and x == last:
-                        put((a, b, last), v + price + COST["repeat"], path)
+                        state, w = (a, b, last), v + price + COST["repeat"]
+                        old = get(state)
+                        if old is None or w < old[0]:
+                            new[state] = w, path
             states = new
         path = min(((v + cost[a][b][edge], i, p) for i, ((a, b, _), (v, p)) in enumerate(states.items())))[2]
         out = []
@@ -163,7 +181,7 @@ class Restorer:
             return {token, self.word(token)}
         bare, loose = _TRIM.sub("", token), _MARKS.sub("", token)
         out = {bare, self.word(token)}
-        if loose != bare and _MANY.search(loose):  # marks at the end that may be letters
+        if loose != bare and _SIGN.search(loose):  # marks at the end that may be letters
             out.add(self.decoder.decode(loose))
         if _TWICE.search(bare) and not bare.isalpha():  # the hidden word may have the double letter
             out.add(self.decoder.decode(bare, drawn=False))
@@ -207,6 +225,8 @@ class Restorer:
                     continue
                 run = [tokens[i] for i in single[start:k]]
                 start = k
+                if len(run) < 2:  # no three letters
+                    continue
                 for part in _parts(run, lone):
                     found = self.runs.get(part)
                     if found is None:
