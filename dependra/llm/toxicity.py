@@ -42,6 +42,8 @@ BUCKETS = 1 << 20
 _SIGNS = "".join(c for c in LEET if not c.isdigit())
 _TWICE = re.compile(r"(.)\1")
 _SIGN = re.compile(f"[{''.join(map(re.escape, LEET))}]")
+#: Where a lattice may part into more than one path.
+_FIRST = re.compile(f"[{''.join(map(re.escape, LEET))}{re.escape(SEPARATORS)}]|(.)\\1")
 #: What gives a lattice more than one path.
 _MANY = re.compile(rf"[{''.join(map(re.escape, LEET))}]|(.)\1|[^\W_][{re.escape(SEPARATORS)}][^\W_]")
 _SET_APART = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+])([.\-_*])(?:(?:[^\W_]|[@$!|+])\1)+(?:[^\W_]|[@$!|+])(?![^\W_])")
@@ -118,7 +120,11 @@ class Decoder:
                 p, x, n = (at.get(token[i - 2], 1) if i > 1 else edge), at.get(token[i], 1), (at.get(token[i + 1], 1) if i + 1 < len(token) else edge)
                 return token if cost[p][x][x] + cost[x][x][n] <= COST["repeat"] + cost[p][x][n] else token[:i] + token[i + 1 :]
         states: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(edge, edge, ""): (0.0, None)}
-        for c in token:
+        at_first = _FIRST.search(token) if not apart else None
+        first = at_first.start() + (at_first[1] is not None) if at_first else 0
+        if first > 0:  # one path so far
+            states = {(at.get(token[first - 2], 1) if first > 1 else edge, at.get(token[first - 1], 1), token[first - 1]): (0.0, (token[:first], None))}
+        for c in token[first:]:
             options = [(x, COST["leet"], at[x]) for x in LEET.get(c, "")]
             options.append((c, COST["same"] if c in LEET else 0.0, at.get(c, 1)))
             new: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
