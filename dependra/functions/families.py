@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from .algebra import ARRAYS, COLUMNS
-from .special import bvn_cdf, norm_cdf, norm_ppf, t_cdf, t_pdf, t_ppf
+from .special import bvn_cdf, bvt_cdf, norm_cdf, norm_ppf, t_cdf, t_pdf, t_ppf
 
 NAMES = ("indep", "gaussian", "student", "clayton", "gumbel", "frank", "joe", "bb1", "bb6", "bb7", "bb8", "tawn", "tll")
 
@@ -243,13 +243,7 @@ def student(a: np.ndarray, b: np.ndarray, p: tuple[float, ...], what: str) -> np
     if what == "pdf":
         k = math.lgamma((nu + 2) / 2) + math.lgamma(nu / 2) - 2 * math.lgamma((nu + 1) / 2) - 0.5 * math.log(1 - rho * rho)
         return np.exp(k - (nu + 2) / 2 * np.log1p((s * s + t * t - 2 * rho * s * t) / (nu * (1 - rho * rho))) + (nu + 1) / 2 * (np.log1p(s * s / nu) + np.log1p(t * t / nu)))
-    nodes, weights = np.polynomial.legendre.leggauss(48)
-    total = np.zeros(len(s))
-    for x, w in zip(nodes, weights):  # C(a, b) is the integral of h1 over the first argument; the square keeps nodes near 0
-        z = (x + 1) / 2
-        q = t_ppf(a * z * z, nu)
-        total += w * z * a * t_cdf((t - rho * q) * np.sqrt((nu + 1) / ((nu + q * q) * (1 - rho * rho))), nu + 1)
-    return total
+    return bvt_cdf(s, t, rho, nu)
 
 
 def student_hinv1(w: np.ndarray, a: np.ndarray, p: tuple[float, ...]) -> np.ndarray:

@@ -574,7 +574,9 @@ def fit_many(df: DataFrame, models: list[list[tuple[str, int]]], pairs: list[tup
             t = -taus[k] if rotation in (90, 270) else taus[k]
             item = {"pair": k, "family": family, "rotation": rotation, "fixed": True, "grid": None, "npars": None, "p": ()}
             if family == "tll":
-                item["grid"], item["npars"] = tll.fit_grid(tll.score_counts(df, *pairs[k], controls.weights), controls.nonparametric_method, controls.nonparametric_mult)
+                shape = controls.nonparametric_method, controls.nonparametric_mult
+                counts = tll.box_counts(df, *pairs[k], var_types[k], controls.weights, *shape) if "d" in var_types[k] else tll.score_counts(df, *pairs[k], controls.weights)
+                item["grid"], item["npars"] = tll.fit_grid(counts, *shape)
             elif family != "indep" and itau:
                 if family not in fam.SETS["itau"]:
                     raise RuntimeError(f"itau isn't available for {family}")

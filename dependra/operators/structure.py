@@ -44,6 +44,8 @@ class RVineStructure:
 
     @classmethod
     def from_order(cls, order: list[int], trunc_lvl: int = UNTRUNCATED, check: bool = True) -> RVineStructure:
+        if check and sorted(order) != list(range(1, len(order) + 1)):
+            raise RuntimeError("the order must hold each of 1 .. d once")
         return DVineStructure(order, trunc_lvl)
 
     @classmethod

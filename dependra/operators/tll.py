@@ -7,16 +7,22 @@ normalisation of the margins work on the grid alone, whose size is fixed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.algebra import ARRAYS, TRIM
-from ..functions.special import norm_cdf, norm_pdf, normal_score
+from ..functions.special import norm_cdf, norm_pdf, norm_ppf, normal_score
+from ..plans.staging import staged
 from .pobs import present
 
 #: Cells per axis of the count, points per axis of the density, range of normal scores.
 CELLS, POINTS, REACH = 120, 41, 3.25
+#: Places per discrete axis of a row's box, and passes that move its mass towards the fitted density.
+PLACES, ROUNDS = 8, 4
 
 
 def score_counts(df: DataFrame, a: str, b: str, weights: str | None = None) -> np.ndarray:
@@ -31,6 +37,47 @@ def score_counts(df: DataFrame, a: str, b: str, weights: str | None = None) -> n
     return out
 
 
+def box_counts(df: DataFrame, a: str, b: str, types: list[str], weights: str | None = None, method: str = "constant", mult: float = 1.0) -> np.ndarray:
+    """Expected counts as of ``score_counts`` where a variable is discrete ("d", with a left limit ``<name>_lo``).
+
+    A discrete row is known up to a box of the unit square.  Its mass is dealt
+    over PLACES equal shares of each discrete axis, evenly in the first pass and
+    by the density fitted to the last pass's counts in later ones.  Rows are
+    written once; a pass returns at most CELLS x CELLS sums of each task, added
+    up by Spark.  Rows with a missing value or limit are left out.
+    """
+    trim = lambda c: F.least(F.greatest(F.col(c).cast("double"), F.lit(TRIM)), F.lit(1 - TRIM))
+    low = [f"{c}_lo" if k == "d" else c for c, k in zip((a, b), types)]
+    w = F.col(weights).cast("double") if weights else F.lit(1.0)
+    there = present(F.col(a)) & present(F.col(b)) & present(F.col(low[0])) & present(F.col(low[1]))
+    rows = df.where(there).select(trim(low[0]).alias("a_lo"), trim(a).alias("a"), trim(low[1]).alias("b_lo"), trim(b).alias("b"), w.alias("w"))
+    rows = staged(rows.groupBy("a_lo", "a", "b_lo", "b").agg(F.sum("w").alias("w")), "boxes")
+    shares = [(np.arange(PLACES) + 0.5) / PLACES if k == "d" else np.ones(1) for k in types]
+    grid: np.ndarray | None = None
+    out = np.zeros((CELLS, CELLS))
+    for _ in range(ROUNDS):
+
+        def dealt(parts: Iterator[pd.DataFrame], grid: np.ndarray | None = grid) -> Iterator[pd.DataFrame]:
+            sums = np.zeros((CELLS, CELLS))
+            for pdf in parts:
+                u, v = ((pdf[f"{c}_lo"].to_numpy()[:, None] + s * (pdf[c] - pdf[f"{c}_lo"]).to_numpy()[:, None]) for c, s in zip("ab", shares))
+                u, v = np.broadcast_arrays(u[:, :, None], v[:, None, :])
+                mass = np.ones(u.shape) if grid is None else np.maximum(Grid(grid).pdf(u, v), 1e-12)
+                mass = mass * (pdf["w"].to_numpy() / mass.sum((1, 2)))[:, None, None]
+                i, j = (np.clip(((norm_ppf(ARRAYS, x) + REACH) * (CELLS / (2 * REACH))).astype(int), 0, CELLS - 1) for x in (u, v))
+                np.add.at(sums, (i, j), mass)
+            i, j = np.nonzero(sums)
+            yield pd.DataFrame({"i": i, "j": j, "w": sums[i, j]})
+
+        got = rows.mapInPandas(dealt, "i int, j int, w double").groupBy("i", "j").agg(F.sum("w").alias("w")).toPandas()
+        out = np.zeros((CELLS, CELLS))
+        out[got["i"], got["j"]] = got["w"]
+        if not out.sum():
+            break
+        grid = fit_grid(out, method, mult)[0]
+    return out
+
+
 def grid_points() -> np.ndarray:
     """Copula-scale places of the grid's lines."""
     return norm_cdf(ARRAYS, np.linspace(-REACH, REACH, POINTS))

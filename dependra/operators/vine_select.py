@@ -146,8 +146,9 @@ def _prepared(df: DataFrame, columns: list[str], types: list[str], weights: str
 def select_vine(df: DataFrame, columns: list[str], structure: RVineStructure | None, var_types: list[str] | None, controls: FitControlsVinecop) -> Vinecop:
     """A vine for copula-scale columns.
 
-    Without a structure, each tree is a spanning tree of largest |criterion|
-    under the proximity condition.  With automatic truncation, a tree that
+    The trees of ``structure`` stay; each tree above them is a spanning tree of
+    largest |criterion| under the proximity condition, up to the controls'
+    truncation level.  The array may list the kept trees in another order.  With automatic truncation, a tree that
     doesn't lower mBICV ends the search; with an automatic threshold, the one of
     least mBICV among the fitted magnitudes of tau is taken and the vine
     selected again under it.
@@ -175,8 +176,9 @@ def select_vine(df: DataFrame, columns: list[str], structure: RVineStructure | N
         pair_controls.selection_criterion = "mbic"
     rng = np.random.default_rng(controls.seeds or None)
     trunc = min(controls.trunc_lvl, d - 1)
-    if structure is not None:
+    if structure is not None and trunc <= structure.trunc_lvl:
         return _on_structure(work, structure, types, pair_controls, trunc, controls)
+    kept = _levels(structure, structure.trunc_lvl) if structure is not None else []
     level = [_Edge((-1 - j, -1 - j), (j + 1, j + 1), frozenset(), ("", "")) for j in range(d)]
     for j, v in enumerate(level):
         v.h = {j + 1: f"_v{j + 1}"}
@@ -185,18 +187,26 @@ def select_vine(df: DataFrame, columns: list[str], structure: RVineStructure | N
     for t in range(d - 1):
         pairs = [(i, j) for i in range(d) for j in range(i + 1, d)] if t == 0 else _candidates(level)
         edges = []
+        if t < len(kept):
+            edges = kept[t]
+            for e in edges:
+                a, b = e.cond
+                e.columns = (f"_v{a}", f"_v{b}") if t == 0 else (level[e.nodes[0]].h[a], level[e.nodes[1]].h[b])
+            pairs = []
         for i, j in pairs:
             x, y = level[i], level[j]
             (a,), (b,) = x.full - y.full, y.full - x.full
             edges.append(_Edge((i, j), (a, b), frozenset(x.full & y.full), (x.h.get(a, ""), y.h.get(b, ""))))
         if t >= trunc or done:  # any tree under the proximity condition completes the array
-            trees.append([edges[k] for k in spanning_tree(len(level), pairs, [1.0] * len(pairs), "mst_kruskal", rng)])
+            trees.append(edges if t < len(kept) else [edges[k] for k in spanning_tree(len(level), pairs, [1.0] * len(pairs), "mst_kruskal", rng)])
             level = trees[-1]
             for e in level:
                 e.h = dict.fromkeys(e.cond, "")
             continue
-        weights = [abs(x) for x in dependence(work, [e.columns for e in edges], controls.tree_criterion, pair_controls.weights)]
-        tree = [edges[k] for k in spanning_tree(len(level), pairs, weights, controls.tree_algorithm, rng)]
+        tree = edges
+        if t >= len(kept):
+            weights = [abs(x) for x in dependence(work, [e.columns for e in edges], controls.tree_criterion, pair_controls.weights)]
+            tree = [edges[k] for k in spanning_tree(len(level), pairs, weights, controls.tree_algorithm, rng)]
         for e, pc in zip(tree, select_many(work, [e.columns for e in tree], pair_controls, [[types[e.cond[0] - 1], types[e.cond[1] - 1]] for e in tree], controls.threshold)):
             e.copula = pc
         if controls.show_trace:

@@ -59,7 +59,7 @@ class Vinecop:
 
     @classmethod
     def from_data(cls, df: DataFrame, columns: list[str], structure: RVineStructure | None = None, matrix: object = None, var_types: list[str] | None = None, controls: FitControlsVinecop | None = None) -> Vinecop:
-        """Selected on copula-scale columns; the structure too, unless it is given."""
+        """Selected on copula-scale columns; the structure too, above the trees that are given."""
         from .vine_select import select_vine
 
         if structure is not None and matrix is not None:
@@ -72,15 +72,14 @@ class Vinecop:
         """Families and parameters anew.
 
         Trees that this vine has keep their structure; if the controls allow
-        more trees than it has, the structure is selected anew.
+        more trees than it has, the structure of the higher ones is selected.
         """
         from .vine_select import select_vine
 
         c = controls or FitControlsVinecop()
-        keep = self.trunc_lvl >= min(c.trunc_lvl, self.dim - 1) and self.dim > 1 and self.trunc_lvl > 0
         if not c.select_families:
             return self.fit(df, columns, c.bicop())
-        return select_vine(df, columns, self.structure if keep else None, self.var_types, c)
+        return select_vine(df, columns, self.structure if self.trunc_lvl > 0 else None, self.var_types, c)
 
     def fit(self, df: DataFrame, columns: list[str], controls: FitControlsBicop | None = None) -> Vinecop:
         """Parameters anew; structure and families stay."""
@@ -370,7 +369,10 @@ class Vinecop:
 
     @classmethod
     def from_json(cls, text: str, check: bool = True) -> Vinecop:
-        return cls.from_dict(json.loads(text))
+        out = cls.from_dict(json.loads(text))
+        if check:
+            out.structure._check()
+        return out
 
     def to_file(self, path: str) -> None:
         with open(path, "w") as f:

@@ -17,6 +17,7 @@ from ..operators import pobs
 from ..operators.bicop import Bicop
 from ..operators.controls import FitControlsBicop, FitControlsVinecop
 from ..operators.grids import density_grid
+from ..operators.probability import bivariate_probability
 from ..operators.vinecop import CVineStructure, DVineStructure, RVineStructure, Vinecop, tree_nodes_edges
 from . import fit_sql
 from .cluster import ship
@@ -239,6 +240,24 @@ _add(
 )
 
 
+def _bivariate(rho: float, nu: float | None) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        z = basket_u(s, d).select("l_orderkey", ((F.col("u_sum_qty") - 0.5) * 6).alias("x"), ((F.col("u_sum_price") - 0.5) * 6).alias("y"))
+        return bivariate_probability(z, "x", "y", rho, nu).select("l_orderkey", _r("p", 5))
+
+    return run
+
+
+# P(X <= x, Y <= y) is the integral of the density of X up to x times the conditional distribution of Y: Simpson's rule in w, s = x - w / (1 - w)
+_BIVARIATE = (
+    "WITH {u}, z AS (SELECT l_orderkey, (a - 0.5) * 6 AS x, (b - 0.5) * 6 AS y FROM u), k AS (SELECT k / 400.0::DOUBLE AS w, CASE WHEN k = 0 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END / 1200.0::DOUBLE AS h FROM range(400) r(k)), "
+    "n AS (SELECT l_orderkey, y, h / ((1 - w) * (1 - w)) AS h, x - w / (1 - w) AS s FROM z, k), c AS (SELECT l_orderkey, h, s, {z} AS z FROM n) "
+    "SELECT l_orderkey, round(sum(h * {density} * {cdf}), 5) AS p FROM c GROUP BY l_orderkey"
+)
+_add("bivariate_normal", _bivariate(-0.6, None), _BIVARIATE.format(u=BASKET_U, z="(y + 0.6 * s) / 0.8", density="exp(-s * s / 2) / sqrt(2 * pi())", cdf=fit_sql.normal_cdf("z")))
+_add("bivariate_student", _bivariate(0.5, 4.0), _BIVARIATE.format(u=BASKET_U, z="(y - 0.5 * s) * sqrt(5 / ((4 + s * s) * 0.75))", density="0.375 * pow(1 + s * s / 4, -2.5)", cdf=_T5.format(z="z")))
+
+
 def _inverse(family: str, theta: float) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
         m = Bicop(family, 0, (theta,))
@@ -318,6 +337,10 @@ for _f in ("gaussian", "clayton", "gumbel", "frank", "joe", "student", "bb1", "b
 for _f in fit_sql.TWO:
     _add(f"fit_{_f}_loglik", lambda s, d, f=_f: _fit(f)(s, d).select("family", "rotation", F.round("loglik", 2).alias("loglik"), "nobs"), fit_sql.two_parameters(_f, BASKET_U))
 _add("select_bicop", lambda s, d: _fitted(Bicop.from_data(basket_u(s, d), "u_sum_qty", "u_sum_price", FitControlsBicop(family_set=["indep", "gaussian", "student", "clayton", "gumbel", "frank", "joe", "bb1", "bb7"])), s))
+_add(
+    "fit_tll_discrete",
+    lambda s, d: _fitted(Bicop.from_data(pobs.discrete_margins(pobs.pseudo_obs(basket(s, d), ["sum_price"]), "n_lines"), "u_n_lines", "u_sum_price", FitControlsBicop(family_set=["tll"]), ["d", "c"]), s),
+)
 _add("select_bicop_itau", lambda s, d: _fitted(Bicop.from_data(basket_u(s, d), "u_sum_qty", "u_sum_price", FitControlsBicop(family_set=["indep", "gaussian", "student", "clayton", "gumbel", "frank", "joe"], parametric_method="itau")), s))
 
 # vines ---------------------------------------------------------------------------------------
@@ -382,6 +405,16 @@ def _selected(spark: SparkSession, sf_dir: str, **controls: object) -> Vinecop:
 
 for _a in ("mst_prim", "mst_kruskal", "random_weighted", "random_unweighted"):
     _add(f"vine_select_{_a}", lambda s, d, a=_a: _selected(s, d, tree_algorithm=a, seeds=[1]).table(s))
+
+
+
+def _higher(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = basket_u(spark, sf_dir, ("n_lines", "sum_qty", "sum_price"))
+    m = Vinecop.from_structure(DVineStructure([1, 3, 2], 1))
+    return m.select(u, _COLS, FitControlsVinecop(family_set=["indep", "clayton", "gumbel", "frank"])).table(spark)
+
+
+_add("vine_select_higher_trees", _higher)
 _add("vine_select_truncated", lambda s, d: _selected(s, d, select_trunc_lvl=True).table(s))
 # y from z, then x from y and the rank of z given y
 _H = "pow({g}, -3.0) * pow(pow({g}, -2.0) + pow({v}, -2.0) - 1, -1.5)"
