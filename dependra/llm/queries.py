@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.cluster import ship
-from . import embed_dedup, line_dedup, lm_score, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, toxicity
+from . import decontaminate, divergence, embed_dedup, hard_negatives, line_dedup, lm_score, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, toxicity
 from .common import fold, table
 
 #: Vocabulary file of the tokenizer query; a parameter, never copied into the repository.
@@ -70,6 +70,23 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("part")).alias("taken"))
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), columns=["doc_id"])
+    hit = decontaminate.n_hit()
+    items = F.transform("matches", lambda m: m["item_id"])
+    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("matches").cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_documents(spark, sf_dir))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(ship(spark), sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", label.alias("label"), hard_negatives.whole_vectors(F.col("embedding")).alias("vector")), F.col("vec_id") % 50 == 0)
+
+
 # what SQL can say of operators 1, 9 and 10
 
 
@@ -87,7 +104,7 @@ def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("source", "source_size", "target", (F.abs(F.col("taken") - F.col("target")) <= F.greatest(F.lit(64.0), 0.01 * F.col("target"))).alias("near_target"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_ngram_jaccard_join, op3_toxicity, op4_embedding_near_dedup, op5_quality_rules, op6_line_dedup, op7_quality_classifier, op8_sentencepiece, op9_lm_deleted_interpolation, op10_source_mixing, secret_scan_base, lm_base, mixing_targets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_ngram_jaccard_join, op3_toxicity, op4_embedding_near_dedup, op5_quality_rules, op6_line_dedup, op7_quality_classifier, op8_sentencepiece, op9_lm_deleted_interpolation, op10_source_mixing, op11_benchmark_decontamination, op12_source_divergence, op13_hard_negatives, secret_scan_base, lm_base, mixing_targets)}
 
 _BLANK = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -226,6 +243,64 @@ WITH split AS (
 )
 SELECT s.doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - coalesce(k.n, 0) AS BIGINT) AS n_dropped, sha256(coalesce(k.text, '')) AS kept_sha256
 FROM split s LEFT JOIN kept k USING (doc_id)""",
+    "op11_benchmark_decontamination": rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '{decontaminate.TERM}') AS w FROM documents
+), b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '{decontaminate.TERM}') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)
+), found AS (
+  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+), hits AS (
+  SELECT doc_id, i, n, item_id FROM found JOIN windows USING (n, g)
+), counted AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN counted USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op12_source_divergence": rf"""
+WITH each AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS row, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), terms AS (
+  SELECT lang, source, row, unnest(w) AS term FROM each
+), vocabulary AS (
+  SELECT lang, term, count(*) AS lang_n FROM terms GROUP BY lang, term HAVING count(DISTINCT row) >= 3
+), kept AS (
+  SELECT lang, source, term, count(*) AS n FROM terms JOIN vocabulary USING (lang, term) GROUP BY lang, source, term
+), grouped AS (
+  SELECT lang, source, CAST(coalesce(total, 0) AS HUGEINT) AS total, CAST(coalesce(v, 0) AS HUGEINT) AS v, sum(coalesce(total, 0)) OVER (PARTITION BY lang) AS lang_total
+  FROM (SELECT DISTINCT lang, source FROM each) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM kept GROUP BY lang, source) USING (lang, source) LEFT JOIN (SELECT lang, count(*) AS v FROM vocabulary GROUP BY lang) USING (lang)
+), cells AS (
+  SELECT g.lang, g.source, t.term, t.lang_n, coalesce(k.n, 0) AS n, 1 + (1000000000 * (coalesce(k.n, 0) + 1)) // (g.total + g.v) AS p, 1 + (1000000000 * (CAST(t.lang_n AS HUGEINT) + 1)) // (g.lang_total + g.v) AS base
+  FROM grouped g JOIN vocabulary t USING (lang) LEFT JOIN kept k USING (lang, source, term)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value FROM grouped a JOIN grouped b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS f FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source) s
+  ON a.lang = s.lang AND a.source = s.source AND b.source = s.item
+), single AS (
+  SELECT lang, source, term AS item, CAST(((p - base) * (p - base)) // base AS BIGINT) AS value FROM cells WHERE n > 0 AND p > base
+)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
+UNION ALL
+SELECT lang, source, 'term', item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM single QUALIFY rank <= 200""",
+    "op13_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e, row_number() OVER () AS row
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, a.row AS a, a.label = b.label AS same, b.vec_id AS id, b.row AS b, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.row <> b.row AND len(a.e) = len(b.e)
+), positives AS (
+  SELECT anchor_id, a, b, id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.a = p.a AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3""",
     "secret_scan_base": _secret_sql(),
     "lm_base": _LM_SQL,
     "mixing_targets": _MIX_SQL,
