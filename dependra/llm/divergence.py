@@ -25,7 +25,9 @@ TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else
 #: Entries that a task counts before it hands them on; bytes of text cut into terms at once.
 FLUSH, PIECE = 400_000, 4_000_000
 #: Sources of a block; (term, source) rows of a chunk of a language's terms, about.
-SOURCES, CHUNK = 8, 100_000
+SOURCES, CHUNK = 32, 150_000
+#: Groups up to which their totals are broadcast.
+SMALL = 20_000
 #: Scale of the probabilities.
 SCALE = 1_000_000_000
 
@@ -77,9 +79,10 @@ def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", tex
 
     kept (lang, source, term, n, lang_n): terms in at least ``min_docs`` rows of
     their language, where a source has them.  groups (lang, source, number,
-    n_sources, total, lang_total, v): every occurring group, its place among the
-    language's sources in code point order from 0, the sum of its kept counts,
-    that of the language, the number of kept terms.
+    n_sources, total, lang_total, lang_rows, v): every occurring group, its
+    place among the language's sources in code point order from 0, the sum of
+    its kept counts, that of the language, the language's rows of ``kept``, the
+    number of kept terms.
     """
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(empty(lang).alias("lang"), empty(source).alias("source"), text_or_empty(text).alias("text"))
@@ -88,13 +91,21 @@ def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", tex
     per_term = each.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("lang", "term", "lang_n")
     kept = staged(each.select("lang", "source", "term", "n").join(per_term, ["lang", "term"]), "kept")
     found = rows.select("lang", "source").distinct()
-    totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("rows"))
     per_lang = kept.select("lang", "term").distinct().groupBy("lang").agg(F.count("*").alias("v"))
     own = Window.partitionBy("lang")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    groups = found.join(totals, ["lang", "source"], "left").join(per_lang, "lang", "left").select("lang", "source", zero("total"), zero("v"))
-    groups = groups.withColumns({"number": (F.row_number().over(own.orderBy("source")) - 1).cast("int"), "n_sources": F.count("*").over(own).cast("int"), "lang_total": F.sum("total").over(own)})
-    return kept, staged(groups, "groups")
+    groups = found.join(totals, ["lang", "source"], "left").join(per_lang, "lang", "left").select("lang", "source", zero("total"), zero("rows"), zero("v"))
+    groups = groups.withColumns({"number": (F.row_number().over(own.orderBy("source")) - 1).cast("int"), "n_sources": F.count("*").over(own).cast("int"), "lang_total": F.sum("total").over(own), "lang_rows": F.sum("rows").over(own)})
+    return kept, staged(groups.drop("rows"), "groups")
+
+
+def _of_group(kept: DataFrame, groups: DataFrame, columns: list[str]) -> DataFrame:
+    """``kept`` with ``columns`` of its groups; the rows of a group stay in many tasks."""
+    side = groups.select("lang", "source", *columns)
+    if groups.count() <= SMALL:
+        return kept.join(F.broadcast(side), ["lang", "source"])
+    return kept.join(side, ["lang", "source"]).repartition("lang", "source", "term")
 
 
 def probability(count: Column | str, total: Column | str, v: Column | str) -> Column:
@@ -119,10 +130,9 @@ def joint_histograms(kept: DataFrame, groups: DataFrame, sources: int = SOURCES,
     whole language or term, and no pair of rows is written.  A group returns its
     distinct combinations, which are then added up.
     """
-    per_lang = kept.groupBy("lang").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    rows = kept.join(groups.select("lang", "source", "number", "n_sources"), ["lang", "source"]).join(per_lang, "lang")
+    rows = _of_group(kept, groups, ["number", "n_sources", "lang_rows"])
     own, last = F.floor(F.col("number") / sources).cast("int"), F.floor((F.col("n_sources") - 1) / sources).cast("int")
-    rows = rows.select("lang", F.pmod(F.xxhash64(F.lit(5), "term"), "chunks").alias("chunk"), F.xxhash64(F.lit(11), "term").alias("t1"), F.xxhash64(F.lit(29), "term").alias("t2"), "number", "n", "n_sources", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    rows = rows.select("lang", F.pmod(F.xxhash64(F.lit(5), "term"), F.ceil(F.col("lang_rows") / chunk)).alias("chunk"), F.xxhash64(F.lit(11), "term").alias("t1"), F.xxhash64(F.lit(29), "term").alias("t2"), "number", "n", "n_sources", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
     rows = rows.select("lang", "chunk", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "t1", "t2", "number", "n", "n_sources")
 
     def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -145,7 +155,7 @@ def joint_histograms(kept: DataFrame, groups: DataFrame, sources: int = SOURCES,
         return pd.concat(out) if out else pd.DataFrame({"lang": pd.Series(dtype=str), **{c: pd.Series(dtype=np.int64) for c in ("a", "b", "ca", "cb", "m")}})
 
     schema = "lang string, a int, b int, ca bigint, cb bigint, m bigint"
-    return rows.groupBy("lang", "chunk", "i", "j").applyInPandas(count, schema).groupBy("lang", "a", "b", "ca", "cb").agg(F.sum("m").alias("m"))
+    return rows.repartition("lang", "chunk", "i", "j").groupBy("lang", "chunk", "i", "j").applyInPandas(count, schema).groupBy("lang", "a", "b", "ca", "cb").agg(F.sum("m").alias("m"))
 
 
 def pair_divergences(kept: DataFrame, groups: DataFrame, **options: int) -> DataFrame:
@@ -179,7 +189,7 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     """
     kept, groups = term_counts(docs, lang, source, text, min_docs)
     pairs = pair_divergences(kept, groups, **options).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
-    met = kept.join(groups.select("lang", "source", "total", "lang_total", "v"), ["lang", "source"])
+    met = _of_group(kept, groups, ["total", "lang_total", "v"])
     p, q = probability("n", "total", "v"), probability("lang_n", "lang_total", "v")
     terms = met.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), p.alias("p"), q.alias("q")).where("p > q").select("lang", "source", "part", "item", divergence(F.col("p"), F.col("q")).alias("value"))
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")).cast("int")

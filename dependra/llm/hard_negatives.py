@@ -141,7 +141,11 @@ def search(ax: np.ndarray, anchor: dict[str, np.ndarray], cx: np.ndarray, candid
             else:
                 score = np.array([[float(min(LONG, max(-LONG, sum(int(u) * int(v) for u, v in zip(a, b))))) for b in kx[some]] for a in qx[at]])
             rows = c_tree.order[some]
-            i, j = np.nonzero((score >= low[w][:, None]) & (score <= high[w][:, None]) & (anchor["row"][anchor["of"][w]][:, None] != candidate["row"][rows][None]))
+            fits = (score >= low[w][:, None]) & (score <= high[w][:, None]) & (anchor["row"][anchor["of"][w]][:, None] != candidate["row"][rows][None])
+            if score.shape[1] >= k and fits.sum() > k * len(w):  # the k-th of this leaf alone is a bound already
+                low[w] = np.maximum(low[w], np.partition(np.where(fits, score, -np.inf), -k, axis=1)[:, -k])
+                fits &= score >= low[w][:, None]
+            i, j = np.nonzero(fits)
             if len(i):
                 pend.append((w[i], rows[j], score[i, j]))
                 size += len(i)
@@ -200,9 +204,13 @@ def _leaf_of(nodes: list[tuple], x: np.ndarray) -> np.ndarray:
 
 
 def _deal(rows: DataFrame, block_rows: int, sample_rows: int) -> DataFrame:
-    """Adds ``leaf``: where the row's vector lies in a shallow tree fitted on ``sample_rows`` rows; every row gets one."""
-    counts = {r["dim"]: r["n"] for r in rows.groupBy("dim").count().withColumnRenamed("count", "n").orderBy(F.desc("n")).limit(64).collect()}
-    sample = rows.select("dim", "v", F.xxhash64(F.lit(13), "row").alias("h")).orderBy("h").limit(sample_rows).collect()
+    """Adds ``leaf``: where the row's vector lies in a shallow tree fitted on about ``sample_rows`` rows; every row gets one."""
+    found = rows.groupBy("dim").agg(F.count("*").alias("n"))
+    counts = {r["dim"]: r["n"] for r in found.orderBy(F.desc("n")).limit(64).collect()}
+    # a share of the rows by a hash, so that each task sends its own few
+    parts = 1 << 30
+    share = min(parts, -(-parts * sample_rows // max(1, sum(counts.values()))))
+    sample = rows.where(F.pmod(F.xxhash64(F.lit(13), "row"), F.lit(parts)) < share).select("dim", "v").collect()
     trees: dict[int, list[tuple]] = {}
     for dim, n in counts.items():
         x = np.array([r["v"] for r in sample if r["dim"] == dim], float).reshape(-1, dim)
