@@ -208,7 +208,7 @@ def test_hard_negatives_against_brute_force(spark, seed):
 def test_pruning_drops_whole_groups(monkeypatch):
     """Far clusters aren't scored, and what is found is the same as by scoring all."""
     rng = np.random.default_rng(3)
-    x = np.floor(np.concatenate([rng.normal(c, 5, (400, 6)) for c in (-300, 0, 300)]))
+    x = np.floor(np.concatenate([300 * np.eye(6)[c] + rng.normal(0, 5, (400, 6)) for c in range(3)]))
     label = np.repeat([0, 1], 600)
     n = 300
     anchor = {"label": label[::4], "row": np.arange(0, 1200, 4), "of": np.arange(n), "wish": np.arange(n), "low": np.full(n, -np.inf), "high": np.full(n, np.inf)}
