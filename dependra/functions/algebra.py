@@ -29,6 +29,10 @@ class ColumnMath:
     def where(c: Column, a: Column | float, b: Column | float) -> Column:
         return F.when(c, a).otherwise(b)
 
+    @staticmethod
+    def max(x: Column, y: Column) -> Column:
+        return F.greatest(x, y)
+
     @staticmethod
     def clip(x: Column, lo: float, hi: float) -> Column:
         return F.least(F.greatest(x, F.lit(float(lo))), F.lit(float(hi)))
@@ -42,6 +46,7 @@ class ArrayMath:
     lit = staticmethod(float)
     pow = staticmethod(np.power)
     where = staticmethod(np.where)
+    max = staticmethod(np.maximum)
     clip = staticmethod(np.clip)
 
 

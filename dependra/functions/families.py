@@ -78,115 +78,104 @@ def _gaussian(m, a, b, p):  # noqa: ANN001, ANN202
     return bvn_cdf(m, s, t, rho), h, c
 
 
+def _log_sum(m, x, y):  # noqa: ANN001, ANN202
+    """log(exp(x) + exp(y))."""
+    return m.max(x, y) + m.log1p(m.exp(m.abs(x - y) * -1.0))
+
+
 def _clayton(m, a, b, p):  # noqa: ANN001, ANN202
     (th,) = p
-    s = m.pow(a, -th) + m.pow(b, -th) - 1.0
-    return m.pow(s, -1 / th), m.pow(a, -th - 1) * m.pow(s, -1 / th - 1), m.pow(a * b, -th - 1) * m.pow(s, -2 - 1 / th) * (1 + th)
+    x, y = m.log(a), m.log(b)
+    s = m.log1p(m.expm1(x * -th) + m.expm1(y * -th))
+    return m.exp(s * (-1 / th)), m.exp(x * (-th - 1) - s * (1 + 1 / th)), m.exp((x + y) * (-th - 1) - s * (2 + 1 / th)) * (1 + th)
 
 
 def _gumbel(m, a, b, p):  # noqa: ANN001, ANN202
     (th,) = p
     x, y = m.log(a) * -1.0, m.log(b) * -1.0
-    g = m.pow(m.pow(x, th) + m.pow(y, th), 1 / th)
-    c = m.exp(g * -1.0)
-    h = c * m.pow(g, 1 - th) * m.pow(x, th - 1) / a
-    return c, h, c * m.pow(x * y, th - 1) / (a * b) * m.pow(g, 1 - 2 * th) * (g + (th - 1))
+    lx, ly = m.log(x), m.log(y)
+    s = _log_sum(m, lx * th, ly * th)
+    g = m.exp(s * (1 / th))
+    return m.exp(g * -1.0), m.exp(x - g + s * (1 / th - 1) + lx * (th - 1)), m.exp(x + y - g + s * (1 / th - 2) + (lx + ly) * (th - 1)) * (g + (th - 1))
 
 
 def _frank(m, a, b, p):  # noqa: ANN001, ANN202
     th = p[0] if abs(p[0]) > 1e-6 else 1e-6
     ea, eb, e1 = m.expm1(a * -th), m.expm1(b * -th), math.expm1(-th)
-    d = ea * eb + e1
-    return m.log1p(ea * eb / e1) * (-1 / th), (ea + 1.0) * eb / d, m.exp((a + b) * -th) / (d * d) * (-th * e1)
-
-
-def _joe(m, a, b, p):  # noqa: ANN001, ANN202
-    (th,) = p
-    x, y = a * -1.0 + 1.0, b * -1.0 + 1.0
-    p_, q = m.pow(x, th), m.pow(y, th)
-    s = p_ + q - p_ * q
-    return m.pow(s, 1 / th) * -1.0 + 1.0, m.pow(s, 1 / th - 1) * m.pow(x, th - 1) * (q * -1.0 + 1.0), m.pow(s, 1 / th - 2) * m.pow(x * y, th - 1) * (s + (th - 1))
-
-
-# two-parameter Archimedean families: generator, its two derivatives and its inverse ------------
-
-
-def _power(m, g, g1, g2, d):  # noqa: ANN001, ANN202
-    """phi = g ** d from g and its derivatives."""
-    f = m.pow(g, d - 1)
-    return g * f, f * g1 * d, m.pow(g, d - 2) * g1 * g1 * (d * (d - 1)) + f * g2 * d
-
-
-def _bb1(m, t, p):  # noqa: ANN001, ANN202
-    th, d = p
-    return _power(m, m.pow(t, -th) - 1.0, m.pow(t, -th - 1) * -th, m.pow(t, -th - 2) * (th * (th + 1)), d)
+    xa, xb = m.exp(a * -th), m.exp(b * -th)
+    # a sum of two terms of one sign, where ea * eb + e1 would cancel
+    d = xa * eb * -1.0 - xb * m.expm1((b * -1.0 + 1.0) * -th)
+    r = ea * eb / e1
+    c = m.where(r > -0.5, m.log1p(m.clip(r, -0.75, math.inf)), m.log(m.abs(d / e1)))
+    return c * (-1 / th), xa * eb * -1.0 / d, xa * xb / (d * d) * (-th * e1)
 
 
-def _bb1_inv(m, s, p):  # noqa: ANN001, ANN202
-    th, d = p
-    return m.pow(m.pow(s, 1 / d) + 1.0, -1 / th)
+# families whose generator is a function of z = -log(1 - (1 - scale t) ** th), in logarithms ------------
 
 
-def _survival(m, t, th, scale=1.0):  # noqa: ANN001, ANN202
-    """q = (1 - scale t) ** th and its derivatives."""
-    x = t * -scale + 1.0
-    return m.pow(x, th), m.pow(x, th - 1) * (-scale * th), m.pow(x, th - 2) * (scale * scale * th * (th - 1))
+def _parts(m, t, th, scale=1.0):  # noqa: ANN001, ANN202
+    """(z, log of minus its derivative)."""
+    x = m.log1p(t * -scale)
+    z = m.log1p(m.exp(x * th) * -1.0) * -1.0
+    return z, x * (th - 1) + z + math.log(th * scale)
 
 
-def _log_of(q, q1, q2, m):  # noqa: ANN001, ANN202
-    """-log(1 - q) and its derivatives."""
-    r = q * -1.0 + 1.0
-    return m.log(r) * -1.0, q1 / r, q2 / r + q1 * q1 / (r * r)
+def _at(m, z, th, scale=1.0):  # noqa: ANN001, ANN202
+    """(t, log of minus the derivative of z there, (th - 1) / (th (exp(z) - 1))) for a value of z."""
+    x = m.log(m.expm1(z * -1.0) * -1.0) * (1 / th)
+    return m.expm1(x) * (-1 / scale), x * (th - 1) + z + math.log(th * scale), ((th - 1) / th) / m.expm1(z)
 
 
-def _bb6(m, t, p):  # noqa: ANN001, ANN202
+def _bb1(m, a, b, p):  # noqa: ANN001, ANN202
     th, d = p
-    return _power(m, *_log_of(*_survival(m, t, th), m), d)
+    x, y = m.log(a), m.log(b)
+    lx, ly = m.log(m.expm1(x * -th)) * d, m.log(m.expm1(y * -th)) * d
+    s = _log_sum(m, lx, ly)
+    t = m.exp(s * (1 / d))
+    r = m.log1p(t)
+    h = m.exp(r * (-1 / th - 1) + s * (1 / d - 1) + lx * (1 - 1 / d) - x * (th + 1))
+    return m.exp(r * (-1 / th)), h, m.exp(r * (-1 / th - 2) + s * (1 / d - 2) + (lx + ly) * (1 - 1 / d) - (x + y) * (th + 1)) * (t * (th * d + 1) + th * (d - 1))
 
 
-def _bb6_inv(m, s, p):  # noqa: ANN001, ANN202
+def _bb6(m, a, b, p):  # noqa: ANN001, ANN202
     th, d = p
-    return m.pow(m.expm1(m.pow(s, 1 / d) * -1.0) * -1.0, 1 / th) * -1.0 + 1.0
+    (z, dz), (y, dy) = _parts(m, a, th), _parts(m, b, th)
+    lz, ly = m.log(z), m.log(y)
+    s = _log_sum(m, lz * d, ly * d)
+    t = m.exp(s * (1 / d))
+    c, dt, extra = _at(m, t, th)
+    first = lz * (d - 1) + dz - s * (1 - 1 / d) - dt
+    return c, m.exp(first), m.exp(first + ly * (d - 1) + dy - s) * ((extra + 1.0) * t + (d - 1))
 
 
-def _bb7(m, t, p):  # noqa: ANN001, ANN202
+def _bb7(m, a, b, p):  # noqa: ANN001, ANN202
     th, d = p
-    q, q1, q2 = _survival(m, t, th)
-    r = q * -1.0 + 1.0
-    f = m.pow(r, -d - 1)
-    return m.pow(r, -d) - 1.0, f * q1 * d, m.pow(r, -d - 2) * q1 * q1 * (d * (d + 1)) + f * q2 * d
+    (z, dz), (y, dy) = _parts(m, a, th), _parts(m, b, th)
+    t = m.log1p(m.expm1(z * d) + m.expm1(y * d)) * (1 / d)
+    c, dt, extra = _at(m, t, th)
+    first = (z - t) * d + dz - dt
+    return c, m.exp(first), m.exp(first + (y - t) * d + dy) * (extra + (d + 1))
 
 
-def _bb7_inv(m, s, p):  # noqa: ANN001, ANN202
+def _bb8(m, a, b, p):  # noqa: ANN001, ANN202
     th, d = p
-    return m.pow(m.pow(s + 1.0, -1 / d) * -1.0 + 1.0, 1 / th) * -1.0 + 1.0
+    (z, dz), (y, dy) = _parts(m, a, th, d), _parts(m, b, th, d)
+    t = z + y + math.log1p(-((1 - d) ** th))
+    c, dt, extra = _at(m, t, th, d)
+    return c, m.exp(dz - dt), m.exp(dz - dt + dy) * (extra + 1.0)
 
 
-def _bb8(m, t, p):  # noqa: ANN001, ANN202
-    th, d = p
-    f, f1, f2 = _log_of(*_survival(m, t, th, d), m)
-    return f + math.log1p(-((1 - d) ** th)), f1, f2
+def _joe(m, a, b, p):  # noqa: ANN001, ANN202
+    return _bb8(m, a, b, (p[0], 1.0))
 
 
-def _bb8_inv(m, s, p):  # noqa: ANN001, ANN202
+def _generator_ratio(name: str, t: np.ndarray, p: tuple[float, ...]) -> np.ndarray:
+    """The generator over minus its derivative."""
     th, d = p
-    return (m.pow(m.exp(s * -1.0) * -(1 - (1 - d) ** th) + 1.0, 1 / th) * -1.0 + 1.0) * (1 / d)
-
-
-_GENERATORS = {"bb1": (_bb1, _bb1_inv), "bb6": (_bb6, _bb6_inv), "bb7": (_bb7, _bb7_inv), "bb8": (_bb8, _bb8_inv)}
-
-
-def _archimedean(name: str):  # noqa: ANN202
-    gen, inverse = _GENERATORS[name]
-
-    def of(m, a, b, p):  # noqa: ANN001, ANN202
-        fa, da, _ = gen(m, a, p)
-        fb, db, _ = gen(m, b, p)
-        c = m.clip(inverse(m, fa + fb, p), 1e-12, 1 - 1e-12)
-        _, dc, d2c = gen(m, c, p)
-        return c, da / dc, d2c * da * db / (dc * dc * dc) * -1.0
-
-    return of
+    z, slope = _parts(ARRAYS, t, th, d if name == "bb8" else 1.0)
+    if name == "bb6":
+        return np.exp(np.log(z) - slope) / d
+    return (-np.expm1(-d * z) / d if name == "bb7" else z + math.log1p(-((1 - d) ** th))) * np.exp(-slope)
 
 
 # extreme-value family with three parameters ----------------------------------
@@ -194,31 +183,35 @@ def _archimedean(name: str):  # noqa: ANN202
 
 def _tawn_parts(m, a, b, p):  # noqa: ANN001, ANN202
     al, be, th = p
-    s = m.log(a) + m.log(b)
-    w = m.log(b) / s
-    v = w * -1.0 + 1.0
-    x, y = m.clip(v * al, 1e-300, 1.0), m.clip(w * be, 1e-300, 1.0)
-    g = m.pow(m.pow(x, th) + m.pow(y, th), 1 / th)
-    big = v * (1 - al) + w * (1 - be) + g
-    first = m.pow(g, 1 - th) * (m.pow(y, th - 1) * be - m.pow(x, th - 1) * al) + (al - be)
-    second = m.pow(x * y, th - 2) * m.pow(g, 1 - 2 * th) * ((th - 1) * al * al * be * be)
+    la, lb = m.log(a), m.log(b)
+    s = la + lb
+    v, w = la / s, lb / s
+    x, y = m.log(v * al), m.log(w * be)
+    g = _log_sum(m, x * th, y * th) * (1 / th)
+    big = v * (1 - al) + w * (1 - be) + m.exp(g)
+    first = m.exp((y - g) * (th - 1)) * be - m.exp((x - g) * (th - 1)) * al + (al - be)
+    second = m.exp((x + y) * (th - 2) + g * (1 - 2 * th)) * ((th - 1) * al * al * be * be)
     return s, w, v, big, first, second
 
 
 def _tawn(m, a, b, p):  # noqa: ANN001, ANN202
+    if p[0] * p[1] == 0:
+        return _indep(m, a, b, ())
     s, w, v, big, first, second = _tawn_parts(m, a, b, p)
-    c = m.exp(s * big)
+    c = s * big
     one, two = big - w * first, big + v * first
-    return c, c / a * one, c / (a * b) * (one * two - w * v * second / s)
+    return m.exp(c), m.exp(c - m.log(a)) * one, m.exp(c - s) * (one * two - w * v * second / s)
 
 
 def tawn_h2(m, a, b, p):  # noqa: ANN001, ANN201
     """Conditional distribution of the first argument given the second."""
+    if p[0] * p[1] == 0:
+        return a
     s, w, v, big, first, _ = _tawn_parts(m, a, b, p)
-    return m.exp(s * big) / b * (big + v * first)
+    return m.exp(s * big - m.log(b)) * (big + v * first)
 
 
-FORMULAS = {"indep": _indep, "gaussian": _gaussian, "clayton": _clayton, "gumbel": _gumbel, "frank": _frank, "joe": _joe, "tawn": _tawn} | {f: _archimedean(f) for f in _GENERATORS}
+FORMULAS = {"indep": _indep, "gaussian": _gaussian, "clayton": _clayton, "gumbel": _gumbel, "frank": _frank, "joe": _joe, "bb1": _bb1, "bb6": _bb6, "bb7": _bb7, "bb8": _bb8, "tawn": _tawn}
 
 
 _scores: dict[tuple[float, int], np.ndarray] = {}
@@ -295,10 +288,9 @@ def parameters_to_tau(name: str, p: tuple[float, ...]) -> float:
         return float(1 - 4 * (1 / (k * (p[0] * k + 2) * (p[0] * (k - 1) + 2))).sum())
     if name == "bb1":
         return 1 - 2 / (p[1] * (p[0] + 2))
-    if name in _GENERATORS:
+    if name in SETS["bb"]:
         t = x**3  # nodes gather at 0, where the ratio is steep
-        f, d, _ = _GENERATORS[name][0](ARRAYS, np.clip(t, 1e-12, 1 - 1e-12), p)
-        return float(1 + 4 * (w * 3 * x * x * f / d).sum())
+        return float(1 - 4 * (w * 3 * x * x * _generator_ratio(name, np.clip(t, 1e-12, 1 - 1e-12), p)).sum())
     al, be, th = p
     if th <= 1 or al * be == 0:
         return 0.0

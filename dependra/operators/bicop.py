@@ -25,7 +25,8 @@ from ..functions.qrng import simulate_uniform
 from ..plans.staging import staged
 from . import tll
 from .controls import FitControlsBicop
-from .dependence import cell_counts, tau_of_cells
+from .dependence import tau_of_cells
+from .dominance import pair_measures
 from .pobs import present
 
 ROTATIONS = (0, 90, 180, 270)
@@ -171,7 +172,7 @@ class Bicop:
         else:
             out = {"cdf": lambda: a - c("cdf", a, no(b)), "h1": lambda: no(c("h1", a, no(b))), "h2": lambda: c("h2", a, no(b))}[what]()
         if what == "pdf":
-            return m.clip(out, 1e-300, 1e300)
+            return m.clip(out, 1e-300, math.inf)
         return m.clip(out, 0.0 if what == "cdf" else TRIM, 1.0 if what == "cdf" else 1 - TRIM)
 
     def value(self, m: object, what: str, a: object, b: object, a_lo: object = None, b_lo: object = None) -> object:
@@ -201,7 +202,7 @@ class Bicop:
             out = (f("h2", a, b) - f("h2", x, b)) / least(a - x)
         else:
             out = (f("h1", a, b) - f("h1", a, y)) / least(b - y)
-        return m.clip(out, 1e-300, 1e300)
+        return m.clip(out, 1e-300, math.inf)
 
     def inverse(self, m: object, which: int, w: object, given: object) -> object:
         """Inverse of h1 in the second (1) or of h2 in the first argument (2), continuous variables."""
@@ -554,7 +555,7 @@ def _fit_items(items: list[dict], evaluate: Callable[[list[Candidate]], list[flo
     return list(evaluate([(s["pair"], _model(s, kinds)) for s in items]))
 
 
-def fit_many(df: DataFrame, models: list[list[tuple[str, int]]], pairs: list[tuple[str, str]], controls: FitControlsBicop, var_types: list[list[str]], taus: list[float] | None = None) -> list[list[Bicop]]:
+def fit_many(df: DataFrame, models: list[list[tuple[str, int]]], pairs: list[tuple[str, str]], controls: FitControlsBicop, var_types: list[list[str]], stats: list[dict] | None = None) -> list[list[Bicop]]:
     """Fitted models of each pair: ``models[k]`` lists (family, rotation) of pair k.
 
     Up to LOCAL_ROWS rows each pair is a group of one job.  Beyond, all pairs,
@@ -562,16 +563,17 @@ def fit_many(df: DataFrame, models: list[list[tuple[str, int]]], pairs: list[tup
     once), a row per candidate and partition coming back; the number of passes
     doesn't grow with the number of models.  Both search alike and end at the
     same maximum.  ``itau`` needs no search, except for Student's second
-    parameter (its likelihood on a grid).
+    parameter (its likelihood on a grid).  ``stats``: the pairs' measures, if
+    known; Kendall's tau is exact there.
     """
-    if taus is None:
-        taus = [tau_of_cells(n) if n.sum() >= 2 else 0.0 for n in cell_counts(df, pairs, 256, controls.weights)]
-    n = df.agg(F.count("*").alias("all"), *(F.count(F.when(present(F.col(a)) & present(F.col(b)), 1)).alias(f"n{k}") for k, (a, b) in enumerate(pairs))).first()
+    if stats is None:
+        stats = pair_measures(df, pairs, controls.weights)
+    most = max((int(s["n"]) for s in stats), default=0)
     itau = controls.parametric_method == "itau"
     items: list[dict] = []
     for k, wanted in enumerate(models):
         for family, rotation in wanted:
-            t = -taus[k] if rotation in (90, 270) else taus[k]
+            t = -stats[k]["tau"] if rotation in (90, 270) else stats[k]["tau"]
             item = {"pair": k, "family": family, "rotation": rotation, "fixed": True, "grid": None, "npars": None, "p": ()}
             if family == "tll":
                 shape = controls.nonparametric_method, controls.nonparametric_mult
@@ -585,18 +587,18 @@ def fit_many(df: DataFrame, models: list[list[tuple[str, int]]], pairs: list[tup
                 item |= {"p": _start(family, t), "fixed": False}
             items.append(item)
     kinds = dict(enumerate(var_types))
-    if n["all"] <= LOCAL_ROWS:
+    if most <= LOCAL_ROWS:
         values = _fit_groups(df, items, pairs, controls, kinds, itau)
     else:
         columns = _needed([(s["pair"], _model(s, kinds)) for s in items], pairs)
         # numbers are narrow: as many parts as there are cores, or as keep a part near two million rows
-        parts = max(1, min(df.sparkSession.sparkContext.defaultParallelism, n["all"] // 10_000), n["all"] // 2_000_000)
+        parts = max(1, min(df.sparkSession.sparkContext.defaultParallelism, most // 10_000), most // 2_000_000)
         rows = staged(df.select(*columns, *([controls.weights] if controls.weights else [])).repartition(parts), "fit")
         values = _fit_items(items, lambda c: logliks(rows, pairs, c, controls.weights), kinds, itau)
     out: list[list[Bicop]] = [[] for _ in pairs]
     for s, v in zip(items, values):
         m = _model(s, kinds)
-        m.nobs, m.loglik_ = int(n[f"n{s['pair']}"]), float(v)
+        m.nobs, m.loglik_ = int(stats[s["pair"]]["n"]), float(v)
         out[s["pair"]].append(m)
     return out
 
@@ -666,18 +668,15 @@ def select_many(df: DataFrame, pairs: list[tuple[str, str]], controls: FitContro
     Pairs with fewer than ten complete rows, or a magnitude of tau below
     ``threshold``, get independence.
     """
-    cells = cell_counts(df, pairs, 256, controls.weights)
-    taus = [tau_of_cells(n) if n.sum() >= 2 else 0.0 for n in cells]
+    stats = pair_measures(df, pairs, controls.weights)
     models = []
-    for n, t in zip(cells, taus):
-        if n.sum() < 10 or abs(t) < threshold:
+    for s in stats:
+        if s["n"] < 10 or abs(s["tau"]) < threshold:
             models.append([("indep", 0)])
             continue
-        c = n[::-1] if t < 0 else n
-        q = c.shape[0] // 5
-        share = lambda x: x.sum() / max(1.0, c.sum())
-        models.append(candidates_of(t, (share(c[:q, :q]) * 5, share(c[-q:, -q:]) * 5), controls))
-    fitted = fit_many(df, models, pairs, controls, var_types, taus)
+        low, high = ("high_low", "low_high") if s["tau"] < 0 else ("low_low", "high_high")
+        models.append(candidates_of(s["tau"], tuple(s[c] / max(s["w"], 1e-300) * 5 for c in (low, high)), controls))
+    fitted = fit_many(df, models, pairs, controls, var_types, stats)
     name = {"mbicv": "mbic"}.get(controls.selection_criterion, controls.selection_criterion)
     sign = -1 if name == "loglik" else 1
     return [min(ms, key=lambda m: sign * criterion(name, m.loglik_, m.npars, m.nobs, m.family, controls.psi0)) for ms in fitted]

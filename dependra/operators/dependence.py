@@ -1,15 +1,14 @@
 """Pairwise dependence: Kendall, Spearman, Hoeffding, maximal correlation.
 
-Kendall's tau and Spearman's rho of a pair are exact at any length.  All
-measures of many pairs together come from one distributed count of cells: each pair
-of columns is cut into cells, cells are counted by one aggregation keyed by
-(pair, cell), and what remains is bounded by the number of cells.  With few
-distinct values the cells are the values themselves and the result is exact.
+Tau, rho and Hoeffding's D are exact at any length, for any number of pairs in
+the same jobs (see ``dominance``).  Maximal correlation alternates conditional
+expectations over a window of ranks; each pair of columns is cut into ranges of
+ranks, which are counted by one aggregation, and the alternation runs in a task
+per pair.  In all cases one number per pair leaves the executors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -17,87 +16,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import staged
+from .dominance import STRIP_ROWS, long_pairs, pair_measures
 from .pobs import present
 
 CRITERIA = ("tau", "rho", "hoeffd", "mcor")
+#: Ranges of ranks of a column, half width of the window as a share of all ranks, and rounds of ``maximal_correlation``.
+RANGES, HALF, ROUNDS = 1024, 0.2, 200
 
 
-def _inversions(y: np.ndarray, w: np.ndarray) -> float:
-    """Sum of w[i] * w[j] over i < j with y[i] > y[j], by bottom-up merges."""
-    n, total, width = len(y), 0.0, 1
-    now = np.unique(y, return_inverse=True)[1].astype(np.int64)
-    top = int(now.max()) + 1 if n else 1
-    while width < n:
-        place = np.arange(n)
-        block, right = place // (2 * width), place // width % 2 == 1
-        k = block * top + now
-        left, upto = k[~right], np.concatenate([[0.0], np.cumsum(w[~right])])
-        above = upto[np.searchsorted(left, (block[right] + 1) * top)] - upto[np.searchsorted(left, k[right], "right")]
-        total += float((above * w[right]).sum())
-        order = np.argsort(k, kind="stable")
-        now, w = now[order], w[order]
-        width *= 2
-    return total
-
-
-def _concordance(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """Concordant and discordant weights of pairs; ties in either count for neither."""
-    up, down = np.lexsort((y, x)), np.lexsort((-y, x))
-    return _inversions(-y[down], w[down]), _inversions(y[up], w[up])
-
-
-def _strips(v: pd.Series, cuts: np.ndarray) -> np.ndarray:
-    """Strip of each value: odd for a cut itself, even for what lies between two cuts."""
-    return np.searchsorted(cuts, v, "left") + np.searchsorted(cuts, v, "right")
-
-
-def kendall_tau(df: DataFrame, x: str, y: str, weights: str | None = None, strip_rows: int = 200_000) -> DataFrame:
-    """One row, exact: n (rows), n_pairs, concordant, discordant, tau (tie-corrected tau-b; 0 without pairs).
-
-    Equal (x, y) rows are counted first.  Both columns are cut into strips at
-    approximate quantiles; a cut is a strip of its own, so a value that a third
-    of all rows have makes no strip long.  Pairs of different strips in both
-    columns follow from the table of strip counts (at most (2 strips + 1) ** 2
-    cells).  Pairs within an x strip are counted in a task of that strip, and
-    pairs of different x strips within a y strip in a task of that one: a task
-    has about ``strip_rows`` cells, so the number of strips grows with the
-    table, and the table of counts is a few GB at 2e9 distinct cells.
-    """
-    w = F.col(weights).cast("double") if weights else F.lit(1.0)
-    rows = df.where(present(F.col(x)) & present(F.col(y))).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), w.alias("w"))
-    cells = staged(rows.groupBy("x", "y").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("w2"), F.count("*").alias("n")), "cells")
-    strips = 16 + cells.count() // strip_rows
-    levels = [i / strips for i in range(1, strips)]
-    one = cells.agg(*(F.percentile_approx(c, levels, 50 * strips).alias(c) for c in "xy"), F.sum("w").alias("w"), F.sum("w2").alias("w2"), F.sum("n").alias("n")).first()
-    spark = df.sparkSession
-    schema = "n long, n_pairs double, concordant double, discordant double, tau double"
-    if not one["n"]:
-        return spark.createDataFrame([(0, 0.0, 0.0, 0.0, 0.0)], schema)
-    cuts = {c: np.unique(one[c]) for c in "xy"}
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[["x", "y", "w"]].assign(i=_strips(b.x, cuts["x"]), j=_strips(b.y, cuts["y"]))
-
-    placed = cells.select("x", "y", "w").mapInPandas(cut, "x double, y double, w double, i int, j int")
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        con, dis = _concordance(pdf.a.to_numpy(), pdf.b.to_numpy(), pdf.w.to_numpy())
-        return pd.DataFrame({"con": [con], "dis": [dis]})
-
-    within_x = placed.where("i % 2 = 0").select(F.lit(0).alias("side"), F.col("i").alias("strip"), F.col("x").alias("a"), F.col("y").alias("b"), "w")
-    within_y = placed.where("j % 2 = 0").groupBy("i", "j", "y").agg(F.sum("w").alias("w")).select(F.lit(1).alias("side"), F.col("j").alias("strip"), F.col("i").cast("double").alias("a"), F.col("y").alias("b"), "w")
-    part = within_x.unionByName(within_y).groupBy("side", "strip").applyInPandas(count, "con double, dis double").agg(F.coalesce(F.sum("con"), F.lit(0.0)).alias("con"), F.coalesce(F.sum("dis"), F.lit(0.0)).alias("dis")).first()
-    grid = placed.groupBy("i", "j").agg(F.sum("w").alias("w")).toPandas()
-    table = np.zeros((2 * len(cuts["x"]) + 1, 2 * len(cuts["y"]) + 1))
-    table[grid.i, grid.j] = grid.w
-    con = part["con"] + float((table * _below(table)).sum())
-    dis = part["dis"] + float((table * _below(table[:, ::-1])[:, ::-1]).sum())
-    tied = {c: cells.groupBy(c).agg(F.sum("w").alias("t"), F.sum("w2").alias("s")).agg(F.sum(F.col("t") * F.col("t") - F.col("s")).alias("t")).first()["t"] / 2 for c in "xy"}
-    pairs = (one["w"] ** 2 - one["w2"]) / 2
-    base = float(np.sqrt(max(0.0, (pairs - tied["x"]) * (pairs - tied["y"]))))
-    return spark.createDataFrame([(one["n"], float(pairs), con, dis, (con - dis) / base if base > 0 else 0.0)], schema)
+def kendall_tau(df: DataFrame, x: str, y: str, weights: str | None = None, strip_rows: int = STRIP_ROWS) -> DataFrame:
+    """One row, exact: n (rows), n_pairs, concordant, discordant, tau (tie-corrected tau-b; 0 without pairs)."""
+    r = pair_measures(df, [(x, y)], weights, strip_rows)[0]
+    names = ("n_pairs", "concordant", "discordant", "tau")
+    return df.sparkSession.createDataFrame([(int(r["n"]), *(float(r[c]) for c in names))], "n long, " + ", ".join(f"{c} double" for c in names))
 
 
 def spearman_rho(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -108,114 +39,87 @@ def spearman_rho(df: DataFrame, x: str, y: str) -> DataFrame:
     return u.agg(F.corr(f"u_{x}", f"u_{y}").alias("rho"))
 
 
-def cell_counts(df: DataFrame, pairs: list[tuple[str, str]], bins: int, weights: str | None = None) -> np.ndarray:
-    """[pair, i, j]: (weighted) counts of copula-scale pairs in ``bins`` x ``bins`` cells.
+def cell_counts(df: DataFrame, pairs: list[tuple[str, str]], bins: int, weights: str | None = None) -> DataFrame:
+    """(pair, i, j, w): (weighted) counts of copula-scale pairs in ``bins`` x ``bins`` cells.
 
-    Rows with a missing value in a pair don't count for that pair.  The counts
-    are summed on the map side; at most pairs * bins ** 2 rows come back.
+    Rows with a missing value in a pair don't count for that pair.
     """
-    cut = lambda c: F.least(F.greatest(F.floor(F.col(c) * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
-    each = F.array(*(F.when(present(F.col(a)) & present(F.col(b)), F.struct(F.lit(k).alias("pair"), cut(a).alias("i"), cut(b).alias("j"))) for k, (a, b) in enumerate(pairs)))
-    w = F.col(weights).cast("double") if weights else F.lit(1.0)
-    rows = df.select(F.explode(each).alias("c"), w.alias("w")).where("c is not null").groupBy("c.pair", "c.i", "c.j").agg(F.sum("w").alias("w")).toPandas()
-    out = np.zeros((len(pairs), bins, bins))
-    out[rows["pair"], rows["i"], rows["j"]] = rows["w"]
-    return out
-
-
-def _below(n: np.ndarray) -> np.ndarray:
-    """Counts strictly below and left of each cell."""
-    s = np.zeros((n.shape[0] + 1, n.shape[1] + 1))
-    s[1:, 1:] = n.cumsum(0).cumsum(1)
-    return s[:-1, :-1]
+    cut = lambda c: F.least(F.greatest(F.floor(F.col(c) * bins), F.lit(0)), F.lit(bins - 1)).cast("int").alias({"x": "i", "y": "j"}[c])
+    return long_pairs(df, pairs, weights).select("pair", cut("x"), cut("y"), "w").groupBy("pair", "i", "j").agg(F.sum("w").alias("w"))
 
 
 def tau_of_cells(n: np.ndarray) -> float:
-    """Tie-corrected Kendall's tau of a table of counts."""
-    low = _below(n)
-    right = _below(n[:, ::-1])[:, ::-1]
-    con, dis = (n * low).sum(), (n * right).sum()
+    """Tie-corrected Kendall's tau of a table of masses, as of a density on a grid."""
+    def below(t: np.ndarray) -> np.ndarray:
+        s = np.zeros((t.shape[0] + 1, t.shape[1] + 1))
+        s[1:, 1:] = t.cumsum(0).cumsum(1)
+        return s[:-1, :-1]
+
+    con, dis = (n * below(n)).sum(), (n * below(n[:, ::-1])[:, ::-1]).sum()
     total, rows, cols = n.sum(), n.sum(1), n.sum(0)
     base = np.sqrt(max(1e-300, (total**2 - (rows**2).sum()) * (total**2 - (cols**2).sum()))) / 2
     return float((con - dis) / base)
 
 
-def rho_of_cells(n: np.ndarray) -> float:
-    """Rank correlation of a table of counts."""
-    total = max(n.sum(), 1e-300)
-    rank = lambda m: (m.cumsum() - m / 2) / total
-    p, q = n.sum(1), n.sum(0)
-    x, y = rank(p), rank(q)
-    mx, my = (p * x).sum() / total, (q * y).sum() / total
-    cov = ((n * (x - mx)[:, None]) * (y - my)[None]).sum()
-    return float(cov / np.sqrt(max(1e-300, (p * (x - mx) ** 2).sum() * (q * (y - my) ** 2).sum())))
-
-
-def hoeffding_of_cells(n: np.ndarray) -> float:
-    """Hoeffding's D (30 times the usual integral) of a table of counts, with half counts for ties."""
-    total = n.sum()
-    if total < 5:
-        return 0.0
-    p, q = n.sum(1), n.sum(0)
-    r, s = p.cumsum() - p / 2 + 0.5, q.cumsum() - q / 2 + 0.5
-    low = _below(n)
-    same_x = n.cumsum(1) - n
-    same_y = n.cumsum(0) - n
-    both = low + same_x / 2 + same_y / 2 + (n - 1) / 4 + 1
-    d1 = (n * (both - 1) * (both - 2)).sum()
-    d2 = (n * ((r - 1) * (r - 2))[:, None] * ((s - 1) * (s - 2))[None]).sum()
-    d3 = (n * (r - 2)[:, None] * (s - 2)[None] * (both - 1)).sum()
-    return float(30 * ((total - 2) * (total - 3) * d1 + d2 - 2 * (total - 2) * d3) / (total * (total - 1) * (total - 2) * (total - 3) * (total - 4)))
-
-
-def mcor_of_cells(n: np.ndarray, groups: int = 24) -> float:
-    """Maximal correlation by alternating conditional expectations on a coarser table.
-
-    The alternation converges to the second singular pair of the table divided
-    by the roots of its margins.
+def _smooth(sums: np.ndarray, weight: np.ndarray, half: int) -> np.ndarray:
+    """Mean over the ranges at most ``half`` away, from prefix sums; windows end at the first and last range."""
+    k = len(sums)
+    lo, hi = np.maximum(np.arange(k) - half, 0), np.minimum(np.arange(k) + half + 1, k)
+    up = lambda v: (lambda s: s[hi] - s[lo])(np.concatenate([[0.0], np.cumsum(v)]))
+    return up(sums) / np.maximum(up(weight), 1e-300)
+
+
+def alternate(i: np.ndarray, j: np.ndarray, w: np.ndarray, k: int) -> float:
+    """Maximal correlation of cells (i, j) of weight w by alternating conditional expectations on ``k`` ranges.
+
+    Each function is the window mean of the other one over ranks, centred and
+    scaled, until their correlation settles.
     """
-    k = n.shape[0]
-    at = np.minimum(np.arange(k) * groups // k, groups - 1)
-    t = np.zeros((groups, groups))
-    np.add.at(t, (at[:, None], at[None]), n)
-    p, q = t.sum(1) / t.sum(), t.sum(0) / t.sum()
-    t = t[p > 0][:, q > 0] / t.sum()
-    p, q = p[p > 0], q[q > 0]
-    f = np.linspace(-1, 1, len(p))
-    value = 0.0
-    for _ in range(200):
-        f -= (p * f).sum()
-        f /= np.sqrt(max(1e-300, (p * f * f).sum()))
-        g = (t * f[:, None]).sum(0) / q
-        g -= (q * g).sum()
-        g /= np.sqrt(max(1e-300, (q * g * g).sum()))
-        f = (t * g[None]).sum(1) / p
-        new = float(np.sqrt((p * f * f).sum()))
+    half, total = max(1, int(HALF * k)), w.sum()
+    p, q = np.bincount(i, w, k), np.bincount(j, w, k)
+
+    def scaled(f: np.ndarray, p: np.ndarray) -> np.ndarray:
+        f = f - (p * f).sum() / total
+        return f / np.sqrt(max(1e-300, (p * f * f).sum() / total))
+
+    f, value = scaled(np.arange(k, dtype=float), p), 0.0
+    for _ in range(ROUNDS):
+        g = scaled(_smooth(np.bincount(j, w * f[i], k), q, half), q)
+        f = scaled(_smooth(np.bincount(i, w * g[j], k), p, half), p)
+        new = float((w * f[i] * g[j]).sum() / total)
         if abs(new - value) < 1e-10:
             break
         value = new
-    return min(1.0, new)
+    return float(np.clip(new, 0.0, 1.0))
+
+
+def maximal_correlation(df: DataFrame, pairs: list[tuple[str, str]], weights: str | None = None, ranges: int = RANGES) -> list[float]:
+    """Maximal correlation of copula-scale pairs; a task has at most ``ranges`` ** 2 cells of a pair."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = pdf["w"].to_numpy()
+        value = alternate(pdf["i"].to_numpy(), pdf["j"].to_numpy(), w, ranges) if w.sum() > 0 and len(w) > 1 else 0.0
+        return pd.DataFrame({"pair": [int(pdf["pair"].iloc[0])], "value": [value]})
+
+    found = {r["pair"]: r["value"] for r in cell_counts(df, pairs, ranges, weights).groupBy("pair").applyInPandas(run, "pair int, value double").collect()}
+    return [found.get(k, 0.0) for k in range(len(pairs))]
 
 
-def dependence(df: DataFrame, pairs: list[tuple[str, str]], criterion: str = "tau", weights: str | None = None, bins: int | None = 256) -> list[float]:
-    """The criterion of each pair of copula-scale columns, all from one job.
+def dependence(df: DataFrame, pairs: list[tuple[str, str]], criterion: str = "tau", weights: str | None = None) -> list[float]:
+    """The criterion of each pair of columns, all from the same jobs; 0 for a pair without dependence to measure.
 
-    Columns are cut into ``bins`` cells, so values closer than 1 / bins count as
-    ties; the tie correction keeps the error of tau well below 1 / bins.
-    Without ``bins``, tau and rho are exact: a few jobs for each pair.
+    tau, rho and hoeffd are exact; mcor asks for copula-scale columns.
     """
     if criterion not in CRITERIA:
         raise ValueError(f"criterion must be one of {CRITERIA}")
-    if bins is None:
-        if criterion not in ("tau", "rho") or (weights and criterion == "rho"):
-            raise ValueError("only tau, and rho without weights, are exact without bins")
-        return [(kendall_tau(df, a, b, weights).first()["tau"] if criterion == "tau" else spearman_rho(df, a, b).first()["rho"]) or 0.0 for a, b in pairs]
-    of = {"tau": tau_of_cells, "rho": rho_of_cells, "hoeffd": hoeffding_of_cells, "mcor": mcor_of_cells}[criterion]
-    return [of(n) if n.sum() >= 2 else 0.0 for n in cell_counts(df, pairs, bins, weights)]
+    if not pairs:
+        return []
+    if criterion == "mcor":
+        return maximal_correlation(df, pairs, weights)
+    return [float(m[criterion]) for m in pair_measures(df, pairs, weights)]
 
 
-def dependence_matrix(df: DataFrame, columns: list[str], criterion: str = "tau", bins: int | None = 256) -> DataFrame:
-    """(x, y, value) of all pairs of copula-scale columns; exact without ``bins``, see ``dependence``."""
+def dependence_matrix(df: DataFrame, columns: list[str], criterion: str = "tau") -> DataFrame:
+    """(x, y, value) of all pairs of columns, see ``dependence``."""
     pairs = list(combinations(columns, 2))
-    values = dependence(df, pairs, criterion, bins=bins)
+    values = dependence(df, pairs, criterion)
     return df.sparkSession.createDataFrame([(a, b, v) for (a, b), v in zip(pairs, values)], "x string, y string, value double")

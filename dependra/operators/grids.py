@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +31,11 @@ def density_grid(spark: SparkSession, model: Bicop, kind: str = "surface", margi
     return out.select("i", "j", "x", "y", (F.col("_c") * F.col("_m")).alias("density"))
 
 
-def empirical_density_grid(df: DataFrame, u1: str, u2: str, points: int = 40) -> np.ndarray:
-    """Share of rows in each of points x points cells, times the number of cells."""
+def empirical_density_grid(df: DataFrame, u1: str, u2: str, points: int = 40) -> DataFrame:
+    """(i, j, density): share of rows in each of points x points cells, times the number of cells; 0 in empty cells."""
     from .dependence import cell_counts
 
-    n = cell_counts(df, [(u1, u2)], points)[0]
-    return n / max(n.sum(), 1) * points * points
+    found = cell_counts(df, [(u1, u2)], points).select("i", "j", "w")
+    cells = df.sparkSession.range(points * points).select((F.col("id") / points).cast("int").alias("i"), (F.col("id") % points).cast("int").alias("j"))
+    share = found.crossJoin(found.agg(F.sum("w").alias("total"))).select("i", "j", (F.col("w") / F.col("total") * points * points).alias("density"))
+    return cells.join(share, ["i", "j"], "left").select("i", "j", F.coalesce("density", F.lit(0.0)).alias("density"))

@@ -54,24 +54,50 @@ def _placed(df: DataFrame, columns: list[str], weights: str | None, by: list[str
     return met.select("c", *names, "v", "o", (F.col("before") + F.coalesce(F.sum("own").over(within), F.lit(0.0))).alias("below"), "own", "n", "scale")
 
 
-def _ranked(df: DataFrame, columns: list[str], makes: Callable[[str], dict[str, Column]], weights: str | None = None, by: list[str] | None = None, order: Column | None = None, last: bool = False) -> DataFrame:
+def _rows(df: DataFrame, **extra: Column) -> DataFrame:
+    """(row, key, extra columns), written to the shared folder: a number for each row, and its columns as one struct."""
+    return staged(df.select(F.struct(*(F.col(f"`{x}`") for x in df.columns)).alias("row"), F.monotonically_increasing_id().alias("key"), *(v.alias(k) for k, v in extra.items())), "rows")
+
+
+def _with(met: DataFrame, columns: list[str], made: dict[str, Column]) -> DataFrame:
+    """The fields of ``row`` that aren't replaced, and what was made."""
+    return met.select(*(F.col("row").getField(x).alias(x) for x in columns if x not in made), *(v.alias(name) for name, v in made.items()))
+
+
+def _ranked(df: DataFrame, columns: list[str], makes: Callable[[str, Callable[[str], Column]], dict[str, Column]], weights: str | None = None, by: list[str] | None = None, order: Column | None = None, last: bool = False) -> DataFrame:
     """``df`` with the columns that ``makes`` builds from below, own, n and scale of each column's value.
 
-    Rows meet their value in a join, in which adaptive execution splits hot
-    values.  Missing values get NULL.
+    One column: rows meet their value in a join.  Several: the values of all
+    columns meet their places in one join of narrow rows and come back by the
+    number of their row, so the exchanges don't grow with the columns.  In both
+    joins adaptive execution splits hot values.  Missing values get NULL.
     """
+    names = [*(["o"] if order is not None else []), *(f"g{i}" for i in range(len(by or [])))]
     places = staged(_placed(df, columns, weights, by or [], order, last), "places")
-    out = df
+    extra = {"o": order if order is not None else F.lit(0)} | {f"g{i}": F.col(g) for i, g in enumerate(by or [])}
+    known = ("below", "own", "n", "scale")
+    value = lambda c: F.when(present(c), c.cast("double"))
+
+    def joined(d: DataFrame, on: list[str], how: str) -> DataFrame:
+        a, p, cond = d.alias("a"), places.alias("p"), F.lit(True)
+        for x in on:
+            cond = cond & (F.col(f"a.{x}") == F.col(f"p.{x}"))
+        for x in names:
+            cond = cond & F.col(f"a.{x}").eqNullSafe(F.col(f"p.{x}"))
+        return a.join(p, cond, how).select(*(F.col(f"a.{x}") for x in d.columns if x not in ("o", "v", *names)), *(F.col(f"p.{k}").alias(k) for k in known))
+
+    if len(columns) == 1:
+        d = df.select(F.struct(*(F.col(f"`{x}`") for x in df.columns)).alias("row"), value(F.col(columns[0])).alias("v"), *(v.alias(k) for k, v in extra.items()))
+        return _with(joined(d, ["v"], "left"), df.columns, makes(columns[0], F.col))
+    rows = _rows(df, **extra)
+    each = F.array(*(F.struct(F.lit(j).alias("c"), value(F.col("row").getField(c)).alias("v")) for j, c in enumerate(columns)))
+    long = rows.select("key", *extra, F.inline(each)).where("v is not null")
+    met = joined(long, ["c", "v"], "inner")
+    wide = met.groupBy("key").agg(*(F.max(F.when(F.col("c") == j, F.struct(*known))).alias(f"s{j}") for j in range(len(columns))))
+    made: dict[str, Column] = {}
     for j, c in enumerate(columns):
-        made = makes(c)
-        d = out.select(F.struct(*(F.col(f"`{x}`") for x in out.columns)).alias("row"), F.when(present(F.col(c)), F.col(c).cast("double")).alias("v"), (order if order is not None else F.lit(0)).alias("o"), *(F.col(g).alias(f"g{i}") for i, g in enumerate(by or []))).alias("d")
-        p = places.where(F.col("c") == j).alias("p")
-        on = F.col("d.v") == F.col("p.v")
-        for name in (*(["o"] if order is not None else []), *(f"g{i}" for i in range(len(by or [])))):
-            on = on & F.col(f"d.{name}").eqNullSafe(F.col(f"p.{name}"))
-        met = d.join(p, on, "left")
-        out = met.select(*(F.col("row").getField(x).alias(x) for x in out.columns if x not in made), *(v.alias(name) for name, v in made.items()))
-    return out
+        made |= makes(c, lambda k, j=j: F.col(f"s{j}").getField(k))
+    return _with(rows.select("row", "key").join(wide, "key", "left"), df.columns, made)
 
 
 def pseudo_obs(df: DataFrame, columns: list[str], ties_method: str = "average", weights: str | None = None, key: str | None = None, seeds: list[int] | None = None, by: list[str] | None = None, prefix: str = "u_") -> DataFrame:
@@ -92,31 +118,60 @@ def pseudo_obs(df: DataFrame, columns: list[str], ties_method: str = "average",
     keyed = ties_method in ("first", "last", "random")
     if keyed and key is None:
         raise ValueError(f"ties_method {ties_method} needs a key column")
-    b, w, scale = F.col("below"), F.col("own"), F.col("scale")
-    # half of the tie's weight below, and the half step of a single rank
-    rank = {"average": (b + w / 2) * scale + 0.5, "min": b * scale + 1}.get(ties_method, (b + w) * scale)
+
+    def made(c: str, of: Callable[[str], Column]) -> dict[str, Column]:
+        b, w, scale = of("below"), of("own"), of("scale")
+        # half of the tie's weight below, and the half step of a single rank
+        rank = {"average": (b + w / 2) * scale + 0.5, "min": b * scale + 1}.get(ties_method, (b + w) * scale)
+        return {f"{prefix}{c}": rank / (of("n") + 1)}
+
     order = _order(ties_method, key, seeds) if keyed else None
-    return _ranked(df, columns, lambda c: {f"{prefix}{c}": rank / (F.col("n") + 1)}, weights, by, order, ties_method == "last")
+    return _ranked(df, columns, made, weights, by, order, ties_method == "last")
 
 
 def discrete_margins(df: DataFrame, column: str, prefix: str = "u_") -> DataFrame:
     """For a discrete column: ``u_<column>`` = F(x) and ``u_<column>_lo`` = F(x-), scaled by n + 1."""
-    b, n = F.col("below"), F.col("n") + 1
-    return _ranked(df, [column], lambda c: {f"{prefix}{c}": (b + F.col("own")) / n, f"{prefix}{c}_lo": b / n})
+    def made(c: str, of: Callable[[str], Column]) -> dict[str, Column]:
+        return {f"{prefix}{c}": (of("below") + of("own")) / (of("n") + 1), f"{prefix}{c}_lo": of("below") / (of("n") + 1)}
+
+    return _ranked(df, [column], made)
+
+
+#: Order positions that share a block of ``empirical_quantile``.
+BLOCK = 32
 
 
-def empirical_quantile(sample: DataFrame, data: DataFrame, columns: dict[str, str], accuracy: int = 100_000, points: int = 1000) -> DataFrame:
-    """Copula-scale columns of ``sample`` carried back to the scale of ``data`` by empirical quantiles.
+def empirical_quantile(sample: DataFrame, data: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Copula-scale columns of ``sample`` carried back to the scale of ``data`` by empirical quantiles, exactly.
 
-    ``columns`` maps a column of ``sample`` to one of ``data``.  Quantiles are
-    read off at ``points`` + 1 levels and interpolated between them.
+    ``columns`` maps a column of ``sample`` to one of ``data``, whose name the
+    result gets.  A probability p lies at place (n - 1) p of the n present
+    values in order; between two places the value is interpolated.  The places
+    are found by ranges: each distinct value holds a range of places, and a
+    probability meets the values of its block of places in one join for all
+    columns.  Probabilities beyond 0 and 1 count as those; missing ones, and a
+    column of ``data`` without values, give NULL.
     """
-    levels = [i / points for i in range(points + 1)]
-    row = data.agg(*(F.percentile_approx(F.col(c).cast("double"), levels, accuracy).alias(c) for c in columns.values())).first()
-    out = sample
-    for u, c in columns.items():
-        q = F.array(*(F.lit(float(v)) for v in row[c]))
-        at = F.least(F.floor(F.col(u) * points), F.lit(points - 1)).cast("int")
-        lo, hi = F.get(q, at), F.get(q, at + 1)
-        out = out.withColumn(c, lo + (hi - lo) * (F.col(u) * points - at))
-    return out
+    sources = list(dict.fromkeys(columns.values()))
+    places = staged(_placed(data, sources, None, [], None, False).select("c", "v", F.col("below").cast("long").alias("first"), (F.col("below") + F.col("own")).cast("long").alias("end"), F.col("n").cast("long").alias("n")), "places")
+    n = {r["c"]: r["n"] for r in places.groupBy("c").agg(F.max("n").alias("n")).collect()}
+    ranges = places.select("c", "v", "first", "end", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("end") - 1) / BLOCK))).alias("block"))
+    rows = _rows(sample)
+
+    def place(u: str, c: str) -> Column:
+        p = F.col("row").getField(u).cast("double")
+        size = n.get(sources.index(c), 0)
+        return F.when(present(p) & F.lit(size > 0), F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)) * (size - 1))
+
+    each = F.array(*(F.struct(F.lit(j).alias("u"), F.lit(sources.index(c)).alias("c"), F.lit(n.get(sources.index(c), 0)).cast("long").alias("n"), place(u, c).alias("h")) for j, (u, c) in enumerate(columns.items())))
+    asked = rows.select("key", F.inline(each)).where("h is not null").withColumn("low", F.floor("h"))
+    asked = asked.select("key", "u", "c", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("low").alias("at")), F.struct(F.lit(1).alias("side"), F.least(F.col("low") + 1, F.col("n") - 1).alias("at")))).alias("p"))
+    asked = asked.select("key", "u", "c", "p.side", "p.at", F.floor(F.col("p.at") / BLOCK).alias("block"))
+    met = asked.join(ranges, ["c", "block"]).where((F.col("at") >= F.col("first")) & (F.col("at") < F.col("end")))
+    side = lambda j, k: F.max(F.when((F.col("u") == j) & (F.col("side") == k), F.col("v"))).alias(f"v{j}_{k}")
+    found = met.groupBy("key").agg(*(side(j, k) for j in range(len(columns)) for k in (0, 1)))
+    made = {}
+    for j, (u, c) in enumerate(columns.items()):
+        h = place(u, c)
+        made[c] = F.col(f"v{j}_0") + (F.col(f"v{j}_1") - F.col(f"v{j}_0")) * (h - F.floor(h))
+    return _with(rows.join(found, "key", "left"), sample.columns, made)

@@ -169,7 +169,7 @@ def select_vine(df: DataFrame, columns: list[str], structure: RVineStructure | N
         if best[1] == 0.0:
             return full
         return select_vine(df, columns, structure, types, FitControlsVinecop(**{**open_.__dict__, "threshold": best[1]}))
-    work = _prepared(df, columns, types, controls.weights)
+    work = staged(_prepared(df, columns, types, controls.weights), "vine-data")
     pair_controls = controls.bicop()
     pair_controls.weights = "_weight" if controls.weights else None
     if controls.selection_criterion == "mbicv":
@@ -286,6 +286,6 @@ def _on_structure(work: DataFrame, structure: RVineStructure, types: list[str],
 
 def fit_vine(model: Vinecop, df: DataFrame, columns: list[str], controls: FitControlsBicop) -> Vinecop:
     """Structure and families of ``model`` with parameters fitted to the data."""
-    work = _prepared(df, columns, model.var_types, controls.weights)
+    work = staged(_prepared(df, columns, model.var_types, controls.weights), "vine-data")
     own = FitControlsBicop(**{**controls.__dict__, "weights": "_weight" if controls.weights else None})
     return _on_structure(work, model.structure, model.var_types, own, model.trunc_lvl, None, model.pair_copulas)

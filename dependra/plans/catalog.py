@@ -130,12 +130,10 @@ def _basket_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("kendall_tau_pairs", lambda s, d: _basket_tau(s, d).select(_r("tau", 9)), f"{_TAU} SELECT round(tau, 9) AS tau FROM tau")
 _MATRIX = ("n_lines", "sum_qty", "sum_price")
 _THREE = f"{BASKET_U}, p(x, y, a, b) AS (SELECT 'u_n_lines', 'u_sum_qty', d, a FROM u UNION ALL SELECT 'u_n_lines', 'u_sum_price', d, b FROM u UNION ALL SELECT 'u_sum_qty', 'u_sum_price', a, b FROM u)"
-#: Cells of 256 x 256 of each pair, with counts below and beside each, as for Hoeffding's D.
-_CELLS = f"""{_THREE}, c AS (SELECT x, y, CAST(floor(a * 256) AS INTEGER) AS i, CAST(floor(b * 256) AS INTEGER) AS j, count(*)::DOUBLE AS n FROM p GROUP BY ALL),
-r AS (SELECT x, y, i, sum(n) AS p, sum(sum(n)) OVER (PARTITION BY x, y ORDER BY i) AS s FROM c GROUP BY x, y, i),
-q AS (SELECT x, y, j, sum(n) AS p, sum(sum(n)) OVER (PARTITION BY x, y ORDER BY j) AS s FROM c GROUP BY x, y, j),
-b AS (SELECT c.x, c.y, c.i, c.j, c.n, sum(CASE WHEN o.i < c.i AND o.j < c.j THEN o.n WHEN o.i = c.i AND o.j < c.j OR o.j = c.j AND o.i < c.i THEN o.n / 2 ELSE 0 END) AS low FROM c JOIN c o ON o.x = c.x AND o.y = c.y AND o.i <= c.i AND o.j <= c.j GROUP BY ALL),
-m AS (SELECT b.x, b.y, b.n, low + (b.n - 1) / 4 + 1 AS bo, r.s - r.p / 2 + 0.5 AS r, q.s - q.p / 2 + 0.5 AS s FROM b JOIN r ON r.x = b.x AND r.y = b.y AND r.i = b.i JOIN q ON q.x = b.x AND q.y = b.y AND q.j = b.j),
+#: Hoeffding's D from all pairs of rows: ranks r and s, and the rows below in both, with half counts for ties.
+_CELLS = f"""{_THREE}, g AS (SELECT x, y, a, b, count(*)::DOUBLE AS n FROM p GROUP BY ALL),
+m AS (SELECT c.x, c.y, c.n, sum(CASE WHEN o.a < c.a THEN o.n WHEN o.a = c.a THEN o.n / 2 ELSE 0 END) + 0.5 AS r, sum(CASE WHEN o.b < c.b THEN o.n WHEN o.b = c.b THEN o.n / 2 ELSE 0 END) + 0.5 AS s,
+  sum(o.n * (CASE WHEN o.a < c.a THEN 1 WHEN o.a = c.a THEN 0.5 ELSE 0 END) * (CASE WHEN o.b < c.b THEN 1 WHEN o.b = c.b THEN 0.5 ELSE 0 END)) + 0.75 AS bo FROM g c JOIN g o ON o.x = c.x AND o.y = c.y GROUP BY c.x, c.y, c.a, c.b, c.n),
 d AS (SELECT x, y, sum(n) AS t, sum(n * (bo - 1) * (bo - 2)) AS d1, sum(n * (r - 1) * (r - 2) * (s - 1) * (s - 2)) AS d2, sum(n * (r - 2) * (s - 2) * (bo - 1)) AS d3 FROM m GROUP BY x, y)"""
 _PAIR = "sum(CASE WHEN b2.b > a2.b THEN 1 WHEN b2.b < a2.b THEN -1 ELSE 0 END)::DOUBLE"
 _MATRIX_SQL = {
@@ -148,7 +146,7 @@ SELECT k.x, k.y, round(s / sqrt((pairs - t.t) * (pairs - o.t)), 6) AS value FROM
     "hoeffd": f"WITH {_CELLS} SELECT x, y, round(30 * ((t - 2) * (t - 3) * d1 + d2 - 2 * (t - 2) * d3) / (t * (t - 1) * (t - 2) * (t - 3) * (t - 4)), 6) AS value FROM d",
 }
 for _c in dep.CRITERIA:
-    _add(f"dependence_matrix_{_c}", lambda s, d, c=_c: dep.dependence_matrix(basket_u(s, d, _MATRIX), [f"u_{x}" for x in _MATRIX], c, None if c in ("tau", "rho") else 256).select("x", "y", _r("value")), _MATRIX_SQL.get(_c))
+    _add(f"dependence_matrix_{_c}", lambda s, d, c=_c: dep.dependence_matrix(basket_u(s, d, _MATRIX), [f"u_{x}" for x in _MATRIX], c).select("x", "y", _r("value")), _MATRIX_SQL.get(_c))
 
 # pair copulas: density, distribution function, conditional distributions --------------
 
@@ -309,6 +307,25 @@ def _itau(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("itau_fit", _itau, f"{_TAU} SELECT round(tau, 6) AS tau, round(sin(tau * pi() / 2), 6) AS gaussian, round(2 * tau / (1 - tau), 6) AS clayton, round(1 / (1 - tau), 6) AS gumbel FROM tau")
 
 
+def _fit_itau(family: str) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        m = Bicop(family).fit(basket_u(s, d), "u_sum_qty", "u_sum_price", FitControlsBicop(parametric_method="itau"))
+        return s.createDataFrame([(family, round(m.parameters[0], 6), m.nobs)], "family string, theta double, nobs long")
+
+    return run
+
+
+#: Frank's tau is 1 - 4 / t * (1 - D(t)), with the Debye function D by Simpson's rule; halving finds t.
+_DEBYE = "(SELECT sum((CASE WHEN k = 0 OR k = 400 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * CASE WHEN k = 0 THEN 1.0 ELSE (k * m / 400) / (exp(k * m / 400) - 1) END) / 1200.0 FROM range(401) r(k))"
+_FIT_ITAU = {
+    "clayton": "SELECT 'clayton' AS family, round(least(28.0, 2 * tau / (1 - tau)), 6) AS theta, (SELECT count(*) FROM basket) AS nobs FROM tau",
+    "gumbel": "SELECT 'gumbel' AS family, round(least(50.0, 1 / (1 - tau)), 6) AS theta, (SELECT count(*) FROM basket) AS nobs FROM tau",
+    "frank": f", z(n, lo, hi) AS (SELECT 0, CAST(1e-6 AS DOUBLE), CAST(35.0 AS DOUBLE) UNION ALL SELECT n + 1, CASE WHEN t < tau THEN m ELSE lo END, CASE WHEN t < tau THEN hi ELSE m END FROM (SELECT *, 1 - 4 / m * (1 - {_DEBYE}) AS t FROM (SELECT *, (lo + hi) / 2 AS m FROM z WHERE n < 50)), tau) SELECT 'frank' AS family, round((lo + hi) / 2, 6) AS theta, (SELECT count(*) FROM basket) AS nobs FROM z ORDER BY n DESC LIMIT 1",
+}
+for _f, _sql in _FIT_ITAU.items():
+    _add(f"fit_itau_{_f}", _fit_itau(_f), _TAU.replace("WITH", "WITH RECURSIVE", 1).replace("tau AS (", "tau AS MATERIALIZED (") + " " + _sql)
+
+
 def _criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = Bicop("gumbel", 0, (2.0,)).loglik_frame(basket_u(spark, sf_dir), "u_sum_qty", "u_sum_price")
     return out.select("nobs", *(F.round(c, 4).alias(c) for c in ("loglik", "aic", "bic", "mbic")))
@@ -446,7 +463,13 @@ _add("sobol", lambda s, d: qrng.sobol(s, 5000, 5, [1, 2]))
 _add("simulate_uniform", lambda s, d: qrng.simulate_uniform(s, 5000, 3, seeds=[1, 2]))
 _add("simulate_normal", lambda s, d: qrng.simulate_normal(s, 5000, 3, seeds=[1, 2]))
 _add("simulate_bicop", lambda s, d: Bicop("bb1", 0, (1.0, 1.5)).simulate(s, 5000, True, [1]))
-_add("empirical_quantile", lambda s, d: pobs.empirical_quantile(qrng.simulate_uniform(s, 2000, 1, seeds=[1]), _read(s, d, "customer"), {"u1": "c_acctbal"}))
+_add(
+    "empirical_quantile",
+    lambda s, d: pobs.empirical_quantile(pobs.pseudo_obs(_read(s, d, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"]), _read(s, d, "orders"), {"u_c_acctbal": "o_totalprice"}).select("c_custkey", _r("o_totalprice", 4)),
+    f"WITH u AS (SELECT c_custkey, {_rank('c_acctbal')} AS p FROM customer), o AS (SELECT o_totalprice AS x, row_number() OVER (ORDER BY o_totalprice) - 1 AS k, count(*) OVER () AS n FROM orders WHERE o_totalprice IS NOT NULL), "
+    "h AS (SELECT c_custkey, (n - 1) * p AS h FROM u, (SELECT any_value(n) AS n FROM o)) "
+    "SELECT c_custkey, round(a.x + (b.x - a.x) * (h - floor(h)), 4) AS o_totalprice FROM h JOIN o a ON a.k = floor(h) JOIN o b ON b.k = least(floor(h) + 1, b.n - 1)",
+)
 for _g in ("unif", "norm", "exp"):
     _u = {"unif": "x", "norm": fit_sql.normal_cdf("x", 60), "exp": "1 - exp(-x)"}[_g]
     _v = {"unif": "y", "norm": fit_sql.normal_cdf("y", 60), "exp": "1 - exp(-y)"}[_g]
