@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
-Equal-token blocks are given to sources by highest quotients, then within each
-source to shards of bounded size by the same rule; each shard lays its
+Words are given to sources by highest quotients, then within each source to
+shards of bounded size by the same rule; each shard lays its
 documents in seeded order, cuts them into blocks, and fills its integer quota
 with whole passes and blocks chosen by a seeded hash.
 """
@@ -71,10 +71,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     Returns doc_id, text_key, source, size, source_size, target, passes (whole
     repeats), part (words of one more, partial repeat) and ranges (where those
     words are: first word from 0, number); the row adds ``passes * size + part``
-    words, at most ``max_repeat * size``.  ``block`` is the number of words of a
-    block.  Sources whose target is below 64 blocks are apportioned among
-    themselves, word by word, so that none is rounded away; the last block of a
-    shard's quota is cut to fit.  A shard has about ``shard_docs`` documents: a source with a
+    words, at most ``max_repeat * size``.  Seats are words, for all sources and
+    shards alike, so no source is rounded away, however small; ``block`` is the
+    number of words of the blocks that are then chosen, of which the last is cut
+    to fit the shard's quota.  A shard has about ``shard_docs`` documents: a source with a
     third of all rows is many shards, each ordered on its own.  Null ids,
     sources and texts are values like others; a document without words takes
     none; repeated rows are taken one by one; an empty table gives no rows;
@@ -84,16 +84,15 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     t = text_or_empty(text)
     sizes = staged(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.lit(seed), t).alias("text_key"), F.col(source).cast("string").alias("source"), n_words(t).alias("size")), "sizes")
     targets = staged(source_targets(sizes, weights, max_repeat), "targets")
-    targets = targets.withColumn("unit", F.when(F.col("target") < 64 * block, F.lit(1)).otherwise(F.lit(block)))
-    seats = F.round(F.sum("target").over(Window.partitionBy("unit")) / F.col("unit"))
-    quotas = sainte_lague(targets, "target", seats, ["unit"], ["source"]).select("source", "source_size", "n_docs", "target", "unit", (F.col("quota") * F.col("unit")).alias("words"))
+    seats = F.round(F.sum("target").over(Window.partitionBy()))
+    quotas = sainte_lague(targets, "target", seats, [], ["source"]).select("source", "source_size", "n_docs", "target", F.col("quota").alias("words"))
     quotas = staged(quotas.withColumn("words", F.least("words", F.col("source_size") * max_repeat)), "quotas")
     a, q = sizes.alias("a"), quotas.alias("q")
     placed = a.join(q, F.col("a.source").eqNullSafe(F.col("q.source")))
-    placed = placed.select("a.*", "q.source_size", "q.target", "q.words", "q.unit", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text_key"), F.ceil(F.col("n_docs") / shard_docs)).alias("shard"))
-    shards = placed.groupBy("source", "shard", "words", "unit").agg(F.sum("size").alias("shard_size"))
-    shards = sainte_lague(shards.withColumn("_w", F.col("shard_size").cast("double")), "_w", F.ceil(F.col("words") / F.col("unit")), ["source"], ["shard"])
-    shards = shards.select("source", "shard", "shard_size", F.least(F.col("quota") * F.col("unit"), F.col("shard_size") * max_repeat).alias("shard_words"))
+    placed = placed.select("a.*", "q.source_size", "q.target", "q.words", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text_key"), F.ceil(F.col("n_docs") / shard_docs)).alias("shard"))
+    shards = placed.groupBy("source", "shard", "words").agg(F.sum("size").alias("shard_size"))
+    shards = sainte_lague(shards.withColumn("_w", F.col("shard_size").cast("double")), "_w", F.col("words"), ["source"], ["shard"])
+    shards = shards.select("source", "shard", "shard_size", F.least("quota", F.col("shard_size") * max_repeat).alias("shard_words"))
     p, s = placed.alias("p"), shards.alias("s")
     met = p.join(s, F.col("p.source").eqNullSafe(F.col("s.source")) & (F.col("p.shard") == F.col("s.shard"))).select("p.*", "s.shard_size", "s.shard_words")
     passes = F.when(F.col("shard_size") > 0, F.floor(F.col("shard_words") / F.col("shard_size"))).otherwise(F.lit(0)).cast("long")
