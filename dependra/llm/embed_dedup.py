@@ -74,42 +74,49 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     """
     e = F.col(embedding)
     doubles = F.transform(e, lambda x: x.cast("double"))
-    square = F.aggregate(doubles, F.lit(0.0), lambda a, x: a + x * x)
-    good = F.col(label).isNotNull() & e.isNotNull() & F.coalesce((square > 0) & (square < float("inf")) & ~F.isnan(square), F.lit(False))
+    # scaled by a power of two, which changes no cosine, so that no square is too large or small
+    peak = F.aggregate(doubles, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
+    good = F.col(label).isNotNull() & e.isNotNull() & F.forall(doubles, lambda x: x.isNotNull() & ~F.isnan(x)) & (peak > 0) & (peak < float("inf"))
+    good = F.coalesce(good, F.lit(False))
+    half = F.pow(F.lit(2.0), -F.floor(F.log2(peak) / 2))
+    scaled = F.transform(doubles, lambda x: x * half * half)
     k1, k2 = content_key(F.col("label"), F.col("v"))
-    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.when(good, doubles).alias("v"), F.col(label).cast("string").alias("label"))
+    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.when(good, scaled).alias("v"), F.col(label).cast("string").alias("label"))
     rows = staged(rows.select("vec_id", "v", F.xxhash64(F.lit(9), "label", F.size("v")).alias("group"), F.when(F.col("v").isNotNull(), k1).alias("k1"), F.when(F.col("v").isNotNull(), k2).alias("k2")), "vectors")
     # a class has a 128-bit key and, once written, a number of its own: its node
     classes = rows.where("v is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("group").alias("group"), F.first("v").alias("v"))
     classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    largest = classes.groupBy("group").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
-    k, tables = plan(largest, threshold, width, miss)
+    # hashes and tables by the size of the own group, rounded up to a power of two
+    power = F.ceil(F.log2(F.col("n").cast("double"))).cast("int").alias("power")
+    placed = classes.select("node", "group", "v").join(classes.groupBy("group").agg(F.count("*").alias("n")).select("group", power).hint("rebalance"), "group")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mix = np.random.default_rng(seed + 1).integers(1, 1 << 63, k + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        at: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
-            ids, group = np.array(b.column("node").to_pylist(), np.int64), np.array(b.column("group").to_pylist(), np.int64)
+            ids, group, power = (np.array(b.column(c).to_pylist(), np.int64) for c in ("node", "group", "power"))
             lists = b.column("v").to_pylist()
             dims = np.array([len(v) for v in lists], int)
-            step = max(1, PRODUCT // (k * tables))
-            for d, some in ((d, x[i : i + step]) for d in np.unique(dims) for x in (np.flatnonzero(dims == d),) for i in range(0, len(x), step)):
-                v = np.array([lists[i] for i in some])
-                v /= np.sqrt((v * v).sum(1, keepdims=True))
-                if d not in at:
-                    at[d] = _directions(int(d), k * tables, seed), np.random.default_rng([seed + 2, int(d)]).uniform(0, width, k * tables)
-                code = np.floor((v @ at[d][0] + at[d][1]) / width).astype(np.int64).view(np.uint64).reshape(len(some), tables, k)
-                key = (code * mix[:k]).sum(2) + group[some].view(np.uint64)[:, None] * mix[k] + np.arange(tables, dtype=np.uint64) * mix[k + 1]
-                key ^= key >> np.uint64(31)
-                key *= mix[0]
-                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(ids[some], tables))], ["bucket", "id"])
+            for d, p in sorted(set(zip(dims.tolist(), power.tolist()))):
+                k, tables = plan(1 << p, threshold, width, miss)
+                mix = np.random.default_rng([seed + 1, p]).integers(1, 1 << 63, k + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+                if (d, p) not in at:
+                    at[d, p] = _directions(d, k * tables, seed), np.random.default_rng([seed + 2, d]).uniform(0, width, k * tables)
+                rows, step = np.flatnonzero((dims == d) & (power == p)), max(1, PRODUCT // (k * tables))
+                for some in (rows[i : i + step] for i in range(0, len(rows), step)):
+                    v = np.array([lists[i] for i in some])
+                    v /= np.sqrt((v * v).sum(1, keepdims=True))
+                    code = np.floor((v @ at[d, p][0] + at[d, p][1]) / width).astype(np.int64).view(np.uint64).reshape(len(some), tables, k)
+                    key = (code * mix[:k]).sum(2) + group[some].view(np.uint64)[:, None] * mix[k] + np.arange(tables, dtype=np.uint64) * mix[k + 1]
+                    key ^= key >> np.uint64(31)
+                    key *= mix[0]
+                    yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(ids[some], tables))], ["bucket", "id"])
 
     def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data = [sketch(np.array(v)) for v in b.column("v").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([1] * len(data), pa.int64()), pa.array(data, pa.binary())], ["id", "size", "data"])
 
-    buckets = staged(classes.select("node", "group", "v").mapInArrow(hashed, "bucket bigint, id bigint"), "buckets")
+    buckets = staged(placed.mapInArrow(hashed, "bucket bigint, id bigint"), "buckets")
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     met = buckets.join(shared, "bucket", "left_semi").join(classes.select("node", "v").mapInArrow(compact, "id bigint, size bigint, data binary"), "id")
 
