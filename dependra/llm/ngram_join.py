@@ -206,6 +206,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     wanted = near.join(classes.select("id", "node", "check", "copies", "size", *_row_key(F.col("one.doc_id"), F.col("one.text_key"))), "id")
     sizes = wanted.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("w"))
     texts = src.select("text", *_row_key(F.col("doc_id"), F.xxhash64("text"))).join(wanted, ["k1", "k2"])
+    texts = texts.dropDuplicates(["k1", "k2"])  # repeated rows are one, where they met
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
