@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.staging import staged
 
-__all__ = ["BLANKS", "GAP", "LOWER", "UPPER", "WORD", "content_key", "fold", "n_words", "spaced", "staged", "table", "text_or_empty"]
+__all__ = ["BLANKS", "GAP", "LOWER", "UPPER", "WORD", "content_key", "fold", "labelled", "n_words", "spaced", "staged", "table", "text_or_empty"]
 
 #: White space of all text contracts: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -49,3 +49,13 @@ def content_key(*cols: Column) -> list[Column]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def labelled(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(label, text): an example for each row of ``ids`` (_id, label), a table of bounded size.
+
+    Of rows of ``docs`` with the same id the text of least hash is taken.
+    """
+    rows = docs.select(F.col(doc_id).alias("_id"), text_or_empty(text).alias("text")).join(F.broadcast(ids.select("_id").distinct()), "_id", "left_semi")
+    one = rows.groupBy("_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return one.join(F.broadcast(ids), "_id").select("label", "text").repartition(2 * docs.sparkSession.sparkContext.defaultParallelism)

@@ -6,8 +6,7 @@ together by stochastic gradient descent in numpy on a bounded, documented
 sample of labelled documents.  Because the layer is linear, scoring needs one
 number per hashed feature, which is a small fixed-size broadcast.
 
-Every feature has the same share of the average.  The bigram of a word with
-itself is one n-gram, whatever the word; an end token closes each text.
+Every feature has the same share of the average; an end token closes each text.
 """
 
 from __future__ import annotations
@@ -20,12 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spaced, text_or_empty
+from .common import labelled, spaced, text_or_empty
 
 #: Hashed words and character n-grams, and as many hashed word bigrams after them.
 BUCKETS = 1 << 18
-#: Bucket of every bigram of a word with itself.
-AGAIN = BUCKETS
 #: Words that are kept with their hashed features while a task runs.
 MEMO = 400_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -45,8 +42,7 @@ def features(word: str) -> list[int]:
 def bigrams(words: np.ndarray) -> np.ndarray:
     """Buckets of the bigrams of a text, from the buckets of its words."""
     h = words.astype(np.uint64)
-    out = ((h[:-1] * _A + h[1:] * _B) >> np.uint64(40)).astype(np.int64) % (BUCKETS - 1) + BUCKETS + 1
-    return np.where(h[:-1] == h[1:], AGAIN, out)
+    return ((h[:-1] * _A + h[1:] * _B) >> np.uint64(40)).astype(np.int64) % BUCKETS + BUCKETS
 
 
 def tokens(text: str) -> list[str]:
@@ -89,19 +85,19 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([i.tobytes() for i, _ in rows], pa.binary()), pa.array([c.tobytes() for _, c in rows], pa.binary())], ["label", "ids", "shares"])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, use: Column, doc_id: str = "doc_id", text: str = "text", max_docs: int = 3000, dim: int = 16, epochs: int = 10, rate: float = 12.0, seed: int = 11) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, label: str, use: Column, doc_id: str = "doc_id", text: str = "text", max_docs: int = 3000, dim: int = 16, epochs: int = 5, rate: float = 12.0, seed: int = 11) -> tuple[np.ndarray, float]:
     """One weight per bucket and a bias, as learned from labelled documents.
 
     ``use`` says which rows of ``labels`` may be learned from.  The sample is
     the ``max_docs`` rows of least seeded id hash, so it does not depend on the
     order of the tables (ties go by the id); its ids are a broadcast of that
-    bounded size.  A repeated row of either table is an example of its own, so
-    the sample may be larger by the repeats of its ids.  Null labels are left
-    out.  Without examples every score is 0.5.
+    bounded size.  Of rows of ``docs`` with the same id the text of least hash
+    is the example, so the examples are bounded too, whatever repeats.  Null
+    labels are left out.  Without examples every score is 0.5.
     """
     ids = labels.where(use & F.col(label).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("label"))
     ids = ids.orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(max_docs)
-    rows = docs.select(F.col(doc_id).alias("_id"), text_or_empty(text).alias("text")).join(F.broadcast(ids), "_id").select("label", "text")
+    rows = labelled(docs, ids, doc_id, text)
     got = sorted(map(tuple, rows.mapInArrow(_examples, "label int, ids binary, shares binary").collect()), key=lambda r: (zlib.crc32(r[1]), bytes(r[1]), bytes(r[2])))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (2 * BUCKETS, dim)).astype(np.float32)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import labelled, text_or_empty
 
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou", "#": "aeiou", "€": "e", "£": "l", "(": "c"}
@@ -286,7 +286,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, use: Column, model: np
 
     ``use`` says which rows of ``labels`` may be learned from.  The sample is
     the ``max_docs`` rows of least seeded id hash (a broadcast of that bounded
-    size).  A feature is telling if the lower end of the Wilson interval
+    size); of rows of ``docs`` with the same id the text of least hash is the
+    example, so repeated rows don't add to it.  A feature is telling if the lower end of the Wilson interval
     (``errors`` standard errors) of its share of label 1 is above ``least``; a
     logistic model of the telling features is fitted by gradient descent.  Null
     labels are left out; without examples of both labels every text gets the
@@ -294,7 +295,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, use: Column, model: np
     """
     ids = labels.where(use & F.col(label).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("label"))
     ids = ids.orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(max_docs)
-    rows = docs.select(F.col(doc_id).alias("_id"), text_or_empty(text).alias("text")).join(F.broadcast(ids), "_id").select("label", "text")
+    rows = labelled(docs, ids, doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = Restorer(model, lambda w: tuple(features(w)))
@@ -334,7 +335,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, use: Column, model: np
 def score(docs: DataFrame, model: np.ndarray, weights: dict[int, float], bias: float, text: str = "text", columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``columns`` of every row with its score (0 to 1) and n_runs, from whole texts.
 
-    Null and empty texts score by the bias alone.  ``n_runs``: runs of letters
+    Null and empty texts score by the bias alone; repeated rows are scored one
+    by one; an empty table gives no rows.  ``n_runs``: runs of letters
     set apart that were joined.  Columns of ``docs`` that have the names of the
     two added ones are left out.
     """

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dependra.llm import embed_dedup, line_dedup, lm_score, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, toxicity
-from dependra.llm.common import fold
+from dependra.llm.common import fold, labelled
 from dependra.llm.queries import ORACLE_SQL, PIECES, QUERIES
 from dependra.plans.cluster import ship
 
@@ -259,7 +259,8 @@ def test_quality_step_and_score_against_brute_force(spark):
     own = [quality_classifier.features(w)[0] for w in words]
     every += list(quality_classifier.bigrams(np.array(own)))
     assert shares.sum() == pytest.approx(1) and dict(zip(ids.tolist(), shares.tolist())) == pytest.approx({f: n / len(every) for f, n in collections.Counter(map(int, every)).items()})
-    assert quality_classifier.bigrams(np.array(own))[1] == quality_classifier.AGAIN
+    pairs = quality_classifier.bigrams(np.array([5, 5, 9, 9, 5]))
+    assert len(set(pairs.tolist())) == 4 and (pairs >= quality_classifier.BUCKETS).all()  # each repeated word is a bigram of its own
 
     def loss(v, a, b):
         z = shares.astype(float) @ v[ids] @ a + b
@@ -285,6 +286,68 @@ def test_quality_step_and_score_against_brute_force(spark):
         assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-(0.25 + float(shares.astype(float) @ weight[ids])))), rel=1e-4)
 
 
+def test_repeated_rows_stay_bounded(spark, monkeypatch):
+    """Copies of one row are one shingle set in the join, and one example in training."""
+    ship(spark)
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(500)}" for _ in range(60)]
+    near = " ".join([*words[:-1], "other"])
+    rows = [(7, " ".join(words))] * 1500 + [(8, near), (9, "quite another text of a few words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    lengths = spark.sparkContext.accumulator(0)
+    inner = ngram_join.groups
+
+    def watched(batches, alone=False):
+        for b in batches:
+            lengths.add(max((len(m) for m in b.column("members").to_pylist()), default=0))
+            yield from inner(iter([b]), alone)
+
+    monkeypatch.setattr(ngram_join, "groups", watched)
+    out = ngram_join.join(docs).collect()
+    assert 0 < lengths.value <= 4
+    assert {(r["class_id"], r["n_copies"], r["n_links"], r["n_linked_docs"], r["component_id"]) for r in out} == {(7, 1500, 1, 1, 7), (8, 1, 1, 1500, 7), (9, 1, 0, 0, 9)}
+    assert sum(r["kept"] for r in out) == 2
+    monkeypatch.undo()
+    ids = spark.createDataFrame([(7, 1), (8, 0), (8, 0), (99, 1)], "_id long, label int")
+    got = sorted(map(tuple, labelled(docs.unionByName(docs.where("doc_id = 8").withColumn("text", F.lit(None).cast("string"))), ids, "doc_id", "text").collect()))
+    assert len(got) == 3 and [r[0] for r in got] == [0, 0, 1] and got[2][1] == " ".join(words)
+
+
+def test_embeddings_of_any_size_and_groups_of_any_number(spark):
+    """Finite vectors with tiny or huge norms link, and each group has hashes of its own."""
+    ship(spark)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 16))
+    rows = []
+    for i, v in enumerate(base):
+        for k, scale in enumerate((1e-170, 1.0, 1e160)):
+            rows.append((3 * i + k, (v * scale).tolist(), i % 2 if i else 5))
+    rows += [(500, [0.0] * 16, 0), (501, [float("inf")] * 16, 0), (502, [1.0, None] * 8, 0), (503, [5e-324] * 16, 0), (504, [1.7e308] * 16, 0)]
+    out = {r["vec_id"]: r for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), miss=1e-6).collect()}
+    assert all(out[j]["component_id"] == j - j % 3 and out[j]["n_links"] == 2 for j in range(120))
+    assert [out[j]["n_links"] for j in range(500, 505)] == [0, 0, 0, 1, 1]
+
+
+@pytest.mark.parametrize("size", [20, 300, 3000])
+def test_embedding_recall_by_group_size(spark, size):
+    """Pairs just above the threshold, with the planned hashes of groups of each size."""
+    ship(spark)
+    rng = np.random.default_rng(size)
+    x = rng.normal(size=(size, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    half = size // 2
+    off = rng.normal(size=(half, 32))
+    off -= (off * x[:half]).sum(1, keepdims=True) * x[:half]
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    x[half : 2 * half] = 0.9302 * x[:half] + math.sqrt(1 - 0.9302**2) * off
+    cosine = x @ x.T
+    np.fill_diagonal(cosine, 0)
+    links = int((cosine >= 0.93).sum())
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    found = sum(r["n_links"] for r in embed_dedup.near_duplicates(df).collect())
+    assert found <= links and found >= 0.99 * links
+
+
 def test_columns_with_clashing_names_stay(spark):
     rows = [(k, f"Shared line\nown line number {k} with several more words in it", "a" if k % 2 else None, k, k, k, k, k, k, k) for k in range(14)]
     rows.append((3, rows[3][1], "a", 3, 3, 3, 3, 3, 3, 3))
@@ -329,7 +392,8 @@ def test_quality_classifier_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     w, b = quality_classifier.train(docs, labels, "quality", fold("doc_id", 5) != 0, max_docs=1500)
     r = quality_classifier.score(docs, w, b).join(labels, "doc_id").where(fold("doc_id", 5) == 0).toPandas()
-    assert ((r.score >= 0.3) == (r.quality == 1)).mean() > 0.97
+    # the former bound of 0.97 came from a feature that was made after looking at these very documents
+    assert ((r.score >= 0.3) == (r.quality == 1)).mean() > 0.95
 
 
 def test_embeddings(spark):
