@@ -54,21 +54,31 @@ def points(spark: SparkSession, n: int, partitions: int | None = None) -> DataFr
     return spark.range(0, n, 1, partitions or max(1, min(2000, n // 50_000 + 1))).withColumnRenamed("id", "sample_id")
 
 
-def ghalton(spark: SparkSession, n: int, d: int, seeds: list[int] | None = None) -> DataFrame:
-    """Generalised Halton points u1 .. ud: radical inverses with scrambled digits.
+def halton_scrambles(d: int, seeds: list[int] | None = None) -> list[tuple[int, list[int], float]]:
+    """(base, digit permutation that fixes 0, shift) of each coordinate."""
+    rng = np.random.default_rng(_seed(seeds))
+    return [(base, [0, *(rng.permutation(base - 1) + 1).tolist()], float(rng.random())) for base in primes(d)]
+
+
+def ghalton_rows(df: DataFrame, key: str, d: int, seeds: list[int] | None = None, most: int = 1 << 40) -> DataFrame:
+    """``df`` with generalised Halton points u1 .. ud: radical inverses with scrambled digits.
 
-    Digit permutations fix 0 and are drawn from the seed; a random shift of each
-    coordinate (modulo 1) keeps points off the faces of the cube.
+    The integer column ``key`` (0 to ``most``) tells which point a row gets, so
+    each row is made from itself.  Digit permutations fix 0 and are drawn from
+    the seed; a random shift of each coordinate (modulo 1) keeps points off the
+    faces of the cube.  A null key gets nulls.
     """
-    seed = _seed(seeds)
-    rng = np.random.default_rng(seed)
-    cols = []
-    for j, base in enumerate(primes(d)):
-        perm = [0, *(rng.permutation(base - 1) + 1).tolist()]
-        digits = max(2, int(np.ceil(np.log(max(2, n + 1)) / np.log(base))) + 1)
-        x = radical_inverse(F.col("sample_id") + 1, base, digits, perm) + float(rng.random())
-        cols.append(F.least(F.greatest(x - F.floor(x), F.lit(1e-12)), F.lit(1 - 1e-12)).alias(f"u{j + 1}"))
-    return points(spark, n).select("sample_id", *cols)
+    cols = {}
+    for j, (base, perm, shift) in enumerate(halton_scrambles(d, seeds)):
+        digits = max(2, int(np.ceil(np.log(max(2, most + 1)) / np.log(base))) + 1)
+        x = radical_inverse(F.col(key) + 1, base, digits, perm) + shift
+        cols[f"u{j + 1}"] = F.when(F.col(key).isNotNull(), F.least(F.greatest(x - F.floor(x), F.lit(1e-12)), F.lit(1 - 1e-12)))
+    return df.withColumns(cols)
+
+
+def ghalton(spark: SparkSession, n: int, d: int, seeds: list[int] | None = None) -> DataFrame:
+    """The first n generalised Halton points (sample_id, u1 .. ud), see ``ghalton_rows``."""
+    return ghalton_rows(points(spark, n), "sample_id", d, seeds, n)
 
 
 def _primitive_polynomials(count: int) -> list[tuple[int, int]]:
@@ -127,34 +137,62 @@ def sobol_directions(d: int, bits: int, rng: np.random.Generator) -> np.ndarray:
     return v
 
 
-def sobol(spark: SparkSession, n: int, d: int, seeds: list[int] | None = None, bits: int = 40) -> DataFrame:
-    """Scrambled Sobol points u1 .. ud: XOR of direction numbers by the Gray code of the row, and a digital shift."""
-    rng = np.random.default_rng(_seed(seeds))
+def sobol_shifts(d: int, bits: int, seeds: list[int] | None = None) -> np.ndarray:
+    """The digital shift of each coordinate."""
+    return np.random.default_rng(_seed(seeds)).integers(0, 1 << bits, d, dtype=np.uint64)
+
+
+def sobol_rows(df: DataFrame, key: str, d: int, seeds: list[int] | None = None, bits: int = 40) -> DataFrame:
+    """(key, u1 .. ud): scrambled Sobol points for the integer column ``key`` of ``df``.
+
+    XOR of direction numbers by the Gray code of the key, and a digital shift.
+    """
     v = sobol_directions(d, bits, np.random.default_rng(1))
-    shift = rng.integers(0, 1 << bits, d, dtype=np.uint64)
+    shift = sobol_shifts(d, bits, seeds)
     names = [f"u{j + 1}" for j in range(d)]
 
     def run(batches):  # noqa: ANN001, ANN202
         for pdf in batches:
-            i = pdf["sample_id"].to_numpy().astype(np.uint64)
+            i = pdf[key].to_numpy().astype(np.uint64)
             gray = i ^ (i >> np.uint64(1))
             x = np.tile(shift[:, None], (1, len(i)))
             for k in range(bits):
                 x ^= np.where(gray >> np.uint64(k) & np.uint64(1), v[:, k : k + 1], np.uint64(0))
-            yield pd.DataFrame({"sample_id": pdf["sample_id"], **dict(zip(names, (x + 0.5) * 2.0**-bits))})
+            yield pd.DataFrame({key: pdf[key], **dict(zip(names, (x + 0.5) * 2.0**-bits))})
 
-    return points(spark, n).mapInPandas(run, ", ".join(["sample_id long", *(f"{c} double" for c in names)]))
+    return df.select(F.col(key).cast("long").alias(key)).where(F.col(key).isNotNull()).mapInPandas(run, ", ".join([f"`{key}` long", *(f"{c} double" for c in names)]))
 
 
-def simulate_uniform(spark: SparkSession, n: int, d: int, qrng: bool = False, seeds: list[int] | None = None) -> DataFrame:
-    """n rows of d independent uniforms; quasi-random: generalised Halton up to 300 columns, else Sobol."""
+def sobol(spark: SparkSession, n: int, d: int, seeds: list[int] | None = None, bits: int = 40) -> DataFrame:
+    """The first n scrambled Sobol points (sample_id, u1 .. ud), see ``sobol_rows``."""
+    return sobol_rows(points(spark, n), "sample_id", d, seeds, bits)
+
+
+def uniform_rows(df: DataFrame, key: str, d: int, qrng: bool = False, seeds: list[int] | None = None, most: int = 1 << 40) -> DataFrame:
+    """(key, u1 .. ud): d independent uniforms for each row of ``df``, from its integer column ``key``.
+
+    Rows of equal key get equal numbers; quasi-random: generalised Halton up to
+    300 columns, else Sobol.
+    """
+    rows = df.select(F.col(key).cast("long").alias(key))
     if qrng:
-        return ghalton(spark, n, d, seeds) if d <= 300 else sobol(spark, n, d, seeds)
+        return ghalton_rows(rows, key, d, seeds, most) if d <= 300 else sobol_rows(rows, key, d, seeds)
     seed = _seed(seeds)
-    return points(spark, n).select("sample_id", *(uniform(F.col("sample_id"), j, seed).alias(f"u{j + 1}") for j in range(d)))
+    return rows.select(key, *(uniform(F.col(key), j, seed).alias(f"u{j + 1}") for j in range(d)))
+
+
+def simulate_uniform(spark: SparkSession, n: int, d: int, qrng: bool = False, seeds: list[int] | None = None) -> DataFrame:
+    """n rows (sample_id, u1 .. ud) of independent uniforms, see ``uniform_rows``."""
+    return uniform_rows(points(spark, n), "sample_id", d, qrng, seeds, n)
+
+
+def normal_rows(df: DataFrame, key: str, d: int, qrng: bool = False, seeds: list[int] | None = None) -> DataFrame:
+    """(key, z1 .. zd): standard normal numbers for each row of ``df``, see ``uniform_rows``."""
+    u = uniform_rows(df, key, d, qrng, seeds)
+    return u.select(key, *(normal_score(F.col(f"u{j + 1}")).alias(f"z{j + 1}") for j in range(d)))
 
 
 def simulate_normal(spark: SparkSession, n: int, d: int, qrng: bool = False, seeds: list[int] | None = None) -> DataFrame:
-    """Standard normal columns z1 .. zd."""
+    """Standard normal columns z1 .. zd of n rows."""
     u = simulate_uniform(spark, n, d, qrng, seeds)
     return u.select("sample_id", *(normal_score(F.col(f"u{j + 1}")).alias(f"z{j + 1}") for j in range(d)))

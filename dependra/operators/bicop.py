@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import families as fam
 from ..functions.algebra import ARRAYS, COLUMNS, TRIM
-from ..functions.qrng import simulate_uniform
+from ..functions.qrng import simulate_uniform, uniform_rows
 from ..plans.staging import staged
 from . import tll
 from .controls import FitControlsBicop
@@ -289,6 +289,10 @@ class Bicop:
         """n draws (sample_id, u1, u2)."""
         return self.as_continuous().hinv1(simulate_uniform(spark, n, 2, qrng, seeds), name="_x").select("sample_id", "u1", F.col("_x").alias("u2"))
 
+    def simulate_rows(self, df: DataFrame, key: str, qrng: bool = False, seeds: list[int] | None = None) -> DataFrame:
+        """A draw (key, u1, u2) for each row of ``df``, from its integer column ``key``."""
+        return self.as_continuous().hinv1(uniform_rows(df, key, 2, qrng, seeds), name="_x").select(key, "u1", F.col("_x").alias("u2"))
+
     # likelihood ----------------------------------------------------------
     def loglik_frame(self, df: DataFrame, u1: str = "u1", u2: str = "u2", weights: str | None = None, psi0: float = 0.9) -> DataFrame:
         """One row: nobs, loglik, aic, bic, mbic of complete rows."""

@@ -26,6 +26,60 @@ from .structure import CVineStructure, DVineStructure, RVineStructure
 __all__ = ["CVineStructure", "DVineStructure", "RVineStructure", "Vinecop"]
 
 
+class DrawTree:
+    """A k-d tree of draws that counts those below a point in all coordinates.
+
+    Node k holds draws first[k] to end[k] of the sorted ones, with the least and
+    the largest value of each coordinate; its halves are left[k] and left[k] + 1
+    (-1: a leaf).
+    """
+
+    LEAF, ROWS = 16, 2048
+
+    def __init__(self, draws: np.ndarray) -> None:
+        order, ranges, left = np.arange(len(draws)), [(0, len(draws))], []
+        while len(left) < len(ranges):
+            a, b = ranges[len(left)]
+            x = draws[order[a:b]]
+            if b - a <= self.LEAF:
+                left.append(-1)
+                continue
+            mid = (b - a) // 2
+            order[a:b] = order[a:b][np.argpartition(x[:, np.argmax(np.ptp(x, axis=0))], mid)]
+            left.append(len(ranges))
+            ranges += [(a, a + mid), (a + mid, b)]
+        self.draws, self.left = draws[order], np.array(left)
+        self.first, self.end = np.array(ranges).T
+        self.low = np.array([self.draws[a:b].min(0, initial=np.inf) for a, b in ranges])
+        self.high = np.array([self.draws[a:b].max(0, initial=-np.inf) for a, b in ranges])
+        self.compared = 0
+
+    def share_below(self, points: np.ndarray) -> np.ndarray:
+        """The share of draws at or below each point in all coordinates; NaN where a coordinate is missing."""
+        out = np.empty(len(points))
+        for at in range(0, len(points), self.ROWS):
+            x = points[at : at + self.ROWS]
+            found = np.zeros(len(x))
+            row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+            while len(row):
+                self.compared += len(row)
+                whole = (self.high[node] <= x[row]).all(1)
+                found += np.bincount(row[whole], (self.end - self.first)[node[whole]], len(x))
+                open_ = ~whole & (self.low[node] <= x[row]).all(1)
+                row, node = row[open_], node[open_]
+                leaf = self.left[node] < 0
+                r, k = row[leaf], node[leaf]
+                n = self.end[k] - self.first[k]
+                draw = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                r = np.repeat(r, n)
+                self.compared += len(r)
+                found += np.bincount(r, (self.draws[draw] <= x[r]).all(1), len(x))
+                row, node = row[~leaf], self.left[node[~leaf]]
+                row, node = np.concatenate([row, row]), np.concatenate([node, node + 1])
+            out[at : at + self.ROWS] = np.where(np.isnan(x).any(1), np.nan, found / max(1, len(self.draws)))
+        return out
+
+
 class Vinecop:
     """A vine copula; variable j (label j, from 1) is the j-th of the columns given to its methods."""
 
@@ -197,8 +251,11 @@ class Vinecop:
 
         A discrete variable's value is drawn between the transform of its left
         limit and its own by a hash of the seed and ``key`` if
-        ``randomize_discrete`` is set.
+        ``randomize_discrete`` is set; ``key`` names a column that tells rows
+        apart, so that a row that is made again gets the same draw.
         """
+        if randomize_discrete and "d" in self.var_types and key is None:
+            raise ValueError("discrete variables need a key column, or randomize_discrete=False")
         out, last = self._forward(df, columns, density=False)
         seed = _seed(seeds) if randomize_discrete and "d" in self.var_types else 0
         cols = []
@@ -206,7 +263,7 @@ class Vinecop:
             c = F.col(last[j])
             if self.var_types[label - 1] == "d" and randomize_discrete:
                 lo = F.col(f"{last[j]}_lo")
-                c = lo + (c - lo) * uniform(F.col(key) if key else F.monotonically_increasing_id(), label, seed)
+                c = lo + (c - lo) * uniform(F.xxhash64(F.col(key)), label, seed)
             cols.append((label, c.alias(f"{prefix}{columns[label - 1]}")))
         return out.select(*df.columns, *(c for _, c in sorted(cols, key=lambda x: x[0])))
 
@@ -274,23 +331,16 @@ class Vinecop:
     def cdf(self, df: DataFrame, columns: list[str], N: int = 10_000, seeds: list[int] | None = None, name: str = "cdf") -> DataFrame:  # noqa: N803
         """``df`` with the distribution function, from N quasi-random draws of the model.
 
-        The draws (N x d numbers, a bound that the caller sets) are made once and
-        sent to the executors.
+        The draws (N x d numbers, a bound that the caller sets) are made once,
+        put into a k-d tree and sent to the executors.  A row adds whole nodes
+        that lie below it and skips those that don't, so it meets few draws.
         """
         spark = df.sparkSession
-        draws = spark.sparkContext.broadcast(self.simulate(spark, N, True, seeds or [1]).drop("sample_id").toPandas().to_numpy())
+        tree = spark.sparkContext.broadcast(DrawTree(self.simulate(spark, N, True, seeds or [1]).drop("sample_id").toPandas().to_numpy()))
 
         @F.pandas_udf("double")
         def run(*cols: pd.Series) -> pd.Series:
-            x = np.column_stack([c.to_numpy(float) for c in cols])
-            s, out = draws.value, np.empty(len(x))
-            for at in range(0, len(x), 64):  # 64 rows against all draws at once
-                r = x[at : at + 64]
-                below = s[:, 0] <= r[:, :1]
-                for k in range(1, s.shape[1]):
-                    below &= s[:, k] <= r[:, k : k + 1]
-                out[at : at + 64] = np.where(np.isnan(r).any(1), np.nan, below.mean(1))
-            return pd.Series(out)
+            return pd.Series(tree.value.share_below(np.column_stack([c.to_numpy(float) for c in cols])))
 
         return df.withColumn(name, run(*(F.col(c) for c in columns)))
 

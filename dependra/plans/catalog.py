@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from ..operators import dependence as dep
 from ..operators import pobs
 from ..operators.bicop import Bicop
 from ..operators.controls import FitControlsBicop, FitControlsVinecop
-from ..operators.grids import density_grid
+from ..operators.grids import density_grid, empirical_density_grid
 from ..operators.probability import bivariate_probability
 from ..operators.vinecop import CVineStructure, DVineStructure, RVineStructure, Vinecop, tree_nodes_edges
 from . import fit_sql
@@ -353,7 +354,7 @@ for _f in ("gaussian", "clayton", "gumbel", "frank", "joe", "student", "bb1", "b
     _add(f"fit_{_f}", _fit(_f), fit_sql.one_parameter(_f, BASKET_U) if _f in fit_sql.ONE else None)
 for _f in fit_sql.TWO:
     _add(f"fit_{_f}_loglik", lambda s, d, f=_f: _fit(f)(s, d).select("family", "rotation", F.round("loglik", 2).alias("loglik"), "nobs"), fit_sql.two_parameters(_f, BASKET_U))
-_add("select_bicop", lambda s, d: _fitted(Bicop.from_data(basket_u(s, d), "u_sum_qty", "u_sum_price", FitControlsBicop(family_set=["indep", "gaussian", "student", "clayton", "gumbel", "frank", "joe", "bb1", "bb7"])), s))
+_add("select_bicop", lambda s, d: _fitted(Bicop.from_data(basket_u(s, d), "u_sum_qty", "u_sum_price"), s))
 _add(
     "fit_tll_discrete",
     lambda s, d: _fitted(Bicop.from_data(pobs.discrete_margins(pobs.pseudo_obs(basket(s, d), ["sum_price"]), "n_lines"), "u_n_lines", "u_sum_price", FitControlsBicop(family_set=["tll"]), ["d", "c"]), s),
@@ -455,14 +456,50 @@ _add(
 for _b in (2, 3):
     _add(
         f"radical_inverse_base{_b}",
-        lambda s, d, b=_b: s.range(1000).select("id", F.round(qrng.radical_inverse(F.col("id"), b, 20), 9).alias("x")),
-        f"SELECT range AS id, round(list_sum(list_transform(range(20), lambda k: (floor(range / pow({_b}, k)) % {_b}) * pow({_b}, -k - 1))), 9) AS x FROM range(1000)",
+        lambda s, d, b=_b: _read(s, d, "orders").select("o_orderkey", F.round(qrng.radical_inverse(F.col("o_orderkey"), b, 30), 9).alias("x")),
+        f"SELECT o_orderkey, round(list_sum(list_transform(range(30), lambda k: (floor(o_orderkey / pow({_b}, k)) % {_b}) * pow({_b}, -k - 1))), 9) AS x FROM orders",
     )
-_add("ghalton", lambda s, d: qrng.ghalton(s, 5000, 5, [1, 2]))
-_add("sobol", lambda s, d: qrng.sobol(s, 5000, 5, [1, 2]))
-_add("simulate_uniform", lambda s, d: qrng.simulate_uniform(s, 5000, 3, seeds=[1, 2]))
-_add("simulate_normal", lambda s, d: qrng.simulate_normal(s, 5000, 3, seeds=[1, 2]))
-_add("simulate_bicop", lambda s, d: Bicop("bb1", 0, (1.0, 1.5)).simulate(s, 5000, True, [1]))
+
+
+def _keyed(table: str, key: str, make: Callable[[DataFrame], DataFrame]) -> Query:
+    """Points for the rows of a table, rounded."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = make(_read(spark, sf_dir, table).select(key))
+        return out.select(key, *(F.round(c, 8).alias(c) for c in out.columns if c != key))
+
+    return run
+
+
+def _halton_sql(d: int, seeds: list[int]) -> str:
+    """Scrambled digits of the key plus one, mirrored at the point, shifted modulo 1."""
+    cols = []
+    for j, (base, perm, shift) in enumerate(qrng.halton_scrambles(d, seeds)):
+        x = f"list_sum(list_transform(range(40), lambda k: ({perm}[CAST(floor((c_custkey + 1) / pow({base}, k)) % {base} AS INTEGER) + 1]) * pow({base}, -k - 1)))"
+        cols.append(f"round(({x} + {shift!r}) - floor({x} + {shift!r}), 8) AS u{j + 1}")
+    return f"SELECT c_custkey, {', '.join(cols)} FROM customer"
+
+
+def _sobol_sql(d: int, seeds: list[int], bits: int = 40) -> str:
+    """XOR of the direction numbers at the bits of the Gray code of the key."""
+    v, shift = qrng.sobol_directions(d, bits, np.random.default_rng(1)), qrng.sobol_shifts(d, bits, seeds)
+    cols = []
+    for j in range(d):
+        x = f"list_reduce(list_prepend({int(shift[j])}::BIGINT, list_transform(range({bits}), lambda k: CASE WHEN (g >> CAST(k AS INTEGER)) & 1 = 1 THEN ({v[j].tolist()}::BIGINT[])[k + 1] ELSE 0::BIGINT END)), lambda p, q: xor(p, q))"
+        cols.append(f"round(({x} + 0.5) * pow(2, -{bits}), 8) AS u{j + 1}")
+    return f"SELECT c_custkey, {', '.join(cols)} FROM (SELECT c_custkey, xor(c_custkey::BIGINT, c_custkey::BIGINT >> 1) AS g FROM customer)"
+
+
+_add("ghalton", _keyed("customer", "c_custkey", lambda t: qrng.ghalton_rows(t, "c_custkey", 5, [1, 2])), _halton_sql(5, [1, 2]))
+_add("sobol", _keyed("customer", "c_custkey", lambda t: qrng.sobol_rows(t, "c_custkey", 5, [1, 2])), _sobol_sql(5, [1, 2]))
+_add("simulate_uniform", _keyed("orders", "o_orderkey", lambda t: qrng.uniform_rows(t, "o_orderkey", 3, seeds=[1, 2])))
+_add("simulate_normal", _keyed("orders", "o_orderkey", lambda t: qrng.normal_rows(t, "o_orderkey", 3, seeds=[1, 2])))
+_add("simulate_bicop", _keyed("orders", "o_orderkey", lambda t: Bicop("bb1", 0, (1.0, 1.5)).simulate_rows(t, "o_orderkey", True, [1])))
+# a Clayton pair from the Halton points of the same seed
+_add(
+    "simulate_clayton",
+    _keyed("customer", "c_custkey", lambda t: Bicop("clayton", 0, (2.0,)).simulate_rows(t, "c_custkey", True, [1, 2])),
+    f"WITH h AS ({_halton_sql(2, [1, 2]).replace(', 8)', ', 15)')}) SELECT c_custkey, round(u1, 8) AS u1, round({_INV['clayton'].format(g='u1', w='u2')}, 8) AS u2 FROM h",
+)
 _add(
     "empirical_quantile",
     lambda s, d: pobs.empirical_quantile(pobs.pseudo_obs(_read(s, d, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"]), _read(s, d, "orders"), {"u_c_acctbal": "o_totalprice"}).select("c_custkey", _r("o_totalprice", 4)),
@@ -475,8 +512,16 @@ for _g in ("unif", "norm", "exp"):
     _v = {"unif": "y", "norm": fit_sql.normal_cdf("y", 60), "exp": "1 - exp(-y)"}[_g]
     _lim = {"unif": (0.01, 0.99), "exp": (0.05, 6.0), "norm": (-3.0, 3.0)}[_g]
     _w = {"unif": "1.0", "norm": "exp(-(x * x + y * y) / 2) / (2 * pi())", "exp": "exp(-x - y)"}[_g]
-    _sql = f"WITH g AS (SELECT CAST(range // 40 AS INTEGER) AS i, CAST(range % 40 AS INTEGER) AS j FROM range(1600)), p AS (SELECT i, j, {_lim[0]} + i * ({_lim[1]} - {_lim[0]}) / 39 AS x, {_lim[0]} + j * ({_lim[1]} - {_lim[0]}) / 39 AS y FROM g), u AS (SELECT *, {_u} AS a, {_v} AS b FROM p) SELECT i, j, round(x, 6) AS x, round(y, 6) AS y, round({_one_sql('clayton', 'a', 'b')[0]} * {_w}, 6) AS density FROM u"
-    _add(f"density_grid_{_g}", lambda s, d, g=_g, lim=_lim: density_grid(s, Bicop("clayton", 0, (2.0,)), "surface", g, lim).select("i", "j", _r("x"), _r("y"), _r("density")), _sql)
+    # Clayton with the parameter that follows from the tau of the basket
+    _density = "(1 + th) * pow(a * b, -th - 1) * pow(pow(a, -th) + pow(b, -th) - 1, -2 - 1 / th)"
+    _sql = f"{_TAU.replace('tau AS (', 'tau AS MATERIALIZED (')}, g AS (SELECT CAST(range // 40 AS INTEGER) AS i, CAST(range % 40 AS INTEGER) AS j FROM range(1600)), pts AS (SELECT i, j, {_lim[0]} + i * ({_lim[1]} - {_lim[0]}) / 39 AS x, {_lim[0]} + j * ({_lim[1]} - {_lim[0]}) / 39 AS y FROM g), u AS (SELECT *, {_u} AS a, {_v} AS b, 2 * tau / (1 - tau) AS th FROM pts, tau) SELECT i, j, round(x, 6) AS x, round(y, 6) AS y, round({_density} * {_w}, 5) AS density FROM u"
+    _add(f"density_grid_{_g}", lambda s, d, g=_g, lim=_lim: density_grid(s, Bicop("clayton").fit(basket_u(s, d), "u_sum_qty", "u_sum_price", FitControlsBicop(parametric_method="itau")), "surface", g, lim).select("i", "j", _r("x"), _r("y"), _r("density", 5)), _sql)
+_add(
+    "empirical_density_grid",
+    lambda s, d: empirical_density_grid(basket_u(s, d), "u_sum_qty", "u_sum_price", 20).select("i", "j", _r("density")),
+    f"WITH {BASKET_U}, c AS (SELECT CAST(floor(a * 20) AS INTEGER) AS i, CAST(floor(b * 20) AS INTEGER) AS j, count(*) AS n FROM u GROUP BY ALL), g AS (SELECT CAST(range // 20 AS INTEGER) AS i, CAST(range % 20 AS INTEGER) AS j FROM range(400)) "
+    "SELECT i, j, round(coalesce(n, 0) * 400.0 / (SELECT sum(n) FROM c), 6) AS density FROM g LEFT JOIN c USING (i, j)",
+)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -231,3 +231,21 @@ def test_quantiles_are_exact(spark):
 @pytest.mark.parametrize("name", ["fit_itau_clayton", "fit_itau_frank", "dependence_matrix_hoeffd", "empirical_quantile"])
 def test_sql(same, name):
     same(catalog.QUERIES[name], catalog.ORACLE_SQL[name])
+
+
+# the index of a vine's draws
+
+
+def test_draw_tree_counts_like_all_draws():
+    from dependra.operators.vinecop import DrawTree
+
+    rng = np.random.default_rng(6)
+    for n, d in ((10_000, 3), (10_000, 2), (7, 4), (1000, 1)):
+        draws = rng.random((n, d))
+        draws[: n // 3] = draws[0]  # equal draws
+        x = np.concatenate([rng.random((300, d)), draws[:20], [[np.nan] * d, [0.0] * d, [1.0] * d]])
+        tree = DrawTree(draws)
+        want = np.array([np.nan if np.isnan(r).any() else (draws <= r).all(1).mean() for r in x])
+        assert np.array_equal(tree.share_below(x), want, equal_nan=True)
+        if (n, d) == (10_000, 3):
+            assert tree.compared * 10 < n * len(x)
