@@ -58,7 +58,7 @@ STAGES = [
     ("sentencepiece", encode_pieces),
 ]
 
-#: SQL can't express the classifier and the tokenizer; tests compare with brute force.
+#: SQL can't express the classifier and the tokenizer; the stages' operators are tested one by one, the whole for columns and counts.
 ORACLE_SQL = None
 
 
