@@ -70,12 +70,17 @@ def _indep(m, a, b, p):  # noqa: ANN001, ANN202
     return a * b, b, a * 0.0 + 1.0
 
 
+def gaussian_of_scores(m, s, t, rho: float):  # noqa: ANN001, ANN201
+    """(normal score of the conditional distribution of t, density) from normal scores."""
+    r2 = 1 - rho * rho
+    return (t - s * rho) * (1 / math.sqrt(r2)), m.exp((s * s * (rho * rho) + t * t * (rho * rho) - s * t * (2 * rho)) * (-0.5 / r2)) * (1 / math.sqrt(r2))
+
+
 def _gaussian(m, a, b, p):  # noqa: ANN001, ANN202
     (rho,) = p
-    s, t, r2 = norm_ppf(m, a), norm_ppf(m, b), 1 - rho * rho
-    h = norm_cdf(m, (t - s * rho) * (1 / math.sqrt(r2)))
-    c = m.exp((s * s * (rho * rho) + t * t * (rho * rho) - s * t * (2 * rho)) * (-0.5 / r2)) * (1 / math.sqrt(r2))
-    return bvn_cdf(m, s, t, rho), h, c
+    s, t = norm_ppf(m, a), norm_ppf(m, b)
+    h, c = gaussian_of_scores(m, s, t, rho)
+    return bvn_cdf(m, s, t, rho), norm_cdf(m, h), c
 
 
 def _log_sum(m, x, y):  # noqa: ANN001, ANN202
@@ -227,6 +232,14 @@ def _t_score(p: np.ndarray, nu: float) -> np.ndarray:
     return _scores[key]
 
 
+def student_density(m, s, t, p: tuple[float, ...]):  # noqa: ANN001, ANN201
+    """Density of the Student copula from Student quantiles."""
+    rho, nu = p
+    k = math.lgamma((nu + 2) / 2) + math.lgamma(nu / 2) - 2 * math.lgamma((nu + 1) / 2) - 0.5 * math.log(1 - rho * rho)
+    both = m.log1p(s * s * (1 / nu)) + m.log1p(t * t * (1 / nu))
+    return m.exp(m.log1p((s * s + t * t - s * t * (2 * rho)) * (1 / (nu * (1 - rho * rho)))) * (-(nu + 2) / 2) + both * ((nu + 1) / 2) + k)
+
+
 def student(a: np.ndarray, b: np.ndarray, p: tuple[float, ...], what: str) -> np.ndarray:
     """Student copula by numpy: ``cdf``, ``h1`` or ``pdf``."""
     rho, nu = p
@@ -234,8 +247,7 @@ def student(a: np.ndarray, b: np.ndarray, p: tuple[float, ...], what: str) -> np
     if what == "h1":
         return t_cdf((t - rho * s) * np.sqrt((nu + 1) / ((nu + s * s) * (1 - rho * rho))), nu + 1)
     if what == "pdf":
-        k = math.lgamma((nu + 2) / 2) + math.lgamma(nu / 2) - 2 * math.lgamma((nu + 1) / 2) - 0.5 * math.log(1 - rho * rho)
-        return np.exp(k - (nu + 2) / 2 * np.log1p((s * s + t * t - 2 * rho * s * t) / (nu * (1 - rho * rho))) + (nu + 1) / 2 * (np.log1p(s * s / nu) + np.log1p(t * t / nu)))
+        return student_density(ARRAYS, s, t, p)
     return bvt_cdf(s, t, rho, nu)
 
 

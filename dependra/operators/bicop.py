@@ -1,7 +1,8 @@
 """Pair copulas on DataFrames: evaluation, information criteria, simulation, fitting.
 
-Closed forms become Catalyst expressions; the other families (Student, local
-likelihood, and inverses without closed form) are Arrow-batched helpers.
+Closed forms become Catalyst expressions, the Gaussian copula and Student's density
+chains of projections; the others (local likelihood, Tawn, inverses without closed
+form, and both inside vines) are Arrow-batched helpers.
 Likelihoods of many candidate parameters are sums in one aggregation, so fitting
 is a few passes over the data whatever the number of families.
 """
@@ -23,7 +24,8 @@ from ..functions import families as fam
 from ..functions.algebra import ARRAYS, COLUMNS, TRIM
 from ..functions.qrng import simulate_uniform, uniform_rows
 from ..plans.staging import staged
-from . import tll
+from . import elliptical, tll
+from .checks import held, unit, weight
 from .controls import FitControlsBicop
 from .dependence import tau_of_cells
 from .dominance import pair_measures
@@ -94,7 +96,8 @@ class Bicop:
     @classmethod
     def from_data(cls, df: DataFrame, u1: str = "u1", u2: str = "u2", controls: FitControlsBicop | None = None, var_types: list[str] | None = None) -> Bicop:
         """The best model for two copula-scale columns."""
-        return select_many(df, [(u1, u2)], controls or FitControlsBicop(), [var_types or ["c", "c"]])[0]
+        controls = controls or FitControlsBicop()
+        return select_many(_checked(df, u1, u2, controls, var_types), [(u1, u2)], controls, [var_types or ["c", "c"]])[0]
 
     @property
     def npars(self) -> float:
@@ -261,7 +264,15 @@ class Bicop:
         return run
 
     def _with(self, df: DataFrame, what: str, u1: str, u2: str, name: str) -> DataFrame:
-        return df.withColumn(name, self.column(what, u1, u2))
+        """``df`` with a value; arguments outside [0, 1] raise when it is computed."""
+        if what in elliptical.FORMS.get(self.family, ()) and "d" not in self.var_types:
+            out, value, helpers = elliptical.scored(df, self.family, self.parameters, what, u1, u2)
+            if what == "pdf":
+                value = COLUMNS.clip(value, 1e-300, math.inf)
+            value = F.when(present(F.col(u1)) & present(F.col(u2)), value)
+            return out.withColumn(name, held(value, u1, u2)).drop(*helpers)
+        limits = [f"{c}_lo" for c, t in zip((u1, u2), self.var_types) if t == "d" and not what.startswith("hinv")]
+        return df.withColumn(name, held(self.column(what, u1, u2), u1, u2, *limits))
 
     def pdf(self, df: DataFrame, u1: str = "u1", u2: str = "u2", name: str = "pdf") -> DataFrame:
         return self._with(df, "pdf", u1, u2, name)
@@ -296,7 +307,7 @@ class Bicop:
     # likelihood ----------------------------------------------------------
     def loglik_frame(self, df: DataFrame, u1: str = "u1", u2: str = "u2", weights: str | None = None, psi0: float = 0.9) -> DataFrame:
         """One row: nobs, loglik, aic, bic, mbic of complete rows."""
-        w = F.col(weights).cast("double") if weights else F.lit(1.0)
+        w = weight(weights)
         rows = self.pdf(df.where(present(F.col(u1)) & present(F.col(u2))), u1, u2, "_pdf").select((F.log("_pdf") * w).alias("l"))
         one = rows.agg(F.count("*").alias("nobs"), F.coalesce(F.sum("l"), F.lit(0.0)).alias("loglik"))
         p = float(self.npars)
@@ -323,7 +334,8 @@ class Bicop:
 
     def fit(self, df: DataFrame, u1: str = "u1", u2: str = "u2", controls: FitControlsBicop | None = None) -> Bicop:
         """This family and rotation with parameters fitted to the data."""
-        return fit_many(df, [[(self.family, self.rotation)]], [(u1, u2)], controls or FitControlsBicop(), [self.var_types])[0][0]
+        controls = controls or FitControlsBicop()
+        return fit_many(_checked(df, u1, u2, controls, self.var_types), [[(self.family, self.rotation)]], [(u1, u2)], controls, [self.var_types])[0][0]
 
     def select(self, df: DataFrame, u1: str = "u1", u2: str = "u2", controls: FitControlsBicop | None = None) -> Bicop:
         return Bicop.from_data(df, u1, u2, controls, self.var_types)
@@ -360,6 +372,12 @@ class Bicop:
         return f"Bicop {self.family}{turn}" + (f", parameters = {list(self.parameters)}" if self.parameters else "")
 
 
+def _checked(df: DataFrame, u1: str, u2: str, controls: FitControlsBicop, var_types: list[str] | None) -> DataFrame:
+    """The columns that a fit reads; values outside [0, 1] and wrong weights raise when they are read."""
+    names = [x for c, t in zip((u1, u2), var_types or "cc") for x in ((c, f"{c}_lo") if t == "d" else (c,))]
+    return df.select(*(unit(c).alias(c) for c in dict.fromkeys(names)), *([weight(controls.weights).alias(controls.weights)] if controls.weights else []))
+
+
 def _prior(family: str, psi0: float) -> float:
     return -2 * (math.log(1 - psi0) if family == "indep" else math.log(psi0))
 

@@ -7,6 +7,7 @@ its edges share their passes, and only the chosen tree is known to the driver.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.algebra import TRIM
 from ..plans.staging import staged
 from .bicop import Bicop, fit_many, select_many
+from .checks import unit, weight
 from .controls import FitControlsBicop, FitControlsVinecop
 from .dependence import dependence
 from .structure import RVineStructure
@@ -28,6 +30,7 @@ class _Edge:
         self.nodes, self.cond, self.given, self.columns = nodes, cond, given, columns
         self.full = given | set(cond)
         self.copula: Bicop = Bicop()
+        self.tau: float | None = None
         self.h: dict[int, str] = {}
 
 
@@ -88,24 +91,62 @@ def _candidates(level: list[_Edge]) -> list[tuple[int, int]]:
     return [(i, j) for i in range(len(level)) for j in range(i + 1, len(level)) if set(level[i].nodes) & set(level[j].nodes)]
 
 
-def _conditionals(df: DataFrame, t: int, tree: list[_Edge], types: list[str]) -> DataFrame:
-    """``df`` with both conditional distributions of each edge, written to the shared folder."""
-    new = {}
-    for k, e in enumerate(tree):
-        (a, b), (p, q) = e.cond, e.columns
-        if e.copula.family == "indep":
-            e.h = {a: p, b: q}
-            continue
-        e.h = {a: f"_t{t}_{k}_a", b: f"_t{t}_{k}_b"}
-        new[e.h[a]] = e.copula.column("h2", p, q)
-        new[e.h[b]] = e.copula.column("h1", p, q)
-        if types[a - 1] == "d":
-            new[f"{e.h[a]}_lo"] = e.copula.column("h2", f"{p}_lo", q, lo2=f"{q}_lo")
-        if types[b - 1] == "d":
-            new[f"{e.h[b]}_lo"] = e.copula.column("h1", p, f"{q}_lo", lo1=f"{p}_lo")
-    used = {c for e in tree for c in e.h.values()}
-    keep = [c for c in df.columns if c in used or c.removesuffix("_lo") in used or c == "_weight"]
-    return staged(df.withColumns(new).select(*dict.fromkeys([*keep, *new])), "vine-tree") if new else df
+class _Store:
+    """The data of a selection with what is known of it, by the names of columns.
+
+    A column's name stands for its values: a conditional distribution is a new
+    column for each pair of columns and copula, so an edge whose columns were
+    seen before has its weight, tau, copula and conditional distributions.
+    ``keep``: columns that the present tree doesn't use stay in the data.
+    """
+
+    def __init__(self, data: DataFrame, types: list[str], controls: FitControlsBicop, criterion: str, keep: bool) -> None:
+        self.data, self.types, self.controls, self.criterion, self.keep = data, types, controls, criterion, keep
+        self._weights: dict[tuple[str, tuple[str, str]], float] = {}
+        self._copulas: dict[tuple[str, str], Bicop] = {}
+        self._given: dict[tuple[str, str], str] = {}
+        self.fits = 0
+
+    def weights(self, pairs: list[tuple[str, str]], criterion: str | None = None) -> list[float]:
+        """The criterion of pairs of columns; the unknown ones come from one job."""
+        name = criterion or self.criterion
+        key = lambda p: (name, tuple(sorted(p)))
+        new = list(dict.fromkeys(k[1] for k in map(key, pairs) if k not in self._weights))
+        self._weights |= {(name, p): x for p, x in zip(new, dependence(self.data, new, name, self.controls.weights))}
+        return [self._weights[key(p)] for p in pairs]
+
+    def fit(self, tree: list[_Edge], threshold: float) -> None:
+        """Copulas of a tree; independence where the magnitude of tau is below ``threshold``."""
+        for e, tau in zip(tree, self.weights([e.columns for e in tree], "tau") if threshold > 0 or self.keep else [None] * len(tree)):
+            e.tau = tau
+        on = [e for e in tree if e.tau is None or abs(e.tau) >= threshold]
+        new = [e for e in on if e.columns not in self._copulas and e.columns[::-1] not in self._copulas]
+        self.fits += len(new)
+        kinds = [[self.types[c - 1] for c in e.cond] for e in new]
+        for e, pc in zip(new, select_many(self.data, [e.columns for e in new], self.controls, kinds) if new else []):
+            self._copulas[e.columns] = pc
+        for e in on:
+            e.copula = self._copulas[e.columns] if e.columns in self._copulas else self._copulas[e.columns[::-1]].flipped()
+
+    def conditionals(self, tree: list[_Edge]) -> None:
+        """Conditional distributions of a tree's edges; new ones are written to the shared folder with the data."""
+        new = {}
+        for e in tree:
+            (a, b), (p, q) = e.cond, e.columns
+            if e.copula.family == "indep":
+                e.h = {a: p, b: q}
+                continue
+            for v, of, given, what in ((a, p, q, "h2"), (b, q, p, "h1")):
+                if (of, given) not in self._given:
+                    name = self._given[of, given] = f"_h{len(self._given)}"
+                    new[name] = e.copula.column(what, p, q)
+                    if self.types[v - 1] == "d":
+                        new[f"{name}_lo"] = e.copula.column("h2", f"{p}_lo", q, lo2=f"{q}_lo") if what == "h2" else e.copula.column("h1", p, f"{q}_lo", lo1=f"{p}_lo")
+            e.h = {a: self._given[p, q], b: self._given[q, p]}
+        used = {c for e in tree for c in e.h.values()}
+        stay = [c for c in self.data.columns if self.keep or c in used or c.removesuffix("_lo") in used or c == "_weight"]
+        if new:
+            self.data = staged(self.data.withColumns(new).select(*dict.fromkeys([*stay, *new])), "vine-tree")
 
 
 def to_structure(d: int, trees: list[list[_Edge]], trunc: int) -> tuple[RVineStructure, list[list[Bicop]]]:
@@ -132,15 +173,15 @@ def to_structure(d: int, trees: list[list[_Edge]], trunc: int) -> tuple[RVineStr
 
 
 def _prepared(df: DataFrame, columns: list[str], types: list[str], weights: str | None) -> DataFrame:
-    """The columns as _v1 .. _vd (and left limits, and the weight), trimmed."""
-    clip = lambda c: F.least(F.greatest(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), F.lit(TRIM)), F.lit(1 - TRIM))
+    """The columns as _v1 .. _vd (and left limits, and the weight), trimmed; values outside [0, 1] and wrong weights raise."""
+    clip = lambda c: F.least(F.greatest(unit(c), F.lit(TRIM)), F.lit(1 - TRIM))
     cols = []
     for j, c in enumerate(columns):
         miss = F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
         cols.append(F.when(~miss, clip(c)).alias(f"_v{j + 1}"))
         if types[j] == "d":
             cols.append(F.when(~miss, clip(f"{c}_lo")).alias(f"_v{j + 1}_lo"))
-    return df.select(*cols, *([F.col(weights).cast("double").alias("_weight")] if weights else []))
+    return df.select(*cols, *([weight(weights).alias("_weight")] if weights else []))
 
 
 def select_vine(df: DataFrame, columns: list[str], structure: RVineStructure | None, var_types: list[str] | None, controls: FitControlsVinecop) -> Vinecop:
@@ -148,67 +189,65 @@ def select_vine(df: DataFrame, columns: list[str], structure: RVineStructure | N
 
     The trees of ``structure`` stay; each tree above them is a spanning tree of
     largest |criterion| under the proximity condition, up to the controls'
-    truncation level.  The array may list the kept trees in another order.  With automatic truncation, a tree that
-    doesn't lower mBICV ends the search; with an automatic threshold, the one of
-    least mBICV among the fitted magnitudes of tau is taken and the vine
-    selected again under it.
+    truncation level.  The array may list the kept trees in another order.
+    With automatic truncation, a tree that doesn't lower mBICV ends the search.
+    With an automatic threshold, the vine of least mBICV among those of all
+    thresholds is taken, see ``_path``.
     """
     d, types = len(columns), list(var_types or ["c"] * len(columns))
-    if controls.select_threshold:
-        open_ = FitControlsVinecop(**{**controls.__dict__, "select_threshold": False, "threshold": 0.0})
-        full = select_vine(df, columns, structure, types, open_)
-        best = (math.inf, 0.0)
-        sizes = sorted({0.0, *(abs(pc.tau) for row in full.pair_copulas for pc in row)})
-        for x in sizes:
-            total = 0.0
-            for t, row in enumerate(full.pair_copulas, 1):
-                for pc in row:
-                    on = pc.family != "indep" and abs(pc.tau) >= x
-                    total += (-2 * pc.loglik_ + pc.npars * math.log(max(pc.nobs, 1)) if on else 0.0) - 2 * math.log(controls.psi0**t if on else 1 - controls.psi0**t)
-            best = min(best, (total, x))
-        if best[1] == 0.0:
-            return full
-        return select_vine(df, columns, structure, types, FitControlsVinecop(**{**open_.__dict__, "threshold": best[1]}))
-    work = staged(_prepared(df, columns, types, controls.weights), "vine-data")
     pair_controls = controls.bicop()
     pair_controls.weights = "_weight" if controls.weights else None
     if controls.selection_criterion == "mbicv":
         pair_controls.selection_criterion = "mbic"
-    rng = np.random.default_rng(controls.seeds or None)
+    store = _Store(staged(_prepared(df, columns, types, controls.weights), "vine-data"), types, pair_controls, controls.tree_criterion, controls.select_threshold)
     trunc = min(controls.trunc_lvl, d - 1)
-    if structure is not None and trunc <= structure.trunc_lvl:
-        return _on_structure(work, structure, types, pair_controls, trunc, controls)
-    kept = _levels(structure, structure.trunc_lvl) if structure is not None else []
+    whole = structure is not None and trunc <= structure.trunc_lvl
+    kept = trunc if whole else structure.trunc_lvl if structure is not None else 0
+    seeds = list(controls.seeds) or [int(np.random.SeedSequence().entropy % 2**63)]
+
+    def grow(threshold: float) -> tuple[list[list[_Edge]], int]:
+        return _grow(store, d, _levels(structure, kept) if structure is not None else [], trunc, controls, threshold, np.random.default_rng(seeds))
+
+    threshold = controls.threshold
+    (trees, trunc), threshold = _path(grow, store, controls) if controls.select_threshold else (grow(threshold), threshold)
+    if whole:
+        array = RVineStructure.from_dict(structure.to_dict())
+        array.truncate(trunc)
+        copulas = [[e.copula for e in tree] for tree in trees[:trunc]]
+    else:
+        array, copulas = to_structure(d, trees, trunc)
+    return _finished(Vinecop(structure=array, pair_copulas=copulas, var_types=types), threshold)
+
+
+def _grow(store: _Store, d: int, kept: list[list[_Edge]], trunc: int, controls: FitControlsVinecop, threshold: float, rng: np.random.Generator) -> tuple[list[list[_Edge]], int]:
+    """(all trees, number of them with copulas) under a threshold; ``kept`` are the given ones."""
     level = [_Edge((-1 - j, -1 - j), (j + 1, j + 1), frozenset(), ("", "")) for j in range(d)]
     for j, v in enumerate(level):
         v.h = {j + 1: f"_v{j + 1}"}
     trees: list[list[_Edge]] = []
     done = False
     for t in range(d - 1):
-        pairs = [(i, j) for i in range(d) for j in range(i + 1, d)] if t == 0 else _candidates(level)
-        edges = []
-        if t < len(kept):
-            edges = kept[t]
-            for e in edges:
-                a, b = e.cond
-                e.columns = (f"_v{a}", f"_v{b}") if t == 0 else (level[e.nodes[0]].h[a], level[e.nodes[1]].h[b])
-            pairs = []
+        given = t < len(kept)
+        pairs = [] if given else [(i, j) for i in range(d) for j in range(i + 1, d)] if t == 0 else _candidates(level)
+        edges = kept[t] if given else []
+        for e in edges:
+            a, b = e.cond
+            e.columns = (f"_v{a}", f"_v{b}") if t == 0 else (level[e.nodes[0]].h.get(a, ""), level[e.nodes[1]].h.get(b, ""))
         for i, j in pairs:
             x, y = level[i], level[j]
             (a,), (b,) = x.full - y.full, y.full - x.full
             edges.append(_Edge((i, j), (a, b), frozenset(x.full & y.full), (x.h.get(a, ""), y.h.get(b, ""))))
         if t >= trunc or done:  # any tree under the proximity condition completes the array
-            trees.append(edges if t < len(kept) else [edges[k] for k in spanning_tree(len(level), pairs, [1.0] * len(pairs), "mst_kruskal", rng)])
+            trees.append(edges if given else [edges[k] for k in spanning_tree(len(level), pairs, [1.0] * len(pairs), "mst_kruskal", rng)])
             level = trees[-1]
             for e in level:
                 e.h = dict.fromkeys(e.cond, "")
             continue
         tree = edges
-        if t >= len(kept):
-            weights = [abs(x) for x in dependence(work, [e.columns for e in edges], controls.tree_criterion, pair_controls.weights)]
+        if not given:
+            weights = [abs(x) for x in store.weights([e.columns for e in edges])]
             tree = [edges[k] for k in spanning_tree(len(level), pairs, weights, controls.tree_algorithm, rng)]
-        for e, pc in zip(tree, select_many(work, [e.columns for e in tree], pair_controls, [[types[e.cond[0] - 1], types[e.cond[1] - 1]] for e in tree], controls.threshold)):
-            e.copula = pc
+        store.fit(tree, threshold)
         if controls.show_trace:
             print(f"tree {t}: " + "; ".join(f"{e.cond} {e.copula}" for e in tree))
         if controls.select_trunc_lvl and _no_gain(t + 1, tree, controls.psi0):
@@ -216,12 +255,46 @@ def select_vine(df: DataFrame, columns: list[str], structure: RVineStructure | N
         trees.append(tree)
         level = tree
         if not done and t + 1 < trunc:
-            work = _conditionals(work, t, tree, types)
+            store.conditionals(tree)
         else:
             for e in tree:
                 e.h = dict.fromkeys(e.cond, "")
-    structure, copulas = to_structure(d, trees, trunc)
-    return _finished(Vinecop(structure=structure, pair_copulas=copulas, var_types=types), controls.threshold)
+    return trees, trunc
+
+
+def _mbicv(trees: list[list[_Edge]], trunc: int, psi0: float) -> float:
+    """mBICV of selected trees; edges of trees from ``trunc`` on are independent."""
+    total = 0.0
+    for t, tree in enumerate(trees):
+        p = psi0 ** (t + 1)
+        for e in tree:
+            pc = e.copula
+            on = t < trunc and pc.family != "indep"
+            total += -2 * pc.loglik_ + pc.npars * math.log(max(pc.nobs, 1)) - 2 * math.log(p) if on else -2 * math.log(1 - p)
+    return total
+
+
+def _path(grow: Callable[[float], tuple[list[list[_Edge]], int]], store: _Store, controls: FitControlsVinecop) -> tuple[tuple[list[list[_Edge]], int], float]:
+    """The vine of least mBICV among those of all thresholds, and its threshold.
+
+    A vine stays the same while the threshold falls, until it meets the largest
+    tau among the edges still below it.  So the path from 1 down over these
+    values passes every vine that any threshold gives, higher trees that change
+    with the lower ones included.  A step measures and fits only edges whose
+    columns are new; ties go to the larger threshold.
+    """
+    best, threshold, steps = None, 1.0, 0
+    while True:
+        trees, trunc = grow(threshold)
+        score, steps = _mbicv(trees, trunc, controls.psi0), steps + 1
+        if best is None or score < best[0]:
+            best = score, (trees, trunc), threshold
+        below = [abs(e.tau) for tree in trees for e in tree if e.tau is not None and abs(e.tau) < threshold]
+        if controls.show_trace:
+            print(f"threshold {threshold}: mBICV {score}, {store.fits} pairs fitted in {steps} steps")
+        if not below:
+            return best[1], best[2]
+        threshold = max(below)
 
 
 def _no_gain(t: int, tree: list[_Edge], psi0: float) -> bool:
@@ -254,38 +327,26 @@ def _levels(structure: RVineStructure, trunc: int) -> list[list[_Edge]]:
     return out
 
 
-def _on_structure(work: DataFrame, structure: RVineStructure, types: list[str], controls: FitControlsBicop, trunc: int, vine: FitControlsVinecop | None, fixed: list[list[Bicop]] | None = None) -> Vinecop:
-    """Pair copulas on a given structure: selected, or of ``fixed`` families refitted."""
-    trunc = min(trunc, structure.trunc_lvl)
-    trees = _levels(structure, trunc)
-    threshold = vine.threshold if vine else 0.0
+def _refitted(store: _Store, structure: RVineStructure, trunc: int, fixed: list[list[Bicop]]) -> Vinecop:
+    """Pair copulas of ``fixed`` families and rotations on a given structure, with parameters fitted to the data."""
+    trees = _levels(structure, min(trunc, structure.trunc_lvl))
     for t, tree in enumerate(trees):
         for e in tree:
             a, b = e.cond
-            if t == 0:
-                e.columns = (f"_v{a}", f"_v{b}")
-            else:
-                x, y = (trees[t - 1][n] for n in e.nodes)
-                e.columns = (x.h[a], y.h[b])
-        pairs, kinds = [e.columns for e in tree], [[types[e.cond[0] - 1], types[e.cond[1] - 1]] for e in tree]
-        if fixed is None:
-            got = select_many(work, pairs, controls, kinds, threshold)
-        else:
-            got = [m[0] for m in fit_many(work, [[(pc.family, pc.rotation)] for pc in fixed[t]], pairs, controls, kinds)]
-        for e, pc in zip(tree, got):
-            e.copula = pc
-        if vine and vine.select_trunc_lvl and _no_gain(t + 1, tree, vine.psi0):
-            trees = trees[:t]
-            break
-        if t + 1 < trunc:
-            work = _conditionals(work, t, tree, types)
+            e.columns = (f"_v{a}", f"_v{b}") if t == 0 else (trees[t - 1][e.nodes[0]].h[a], trees[t - 1][e.nodes[1]].h[b])
+        kinds = [[store.types[c - 1] for c in e.cond] for e in tree]
+        got = fit_many(store.data, [[(pc.family, pc.rotation)] for pc in fixed[t]], [e.columns for e in tree], store.controls, kinds)
+        for e, models in zip(tree, got):
+            e.copula = models[0]
+        if t + 1 < len(trees):
+            store.conditionals(tree)
     out = RVineStructure.from_dict(structure.to_dict())
     out.truncate(len(trees))
-    return _finished(Vinecop(structure=out, pair_copulas=[[e.copula for e in tree] for tree in trees], var_types=types), threshold)
+    return _finished(Vinecop(structure=out, pair_copulas=[[e.copula for e in tree] for tree in trees], var_types=store.types))
 
 
 def fit_vine(model: Vinecop, df: DataFrame, columns: list[str], controls: FitControlsBicop) -> Vinecop:
     """Structure and families of ``model`` with parameters fitted to the data."""
     work = staged(_prepared(df, columns, model.var_types, controls.weights), "vine-data")
     own = FitControlsBicop(**{**controls.__dict__, "weights": "_weight" if controls.weights else None})
-    return _on_structure(work, model.structure, model.var_types, own, model.trunc_lvl, None, model.pair_copulas)
+    return _refitted(_Store(work, model.var_types, own, "tau", False), model.structure, model.trunc_lvl, model.pair_copulas)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.algebra import ARRAYS, TRIM
 from ..functions.qrng import _seed, simulate_uniform, uniform
 from .bicop import Bicop, criterion
+from .checks import unit
 from .controls import FitControlsBicop, FitControlsVinecop
 from .pobs import present
 from .structure import CVineStructure, DVineStructure, RVineStructure
@@ -196,7 +197,7 @@ class Vinecop:
         out = {}
         for j, label in enumerate(self.order):
             c, d = columns[label - 1], self.var_types[label - 1] == "d"
-            clip = lambda x: F.least(F.greatest(F.col(x).cast("double"), F.lit(TRIM)), F.lit(1 - TRIM))
+            clip = lambda x: F.least(F.greatest(unit(x), F.lit(TRIM)), F.lit(1 - TRIM))
             out[f"_p{j}"] = clip(c)
             if d:
                 out[f"_p{j}_lo"] = clip(f"{c}_lo")

@@ -99,3 +99,60 @@ def test_checks_of_readers():
 
     with pytest.raises(RuntimeError):
         Vinecop.from_json(json.dumps(bad))
+
+
+@pytest.fixture(scope="module")
+def sparse_data(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 4))
+    x[:, 1] += 1.2 * x[:, 0]
+    x[:, 2] += 0.25 * x[:, 1]
+    x[:, 3] += 0.12 * x[:, 0]
+    return pseudo_obs(spark.createDataFrame(pd.DataFrame(x, columns=list("abcd"))), list("abcd")).cache()
+
+
+@pytest.mark.parametrize("structure", [None, "one tree", "dvine"])
+def test_path_over_thresholds_equals_the_search_over_all(spark, sparse_data, monkeypatch, structure):
+    from dependra.operators import vine_select
+
+    cols, fitted = [f"u_{c}" for c in "abcd"], []
+    plain = vine_select.select_many
+    monkeypatch.setattr(vine_select, "select_many", lambda df, pairs, *a: fitted.append(len(pairs)) or plain(df, pairs, *a))
+    given = {None: None, "dvine": DVineStructure([4, 2, 1, 3]), "one tree": DVineStructure([4, 2, 1, 3], 1)}[structure]
+
+    def vine(**k):
+        fitted.clear()
+        m = Vinecop.from_data(sparse_data, cols, structure=given, controls=FitControlsVinecop(family_set=["indep", "clayton", "frank"], **k))
+        return m, m.loglik_ and _mbicv(m), sum(fitted)
+
+    def _mbicv(m):
+        out = 0.0
+        for t in range(3):
+            p = 0.9 ** (t + 1)
+            for pc in m.pair_copulas[t]:
+                out += -2 * math.log(1 - p) if pc.family == "indep" else -2 * pc.loglik_ + pc.npars * math.log(400) - 2 * math.log(p)
+        return out
+
+    path, best, n = vine(select_threshold=True)
+    # no vine of a fixed threshold is better
+    every, work = {}, 0
+    for x in [0.0, 0.04, 0.08, 0.13, 0.3] if structure is None else [0.0, 0.08, 0.3]:
+        m, score, k = vine(threshold=float(x))
+        every[float(x)] = score
+        work += k
+    assert best <= min(every.values()) + 1e-6
+    again, score, _ = vine(threshold=path.threshold)
+    assert score == pytest.approx(best, abs=1e-6) and again.families == path.families
+    assert 0 < path.threshold < 0.6 and n < work
+    assert n <= 16  # pairs fitted in all steps
+    if structure == "dvine":
+        assert (path.structure.matrix == given.matrix).all()
+
+
+def test_threshold_of_independent_columns(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame(pd.DataFrame(rng.uniform(size=(300, 3)), columns=list("abc")))
+    m = Vinecop.from_data(df, list("abc"), controls=FitControlsVinecop(family_set=["indep", "frank"], select_threshold=True, select_trunc_lvl=True))
+    assert {f for row in m.families for f in row} <= {"indep"} and m.loglik_ == 0
+    empty = Vinecop.from_data(df.limit(0), list("abc"), controls=FitControlsVinecop(family_set=["indep", "frank"], select_threshold=True))
+    assert {f for row in empty.families for f in row} == {"indep"}
