@@ -433,6 +433,7 @@ def _higher(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("vine_select_higher_trees", _higher)
+_add("vine_select_sparse", lambda s, d: _selected(s, d, select_threshold=True).table(s))
 _add("vine_select_truncated", lambda s, d: _selected(s, d, select_trunc_lvl=True).table(s))
 # y from z, then x from y and the rank of z given y
 _H = "pow({g}, -3.0) * pow(pow({g}, -2.0) + pow({v}, -2.0) - 1, -1.5)"

@@ -156,3 +156,8 @@ def test_threshold_of_independent_columns(spark):
     assert {f for row in m.families for f in row} <= {"indep"} and m.loglik_ == 0
     empty = Vinecop.from_data(df.limit(0), list("abc"), controls=FitControlsVinecop(family_set=["indep", "frank"], select_threshold=True))
     assert {f for row in empty.families for f in row} == {"indep"}
+
+
+def test_sparse_query(spark):
+    rows = catalog.QUERIES["vine_select_sparse"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 3
