@@ -11,18 +11,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.algebra import ARRAYS, TRIM
-from ..functions.special import norm_cdf, norm_pdf, norm_ppf, normal_score
+from ..functions.qrng import uniform
+from ..functions.special import norm_cdf, norm_pdf, normal_score
 from ..plans.staging import staged
 from .pobs import present
 
 #: Cells per axis of the count, points per axis of the density, range of normal scores.
 CELLS, POINTS, REACH = 120, 41, 3.25
-#: Places per discrete axis of a row's box, and passes that move its mass towards the fitted density.
-PLACES, ROUNDS = 8, 4
+#: Passes that draw a latent sample, each from the density fitted to the one before; dependence settles in about as many.
+ROUNDS = 8
 
 
 def score_counts(df: DataFrame, a: str, b: str, weights: str | None = None) -> np.ndarray:
@@ -37,45 +38,135 @@ def score_counts(df: DataFrame, a: str, b: str, weights: str | None = None) -> n
     return out
 
 
-def box_counts(df: DataFrame, a: str, b: str, types: list[str], weights: str | None = None, method: str = "constant", mult: float = 1.0) -> np.ndarray:
-    """Expected counts as of ``score_counts`` where a variable is discrete ("d", with a left limit ``<name>_lo``).
+class BoxIndex:
+    """Cells of normal scores with a density, asked for random places inside boxes of the unit square.
 
-    A discrete row is known up to a box of the unit square.  Its mass is dealt
-    over PLACES equal shares of each discrete axis, evenly in the first pass and
-    by the density fitted to the last pass's counts in later ones.  Rows are
-    written once; a pass returns at most CELLS x CELLS sums of each task, added
-    up by Spark.  Rows with a missing value or limit are left out.
+    A box [lo, hi] x [lo, hi] covers whole and cut cells; a place is drawn from
+    the density over exactly what the box covers.  An axis with lo = hi is known.
     """
-    trim = lambda c: F.least(F.greatest(F.col(c).cast("double"), F.lit(TRIM)), F.lit(1 - TRIM))
-    low = [f"{c}_lo" if k == "d" else c for c, k in zip((a, b), types)]
+
+    def __init__(self, grid: np.ndarray | None = None) -> None:
+        z = -REACH + (np.arange(CELLS) + 0.5) * (2 * REACH / CELLS)
+        centre = norm_cdf(ARRAYS, z)
+        self.edges = np.concatenate([[0.0], norm_cdf(ARRAYS, z[:-1] + REACH / CELLS), [1.0]])
+        self.density = np.ones((CELLS, CELLS)) if grid is None else np.maximum(Grid(grid).pdf(*np.meshgrid(centre, centre, indexing="ij")), 1e-12)
+
+    def covered(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """(n, CELLS): length of each interval within each cell; a known value lies in one cell of length 1."""
+        out = np.maximum(np.minimum(hi[:, None], self.edges[1:]) - np.maximum(lo[:, None], self.edges[:-1]), 0.0)
+        known = np.flatnonzero(hi <= lo)
+        out[known] = 0.0
+        out[known, np.searchsorted(self.edges[1:-1], lo[known], side="right")] = 1.0
+        return out
+
+    def _inside(self, p: np.ndarray, covered: np.ndarray, lo: np.ndarray, hi: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, cell): the quantile r of the mass p of the cells, even within a cell's covered part."""
+        at, row = p.cumsum(1), np.arange(len(r))
+        want = r * at[:, -1]
+        k = np.minimum((at <= want[:, None]).sum(1), CELLS - 1)
+        share = np.clip(1 - (at[row, k] - want) / np.maximum(p[row, k], 1e-300), 0, 1)
+        x = np.maximum(lo, self.edges[k]) + share * covered[row, k]
+        return np.where(hi <= lo, lo, np.clip(x, lo, hi)), k
+
+    def draw(self, a_lo: np.ndarray, a: np.ndarray, b_lo: np.ndarray, b: np.ndarray, r1: np.ndarray, r2: np.ndarray) -> tuple[np.ndarray, ...]:
+        """A place in each box from two uniform numbers, and its cell: (x, y, i, j)."""
+        ca, cb = self.covered(a_lo, a), self.covered(b_lo, b)
+        x, i = self._inside(ca * (cb @ self.density.T), ca, a_lo, a, r1)
+        y, j = self._inside(cb * self.density[i], cb, b_lo, b, r2)
+        return x, y, i, j
+
+    def counts(self, box: tuple[np.ndarray, ...], n: np.ndarray, w: np.ndarray, keys: np.ndarray, r1: np.ndarray, r2: np.ndarray) -> np.ndarray:
+        """Cells of ``n`` places in each box, times the weight.
+
+        A place of its own is drawn like any other; the places of a box of many
+        rows are two multinomial draws from a generator with the box's key.
+        """
+        out = np.zeros((CELLS, CELLS))
+        one = n == 1
+        _, _, i, j = self.draw(*(c[one] for c in box), r1[one], r2[one])
+        np.add.at(out, (i, j), w[one])
+        ca, cb = self.covered(box[0][~one], box[1][~one]), self.covered(box[2][~one], box[3][~one])
+        p = ca * (cb @ self.density.T)
+        p /= p.sum(1, keepdims=True)
+        for rows, weight, key, pa, across in zip(n[~one], w[~one], keys[~one].astype(np.uint64), p, cb):
+            rng = np.random.Generator(np.random.Philox(key=np.array([key, 0], np.uint64)))
+            i = rng.multinomial(rows, pa)
+            k = np.flatnonzero(i)
+            q = across * self.density[k]
+            out[k] += weight * rng.multinomial(i[k], q / q.sum(1, keepdims=True))
+        return out
+
+
+def _boxes(df: DataFrame, a: str, b: str, types: list[str]) -> tuple[list[Column], Column]:
+    """Bounds (a_lo, a, b_lo, b) of a row's box within the open unit square, and whether none is missing."""
+    names = [n for c, k in zip((a, b), types) for n in (f"{c}_lo" if k == "d" else c, c)]
+    there = F.lit(True)
+    for n in names:
+        there = there & present(F.col(n))
+    return [F.least(F.greatest(F.col(n).cast("double"), F.lit(TRIM)), F.lit(1 - TRIM)).alias(c) for n, c in zip(names, ("a_lo", "a", "b_lo", "b"))], there
+
+
+def _latent(df: DataFrame, a: str, b: str, types: list[str], weights: str | None, method: str, mult: float, seed: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """(counts of the last pass's latent sample, density that it was drawn from)."""
+    bounds, there = _boxes(df, a, b, types)
     w = F.col(weights).cast("double") if weights else F.lit(1.0)
-    there = present(F.col(a)) & present(F.col(b)) & present(F.col(low[0])) & present(F.col(low[1]))
-    rows = df.where(there).select(trim(low[0]).alias("a_lo"), trim(a).alias("a"), trim(low[1]).alias("b_lo"), trim(b).alias("b"), w.alias("w"))
-    rows = staged(rows.groupBy("a_lo", "a", "b_lo", "b").agg(F.sum("w").alias("w")), "boxes")
-    shares = [(np.arange(PLACES) + 0.5) / PLACES if k == "d" else np.ones(1) for k in types]
-    grid: np.ndarray | None = None
-    out = np.zeros((CELLS, CELLS))
-    for _ in range(ROUNDS):
+    rows = df.where(there).select(*bounds, w.alias("w")).groupBy("a_lo", "a", "b_lo", "b", "w").agg(F.count("*").alias("n"))
+    rows = staged(rows, "boxes")
+    grid, out = None, np.zeros((CELLS, CELLS))
+    for turn in range(ROUNDS):
+        if turn:
+            grid = fit_grid(out, method, mult)[0]
 
-        def dealt(parts: Iterator[pd.DataFrame], grid: np.ndarray | None = grid) -> Iterator[pd.DataFrame]:
-            sums = np.zeros((CELLS, CELLS))
+        def drawn(parts: Iterator[pd.DataFrame], grid: np.ndarray | None = grid) -> Iterator[pd.DataFrame]:
+            index, sums = BoxIndex(grid), np.zeros((CELLS, CELLS))
             for pdf in parts:
-                u, v = ((pdf[f"{c}_lo"].to_numpy()[:, None] + s * (pdf[c] - pdf[f"{c}_lo"]).to_numpy()[:, None]) for c, s in zip("ab", shares))
-                u, v = np.broadcast_arrays(u[:, :, None], v[:, None, :])
-                mass = np.ones(u.shape) if grid is None else np.maximum(Grid(grid).pdf(u, v), 1e-12)
-                mass = mass * (pdf["w"].to_numpy() / mass.sum((1, 2)))[:, None, None]
-                i, j = (np.clip(((norm_ppf(ARRAYS, x) + REACH) * (CELLS / (2 * REACH))).astype(int), 0, CELLS - 1) for x in (u, v))
-                np.add.at(sums, (i, j), mass)
+                sums += index.counts(tuple(pdf[c].to_numpy() for c in ("a_lo", "a", "b_lo", "b")), *(pdf[c].to_numpy() for c in ("n", "w", "key", "r1", "r2")))
             i, j = np.nonzero(sums)
             yield pd.DataFrame({"i": i, "j": j, "w": sums[i, j]})
 
-        got = rows.mapInPandas(dealt, "i int, j int, w double").groupBy("i", "j").agg(F.sum("w").alias("w")).toPandas()
+        key = F.xxhash64(F.lit(seed), F.lit(turn), "a_lo", "a", "b_lo", "b", "w")
+        seeded = rows.select("*", key.alias("key"), uniform(key, 1, seed).alias("r1"), uniform(key, 2, seed).alias("r2"))
+        got = seeded.mapInPandas(drawn, "i int, j int, w double").groupBy("i", "j").agg(F.sum("w").alias("w")).toPandas()
         out = np.zeros((CELLS, CELLS))
         out[got["i"], got["j"]] = got["w"]
         if not out.sum():
             break
-        grid = fit_grid(out, method, mult)[0]
-    return out
+    return out, grid
+
+
+def box_counts(df: DataFrame, a: str, b: str, types: list[str], weights: str | None = None, method: str = "constant", mult: float = 1.0, seed: int = 1) -> np.ndarray:
+    """Counts, as of ``score_counts``, of a latent sample where a variable is discrete ("d", with a left limit ``<name>_lo``).
+
+    A discrete row is known up to a box of the unit square.  Every pass puts
+    each row at a random place of its box, evenly in the first pass and by the
+    density fitted to the last pass's sample in later ones.  Equal boxes are one
+    row with a number, so a box that a third of all rows share costs what any
+    other does; draws follow from the seed and the box, whatever the
+    partitions.  A pass returns at most CELLS x CELLS sums of each task, added
+    up by Spark.  Rows with a missing value or limit are left out.
+    """
+    return _latent(df, a, b, types, weights, method, mult, seed)[0]
+
+
+def latent_sample(df: DataFrame, a: str, b: str, types: list[str], key: str, weights: str | None = None, method: str = "constant", mult: float = 1.0, seed: int = 1, prefix: str = "latent_") -> DataFrame:
+    """``df`` with ``latent_<a>`` and ``latent_<b>``: continuous values inside each row's box.
+
+    The density is the one that ``box_counts`` ends with.  ``key`` tells rows
+    apart: the same key, box and seed give the same values, so a row that is
+    made again keeps them.  A continuous variable keeps its value; a row with a
+    missing value or limit gets NULL; an empty table gives no rows.
+    """
+    _, grid = _latent(df, a, b, types, weights, method, mult, seed)
+    bounds, there = _boxes(df, a, b, types)
+
+    def place(a_lo: pd.Series, a: pd.Series, b_lo: pd.Series, b: pd.Series, r1: pd.Series, r2: pd.Series) -> pd.DataFrame:
+        got = BoxIndex(grid).draw(*(np.nan_to_num(c.to_numpy(float), nan=0.5) for c in (a_lo, a, b_lo, b)), r1.to_numpy(), r2.to_numpy())
+        return pd.DataFrame({"x": got[0], "y": got[1]})
+
+    place = F.pandas_udf(place, "x double, y double")
+    r = [uniform(F.xxhash64(F.col(key)), k, seed) for k in range(2)]
+    out = df.select("*", F.when(there, place(*bounds, *r)).alias("_place"))
+    return out.select(*df.columns, F.col("_place.x").alias(f"{prefix}{a}"), F.col("_place.y").alias(f"{prefix}{b}"))
 
 
 def grid_points() -> np.ndarray:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.algebra import ARRAYS, TRIM
-from ..functions.qrng import _seed, simulate_uniform, uniform
+from ..functions.qrng import _seed, simulate_uniform, uniform, uniform_rows
 from .bicop import Bicop, criterion
 from .checks import unit
 from .controls import FitControlsBicop, FitControlsVinecop
@@ -323,11 +323,18 @@ class Vinecop:
         fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in names), *(f"`{n}` double" for n in names)])
         return df.drop(*names).mapInPandas(run, fields)
 
+    def simulate_rows(self, df: DataFrame, key: str, qrng: bool = False, seeds: list[int] | None = None) -> DataFrame:
+        """(key, u1 .. ud): a draw for each row of ``df``, from its integer column ``key``."""
+        return self._drawn(uniform_rows(df, key, self.dim, qrng, seeds), key)
+
     def simulate(self, spark: SparkSession, n: int, qrng: bool = False, seeds: list[int] | None = None) -> DataFrame:
         """n draws (sample_id, u1 .. ud)."""
+        return self._drawn(simulate_uniform(spark, n, self.dim, qrng, seeds), "sample_id")
+
+    def _drawn(self, points: DataFrame, key: str) -> DataFrame:
         cols = [f"u{j + 1}" for j in range(self.dim)]
-        out = self.inverse_rosenblatt(simulate_uniform(spark, n, self.dim, qrng, seeds), cols, "_x_")
-        return out.select("sample_id", *(F.col(f"_x_{c}").alias(c) for c in cols))
+        out = self.inverse_rosenblatt(points, cols, "_x_")
+        return out.select(key, *(F.col(f"_x_{c}").alias(c) for c in cols))
 
     def cdf(self, df: DataFrame, columns: list[str], N: int = 10_000, seeds: list[int] | None = None, name: str = "cdf") -> DataFrame:  # noqa: N803
         """``df`` with the distribution function, from N quasi-random draws of the model.

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import qrng
 from ..operators import dependence as dep
-from ..operators import pobs
+from ..operators import pobs, tll
 from ..operators.bicop import Bicop
 from ..operators.controls import FitControlsBicop, FitControlsVinecop
 from ..operators.grids import density_grid, empirical_density_grid
@@ -359,6 +359,18 @@ _add(
     "fit_tll_discrete",
     lambda s, d: _fitted(Bicop.from_data(pobs.discrete_margins(pobs.pseudo_obs(basket(s, d), ["sum_price"]), "n_lines"), "u_n_lines", "u_sum_price", FitControlsBicop(family_set=["tll"]), ["d", "c"]), s),
 )
+
+
+def _latent_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many latent places of a discrete and a continuous column lie inside their row's box, for each value of the discrete one."""
+    u = pobs.discrete_margins(pobs.pseudo_obs(basket(spark, sf_dir), ["sum_price"]), "n_lines")
+    z = tll.latent_sample(u, "u_n_lines", "u_sum_price", ["d", "c"], "l_orderkey")
+    inside = (F.col("latent_u_n_lines") >= F.col("u_n_lines_lo")) & (F.col("latent_u_n_lines") <= F.col("u_n_lines")) & (F.col("latent_u_sum_price") == F.col("u_sum_price"))
+    return z.groupBy("n_lines").agg(F.sum(inside.cast("long")).alias("n_inside"), F.round(F.min("u_n_lines_lo"), 9).alias("lower"), F.round(F.max("u_n_lines"), 9).alias("upper"))
+
+
+# draws are random; that all of them lie inside is not
+_add("latent_sample_boxes", _latent_boxes, f"WITH {BASKET} SELECT n_lines, count(*) AS n_inside, round((SELECT count(*) FROM basket b WHERE b.n_lines < a.n_lines) / (SELECT count(*) + 1.0 FROM basket), 9) AS lower, round((SELECT count(*) FROM basket b WHERE b.n_lines <= a.n_lines) / (SELECT count(*) + 1.0 FROM basket), 9) AS upper FROM basket a GROUP BY n_lines")
 _add("select_bicop_itau", lambda s, d: _fitted(Bicop.from_data(basket_u(s, d), "u_sum_qty", "u_sum_price", FitControlsBicop(family_set=["indep", "gaussian", "student", "clayton", "gumbel", "frank", "joe"], parametric_method="itau")), s))
 
 # vines ---------------------------------------------------------------------------------------
@@ -409,10 +421,23 @@ _add(
     lambda s, d: _three(DVineStructure([1, 2, 3])).loglik_frame(basket_u(s, d, ("n_lines", "sum_qty", "sum_price")), _COLS).select("nobs", *(F.round(c, 3).alias(c) for c in ("loglik", "aic", "bic", "mbicv"))),
     f"SELECT count(*) AS nobs, round(sum(log_pdf), 3) AS loglik, round(-2 * sum(log_pdf) + 6, 3) AS aic, round(-2 * sum(log_pdf) + 3 * ln(count(*)), 3) AS bic, round(-2 * sum(log_pdf) + 3 * ln(count(*)) + {_PRIOR}, 3) AS mbicv FROM ({_VL})",
 )
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the D-vine whose path goes from the line items' column of most distinct values to that of fewest."""
+    names = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    n = _read(spark, sf_dir, "lineitem").agg(*(F.countDistinct(c).alias(c) for c in names)).first()
+    order = sorted(range(1, 5), key=lambda k: (-n[names[k - 1]], k))
+    return DVineStructure(order).edges(spark).select("tree", "edge", "cond1", "cond2", F.array_join("given", ",").alias("given"), "needed_hfunc1", "needed_hfunc2")
+
+
+_DISTINCT = " UNION ALL ".join(f"SELECT {k} AS k, count(DISTINCT {c}) AS n FROM lineitem" for k, c in enumerate(("l_quantity", "l_extendedprice", "l_discount", "l_tax"), 1))
 _add(
     "vine_edges",
-    lambda s, d: DVineStructure([1, 2, 3, 4]).edges(s).select("tree", "edge", "cond1", "cond2", F.array_join("given", ",").alias("given"), "min_label", "needed_hfunc1", "needed_hfunc2"),
-    "SELECT * FROM (VALUES (0,0,1,2,'',2,false,true),(0,1,2,3,'',3,true,true),(0,2,3,4,'',4,true,false),(1,0,1,3,'2',2,false,true),(1,1,2,4,'3',3,true,false),(2,0,1,4,'3,2',2,false,false)) t(tree, edge, cond1, cond2, given, min_label, needed_hfunc1, needed_hfunc2)",
+    _edges,
+    # edge e of tree t joins places e and e + t + 1 of the path, given those between
+    f"WITH o AS (SELECT list(k ORDER BY n DESC, k) AS o FROM ({_DISTINCT})), e AS (SELECT CAST(t.range AS INTEGER) AS t, CAST(e.range AS INTEGER) AS e FROM range(3) t, range(3) e WHERE t.range + e.range < 3) "
+    "SELECT t AS tree, e AS edge, o[e + 1] AS cond1, o[e + t + 2] AS cond2, array_to_string(list_reverse(o[e + 2:e + t + 1]), ',') AS given, t < 2 AND e > 0 AS needed_hfunc1, t < 2 AND e < 2 - t AS needed_hfunc2 FROM e, o",
 )
 
 
@@ -444,12 +469,23 @@ _INVERSE = (
 )
 _add("vine_inverse_rosenblatt", lambda s, d: _three(DVineStructure([1, 2, 3])).inverse_rosenblatt(basket_u(s, d, ("n_lines", "sum_qty", "sum_price")), _COLS, "x_").select("l_orderkey", *(_r(f"x_{c}") for c in _COLS)), _INVERSE)
 _add("vine_cdf", lambda s, d: _three(DVineStructure([1, 2, 3])).cdf(basket_u(s, d, ("n_lines", "sum_qty", "sum_price")), _COLS, seeds=[1]).select("l_orderkey", "cdf"))
-_add("vine_simulate", lambda s, d: _three(CVineStructure([1, 2, 3])).simulate(s, 5000, True, [1]))
+
+
+def _tree_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First tree of a D-vine of Clayton copulas whose parameters invert the exact tau."""
+    u = basket_u(spark, sf_dir, ("n_lines", "sum_qty", "sum_price"))
+    m = Vinecop.from_structure(DVineStructure([1, 2, 3], 1), pair_copulas=[[Bicop("clayton"), Bicop("clayton")]]).fit(u, _COLS, FitControlsBicop(parametric_method="itau"))
+    return tree_nodes_edges(m, spark, 0, list(_MATRIX))[1].select("source", "target", "label", F.split("copula", ",")[0].alias("copula"), _r("tau"))
+
+
+_EDGE_TAU = _TAU.replace("WITH ", "", 1).replace(f"{BASKET}, ", "", 1)
 _add(
     "vine_tree_edges",
-    lambda s, d: tree_nodes_edges(_three(DVineStructure([1, 2, 3])), s, 1)[1].select("source", "target", "label", "copula", _r("tau")),
-    # Frank's tau is 1 - 4 / t * (1 - D(t)), with the Debye function D by Simpson's rule
-    "SELECT CAST(0 AS INTEGER) AS source, CAST(1 AS INTEGER) AS target, '1,3;2' AS label, 'Bicop frank, parameters = [5.0]' AS copula, round(1 - 4 / 5.0 * (1 - (SELECT sum((CASE WHEN k = 0 OR k = 1000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * CASE WHEN k = 0 THEN 1.0 ELSE (k / 200.0) / (exp(k / 200.0) - 1) END) / 600.0 / 5.0 FROM range(1001) r(k))), 6) AS tau",
+    _tree_edges,
+    " UNION ALL ".join(
+        f"SELECT CAST({k} AS INTEGER) AS source, CAST({k + 1} AS INTEGER) AS target, '{x},{y}' AS label, 'Bicop clayton' AS copula, round(tau, 6) AS tau FROM (WITH {BASKET}, {_EDGE_TAU.replace('sum_qty AS x, sum_price AS y', f'{x} AS x, {y} AS y')} SELECT tau FROM tau)"
+        for k, (x, y) in enumerate(zip(_MATRIX, _MATRIX[1:]))
+    ),
 )
 
 # points and grids -------------------------------------------------------------------------------
@@ -501,6 +537,14 @@ _add(
     _keyed("customer", "c_custkey", lambda t: Bicop("clayton", 0, (2.0,)).simulate_rows(t, "c_custkey", True, [1, 2])),
     f"WITH h AS ({_halton_sql(2, [1, 2]).replace(', 8)', ', 15)')}) SELECT c_custkey, round(u1, 8) AS u1, round({_INV['clayton'].format(g='u1', w='u2')}, 8) AS u2 FROM h",
 )
+# a C-vine from the Halton points of the keys: the root u3, then u2 given u3, then u1 given both
+_C3 = _three(CVineStructure([1, 2, 3]))
+_add(
+    "vine_simulate",
+    _keyed("customer", "c_custkey", lambda t: _C3.simulate_rows(t, "c_custkey", True, [1, 2])),
+    f"WITH h AS ({_halton_sql(3, [1, 2]).replace(', 8)', ', 15)')}), p AS (SELECT *, {_INV['frank'].format(g='u2', w='u1')} AS p FROM h) "
+    f"SELECT c_custkey, round({_INV['clayton'].format(g='u3', w='p')}, 8) AS u1, round({_INV['clayton'].format(g='u3', w='u2')}, 8) AS u2, round(u3, 8) AS u3 FROM p",
+)
 _add(
     "empirical_quantile",
     lambda s, d: pobs.empirical_quantile(pobs.pseudo_obs(_read(s, d, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"]), _read(s, d, "orders"), {"u_c_acctbal": "o_totalprice"}).select("c_custkey", _r("o_totalprice", 4)),

@@ -90,6 +90,57 @@ def test_boxes_recover_latent_dependence(spark):
     assert tll.box_counts(missing, "u_a", "u_b", ["d", "d"]).sum() == pytest.approx((frame["a"] > 0).sum())
 
 
+def test_latent_sample_stays_in_its_boxes(spark):
+    z = _normal(4000, np.array([[1, 0.7], [0.7, 1]]))
+    frame = pd.DataFrame({"k": np.arange(4000), "a": np.digitize(z[:, 0], [-0.8, 0.0, 0.8]), "b": np.digitize(z[:, 1], [0.4]), "c": z[:, 1]})
+    df = spark.createDataFrame(frame)
+    u = discrete_margins(discrete_margins(pseudo_obs(df, ["c"]), "a"), "b").cache()
+    # four and two values leave more of the dependence unseen than four and a continuous variable
+    for (x, y), types, bound in ((("u_a", "u_c"), ["d", "c"], 0.05), (("u_b", "u_a"), ["d", "d"], 0.12)):
+        names = [f"latent_{x}", f"latent_{y}"]
+        rows = tll.latent_sample(u, x, y, types, "k").toPandas().sort_values("k")
+        for c, kind in ((x, types[0]), (y, types[1])):
+            assert (rows[f"latent_{c}"] == rows[c]).all() if kind == "c" else rows[f"latent_{c}"].between(rows[f"{c}_lo"], rows[c]).all()
+            assert kind == "c" or rows[f"latent_{c}"].nunique() == 4000
+        again = tll.latent_sample(u.repartition(7, "c"), x, y, types, "k").toPandas().sort_values("k")
+        assert np.allclose(again[names], rows[names], atol=1e-12)
+        other = tll.latent_sample(u, x, y, types, "k", seed=2).toPandas().sort_values("k")
+        assert not np.allclose(other[names[0]], rows[names[0]])
+        rho = rows[names].rank().corr().iloc[0, 1]
+        assert abs(rho - 6 / math.pi * math.asin(0.35)) < bound, (types, rho)
+        places = rows[names[0]].rank() / 4001  # the margin of a latent sample is even
+        assert abs(places - rows[names[0]]).max() < 0.05
+    missing = u.withColumn("u_a_lo", F.when(F.col("a") > 0, F.col("u_a_lo")))
+    rows = tll.latent_sample(missing, "u_a", "u_c", ["d", "c"], "k").toPandas()
+    assert (rows["latent_u_a"].isna() == (rows["a"] == 0)).all() and len(rows) == 4000
+    assert tll.latent_sample(u.limit(0), "u_a", "u_c", ["d", "c"], "k").count() == 0
+    equal = spark.range(3000).selectExpr("id k", "0.25D a_lo", "0.75D a", "0.5D b_lo", "1.0D b", "2.0D w")
+    n = tll.box_counts(equal, "a", "b", ["d", "d"], "w")
+    assert n.sum() == pytest.approx(6000) and (tll.box_counts(equal.repartition(5), "a", "b", ["d", "d"], "w") == n).all()
+
+
+def test_box_index_draws_by_density():
+    grid = 1 + 0.9 * np.outer(1 - 2 * tll.grid_points(), 1 - 2 * tll.grid_points())
+    index, rng = tll.BoxIndex(grid), np.random.default_rng(3)
+    n = 40_000
+    lo, hi = np.full(n, 0.2), np.full(n, 0.9)
+    x, y, i, j = index.draw(lo, hi, lo, hi, rng.random(n), rng.random(n))
+    assert x.min() >= 0.2 and x.max() <= 0.9 and (index.edges[i] <= x).all() and (x <= index.edges[i + 1]).all() and (y <= index.edges[j + 1]).all()
+
+    def mass(a, b, c, d):  # of 1 + 0.9 (1 - 2x)(1 - 2y)
+        g = lambda s, t: (t - t * t) - (s - s * s)
+        return (b - a) * (d - c) + 0.9 * g(a, b) * g(c, d)
+
+    for a, b, c, d in ((0.2, 0.5, 0.2, 0.5), (0.5, 0.9, 0.2, 0.4), (0.3, 0.9, 0.6, 0.9)):
+        share = ((x > a) & (x <= b) & (y > c) & (y <= d)).mean()
+        assert abs(share - mass(a, b, c, d) / mass(0.2, 0.9, 0.2, 0.9)) < 0.012
+    one = tuple(c[:1] for c in (lo, hi, lo, hi))
+    many = index.counts(one, np.array([n]), np.ones(1), np.array([5]), np.ones(1), np.ones(1))
+    single = np.zeros_like(many)
+    np.add.at(single, (i, j), 1)
+    assert abs(many[:60, :60].sum() - single[:60, :60].sum()) / n < 0.015 and many.sum() == n
+
+
 def test_checks_of_readers():
     with pytest.raises(RuntimeError):
         RVineStructure.from_order([1, 1, 3])
