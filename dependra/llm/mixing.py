@@ -42,7 +42,7 @@ def sainte_lague(parts: DataFrame, weight: str, seats: Column, by: list[str], ke
 
     Each part first gets its exact share rounded; the few seats too many or too
     few are then settled by the quotients around those shares, which gives the
-    same quotas as handing out seat after seat.  Ties go by ``key``.  Candidates
+    same quotas as handing out seat after seat.  Ties go to the first ``key``, null last.  Candidates
     are about twice the number of parts, however many seats there are.
     """
     g = Window.partitionBy(*by)
@@ -56,8 +56,10 @@ def sainte_lague(parts: DataFrame, weight: str, seats: Column, by: list[str], ke
     more = F.col("_off") > 0
     quotient = F.when(more, F.col("_w") / (F.col("_q") + F.col("_k") - 0.5)).otherwise(F.col("_w") / F.greatest(F.col("_q") - F.col("_k") + 0.5, F.lit(0.5)))
     seat = seat.where(more | (F.col("_q") >= F.col("_k"))).withColumn("_quotient", quotient)
-    first = Window.partitionBy(*by).orderBy(F.when(more, -F.col("_quotient")).otherwise(F.col("_quotient")), *key)
-    won = seat.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= F.abs("_off")).groupBy(*by, *key).agg(F.sum(F.signum("_off").cast("long")).alias("_d"))
+    # of equal quotients the first key is given a seat first, and the last key loses one first
+    given = Window.partitionBy(*by).orderBy(F.desc("_quotient"), *(F.asc_nulls_last(c) for c in key))
+    lost = Window.partitionBy(*by).orderBy(F.asc("_quotient"), *(F.desc_nulls_first(c) for c in key))
+    won = seat.withColumn("_r", F.when(more, F.row_number().over(given)).otherwise(F.row_number().over(lost))).where(F.col("_r") <= F.abs("_off")).groupBy(*by, *key).agg(F.sum(F.signum("_off").cast("long")).alias("_d"))
     a, b = base.alias("a"), won.alias("b")
     cond = F.lit(True)
     for c in [*by, *key]:

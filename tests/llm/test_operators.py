@@ -623,8 +623,8 @@ def test_mixed_rows_hold_what_the_mix_takes(docs):
 
 def test_sainte_lague(spark):
     rng = random.Random(4)
-    for _ in range(6):
-        w = [rng.choice((0.0, rng.random(), 10 * rng.random())) for _ in range(rng.randrange(1, 9))]
+    for _ in range(12):
+        w = [rng.choice((0.0, 5.0, 5.0, rng.random(), 10 * rng.random())) for _ in range(rng.randrange(1, 9))]
         seats = rng.randrange(0, 40)
         if not sum(w):
             continue
