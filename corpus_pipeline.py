@@ -58,7 +58,7 @@ STAGES = [
     ("sentencepiece", encode_pieces),
 ]
 
-#: SQL can't express the classifier and the tokenizer; the stages' operators are tested one by one, the whole for columns and counts.
+#: SQL can't express the classifier and the tokenizer; tests hold every stage against a brute-force version on what the stage before it kept.
 ORACLE_SQL = None
 
 
