@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
 from itertools import product
 
 import numpy as np
@@ -40,28 +39,44 @@ GAIN, PASSES = 1e-6, 60
 WIDTH, EDGE, LENGTHS = 2e-3, 16.0, (0.05, 0.25, 0.5, 2.0, 4.0)
 
 
-@dataclass
 class Bicop:
     """A pair copula: family, rotation, parameters and variable types ("c" or "d").
 
-    ``grid`` holds the density of a local-likelihood copula.  Discrete
+    ``parameters`` is a matrix of one column, ``theta`` the same numbers as a
+    tuple.  ``grid`` holds the density of a local-likelihood copula.  Discrete
     variables have a left-limit column ``<name>_lo`` beside ``<name>``.
     """
 
-    family: str = "indep"
-    rotation: int = 0
-    parameters: tuple[float, ...] = ()
-    var_types: list[str] = field(default_factory=lambda: ["c", "c"])
-    nobs: int = 0
-    loglik_: float = 0.0
-    npars_: float | None = None
-    grid: np.ndarray | None = None
-
-    def __post_init__(self) -> None:
-        if not len(np.ravel(self.parameters)) and self.family in fam.SPECS:
-            self.parameters = fam.SPECS[self.family].default
-        if self.family == "tll" and self.grid is None:
-            self.grid = np.ones((tll.POINTS, tll.POINTS))
+    def __init__(self, family: str = "indep", rotation: int = 0, parameters: object = (), var_types: list[str] | None = None, nobs: int = 0, loglik_: float = 0.0, npars_: float | None = None, grid: np.ndarray | None = None) -> None:
+        self.family = family
+        self.rotation = rotation
+        self.parameters = parameters if np.size(parameters) or family not in fam.SPECS else fam.SPECS[family].default
+        self.var_types = var_types or ["c", "c"]
+        self._fitted(nobs, loglik_)
+        self.npars_ = npars_
+        self.grid = np.ones((tll.POINTS, tll.POINTS)) if family == "tll" and grid is None else grid
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Bicop) and self.to_dict() == other.to_dict()
+
+    def _fitted(self, nobs: int, loglik: float) -> None:
+        self.__dict__["nobs"], self.loglik_ = nobs, loglik
+
+    @property
+    def parameters(self) -> np.ndarray:
+        return np.array(self.theta).reshape(-1, 1) if self.theta else np.empty((0, 0))
+
+    @parameters.setter
+    def parameters(self, value: object) -> None:
+        theta = tuple(float(x) for x in np.ravel(value))
+        spec = fam.SPECS.get(self.family)
+        if spec is not None or theta:
+            lower, upper = (spec.lower, spec.upper) if spec else ((), ())
+            if len(theta) != len(lower):
+                raise RuntimeError(f"{self.family} has {len(lower)} parameters")
+            if any(not lo <= x <= hi for x, lo, hi in zip(theta, lower, upper)):
+                raise RuntimeError("parameters are out of bounds")
+        self.theta = theta
 
     def __setattr__(self, name: str, value: object) -> None:
         if name == "family":
@@ -74,17 +89,9 @@ class Bicop:
                 raise RuntimeError("rotation must be one of 0, 90, 180, 270")
             if value and self.family in fam.SETS["rotationless"]:
                 raise RuntimeError(f"family {self.family} has no rotations")
-        if name == "parameters":
-            value = tuple(float(x) for x in np.ravel(value))
-            spec = fam.SPECS[self.family]
-            if value or "parameters" in self.__dict__:
-                if len(value) != len(spec.lower):
-                    raise RuntimeError(f"{self.family} has {len(spec.lower)} parameters")
-                if any(not lo <= x <= hi for x, lo, hi in zip(value, spec.lower, spec.upper)):
-                    raise RuntimeError("parameters are out of bounds")
         if name == "var_types" and (len(value) != 2 or set(value) - {"c", "d"}):
             raise RuntimeError('var_types must be two of "c" and "d"')
-        if name in ("npars", "tau"):
+        if name in ("npars", "tau", "nobs"):
             raise AttributeError(f"{name} is read-only")
         object.__setattr__(self, name, value)
 
@@ -101,7 +108,7 @@ class Bicop:
 
     @property
     def npars(self) -> float:
-        return len(self.parameters) if self.npars_ is None else self.npars_
+        return len(self.theta) if self.npars_ is None else self.npars_
 
     @property
     def parameters_lower_bounds(self) -> np.ndarray:
@@ -126,7 +133,7 @@ class Bicop:
             u = tll.grid_points()
             mass = self.grid * np.outer(np.gradient(u), np.gradient(u))
             return tau_of_cells(mass / mass.sum() * 1e6)
-        return self.parameters_to_tau(self.parameters)
+        return self.parameters_to_tau(self.theta)
 
     # evaluation ----------------------------------------------------------
     @property
@@ -140,25 +147,25 @@ class Bicop:
 
     def flipped(self) -> Bicop:
         """The copula of the swapped pair."""
-        other = Bicop(self.family, {90: 270, 270: 90}.get(self.rotation, self.rotation), self.parameters, self.var_types[::-1], self.nobs, self.loglik_, self.npars_, None if self.grid is None else self.grid.T)
+        other = Bicop(self.family, {90: 270, 270: 90}.get(self.rotation, self.rotation), self.theta, self.var_types[::-1], self.nobs, self.loglik_, self.npars_, None if self.grid is None else self.grid.T)
         if self.family == "tawn":
-            al, be, th = self.parameters
+            al, be, th = self.theta
             other.parameters = (be, al, th)
         return other
 
     def as_continuous(self) -> Bicop:
-        return Bicop(self.family, self.rotation, self.parameters, ["c", "c"], self.nobs, self.loglik_, self.npars_, self.grid)
+        return Bicop(self.family, self.rotation, self.theta, ["c", "c"], self.nobs, self.loglik_, self.npars_, self.grid)
 
     def _base(self, m: object, what: str, a: object, b: object) -> object:
         """Unrotated, continuous: cdf, pdf, h1 or h2."""
         if self.family == "student":
-            return fam.student(b, a, self.parameters, "h1") if what == "h2" else fam.student(a, b, self.parameters, what)
+            return fam.student(b, a, self.theta, "h1") if what == "h2" else fam.student(a, b, self.theta, what)
         if self.family == "tll":
             g = tll.Grid(self.grid)
             return tll.Grid(self.grid.T).h1(b, a) if what == "h2" else getattr(g, what)(a, b)
         if what == "h2":
-            return fam.tawn_h2(m, a, b, self.parameters) if self.family == "tawn" else fam.FORMULAS[self.family](m, b, a, self.parameters)[1]
-        return fam.FORMULAS[self.family](m, a, b, self.parameters)[{"cdf": 0, "h1": 1, "pdf": 2}[what]]
+            return fam.tawn_h2(m, a, b, self.theta) if self.family == "tawn" else fam.FORMULAS[self.family](m, b, a, self.theta)[1]
+        return fam.FORMULAS[self.family](m, a, b, self.theta)[{"cdf": 0, "h1": 1, "pdf": 2}[what]]
 
     def _continuous(self, m: object, what: str, a: object, b: object) -> object:
         """With the rotation."""
@@ -214,9 +221,9 @@ class Bicop:
         r, no = model.rotation, lambda x: x * -1.0 + 1.0
         a = no(given) if r in (90, 180) else given
         v = no(w) if r in (180, 270) else w
-        out = fam.closed_hinv1(m, model.family, v, a, model.parameters)
+        out = fam.closed_hinv1(m, model.family, v, a, model.theta)
         if out is None and m.arrays:
-            out = fam.student_hinv1(v, a, model.parameters) if model.family == "student" else model._bisected(v, a)
+            out = fam.student_hinv1(v, a, model.theta) if model.family == "student" else model._bisected(v, a)
         if out is None:
             raise NotImplementedError("no closed form")
         return m.clip(no(out) if r in (180, 270) else out, TRIM, 1 - TRIM)
@@ -266,7 +273,7 @@ class Bicop:
     def _with(self, df: DataFrame, what: str, u1: str, u2: str, name: str) -> DataFrame:
         """``df`` with a value; arguments outside [0, 1] raise when it is computed."""
         if what in elliptical.FORMS.get(self.family, ()) and "d" not in self.var_types:
-            out, value, helpers = elliptical.scored(df, self.family, self.parameters, what, u1, u2)
+            out, value, helpers = elliptical.scored(df, self.family, self.theta, what, u1, u2)
             if what == "pdf":
                 value = COLUMNS.clip(value, 1e-300, math.inf)
             value = F.when(present(F.col(u1)) & present(F.col(u2)), value)
@@ -342,7 +349,7 @@ class Bicop:
 
     # persistence and display -----------------------------------------------
     def to_dict(self) -> dict:
-        out = {"fam": self.family, "rot": self.rotation, "par": list(self.parameters), "vt": list(self.var_types), "nobs": self.nobs, "ll": self.loglik_, "npars": self.npars}
+        out = {"fam": self.family, "rot": self.rotation, "par": list(self.theta), "vt": list(self.var_types), "nobs": self.nobs, "ll": self.loglik_, "npars": self.npars}
         if self.grid is not None:
             out["grid"] = self.grid.tolist()
         return out
@@ -369,7 +376,7 @@ class Bicop:
 
     def __str__(self) -> str:
         turn = f" {self.rotation}°" if self.rotation else ""
-        return f"Bicop {self.family}{turn}" + (f", parameters = {list(self.parameters)}" if self.parameters else "")
+        return f"Bicop {self.family}{turn}" + (f", parameters = {list(self.theta)}" if self.theta else "")
 
 
 def _checked(df: DataFrame, u1: str, u2: str, controls: FitControlsBicop, var_types: list[str] | None) -> DataFrame:
@@ -620,7 +627,7 @@ def fit_many(df: DataFrame, models: list[list[tuple[str, int]]], pairs: list[tup
     out: list[list[Bicop]] = [[] for _ in pairs]
     for s, v in zip(items, values):
         m = _model(s, kinds)
-        m.nobs, m.loglik_ = int(stats[s["pair"]]["n"]), float(v)
+        m._fitted(int(stats[s["pair"]]["n"]), float(v))
         out[s["pair"]].append(m)
     return out
 

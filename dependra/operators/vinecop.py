@@ -173,7 +173,7 @@ class Vinecop:
         return self.pair_copulas[tree][edge].rotation
 
     def get_parameters(self, tree: int, edge: int) -> np.ndarray:
-        return np.array(self.pair_copulas[tree][edge].parameters).reshape(-1, 1)
+        return np.array(self.pair_copulas[tree][edge].theta).reshape(-1, 1)
 
     def get_tau(self, tree: int, edge: int) -> float:
         return self.pair_copulas[tree][edge].tau
@@ -397,7 +397,7 @@ class Vinecop:
         for t, row in enumerate(self.pair_copulas):
             for e, pc in enumerate(row):
                 a, b, given = self.structure.edge_label(t, e)
-                rows.append((t, e, a, b, given, pc.family, pc.rotation, list(pc.parameters), list(pc.var_types), float(pc.npars), float(pc.loglik_), int(pc.nobs), float(pc.tau)))
+                rows.append((t, e, a, b, given, pc.family, pc.rotation, list(pc.theta), list(pc.var_types), float(pc.npars), float(pc.loglik_), int(pc.nobs), float(pc.tau)))
         return spark.createDataFrame(rows, "tree int, edge int, cond1 int, cond2 int, given array<int>, family string, rotation int, parameters array<double>, var_types array<string>, npars double, loglik double, nobs long, tau double")
 
     def format(self, trees: list[int] | None = None, names: list[str] | None = None) -> str:

@@ -311,7 +311,7 @@ _add("itau_fit", _itau, f"{_TAU} SELECT round(tau, 6) AS tau, round(sin(tau * pi
 def _fit_itau(family: str) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
         m = Bicop(family).fit(basket_u(s, d), "u_sum_qty", "u_sum_price", FitControlsBicop(parametric_method="itau"))
-        return s.createDataFrame([(family, round(m.parameters[0], 6), m.nobs)], "family string, theta double, nobs long")
+        return s.createDataFrame([(family, round(m.theta[0], 6), m.nobs)], "family string, theta double, nobs long")
 
     return run
 
@@ -337,14 +337,14 @@ _add("criteria_gumbel", _criteria, _L + "SELECT nobs, round(l, 4) AS loglik, rou
 
 
 def _fitted(model: Bicop, spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(model.family, model.rotation, [round(p, 3) for p in model.parameters], float(model.npars), float(model.loglik_), model.nobs)], "family string, rotation int, parameters array<double>, npars double, loglik double, nobs long")
+    return spark.createDataFrame([(model.family, model.rotation, [round(p, 3) for p in model.theta], float(model.npars), float(model.loglik_), model.nobs)], "family string, rotation int, parameters array<double>, npars double, loglik double, nobs long")
 
 
 def _fit(family: str) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
         m = Bicop(family).fit(basket_u(s, d), "u_sum_qty", "u_sum_price")
         if family in fit_sql.ONE:
-            return s.createDataFrame([(family, 0, round(m.parameters[0], 3), round(m.loglik_, 3), m.nobs)], "family string, rotation int, theta1 double, loglik double, nobs long")
+            return s.createDataFrame([(family, 0, round(m.theta[0], 3), round(m.loglik_, 3), m.nobs)], "family string, rotation int, theta1 double, loglik double, nobs long")
         return _fitted(m, s)
 
     return run
@@ -576,6 +576,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for family in ("gumbel", "clayton"):
         m = Bicop(family).fit(u, "u_sum_qty", "u_sum_price", FitControlsBicop(parametric_method="itau"))
-        one = m.loglik_frame(u, "u_sum_qty", "u_sum_price").select(F.lit(family).alias("family"), F.lit(m.parameters[0]).alias("theta"), "nobs", "loglik", "aic", "bic", "mbic")
+        one = m.loglik_frame(u, "u_sum_qty", "u_sum_price").select(F.lit(family).alias("family"), F.lit(m.theta[0]).alias("theta"), "nobs", "loglik", "aic", "bic", "mbic")
         out = one if out is None else out.unionByName(one)
     return out

@@ -95,7 +95,7 @@ def test_itau_inverts_the_exact_tau(spark, family, theta):
     u = Bicop(family, 0, (theta,)).simulate(spark, 2500, seeds=[4]).toPandas()
     tau = _plain(u["u1"].to_numpy(), u["u2"].to_numpy(), np.ones(len(u)))[4]
     m = Bicop(family).fit(spark.createDataFrame(u), controls=FitControlsBicop(parametric_method="itau"))
-    assert m.parameters[0] == pytest.approx(fam.tau_to_parameters(family, tau)[0], abs=1e-6)
+    assert m.theta[0] == pytest.approx(fam.tau_to_parameters(family, tau)[0], abs=1e-6)
 
 
 # maximal correlation

@@ -11,7 +11,7 @@ from dependra.functions.special import bvn_cdf, norm_cdf, norm_ppf, t_cdf, t_ppf
 from dependra.operators.bicop import Bicop
 
 MODELS = [Bicop("gaussian", 0, (0.6,)), Bicop("student", 0, (0.5, 4.0)), Bicop("clayton", 0, (2.0,)), Bicop("gumbel", 0, (2.5,)), Bicop("frank", 0, (-4.0,)), Bicop("joe", 0, (2.2,)), Bicop("bb1", 0, (1.5, 1.7)), Bicop("bb6", 0, (1.6, 1.5)), Bicop("bb7", 0, (1.8, 1.2)), Bicop("bb8", 0, (3.0, 0.7)), Bicop("tawn", 0, (0.6, 0.9, 2.5))]
-TURNED = [Bicop(m.family, r, m.parameters) for m in MODELS if m.family not in fam.SETS["rotationless"] for r in (90, 180, 270)]
+TURNED = [Bicop(m.family, r, m.theta) for m in MODELS if m.family not in fam.SETS["rotationless"] for r in (90, 180, 270)]
 A, B = np.random.default_rng(1).uniform(0.05, 0.95, (2, 200))
 E = 1e-5
 

@@ -33,12 +33,14 @@ U = ["u_x1", "u_x2", "u_x3", "u_x4"]
 
 def test_bicop_attributes(tmp_path):
     b = Bicop()
-    assert b.family == "indep" and b.rotation == 0 and b.parameters == () and b.var_types == ["c", "c"]
+    assert b.family == "indep" and b.rotation == 0 and b.parameters.shape == (0, 0) and b.theta == () and b.var_types == ["c", "c"]
     g = Bicop("gumbel", 90)
     with pytest.raises(RuntimeError):
         g.rotation = 45
     g.parameters = [[3.0]]
-    assert g.parameters == (3.0,) and g.npars == 1
+    assert g.parameters.shape == (1, 1) and g.theta == (3.0,) and g.npars == 1
+    with pytest.raises(AttributeError):
+        g.nobs = 3
     with pytest.raises(AttributeError):
         g.npars = 2
     with pytest.raises(AttributeError):
@@ -86,7 +88,7 @@ def test_distributed_fit_equals_group_fit(spark, monkeypatch):
     a = Bicop("frank").fit(s)
     monkeypatch.setattr(bicop, "LOCAL_ROWS", 0)
     b = Bicop("frank").fit(s)
-    assert abs(a.parameters[0] - b.parameters[0]) < 0.05 and abs(a.loglik() - b.loglik()) < 0.05
+    assert abs(a.theta[0] - b.theta[0]) < 0.05 and abs(a.loglik() - b.loglik()) < 0.05
 
 
 @pytest.mark.parametrize("f,p", [("gaussian", (0.6,)), ("student", (0.5, 4.0)), ("clayton", (2.0,)), ("gumbel", (2.0,)), ("frank", (5.0,)), ("joe", (2.0,)), ("bb1", (1.0, 1.5)), ("bb6", (1.5, 2.0)), ("bb7", (2.0, 1.5)), ("bb8", (3.0, 0.8)), ("tawn", (0.6, 0.9, 2.0))])
@@ -98,14 +100,14 @@ def test_fit_is_the_maximum_at_any_size(spark, monkeypatch, f, p):
     a = Bicop(f).fit(s)
     # not below the truth, nor below any place near the fit
     spec = bicop.fam.SPECS[f]
-    around = [(k, a.parameters[k] + d * (hi - lo)) for k, (lo, hi) in enumerate(zip(spec.lower, spec.upper)) for d in (-0.02, -0.001, -1e-4, 1e-4, 0.001, 0.02)]
-    near = [Bicop(f, 0, tuple(v if j == k else x for j, x in enumerate(a.parameters))) for k, v in around if spec.lower[k] <= v <= spec.upper[k]]
+    around = [(k, a.theta[k] + d * (hi - lo)) for k, (lo, hi) in enumerate(zip(spec.lower, spec.upper)) for d in (-0.02, -0.001, -1e-4, 1e-4, 0.001, 0.02)]
+    near = [Bicop(f, 0, tuple(v if j == k else x for j, x in enumerate(a.theta))) for k, v in around if spec.lower[k] <= v <= spec.upper[k]]
     others = bicop.logliks(s, [("u1", "u2")], [(0, x) for x in [m, *near]])
     assert a.loglik() >= max(others) - 1e-4
     if f in ("bb8", "clayton", "student"):
         monkeypatch.setattr(bicop, "LOCAL_ROWS", 0)
         b = Bicop(f).fit(s)
-        assert b.parameters == pytest.approx(a.parameters, rel=1e-4) and abs(a.loglik() - b.loglik()) < 1e-6
+        assert b.theta == pytest.approx(a.theta, rel=1e-4) and abs(a.loglik() - b.loglik()) < 1e-6
 
 
 def test_missing_rows_and_weights(spark):
