@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -27,8 +28,10 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Penalty of an unknown character below the lowest score.
 UNKNOWN_PENALTY = 10.0
-#: Segments that are kept encoded while a worker lives.
+#: Segments in each of the two memos that a worker keeps, and checked pairs of pieces.
 MEMO = 500_000
+#: Alphabets that are told apart where words are cut.
+ALPHABETS = 8
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -57,6 +60,27 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
             at += n
 
 
+def alphabets(pieces: Iterable[str]) -> list[str]:
+    """Sets of characters, largest first; two characters of different sets are neighbours in no piece (but for white space before it)."""
+    root: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for p in pieces:
+        p = p.lstrip(SPACE)
+        for a, b in zip(p, p[1:]):
+            root[find(a)] = find(b)
+    sets: dict[str, list[str]] = {}
+    for x in sorted(root):
+        sets.setdefault(find(x), []).append(x)
+    return sorted(("".join(s) for s in sets.values()), key=lambda s: (-len(s), s))
+
+
 @dataclass
 class Model:
     """Pieces of a model file and what its specification says about white space."""
@@ -110,12 +134,15 @@ class Codec:
             self.automaton.add_word(p, (i, len(p), m.scores[i]))
         if self.ids:
             self.automaton.make_automaton()
-        #: If white space begins pieces only, no piece crosses from a word into the next: words can be encoded apart.
+        #: If white space begins pieces only, no piece crosses from a word into the next, nor from one alphabet into another: these runs can be encoded apart.
         self.apart = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
-        self.split = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        sets = [re.escape(s) for s in alphabets(self.ids)[:ALPHABETS]] if self.apart else []
+        self.split = re.compile(f"{SPACE}*(?:{''.join(f'[{s}]+|' for s in sets)}[^{SPACE}{''.join(sets)}]+)|{SPACE}+")
+        self.sizes = [len(p) for p in m.pieces]
         self.pairs: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.encode() for p, k in zip(m.pieces, m.kinds)]
 
     def normalise(self, text: str) -> str:
@@ -140,17 +167,16 @@ class Codec:
     def allowed(self, last: int, piece: int) -> bool:
         """Whether merging keeps both pieces as they are (-1: nothing, or a character without piece)."""
         p = self.model.pieces
-        ok = self.alone.get(piece)
-        if ok is None:
-            ok = self.alone[piece] = self.merged(p[piece]) == [p[piece]]
-        if not ok or last < 0:
-            return ok
-        key = (last, piece)
-        ok = self.pairs.get(key)
+        ok = self.pairs.get((last, piece))
         if ok is None:
+            ok = self.alone.get(piece)
+            if ok is None:
+                ok = self.alone[piece] = self.merged(p[piece]) == [p[piece]]
+            if ok and last >= 0:
+                ok = self.merged(p[last] + p[piece]) == [p[last], p[piece]]
             if len(self.pairs) >= MEMO:
                 self.pairs.clear()
-            ok = self.pairs[key] = self.merged(p[last] + p[piece]) == [p[last], p[piece]]
+            self.pairs[last, piece] = ok
         return ok
 
     def viterbi(self, text: str) -> list[int]:
@@ -184,8 +210,34 @@ class Codec:
             at = back[at]
         return out[::-1]
 
+    def bpe(self, text: str) -> list[int] | None:
+        """Viterbi for BPE: a position has one allowed piece at most.  None if a position has none, as at a character without piece."""
+        piece: list[int | None] = [-1] + [None] * len(text)
+        get = self.pairs.get
+        for end, (i, size, _) in self.automaton.iter(text) if self.ids else ():
+            end += 1
+            if piece[end] is None:
+                last = piece[end - size]
+                if last is not None:
+                    ok = get((last, i))
+                    if ok is None:
+                        ok = self.allowed(last, i)
+                    if ok:
+                        piece[end] = i
+        if None in piece:
+            return None
+        out, at, sizes = [], len(text), self.sizes
+        while at:
+            i = piece[at]
+            out.append(i)
+            at -= sizes[i]
+        return out[::-1]
+
     def segment(self, text: str) -> bytes:
-        out: list[int] = []
+        out = self.bpe(text) if self.model.kind == BPE else None
+        if out is not None:
+            return array("i", out).tobytes()
+        out = []
         for i in self.viterbi(text):
             if i >= 0:
                 out.append(i)
@@ -193,28 +245,32 @@ class Codec:
                 out += (self.byte[b] for b in chr(-1 - i).encode())
             elif not (out and out[-1] == self.unknown):  # adjacent unknown characters are one piece
                 out.append(self.unknown)
-        return np.array(out, np.int32).tobytes()
+        return array("i", out).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """Piece ids of a whole text."""
         text = self.normalise(text)
         if not self.apart or not (self.byte or self.model.kind == BPE):
             return np.frombuffer(self.segment(text), np.int32)
-        memo, parts = self.memo, self.split.findall(text)
-        try:
-            return np.frombuffer(b"".join(map(memo.__getitem__, parts)), np.int32)
-        except KeyError:
-            if len(memo) >= MEMO:
-                memo.clear()
-            got = []
-            for s in parts:
-                x = memo.get(s)
-                if x is None:
-                    x = self.segment(s)
-                    if len(s) < 64:
-                        memo[s] = x
-                got.append(x)
-            return np.frombuffer(b"".join(got), np.int32)
+        parts = self.split.findall(text)
+        got = list(map(self.memo.get, parts))
+        if None in got:
+            for k in [k for k, x in enumerate(got) if x is None]:
+                got[k] = self.remember(parts[k])
+        return np.frombuffer(b"".join(got), np.int32)
+
+    def remember(self, text: str) -> bytes:
+        """``segment``, kept while it is in use: what a full memo held is looked up until the next one is full."""
+        x = self.memo.get(text)
+        if x is None:
+            x = self.older.get(text)
+            if x is None:
+                x = self.segment(text)
+            if len(text) < 64:
+                if len(self.memo) >= MEMO:
+                    self.older, self.memo = self.memo, {}
+                self.memo[text] = x
+        return x
 
     def decode(self, ids: list[int]) -> str:
         """The text of piece ids; without the space that encoding put before it."""

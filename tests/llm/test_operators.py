@@ -515,6 +515,34 @@ def _field(n, kind, data):
     return tag + data
 
 
+def test_sentencepiece_cuts_and_memo(monkeypatch):
+    """Words are cut where no piece can cross, each run is encoded once while it is in use, and the result is that of the uncut text."""
+    c = sentencepiece_codec.Codec(sentencepiece_codec.Model(sentencepiece_codec.read_model(PIECES)))
+    rng = random.Random(11)
+    parts = ["the", "stone", "Ünder", "war", "ст", "ра", "数据", "é", "7", "42", ".", ",", "(", "...", "!=", "\n", "\t", " ", "  ", "    ", "▁", "€", "\U0001f600", "x", "ing", "-", "^", "]"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(1500)]
+    calls = collections.Counter()
+    segment, viterbi = c.segment, c.viterbi
+
+    def counted(s):
+        calls[s] += 1
+        return segment(s)
+
+    monkeypatch.setattr(c, "segment", counted)
+    for t in texts:
+        whole = [b for i in viterbi(c.normalise(t)) for b in ([i] if i >= 0 else [c.byte[x] for x in chr(-1 - i).encode()])]
+        assert c.encode(t).tolist() == whole and c.decode(whole) == t.replace("▁", " ")
+    assert max(calls.values()) == 1
+    calls.clear()
+    c.encode("stones. stones, stones\nstones; stones\tgreen (stones)")
+    assert sum("stones" in s for s in calls) <= 2  # with white space before it and without
+    monkeypatch.setattr(sentencepiece_codec, "MEMO", 4)
+    calls.clear()
+    for k in range(60):
+        c.encode(f"river {'abcdefghij'[k % 10]}{'klmnop'[k // 10]}")
+    assert calls["▁river"] <= 1 and len(c.memo) <= 4
+
+
 def test_sentencepiece_unigram_is_optimal():
     import struct
 
