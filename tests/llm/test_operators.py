@@ -476,6 +476,44 @@ def test_line_rules(spark):
     assert {r["line"]: r["f"] for r in got} == dict(lines)
 
 
+def test_cleaned_lines_and_their_cost(spark):
+    """Lines against brute force; phrases are sought line by line only in texts that hold one, and words of lines are counted once."""
+    import unicodedata
+
+    rng = random.Random(12)
+    vocab = ["the", "Stone", "WALKS", "ÄRGER", "İST", "ΣΑΣ", "数据", "a.", "b!", "c?»", "yes", "yes", "yes", "yes", "|", "»", "›", "•", "·", "…", "‰", "#", "{x}", "^~=", "<b>", "\x0b", "\r", "  ", "\U0001f600", "\U0001d400", "Privacy policy", "privacy  policy", "COOKIE", "sign up", "login", "terms of", "service", "use"]
+    text = lambda: "\n".join(" ".join(rng.choice(vocab[: rng.choice((11, 24, len(vocab)))]) for _ in range(rng.randrange(0, 15))) for _ in range(rng.randrange(0, 8)))
+    texts = {i: text() for i in range(800)}
+    phrases = re.compile("all rights reserved|privacy policy|terms of (use|service)|cookie|javascript|lorem ipsum|subscribe|newsletter|click here|read more|sign (up|in) |log ?in |copyright|licensed under|skip to content|powered by")
+
+    def fails(x):
+        w, small = WORD.findall(x), x.lower()
+        count = lambda chars: sum(x.count(c) for c in chars)
+        kinds = [unicodedata.category(c) for c in x]
+        letters = sum(k[0] == "L" for k in kinds)
+        caps = kinds.count("Lu") + len(small) - len(x)
+        menu = count("|»›•·")
+        return bool(
+            (len(w) >= 4 and not re.search("[.!?…:;][\"'”»)]*([ \t\n\x0b\f\r]|$)", x))
+            or count("#*$%&<>{}~^=") > 0.05 * len(x)
+            or (menu >= 2 and menu * 3 >= len(w))
+            or (letters >= 20 and caps > 0.6 * letters)
+            or phrases.search(small)
+            or (len(w) >= 10 and len(set(w)) < 0.3 * len(w))
+        )
+
+    out = quality_rules.judge(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    got = by_id(out)
+    lost = 0
+    for i, t in texts.items():
+        clean = "\n".join(x for x in t.split("\n") if not fails(x))
+        assert (got[i]["clean_text"], got[i]["n_kept_words"]) == (clean, len(WORD.findall(clean))), t
+        lost += got[i]["n_kept_words"] < got[i]["n_words"]
+    assert 100 < lost < len(texts)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE(lower" not in plan and "extract_all" not in plan and "translate(text" not in plan
+
+
 def test_line_dedup(docs, empty, texts):
     out = line_dedup.dedup_lines(docs)
     assert out.columns[: len(docs.columns)] == docs.columns and out.count() == docs.count()
