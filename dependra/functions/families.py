@@ -232,12 +232,17 @@ def _t_score(p: np.ndarray, nu: float) -> np.ndarray:
     return _scores[key]
 
 
-def student_density(m, s, t, p: tuple[float, ...]):  # noqa: ANN001, ANN201
-    """Density of the Student copula from Student quantiles."""
+def log_student_density(m, s, t, p: tuple[float, ...]):  # noqa: ANN001, ANN201
+    """Log density of the Student copula from Student quantiles."""
     rho, nu = p
     k = math.lgamma((nu + 2) / 2) + math.lgamma(nu / 2) - 2 * math.lgamma((nu + 1) / 2) - 0.5 * math.log(1 - rho * rho)
     both = m.log1p(s * s * (1 / nu)) + m.log1p(t * t * (1 / nu))
-    return m.exp(m.log1p((s * s + t * t - s * t * (2 * rho)) * (1 / (nu * (1 - rho * rho)))) * (-(nu + 2) / 2) + both * ((nu + 1) / 2) + k)
+    return m.log1p((s * s + t * t - s * t * (2 * rho)) * (1 / (nu * (1 - rho * rho)))) * (-(nu + 2) / 2) + both * ((nu + 1) / 2) + k
+
+
+def student_density(m, s, t, p: tuple[float, ...]):  # noqa: ANN001, ANN201
+    """Density of the Student copula from Student quantiles."""
+    return m.exp(log_student_density(m, s, t, p))
 
 
 def student(a: np.ndarray, b: np.ndarray, p: tuple[float, ...], what: str) -> np.ndarray:

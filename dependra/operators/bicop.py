@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import families as fam
 from ..functions.algebra import ARRAYS, COLUMNS, TRIM
 from ..functions.qrng import simulate_uniform, uniform_rows
+from ..functions.special import norm_ppf
 from ..plans.staging import staged
 from . import elliptical, tll
 from .checks import held, unit, weight
@@ -35,6 +36,8 @@ ROTATIONS = (0, 90, 180, 270)
 LOCAL_ROWS = 20_000
 #: A search ends when a step promises a smaller gain of log-likelihood than GAIN, at any size; PASSES is a safety.
 GAIN, PASSES = 1e-6, 60
+#: Ranges of equal length of a column in the summary from which a search over many rows starts.
+RANGES = 64
 #: Half width of the differences, largest place and lengths tried of a step, on the unbounded scale of parameters.
 WIDTH, EDGE, LENGTHS = 2e-3, 16.0, (0.05, 0.25, 0.5, 2.0, 4.0)
 
@@ -380,9 +383,9 @@ class Bicop:
 
 
 def _checked(df: DataFrame, u1: str, u2: str, controls: FitControlsBicop, var_types: list[str] | None) -> DataFrame:
-    """The columns that a fit reads; values outside [0, 1] and wrong weights raise when they are read."""
+    """The columns that a fit reads, written once as it reads them several times; values outside [0, 1] and wrong weights raise."""
     names = [x for c, t in zip((u1, u2), var_types or "cc") for x in ((c, f"{c}_lo") if t == "d" else (c,))]
-    return df.select(*(unit(c).alias(c) for c in dict.fromkeys(names)), *([weight(controls.weights).alias(controls.weights)] if controls.weights else []))
+    return staged(df.select(*(unit(c).alias(c) for c in dict.fromkeys(names)), *([weight(controls.weights).alias(controls.weights)] if controls.weights else [])), "pair")
 
 
 def _prior(family: str, psi0: float) -> float:
@@ -409,13 +412,29 @@ def _values(candidates: list[Candidate], columns: dict[str, np.ndarray], pairs:
                 a, b = (columns[c] for c in pairs[p])
                 ok = ~(np.isnan(a) | np.isnan(b))
                 lo = [columns[f"{c}_lo"][ok] if t == "d" else None for c, t in zip(pairs[p], m.var_types)]
-                ready[p] = a[ok], b[ok], lo, w[ok]
-            a, b, lo, v = ready[p]
+                ready[p] = a[ok], b[ok], lo, w[ok], {}
+            a, b, lo, v, scores = ready[p]
             if len(a):
-                out[k] = (np.log(m.value(ARRAYS, "pdf", a, b, *lo)) * v).sum()
+                out[k] = (_log_density(m, a, b, lo, scores) * v).sum()
     return out
 
 
+def _log_density(m: Bicop, a: np.ndarray, b: np.ndarray, lo: list[np.ndarray | None], scores: dict) -> np.ndarray:
+    """Log density on arrays; the elliptical families take their scores, of which ``scores`` keeps the last few, instead of making them anew."""
+    if m.family not in fam.SETS["elliptical"] or "d" in m.var_types:
+        return np.log(m.value(ARRAYS, "pdf", a, b, *lo))
+    if 0.0 not in scores:
+        scores[0.0] = tuple(norm_ppf(ARRAYS, np.clip(x, TRIM, 1 - TRIM)) for x in (a, b))
+    if m.family == "gaussian":
+        return np.log(np.maximum(fam.gaussian_of_scores(ARRAYS, *scores[0.0], m.theta[0])[1], 1e-300))
+    nu = m.theta[1]
+    if nu not in scores:
+        if len(scores) > 16:
+            scores.pop(next(x for x in scores if x))
+        scores[nu] = tuple(elliptical.quantiles(z, nu) for z in scores[0.0])
+    return np.maximum(fam.log_student_density(ARRAYS, *scores[nu], m.theta), math.log(1e-300))
+
+
 def _needed(candidates: list[Candidate], pairs: list[tuple[str, str]]) -> list[str]:
     return sorted({c for p, m in candidates for c, t in zip(pairs[p], m.var_types) for c in ((c, f"{c}_lo") if t == "d" else (c,))})
 
@@ -505,7 +524,9 @@ def _ascent(y: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, fl
 def _search(items: list[dict], evaluate: Callable[[list[Candidate]], list[float]], kinds: dict[int, list[str]]) -> None:
     """Maximum likelihood of all items together; ``evaluate`` gives log-likelihoods of (pair, model).
 
-    The first pass looks for a start on a coarse grid.  Each further pass tries
+    The first pass looks for a start on a coarse grid.  An item that is ``near``
+    its maximum starts where it is; only where a parameter is close to a bound,
+    so that slopes vanish, are places further inside tried too.  Each further pass tries
     several lengths of Newton's step, and the full step with the neighbours that
     give the next derivatives, so a pass is an iteration where Newton's step is
     good.  An item ends when the gain that a step promises is below GAIN, or no
@@ -513,15 +534,26 @@ def _search(items: list[dict], evaluate: Callable[[list[Candidate]], list[float]
     """
     live = [s for s in items if not s["fixed"]]
     places = {1: np.linspace(-5, 3, 9), 2: np.array([-4.0, -2.0, -0.5, 1.0, 3.0]), 3: np.array([-3.0, -1.0, 1.5])}
-    tries = [(s, y) for s in live for y in [_free(s["family"], s["p"]), *(np.array(x) for x in product(places[len(s["p"])], repeat=len(s["p"])))]]
+
+    def starts(s: dict) -> list[np.ndarray]:
+        y = _free(s["family"], s["p"])
+        if not s.get("near"):
+            return [y, *(np.array(x) for x in product(places[len(y)], repeat=len(y)))]
+        inner = [np.where(np.arange(len(y)) == i, np.sign(y[i]) * t, y) for i in range(len(y)) if abs(y[i]) > 5 for t in (2.0, 4.0)]
+        return [y, *inner] if inner else []
+
+    for s in live:
+        if s.get("near"):
+            s["value"], s["y"] = -np.inf, _free(s["family"], s["p"])
+    tries = [(s, y) for s in live for y in starts(s)]
 
     def values(tries: list[tuple[dict, np.ndarray]]) -> np.ndarray:
         out = np.array(evaluate([(s["pair"], _model(s, kinds, _bound(s["family"], y))) for s, y in tries]), float)
         return np.where(np.isfinite(out), out, -np.inf)
 
-    if not tries:
+    if not live:
         return
-    for (s, y), v in zip(tries, values(tries)):
+    for (s, y), v in zip(tries, values(tries) if tries else ()):
         if v > s.get("value", -np.inf):
             s["value"], s["y"] = v, y
     live = [s for s in live if "y" in s]
@@ -563,6 +595,11 @@ def _search(items: list[dict], evaluate: Callable[[list[Candidate]], list[float]
         live = left
         if not live:
             break
+    astray = [s for s in items if s.get("near") and not np.isfinite(s["value"])]
+    for s in astray:
+        del s["near"], s["value"], s["y"]
+    if astray:
+        _search(astray, evaluate, kinds)
     for s in items:
         if "y" in s:
             s["p"] = _bound(s["family"], s["y"])
@@ -581,7 +618,10 @@ def _fit_items(items: list[dict], evaluate: Callable[[list[Candidate]], list[flo
                 s["best"], s["p"] = v, p
     else:
         _search(items, evaluate, kinds)
-    return list(evaluate([(s["pair"], _model(s, kinds)) for s in items]))
+    rest = [s for s in items if "value" not in s and s["family"] != "indep"]
+    for s, v in zip(rest, evaluate([(s["pair"], _model(s, kinds)) for s in rest]) if rest else ()):
+        s["value"] = v
+    return [float(s.get("value", 0.0)) for s in items]
 
 
 def fit_many(df: DataFrame, models: list[list[tuple[str, int]]], pairs: list[tuple[str, str]], controls: FitControlsBicop, var_types: list[list[str]], stats: list[dict] | None = None) -> list[list[Bicop]]:
@@ -589,9 +629,11 @@ def fit_many(df: DataFrame, models: list[list[tuple[str, int]]], pairs: list[tup
 
     Up to LOCAL_ROWS rows each pair is a group of one job.  Beyond, all pairs,
     families and rotations advance together in passes over the data (written
-    once), a row per candidate and partition coming back; the number of passes
-    doesn't grow with the number of models.  Both search alike and end at the
-    same maximum.  ``itau`` needs no search, except for Student's second
+    once, equal rows as one with their weight), a row per candidate and
+    partition coming back; the number of passes doesn't grow with the number of
+    models.  They start at the maxima of a summary of all rows (``_summary``),
+    so few places are tried on the rows themselves.  Both end by the same rule
+    at the same maximum.  ``itau`` needs no search, except for Student's second
     parameter (its likelihood on a grid).  ``stats``: the pairs' measures, if
     known; Kendall's tau is exact there.
     """
@@ -617,13 +659,19 @@ def fit_many(df: DataFrame, models: list[list[tuple[str, int]]], pairs: list[tup
             items.append(item)
     kinds = dict(enumerate(var_types))
     if most <= LOCAL_ROWS:
-        values = _fit_groups(df, items, pairs, controls, kinds, itau)
+        values = _fit_groups(_long(df, pairs, controls.weights, kinds), items, kinds, itau)
     else:
         columns = _needed([(s["pair"], _model(s, kinds)) for s in items], pairs)
         # numbers are narrow: as many parts as there are cores, or as keep a part near two million rows
         parts = max(1, min(df.sparkSession.sparkContext.defaultParallelism, most // 10_000), most // 2_000_000)
-        rows = staged(df.select(*columns, *([controls.weights] if controls.weights else [])).repartition(parts), "fit")
-        values = _fit_items(items, lambda c: logliks(rows, pairs, c, controls.weights), kinds, itau)
+        w = F.col(controls.weights).cast("double") if controls.weights else F.lit(1.0)
+        rows = staged(df.groupBy(*columns).agg(F.sum(w).alias("_w")).repartition(parts), "fit")
+        free = [s for s in items if not s["fixed"]]
+        if free and not itau:
+            _fit_groups(_summary(_long(rows, pairs, "_w", kinds)), free, kinds, itau, apart=True)
+            for s in free:
+                s["near"] = True
+        values = _fit_items(items, lambda c: logliks(rows, pairs, c, "_w"), kinds, itau)
     out: list[list[Bicop]] = [[] for _ in pairs]
     for s, v in zip(items, values):
         m = _model(s, kinds)
@@ -632,33 +680,59 @@ def fit_many(df: DataFrame, models: list[list[tuple[str, int]]], pairs: list[tup
     return out
 
 
-def _fit_groups(df: DataFrame, items: list[dict], pairs: list[tuple[str, str]], controls: FitControlsBicop, kinds: dict[int, list[str]], itau: bool) -> list[float]:
-    """One job with a group per pair; fills in the items' parameters and returns their log-likelihoods."""
-    w = F.col(controls.weights).cast("double") if controls.weights else F.lit(1.0)
+def _long(df: DataFrame, pairs: list[tuple[str, str]], weights: str | None, kinds: dict[int, list[str]]) -> DataFrame:
+    """(pair, a, b, a_lo, b_lo, w): a row for each row of ``df`` and pair without missing values there."""
+    w = F.col(weights).cast("double") if weights else F.lit(1.0)
 
     def lo(c: str, k: int, j: int) -> Column:
         return F.col(f"{c}_lo").cast("double") if kinds[k][j] == "d" else F.lit(None).cast("double")
 
     each = F.array(*(F.struct(F.lit(k).alias("pair"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"), lo(a, k, 0).alias("a_lo"), lo(b, k, 1).alias("b_lo")) for k, (a, b) in enumerate(pairs)))
-    rows = df.select(F.explode(each).alias("s"), w.alias("w")).select("s.*", "w").where(present(F.col("a")) & present(F.col("b")))
+    return df.select(F.explode(each).alias("s"), w.alias("w")).select("s.*", "w").where(present(F.col("a")) & present(F.col("b")))
+
+
+def _summary(rows: DataFrame) -> DataFrame:
+    """All rows of ``_long`` as means and weights of cells, from which a search starts.
+
+    A column has RANGES ranges of equal length; each outer one is halved towards
+    its bound again and again, so there are some 14,000 cells of a pair at most.
+    """
+    def place(c: str) -> Column:
+        x = F.least(F.greatest(F.col(c), F.lit(TRIM)), F.lit(1 - TRIM))
+        side = F.least(x, 1 - x) * RANGES
+        k = F.when(side < 1, F.floor(F.log2(side))).otherwise(F.floor(side))
+        return F.when(x < 0.5, k).otherwise(RANGES - k)
+
+    means = [(F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(c) for c in ("a", "b", "a_lo", "b_lo")]
+    return rows.where("w > 0").groupBy("pair", place("a").alias("i"), place("b").alias("j")).agg(*means, F.sum("w").alias("w")).drop("i", "j")
+
+
+def _fit_groups(rows: DataFrame, items: list[dict], kinds: dict[int, list[str]], itau: bool, apart: bool = False) -> list[float]:
+    """One job over rows of ``_long`` with a group per pair; fills in the items' parameters and returns their log-likelihoods.
+
+    ``apart``: a group per item, for few rows and many items.
+    """
+    tasks: dict[int, list[int]] = {}
+    for place, s in enumerate(items):
+        tasks.setdefault(place if apart else s["pair"], []).append(place)
+    of = {k: [t for t, places in tasks.items() if items[places[0]]["pair"] == k] for k in {s["pair"] for s in items}}
+    if not items:
+        return []
+    lists = F.create_map(*(x for k, ts in of.items() for x in (F.lit(k), F.array(*map(F.lit, ts)))))
+    dealt = rows.withColumn("task", F.explode(lists[F.col("pair")]))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = int(pdf["pair"].iloc[0])
-        mine = [dict(s) for s in items if s["pair"] == k]
+        places = tasks[int(pdf["task"].iloc[0])]
+        mine = [dict(items[place]) for place in places]
         columns = {c: pdf[c].to_numpy(float) for c in ("a", "b", "a_lo", "b_lo")}
         weight = pdf["w"].to_numpy(float)
         values = _fit_items(mine, lambda c: _values([(0, m) for _, m in c], columns, [("a", "b")], weight), kinds, itau)
-        return pd.DataFrame({"pair": k, "place": np.arange(len(mine)), "p": [list(s["p"]) for s in mine], "l": values})
+        return pd.DataFrame({"place": places, "p": [list(s["p"]) for s in mine], "l": values})
 
-    got = {(r["pair"], r["place"]): r for r in rows.groupBy("pair").applyInPandas(run, "pair int, place int, p array<double>, l double").collect()}
-    values, place = [], dict.fromkeys(range(len(pairs)), 0)
-    for s in items:
-        r = got.get((s["pair"], place[s["pair"]]))
-        place[s["pair"]] += 1
-        if r:
-            s["p"] = tuple(r["p"])
-        values.append(r["l"] if r else 0.0)
-    return values
+    got = {r["place"]: r for r in dealt.groupBy("task").applyInPandas(run, "place int, p array<double>, l double").collect()}
+    for place, r in got.items():
+        items[place]["p"] = tuple(r["p"])
+    return [got[place]["l"] if place in got else 0.0 for place in range(len(items))]
 
 
 def candidates_of(tau: float, corners: tuple[float, float], controls: FitControlsBicop) -> list[tuple[str, int]]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dependra.functions.algebra import ARRAYS
 from dependra.operators.bicop import Bicop
 from dependra.operators.controls import FitControlsBicop, FitControlsVinecop
-from dependra.operators.elliptical import FORMS, quantile_table
+from dependra.operators.elliptical import FORMS, quantile_table, quantiles
 from dependra.operators.vinecop import DVineStructure, Vinecop
 
 NAMES = {"pdf": "pdf", "h1": "hfunc1", "h2": "hfunc2", "hinv1": "hinv1", "hinv2": "hinv2"}
@@ -66,6 +66,14 @@ def _raises(run, text):
         run()
 
 
+@pytest.mark.parametrize("nu", [2.0, 3.7, 12.0, 50.0])
+def test_quantiles_of_fits(nu):
+    from dependra.functions.special import norm_cdf, t_ppf
+
+    z = np.random.default_rng(4).normal(size=500) * 1.5
+    assert np.allclose(quantiles(z, nu), t_ppf(norm_cdf(ARRAYS, z), nu), rtol=1e-7, atol=1e-9)
+
+
 @pytest.mark.parametrize(("family", "p"), [("clayton", (2.0,)), ("gaussian", (0.5,)), ("tawn", (0.5, 0.5, 2.0))])
 def test_values_outside_raise(spark, family, p):
     m = Bicop(family, 0, p)

@@ -110,6 +110,26 @@ def test_fit_is_the_maximum_at_any_size(spark, monkeypatch, f, p):
         assert b.theta == pytest.approx(a.theta, rel=1e-4) and abs(a.loglik() - b.loglik()) < 1e-6
 
 
+@pytest.mark.parametrize("f,p", [("student", (0.5, 4.0)), ("student", (0.5, 49.0)), ("bb1", (1.0, 1.5)), ("tawn", (0.6, 0.9, 2.0))])
+def test_search_over_many_rows_starts_at_a_summary(spark, monkeypatch, f, p):
+    from dependra.operators import bicop
+
+    s = Bicop(f, 0, p).simulate(ship(spark), 1500, seeds=[5]).coalesce(2).cache()
+    a, tried, rows, plain = Bicop(f).fit(s), [], [], bicop.logliks
+
+    def counted(df, pairs, candidates, *more):
+        tried.append(len(candidates))
+        rows.append(df.count())
+        return plain(df, pairs, candidates, *more)
+
+    monkeypatch.setattr(bicop, "LOCAL_ROWS", 0)
+    monkeypatch.setattr(bicop, "logliks", counted)
+    b = Bicop(f).fit(s.union(s).union(s))
+    assert abs(b.loglik() - 3 * a.loglik()) < 1e-4 and b.nobs == 4500
+    assert set(rows) == {1500}  # equal rows are one
+    assert sum(tried) <= 30 * len(p)
+
+
 def test_missing_rows_and_weights(spark):
     rows = [(0.1, 0.2, 1.0), (0.5, None, 5.0), (float("nan"), 0.3, 2.0), (0.7, 0.8, 2.0)]
     df = spark.createDataFrame(rows, "u1 double, u2 double, w double")
