@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.algebra import ARRAYS, TRIM
 from ..functions.qrng import uniform
-from ..functions.special import norm_cdf, norm_pdf, normal_score
+from ..functions.special import norm_cdf, norm_pdf, norm_ppf
 from ..plans.staging import staged
 from .pobs import present
 
@@ -27,12 +27,22 @@ ROUNDS = 8
 
 
 def score_counts(df: DataFrame, a: str, b: str, weights: str | None = None) -> np.ndarray:
-    """Counts of normal scores in CELLS x CELLS cells; at most that many rows come back."""
-    z = lambda c: normal_score(F.least(F.greatest(F.col(c), F.lit(TRIM)), F.lit(1 - TRIM)))
-    cut = lambda c: F.least(F.greatest(F.floor((F.col(c) + REACH) * (CELLS / (2 * REACH))), F.lit(0)), F.lit(CELLS - 1)).cast("int")
+    """Counts of normal scores in CELLS x CELLS cells; each partition adds up its own, and at most that many rows come back."""
     w = F.col(weights).cast("double") if weights else F.lit(1.0)
-    scores = df.where(present(F.col(a)) & present(F.col(b))).select(z(a).alias("_a"), z(b).alias("_b"), w.alias("w"))
-    rows = scores.groupBy(cut("_a").alias("i"), cut("_b").alias("j")).agg(F.sum("w").alias("w")).toPandas()
+
+    def cut(p: pd.Series) -> np.ndarray:
+        z = norm_ppf(ARRAYS, np.clip(p.to_numpy(float), TRIM, 1 - TRIM))
+        return np.clip(np.floor((z + REACH) * (CELLS / (2 * REACH))), 0, CELLS - 1).astype(np.int64)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(CELLS * CELLS)
+        for x in batches:
+            total += np.bincount(cut(x["a"]) * CELLS + cut(x["b"]), x["w"].to_numpy(float), CELLS * CELLS)
+        k = np.flatnonzero(total)
+        yield pd.DataFrame({"i": k // CELLS, "j": k % CELLS, "w": total[k]})
+
+    points = df.where(present(F.col(a)) & present(F.col(b))).select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"), w.alias("w"))
+    rows = points.mapInPandas(count, "i int, j int, w double").groupBy("i", "j").agg(F.sum("w").alias("w")).toPandas()
     out = np.zeros((CELLS, CELLS))
     out[rows["i"], rows["j"]] = rows["w"]
     return out

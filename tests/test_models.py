@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dependra.functions import qrng
+from dependra.functions.algebra import ARRAYS
 from dependra.operators.bicop import Bicop
 from dependra.operators.controls import FitControlsBicop, FitControlsVinecop
 from dependra.operators.dependence import dependence, kendall_tau, spearman_rho
@@ -130,6 +131,31 @@ def test_search_over_many_rows_starts_at_a_summary(spark, monkeypatch, f, p):
     assert sum(tried) <= 30 * len(p)
 
 
+def test_selection_over_many_rows_tries_few_places(spark, monkeypatch):
+    from dependra.operators import bicop
+
+    s = Bicop("bb1", 0, (1.0, 1.5)).simulate(ship(spark), 1500, seeds=[6]).coalesce(2).cache()
+    a, tried, plain = Bicop.from_data(s), [], bicop.logliks
+    monkeypatch.setattr(bicop, "LOCAL_ROWS", 0)
+    monkeypatch.setattr(bicop, "logliks", lambda df, pairs, candidates, *more: tried.append(len(candidates)) or plain(df, pairs, candidates, *more))
+    b = Bicop.from_data(s)
+    assert (a.family, a.rotation) == (b.family, b.rotation) and b.theta == pytest.approx(a.theta, rel=1e-4) and abs(a.loglik() - b.loglik()) < 1e-5
+    assert sum(tried) < 900
+
+
+def test_score_counts(spark):
+    from dependra.functions.special import norm_ppf
+    from dependra.operators.tll import CELLS, REACH, score_counts
+
+    rng = np.random.default_rng(8)
+    u, w = np.concatenate([rng.uniform(size=(400, 2)), [[0.0, 1.0], [1.0, 0.5]]]), rng.integers(0, 4, 402).astype(float)
+    rows = [(float(a), float(b), float(x)) for (a, b), x in zip(u, w)] + [(None, 0.5, 3.0), (0.5, float("nan"), 3.0)]
+    cell = np.clip(np.floor((norm_ppf(ARRAYS, np.clip(u, 1e-10, 1 - 1e-10)) + REACH) * (CELLS / (2 * REACH))), 0, CELLS - 1).astype(int)
+    plain = np.zeros((CELLS, CELLS))
+    np.add.at(plain, (cell[:, 0], cell[:, 1]), w)
+    assert np.array_equal(score_counts(spark.createDataFrame(rows, "a double, b double, w double").repartition(3), "a", "b", "w"), plain)
+
+
 def test_missing_rows_and_weights(spark):
     rows = [(0.1, 0.2, 1.0), (0.5, None, 5.0), (float("nan"), 0.3, 2.0), (0.7, 0.8, 2.0)]
     df = spark.createDataFrame(rows, "u1 double, u2 double, w double")
