@@ -38,8 +38,8 @@ LOCAL_ROWS = 20_000
 GAIN, PASSES = 1e-6, 60
 #: Ranges of equal length of a column in the summary from which a search over many rows starts.
 RANGES = 64
-#: Half width of the differences, largest place and lengths tried of a step, on the unbounded scale of parameters.
-WIDTH, EDGE, LENGTHS = 2e-3, 16.0, (0.05, 0.25, 0.5, 2.0, 4.0)
+#: Half width of the differences (afar, near the maximum), largest place and lengths tried of a step, on the unbounded scale of parameters.
+WIDTH, NEAR_WIDTH, EDGE, LENGTHS = 2e-3, 5e-4, 16.0, (0.05, 0.25, 0.5, 2.0, 4.0)
 
 
 class Bicop:
@@ -484,9 +484,9 @@ def _bound(family: str, y: np.ndarray) -> tuple[float, ...]:
     return tuple(float(lo + (hi - lo) / (1 + math.exp(-x))) for x, lo, hi in zip(y, spec.lower, spec.upper))
 
 
-def _stencil(y: np.ndarray) -> list[np.ndarray]:
+def _stencil(y: np.ndarray, width: float) -> list[np.ndarray]:
     """The point, its neighbours along each axis, and along each diagonal of two axes."""
-    k, e = len(y), np.eye(len(y)) * WIDTH
+    k, e = len(y), np.eye(len(y)) * width
     out = [y]
     for i in range(k):
         out += [y + e[i], y - e[i]]
@@ -496,16 +496,16 @@ def _stencil(y: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _slopes(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _slopes(v: np.ndarray, k: int, width: float) -> tuple[np.ndarray, np.ndarray]:
     """Gradient and second derivatives from the values on a stencil."""
     up, down = v[1 : 2 * k + 1 : 2], v[2 : 2 * k + 2 : 2]
-    h = np.diag((up + down - 2 * v[0]) / WIDTH**2)
+    h = np.diag((up + down - 2 * v[0]) / width**2)
     at = 2 * k + 1
     for i in range(k):
         for j in range(i):
-            h[i, j] = h[j, i] = (v[at] + v[at + 1] - up[i] - down[i] - up[j] - down[j] + 2 * v[0]) / (2 * WIDTH**2)
+            h[i, j] = h[j, i] = (v[at] + v[at + 1] - up[i] - down[i] - up[j] - down[j] + 2 * v[0]) / (2 * width**2)
             at += 2
-    return (up - down) / (2 * WIDTH), h
+    return (up - down) / (2 * width), h
 
 
 def _ascent(y: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, float]:
@@ -558,13 +558,13 @@ def _search(items: list[dict], evaluate: Callable[[list[Candidate]], list[float]
             s["value"], s["y"] = v, y
     live = [s for s in live if "y" in s]
     for s in live:
-        s["step"], s["shrink"] = np.zeros(len(s["y"])), 1.0
+        s["step"], s["shrink"], s["width"] = np.zeros(len(s["y"])), 1.0, NEAR_WIDTH if s.get("near") else WIDTH
     for _ in range(PASSES):
         tries = []
         for s in live:
             full = np.clip(s["y"] + s["shrink"] * s["step"], -EDGE, EDGE)
             others = [np.clip(s["y"] + s["shrink"] * t * s["step"], -EDGE, EDGE) for t in LENGTHS] if s["step"].any() else []
-            tries += [(s, y) for y in [*_stencil(full), *others]]
+            tries += [(s, y) for y in [*_stencil(full, s["width"]), *others]]
         v, at, left = values(tries), 0, []
         for s in live:
             k = len(s["y"])
@@ -581,7 +581,7 @@ def _search(items: list[dict], evaluate: Callable[[list[Candidate]], list[float]
             if first or (gained and best == 0):  # the derivatives are those of the new place
                 if not np.isfinite(mine[:n]).all():
                     continue
-                s["step"], promise = _ascent(s["y"], *_slopes(mine[:n], k))
+                s["step"], promise = _ascent(s["y"], *_slopes(mine[:n], k, s["width"]))
                 s["shrink"] = 1.0
                 if promise < GAIN or not s["step"].any():
                     continue
@@ -765,13 +765,14 @@ def candidates_of(tau: float, corners: tuple[float, float], controls: FitControl
     return out or [("indep", 0)]
 
 
-def select_many(df: DataFrame, pairs: list[tuple[str, str]], controls: FitControlsBicop, var_types: list[list[str]], threshold: float = 0.0) -> list[Bicop]:
+def select_many(df: DataFrame, pairs: list[tuple[str, str]], controls: FitControlsBicop, var_types: list[list[str]], threshold: float = 0.0, stats: list[dict] | None = None) -> list[Bicop]:
     """The best model of each pair by the selection criterion; all pairs share the passes.
 
     Pairs with fewer than ten complete rows, or a magnitude of tau below
-    ``threshold``, get independence.
+    ``threshold``, get independence.  ``stats``: the pairs' measures, if known.
     """
-    stats = pair_measures(df, pairs, controls.weights)
+    if stats is None:
+        stats = pair_measures(df, pairs, controls.weights)
     models = []
     for s in stats:
         if s["n"] < 10 or abs(s["tau"]) < threshold:

@@ -73,11 +73,15 @@ def _ranked(df: DataFrame, columns: list[str], makes: Callable[[str, Callable[[s
     joins adaptive execution splits hot values.  Missing values get NULL.
     """
     names = [*(["o"] if order is not None else []), *(f"g{i}" for i in range(len(by or [])))]
-    places = staged(_placed(df, columns, weights, by or [], order, last), "places")
     extra = {"o": order if order is not None else F.lit(0)} | {f"g{i}": F.col(g) for i, g in enumerate(by or [])}
     known = ("below", "own", "n", "scale")
     value = lambda c: F.when(present(c), c.cast("double"))
 
+    if len(columns) > 1:  # also read for the places
+        rows = _rows(df, **extra)
+        df = rows.select(*(F.col("row").getField(x).alias(x) for x in df.columns))
+    places = staged(_placed(df, columns, weights, by or [], order, last), "places")
+
     def joined(d: DataFrame, on: list[str], how: str) -> DataFrame:
         a, p, cond = d.alias("a"), places.alias("p"), F.lit(True)
         for x in on:
@@ -89,15 +93,13 @@ def _ranked(df: DataFrame, columns: list[str], makes: Callable[[str, Callable[[s
     if len(columns) == 1:
         d = df.select(F.struct(*(F.col(f"`{x}`") for x in df.columns)).alias("row"), value(F.col(columns[0])).alias("v"), *(v.alias(k) for k, v in extra.items()))
         return _with(joined(d, ["v"], "left"), df.columns, makes(columns[0], F.col))
-    rows = _rows(df, **extra)
     each = F.array(*(F.struct(F.lit(j).alias("c"), value(F.col("row").getField(c)).alias("v")) for j, c in enumerate(columns)))
     long = rows.select("key", *extra, F.inline(each)).where("v is not null")
     met = joined(long, ["c", "v"], "inner")
-    wide = met.groupBy("key").agg(*(F.max(F.when(F.col("c") == j, F.struct(*known))).alias(f"s{j}") for j in range(len(columns))))
-    made: dict[str, Column] = {}
-    for j, c in enumerate(columns):
-        made |= makes(c, lambda k, j=j: F.col(f"s{j}").getField(k))
-    return _with(rows.select("row", "key").join(wide, "key", "left"), df.columns, made)
+    made = {name: (j, value) for j, c in enumerate(columns) for name, value in makes(c, F.col).items()}
+    # a number for each, as Spark sorts to aggregate structs
+    wide = met.groupBy("key").agg(*(F.max(F.when(F.col("c") == j, value)).alias(f"m{k}") for k, (j, value) in enumerate(made.values())))
+    return _with(rows.select("row", "key").join(wide, "key", "left"), df.columns, {name: F.col(f"m{k}") for k, name in enumerate(made)})
 
 
 def pseudo_obs(df: DataFrame, columns: list[str], ties_method: str = "average", weights: str | None = None, key: str | None = None, seeds: list[int] | None = None, by: list[str] | None = None, prefix: str = "u_") -> DataFrame:

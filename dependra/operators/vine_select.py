@@ -18,7 +18,8 @@ from ..plans.staging import staged
 from .bicop import Bicop, fit_many, select_many
 from .checks import unit, weight
 from .controls import FitControlsBicop, FitControlsVinecop
-from .dependence import dependence
+from .dependence import maximal_correlation
+from .dominance import pair_measures
 from .structure import RVineStructure
 from .vinecop import Vinecop
 
@@ -102,18 +103,29 @@ class _Store:
 
     def __init__(self, data: DataFrame, types: list[str], controls: FitControlsBicop, criterion: str, keep: bool) -> None:
         self.data, self.types, self.controls, self.criterion, self.keep = data, types, controls, criterion, keep
-        self._weights: dict[tuple[str, tuple[str, str]], float] = {}
+        self._measures: dict[tuple[str, str], dict] = {}
+        self._mcor: dict[tuple[str, str], float] = {}
         self._copulas: dict[tuple[str, str], Bicop] = {}
         self._given: dict[tuple[str, str], str] = {}
         self.fits = 0
 
+    def measures(self, pairs: list[tuple[str, str]]) -> list[dict]:
+        """The exact measures of pairs of columns; the unknown ones come from one job."""
+        new = list(dict.fromkeys(p for p in pairs if p not in self._measures and p[::-1] not in self._measures))
+        for p, m in zip(new, pair_measures(self.data, new, self.controls.weights)):
+            self._measures[p], self._measures[p[::-1]] = m, m | {"low_high": m["high_low"], "high_low": m["low_high"]}
+        return [self._measures[p] for p in pairs]
+
     def weights(self, pairs: list[tuple[str, str]], criterion: str | None = None) -> list[float]:
         """The criterion of pairs of columns; the unknown ones come from one job."""
         name = criterion or self.criterion
-        key = lambda p: (name, tuple(sorted(p)))
-        new = list(dict.fromkeys(k[1] for k in map(key, pairs) if k not in self._weights))
-        self._weights |= {(name, p): x for p, x in zip(new, dependence(self.data, new, name, self.controls.weights))}
-        return [self._weights[key(p)] for p in pairs]
+        if name != "mcor":
+            return [float(m[name]) for m in self.measures(pairs)]
+        key = lambda p: tuple(sorted(p))
+        new = list(dict.fromkeys(k for k in map(key, pairs) if k not in self._mcor))
+        if new:
+            self._mcor |= zip(new, maximal_correlation(self.data, new, self.controls.weights))
+        return [self._mcor[key(p)] for p in pairs]
 
     def fit(self, tree: list[_Edge], threshold: float) -> None:
         """Copulas of a tree; independence where the magnitude of tau is below ``threshold``."""
@@ -123,7 +135,7 @@ class _Store:
         new = [e for e in on if e.columns not in self._copulas and e.columns[::-1] not in self._copulas]
         self.fits += len(new)
         kinds = [[self.types[c - 1] for c in e.cond] for e in new]
-        for e, pc in zip(new, select_many(self.data, [e.columns for e in new], self.controls, kinds) if new else []):
+        for e, pc in zip(new, select_many(self.data, [e.columns for e in new], self.controls, kinds, 0.0, self.measures([e.columns for e in new])) if new else []):
             self._copulas[e.columns] = pc
         for e in on:
             e.copula = self._copulas[e.columns] if e.columns in self._copulas else self._copulas[e.columns[::-1]].flipped()

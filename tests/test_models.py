@@ -167,6 +167,41 @@ def test_missing_rows_and_weights(spark):
     assert abs(r["loglik"] - m.loglik(again)) < 1e-9
 
 
+def test_vine_measures_each_pair_once(spark, monkeypatch):
+    from dependra.operators import bicop, vine_select
+
+    rng = np.random.default_rng(9)
+    z = rng.normal(size=(300, 1)) + 0.6 * rng.normal(size=(300, 4))
+    u = pseudo_obs(spark.createDataFrame(z.tolist(), "a double, b double, c double, d double"), list("abcd"))
+    cols, controls = [f"u_{x}" for x in "abcd"], {"family_set": ["indep", "clayton", "frank"], "tree_algorithm": "random_weighted", "seeds": [3]}
+    plain, asked = bicop.pair_measures, []
+    several = lambda df, pairs, *more: (asked.append(pairs) if pairs else None) or plain(df, pairs, *more)
+    monkeypatch.setattr(bicop, "pair_measures", several)
+    monkeypatch.setattr(vine_select, "pair_measures", several, raising=False)
+    v = Vinecop.from_data(ship(spark) and u, cols, controls=FitControlsVinecop(**controls))
+    assert len(asked) == 3  # a job for each tree
+    every = [frozenset(p) for pairs in asked for p in pairs]
+    assert len(every) == len(set(every))
+    # first tree: the same as fitted alone, in either order of the columns
+    for e, pc in enumerate(v.pair_copulas[0]):
+        a, b, _ = v.structure.edge_label(0, e)
+        one = Bicop.from_data(u, cols[a - 1], cols[b - 1], FitControlsBicop(family_set=["indep", "clayton", "frank"]))
+        assert (one.family, one.rotation) == (pc.family, pc.rotation) and one.loglik_ == pytest.approx(pc.loglik_, abs=1e-6)
+
+
+def test_pseudo_obs_read_their_table_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(x):
+        read.add(1)
+        return x
+
+    df = spark.createDataFrame([(k, float(k % 7), float(-k % 11)) for k in range(50)], "k long, x double, y double").withColumn("x", seen("x"))
+    assert pseudo_obs(df, ["x", "y"]).count() == 50
+    assert read.value == 50
+
+
 def test_pseudo_obs_nulls_and_equal_weights(spark):
     df = spark.createDataFrame([(1, 3.0, 2.0), (2, None, 2.0), (3, 1.0, 2.0), (4, float("nan"), 2.0), (5, 3.0, 2.0)], "k long, x double, w double")
     plain = {r["k"]: r["u_x"] for r in pseudo_obs(df, ["x"]).collect()}
