@@ -526,7 +526,8 @@ def _search(items: list[dict], evaluate: Callable[[list[Candidate]], list[float]
 
     The first pass looks for a start on a coarse grid.  An item that is ``near``
     its maximum starts where it is; only where a parameter is close to a bound,
-    so that slopes vanish, are places further inside tried too.  Each further pass tries
+    so that slopes vanish, are places further inside tried too, and it tries
+    several lengths only after a full step failed.  Each further pass tries
     several lengths of Newton's step, and the full step with the neighbours that
     give the next derivatives, so a pass is an iteration where Newton's step is
     good.  An item ends when the gain that a step promises is below GAIN, or no
@@ -558,18 +559,20 @@ def _search(items: list[dict], evaluate: Callable[[list[Candidate]], list[float]
             s["value"], s["y"] = v, y
     live = [s for s in live if "y" in s]
     for s in live:
-        s["step"], s["shrink"], s["width"] = np.zeros(len(s["y"])), 1.0, NEAR_WIDTH if s.get("near") else WIDTH
+        s["step"], s["shrink"] = np.zeros(len(s["y"])), 1.0
+        s["width"], s["doubt"] = (NEAR_WIDTH, False) if s.get("near") else (WIDTH, True)
     for _ in range(PASSES):
         tries = []
         for s in live:
             full = np.clip(s["y"] + s["shrink"] * s["step"], -EDGE, EDGE)
-            others = [np.clip(s["y"] + s["shrink"] * t * s["step"], -EDGE, EDGE) for t in LENGTHS] if s["step"].any() else []
+            lengths = LENGTHS if s["step"].any() and s["doubt"] else ()
+            others = [np.clip(s["y"] + s["shrink"] * t * s["step"], -EDGE, EDGE) for t in lengths]
             tries += [(s, y) for y in [*_stencil(full, s["width"]), *others]]
         v, at, left = values(tries), 0, []
         for s in live:
             k = len(s["y"])
             n = 1 + 2 * k + k * (k - 1)
-            m = n + (len(LENGTHS) if s["step"].any() else 0)
+            m = n + (len(LENGTHS) if s["step"].any() and s["doubt"] else 0)
             mine, points = v[at : at + m], [y for _, y in tries[at : at + m]]
             at += m
             best = int(np.argmax(mine[[0, *range(n, m)]]))
@@ -587,6 +590,8 @@ def _search(items: list[dict], evaluate: Callable[[list[Candidate]], list[float]
                     continue
             elif gained:
                 s["step"], s["shrink"] = np.zeros(k), 1.0  # ask for derivatives there
+            elif not s["doubt"]:
+                s["doubt"] = True
             else:
                 s["shrink"] *= 0.02
                 if s["shrink"] < 1e-5:
