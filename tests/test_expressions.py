@@ -1,5 +1,7 @@
 """Gaussian and Student copulas as expressions, and checks of data."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -40,6 +42,28 @@ def test_expressions_equal_arrays(points, family, p):
         assert np.allclose(got[what], want, rtol=2e-6, atol=1e-9 if what != "pdf" else 1e-300), what
 
 
+@pytest.mark.parametrize(("family", "p", "rotation"), [("indep", (), 0), ("clayton", (2.0,), 90), ("gumbel", (2.0,), 180), ("frank", (5.0,), 0), ("joe", (2.0,), 270), ("bb1", (1.0, 1.5), 0), ("bb6", (1.5, 2.0), 0), ("bb6", (6.0, 8.0), 90), ("bb7", (2.0, 1.5), 180), ("bb8", (3.0, 0.8), 0)])
+def test_closed_forms_share_their_terms(spark, points, family, p, rotation):
+    """All functions of a pair are compiled into methods that the JVM optimises (8,000 bytes), and equal the arrays."""
+    m, names = Bicop(family, rotation, p), {"pdf": "pdf", "cdf": "cdf", "h1": "hfunc1", "h2": "hfunc2"}
+    out = points
+    for name in names.values():
+        out = getattr(m, name)(out)
+    assert out.columns == [*points.columns, *names.values()]
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    code = debug.codegenString(out._jdf.queryExecution().executedPlan())
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) < 8000
+    got = out.orderBy("k").toPandas()
+    whole = got["u1"].notna() & got["u2"].notna()
+    assert got.loc[~whole, [*names.values()]].isna().all().all() and (~whole).sum() == 3
+    got = got[whole]
+    for what, name in names.items():
+        assert np.allclose(got[name], m.value(ARRAYS, what, got["u1"].to_numpy(), got["u2"].to_numpy()), rtol=1e-9, atol=1e-12), what
+    bad = points.union(spark.createDataFrame([(-1, None, 1.5, "z"), (-2, 0.2, -1e-9, "z")], points.schema))
+    for k in (-1, -2):
+        _raises(lambda k=k: getattr(m, "hfunc2")(bad.where(F.col("k").isin(k, 0))).agg(F.sum("hfunc2")).collect(), r"must be in \[0, 1\]")
+
+
 @pytest.mark.parametrize("nu", [2.0, 3.5, 50.0])
 def test_tables_between_their_places(nu):
     from dependra.functions.special import norm_cdf, t_ppf
