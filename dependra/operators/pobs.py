@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.staging import staged
+from ..plans.staging import made_once, staged
 
 TIES = ("average", "min", "max", "first", "last", "random")
 
@@ -67,7 +67,8 @@ def _with(met: DataFrame, columns: list[str], made: dict[str, Column]) -> DataFr
 def _ranked(df: DataFrame, columns: list[str], makes: Callable[[str, Callable[[str], Column]], dict[str, Column]], weights: str | None = None, by: list[str] | None = None, order: Column | None = None, last: bool = False) -> DataFrame:
     """``df`` with the columns that ``makes`` builds from below, own, n and scale of each column's value.
 
-    One column: rows meet their value in a join.  Several: the values of all
+    One column: rows meet their value in a join; rows that took a join
+    themselves are written first, as the places read them too.  Several: the values of all
     columns meet their places in one join of narrow rows and come back by the
     number of their row, so the exchanges don't grow with the columns.  In both
     joins adaptive execution splits hot values.  Missing values get NULL.
@@ -80,6 +81,8 @@ def _ranked(df: DataFrame, columns: list[str], makes: Callable[[str, Callable[[s
     if len(columns) > 1:  # also read for the places
         rows = _rows(df, **extra)
         df = rows.select(*(F.col("row").getField(x).alias(x) for x in df.columns))
+    else:
+        df = made_once(df, "rows")
     places = staged(_placed(df, columns, weights, by or [], order, last), "places")
 
     def joined(d: DataFrame, on: list[str], how: str) -> DataFrame:

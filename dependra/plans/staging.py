@@ -37,3 +37,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def made_once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` for several readers: written if it is made of more than one table, else as it is.
+
+    Each reader would make the joins again, and all that is below them.  What
+    comes from one table is left to Spark, which then reads and adds up only
+    the columns that a reader asks for; so are types that Parquet doesn't have.
+    """
+    one = df._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    return df if one or any(t in df.schema.simpleString() for t in ("void", "interval")) else staged(df, name)

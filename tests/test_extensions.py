@@ -13,6 +13,7 @@ from dependra.operators.pobs import discrete_margins, pseudo_obs
 from dependra.operators.probability import bivariate_probability
 from dependra.operators.vinecop import DVineStructure, RVineStructure, Vinecop
 from dependra.plans import catalog
+from dependra.plans.staging import made_once
 
 
 @pytest.mark.parametrize("rho,nu", [(0.5, 4.0), (-0.9, 3.0), (0.99, 2.5), (0.0, 1.0), (-0.3, 30.0)])
@@ -90,6 +91,31 @@ def test_boxes_recover_latent_dependence(spark):
     assert tll.box_counts(missing, "u_a", "u_b", ["d", "d"]).sum() == pytest.approx((frame["a"] > 0).sum())
 
 
+def test_rows_that_joins_made_are_written_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(c):
+        made.add(1)
+        return c
+
+    # repeated and missing keys, missing values of both columns
+    x = [(None if k % 31 == 0 else k % 60, None if k % 17 == 0 else k % 4, None if k % 13 == 0 else float(k % 50)) for k in range(120)]
+    df = spark.createDataFrame(x, "k int, a int, c double").withColumn("c", counted("c"))
+    u = discrete_margins(pseudo_obs(df, ["c"]), "a")
+    rows = tll.latent_sample(u, "u_a", "u_c", ["d", "c"], "k").collect()
+    assert made.value == 2 * len(x)  # for the ranks of c, and for the rows that met them
+    key = lambda r: tuple((v is None, v or 0) for v in r[:3])
+    assert sorted(map(key, rows)) == sorted(map(key, x))
+    for r in rows:
+        assert (r["u_a"] is None) == (r["a"] is None) and (r["u_c"] is None) == (r["c"] is None)
+        assert (r["latent_u_a"] is None) == (r["a"] is None or r["c"] is None)
+        assert r["latent_u_a"] is None or r["u_a_lo"] <= r["latent_u_a"] <= r["u_a"] and r["latent_u_c"] == r["u_c"]
+    joined = df.join(df.select("k"), "k").withColumn("nothing", F.lit(None))
+    assert made_once(df, "t") is df and made_once(joined, "t") is joined  # one table; a type that Parquet doesn't have
+    assert discrete_margins(joined.limit(0).drop("nothing"), "a").collect() == []
+
+
 def test_latent_sample_stays_in_its_boxes(spark):
     z = _normal(4000, np.array([[1, 0.7], [0.7, 1]]))
     frame = pd.DataFrame({"k": np.arange(4000), "a": np.digitize(z[:, 0], [-0.8, 0.0, 0.8]), "b": np.digitize(z[:, 1], [0.4]), "c": z[:, 1]})
