@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, fold, spaced, staged, text_or_empty
@@ -61,6 +61,8 @@ def bigram_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return (k ^ (k >> np.uint64(29))) | np.uint64(1)
 
 
+#: What ``_Batch`` unpacks.
+UNPACKED = ("lengths", "train", "vocab", "tokens")
 BATCH = "batch string, fold boolean, n_train bigint, n_tokens bigint, n_docs int, lengths binary, train binary, vocab binary, tokens binary"
 
 
@@ -175,7 +177,7 @@ def exchange(packed: DataFrame, bits: int) -> DataFrame:
         out.append((None, rows[0]["part"], None, None, int(((every & np.uint64(1) == 0) & (total > 0)).sum())))
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), answer)], schema=answer)
 
-    asks = packed.mapInArrow(asked, "part int, batch string, fold boolean, keys binary, weights binary")
+    asks = packed.select("batch", "fold", *UNPACKED).mapInArrow(asked, "part int, batch string, fold boolean, keys binary, weights binary")
     return asks.groupBy("part").applyInArrow(summed, "batch string, part int, counts binary, fold_counts binary, n_types bigint")
 
 
@@ -188,17 +190,19 @@ def _class(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(context.astype(np.float64))[1], CLASSES - 1)
 
 
-def mixture(packed: DataFrame, answers: DataFrame, n: int, n_types: int, rounds: int = 60) -> np.ndarray:
+def mixture(packed: DataFrame, answers: DataFrame, n: int, n_types: int, rounds: int = 60, own: int | None = None) -> np.ndarray:
     """Weights [class, order] of the bigram, unigram and uniform estimates.
 
     Every token of the fold is counted into a cell: context class and the two
     estimates, in half powers of two, after the fold's own counts are taken
     out.  The cells are at most 34 * 130 * 130, whatever the corpus, and keep
     the mean estimates; expectation-maximisation runs over them.  A class
-    without held-out tokens gets the weights of all classes together.
+    without held-out tokens gets the weights of all classes together.  ``own``
+    is the fold's number of training tokens, counted here if not given.
     """
     cell = pa.schema([("c", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64()), ("p2", pa.float64()), ("p1", pa.float64())])
-    own = packed.where("fold").agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n")).first()["n"]
+    if own is None:
+        own = packed.where("fold").agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n")).first()["n"]
     rest = max(1, n - own)
 
     def cells(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -216,8 +220,8 @@ def mixture(packed: DataFrame, answers: DataFrame, n: int, n_types: int, rounds:
             out += zip(key // 65536, key // 256 % 256, key % 256, np.bincount(at), np.bincount(at, p2), np.bincount(at, p1))
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), cell)] if out else [pa.array([], f.type) for f in cell], schema=cell)
 
-    held = answers.where(F.col("fold_counts").isNotNull())
-    grouped = packed.where("fold").groupBy("batch").cogroup(held.groupBy("batch")).applyInArrow(cells, "c int, a int, b int, n bigint, p2 double, p1 double")
+    held = answers.where(F.col("fold_counts").isNotNull()).select("batch", "part", "counts", "fold_counts")
+    grouped = packed.where("fold").select("batch", *UNPACKED).groupBy("batch").cogroup(held.groupBy("batch")).applyInArrow(cells, "c int, a int, b int, n bigint, p2 double, p1 double")
     got = grouped.groupBy("c", "a", "b").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1")).orderBy("c", "a", "b").collect()
     kind = np.array([r["c"] for r in got], int)
     size = np.array([r["n"] for r in got], float)
@@ -252,14 +256,16 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     """
     rest = fold(doc_id, folds)
     src = docs.select(F.col(doc_id).alias("doc_id"), F.translate(text_or_empty(text), UPPER, LOWER).alias("text"), (rest != held_out).alias("train"), (rest == em_fold).alias("fold"))
-    packed = staged(batches_of(src), "lm-batches")
-    totals = packed.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("all")).first()
-    n = totals["n"]
-    bits = max(3, math.ceil(math.log2(max(1, totals["all"] / PART_KEYS))))
-    answers = staged(exchange(packed, bits), "lm-counts")
-    n_types = answers.agg(F.coalesce(F.sum("n_types"), F.lit(0)).alias("v")).first()["v"]
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    # the totals are counted while the tables are written, not by reading them again
+    written, answered = Observation(), Observation()
+    packed = staged(batches_of(src).observe(written, total("n_train").alias("n"), total("n_tokens").alias("all"), total(F.when(F.col("fold"), F.col("n_train"))).alias("own")), "lm-batches")
+    n = written.get["n"]
+    bits = max(3, math.ceil(math.log2(max(1, written.get["all"] / PART_KEYS))))
+    answers = staged(exchange(packed, bits).observe(answered, total("n_types").alias("v")), "lm-counts")
+    n_types = answered.get["v"]
     answers = answers.where(F.col("batch").isNotNull())
-    weights = mixture(packed, answers, n, n_types)
+    weights = mixture(packed, answers, n, n_types, own=written.get["own"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -281,4 +287,5 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
         return pa.concat_tables(parts)
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(scores, schema)
+    counts = answers.select("batch", "part", "counts")
+    return packed.select("batch", *UNPACKED, "ids").groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(scores, schema)

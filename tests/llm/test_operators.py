@@ -621,6 +621,21 @@ def test_lm_score(docs, empty, texts):
     assert lm_score.score(empty).count() == 0
 
 
+def test_lm_totals_are_counted_while_tables_are_written(docs, empty, monkeypatch):
+    def another_pass(self):
+        raise AssertionError("a table is read again for its totals")
+
+    want = sum(len(WORD.findall(r["text"] or "")) + 1 for r in docs.collect() if zlib.crc32(str("" if r["doc_id"] is None else r["doc_id"]).encode()) % 7 != 2)
+    monkeypatch.setattr(type(docs), "first", another_pass)
+    out = lm_score.score(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "fold_counts" not in plan and "n_tokens#" in plan and "n_docs" not in plan
+    rows = out.collect()
+    assert len(rows) == docs.count() and {r["train_tokens"] for r in rows} == {want}
+    assert lm_score.score(empty).collect() == []
+    assert [r["train_tokens"] for r in lm_score.score(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 7 = 2")).collect()][:1] == [0]
+
+
 def test_lm_is_a_distribution(docs):
     """The mixture of every context sums to one over the vocabulary and the unknown word."""
     src = docs.where("doc_id < 40").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(True).alias("train"), (F.col("doc_id") % 4 == 0).alias("fold"))
